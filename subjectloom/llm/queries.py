@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .chosen_path import op10_chosen_path
+from .debruijn import op5_debruijn
 
 QUERIES = {
+    "op5_debruijn": op5_debruijn,
     "op10_chosen_path": op10_chosen_path,
 }
 
