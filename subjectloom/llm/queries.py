@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from . import host_quality, license_scan
 from .chosen_path import op10_chosen_path
 from .debruijn import op5_debruijn
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op5_debruijn": op5_debruijn,
+    "op6_host_rules": host_quality.op6_host_rules,
     "op10_chosen_path": op10_chosen_path,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
+    "op6_host_rules": host_quality.ORACLE,
+}
