@@ -154,10 +154,11 @@ def _groups(tau: float):
     return run
 
 
-def _links(num: int, den: int):
+def _links(num: int, den: int, tau: float):
     """Tasks (sorted by ``task``) to confirmed links between members that are not
     connected yet; members carry their component so far (``label``).  Where
-    ``side`` is given (chunk against chunk), pairs on one side are left out."""
+    ``side`` is given (chunk against chunk), pairs on one side are left out.
+    Full sets are compared only where sketches leave the pair possible."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -169,8 +170,9 @@ def _links(num: int, den: int):
                 for i, label in enumerate(labels):
                     if first.setdefault(label, i) != i:
                         own.join(i, first[label])
-                for i in range(len(order)):
-                    for j in range(i + 1, len(order)):
+                sig = np.frombuffer(b"".join(task["sig"][i] for i in order), np.uint32).reshape(len(order), COORDINATES)
+                for i in range(len(order) - 1):
+                    for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= tau * COORDINATES) + i + 1).tolist():
                         if (sides[i] < 0 or sides[i] != sides[j]) and own.find(i) != own.find(j) and _similar(sets[i], sets[j], num, den):
                             own.join(i, j)
                             yield names[i], names[j]
@@ -184,36 +186,45 @@ def _shingles(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            pairs = zip(batch.column("cls").to_pylist(), text_bytes(batch, "text"), strict=True)
-            yield from bounded(((c, shingle_set(t, k, cache).tobytes()) for c, t in pairs), pa.schema([("cls", pa.binary()), ("shingles", pa.binary())]), 500)
+            rows = zip(batch.column("cls").to_pylist(), batch.column("sig").to_pylist(), text_bytes(batch, "text"), strict=True)
+            yield from bounded(((c, s, shingle_set(t, k, cache).tobytes()) for c, s, t in rows), pa.schema([("cls", pa.binary()), ("sig", pa.binary()), ("shingles", pa.binary())]), 500)
 
     return run
 
 
 def _tree_nodes(classes: DataFrame, trees: int, leaf: int, depth: int, extra: float) -> DataFrame:
-    """``(path, cls, n)`` of all nodes with two or more members that branch no more."""
+    """``(path, cls, n)`` of all nodes with two or more members that branch no more.
+
+    A large node three tokens deep that kept over 60 % of its parent is dense (its
+    members resemble each other on average) and further branching would only
+    copy it; as in the published join, it is compared as it stands."""
     token = lambda c: F.expr(f"substring(sig, 4 * ({c}) + 1, 4)")
-    level = classes.select(F.explode(F.array(*[F.xxhash64(F.lit(t), token(t)) for t in range(trees)])).alias("path"), "cls")
+    level = classes.select(F.explode(F.array(*[F.xxhash64(F.lit(t), token(t)) for t in range(trees)])).alias("path"), "cls", F.lit(0).cast("long").alias("parent"))
     level = stage(level, "level0")
     done = []
     for at in range(depth):
         sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         shared = stage(level.join(sizes, "path"), f"shared{at}")
-        done.append(shared.where((F.col("n") <= leaf) | F.lit(at == depth - 1)))
-        large = shared.where(F.col("n") > leaf)
+        branches = F.col("n") > leaf
+        if at >= 2:
+            branches = branches & (10 * F.col("n") <= 6 * F.col("parent"))
+        if at == depth - 1:
+            branches = F.lit(False)
+        done.append(shared.where(~branches).select("path", "cls", "n"))
+        large = shared.where(branches)
         if at == depth - 1 or is_empty(large):
             break
         pick = lambda salt: F.pmod(F.xxhash64("path", F.lit(salt)), F.lit(COORDINATES)).cast("int")
         second = F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(1000)) < int(1000 * extra)
-        picked = large.select("path", "cls", F.explode(F.when(second, F.array_distinct(F.array(pick(1), pick(2)))).otherwise(F.array(pick(1)))).alias("c"))
-        level = stage(picked.join(classes.select("cls", "sig"), "cls").select(F.xxhash64("path", "c", token("c")).alias("path"), "cls"), f"level{at + 1}")
+        picked = large.select("path", "cls", "n", F.explode(F.when(second, F.array_distinct(F.array(pick(1), pick(2)))).otherwise(F.array(pick(1)))).alias("c"))
+        level = stage(picked.join(classes.select("cls", "sig"), "cls").select(F.xxhash64("path", "c", token("c")).alias("path"), "cls", F.col("n").alias("parent")), f"level{at + 1}")
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
     return out
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: tuple[int, int] = (85, 100), recall: float = 0.9999, leaf: int = 48, depth: int = 7, chunk: int = 192) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: tuple[int, int] = (85, 100), recall: float = 0.9999, leaf: int = 48, depth: int = 7, chunk: int = 512) -> DataFrame:
     """Components of documents whose k-word shingle sets have Jaccard similarity
     of ``threshold`` (numerator, denominator) or more.
 
@@ -245,12 +256,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = small.select("path", "cls", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_groups(tau), "grp long, cls binary").distinct()
     groups = stage(groups.union(nodes.where(F.col("n") > leaf).select("path", "cls")), "groups")
 
-    wanted = groups.select("cls").distinct().join(classes.select("cls", "key"), "cls").hint("shuffle_hash")
-    sets = stage(source.select("key", "text").join(wanted, "key").dropDuplicates(["cls"]).select("cls", "text").mapInArrow(_shingles(k), "cls binary, shingles binary"), "sets")
+    wanted = groups.select("cls").distinct().join(classes.select("cls", "key", "sig"), "cls").hint("shuffle_hash")
+    sets = stage(source.select("key", "text").join(wanted, "key").dropDuplicates(["cls"]).select("cls", "sig", "text").mapInArrow(_shingles(k), "cls binary, sig binary, shingles binary"), "sets")
 
     def confirmed(tasks: DataFrame) -> DataFrame:
-        rows = tasks.join(sets, "cls").select("task", "cls", "label", "side", "shingles")
-        return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_links(num, den), "a binary, b binary")
+        rows = tasks.join(sets, "cls").select("task", "cls", "label", "side", "sig", "shingles")
+        return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_links(num, den, tau), "a binary, b binary")
 
     least = groups.groupBy("grp").agg(F.min("cls").alias("hub"))
     hubs = stage(groups.join(least, "grp").groupBy("cls").agg(F.min("hub").alias("hub")).where("cls != hub"), "hubs")
