@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import host_quality, license_scan
+from . import host_quality, license_scan, pfair_mix
 from .chosen_path import op10_chosen_path
 from .debruijn import op5_debruijn
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op3_pfair_mix": pfair_mix.op3_pfair_mix,
     "op5_debruijn": op5_debruijn,
     "op6_host_rules": host_quality.op6_host_rules,
     "op10_chosen_path": op10_chosen_path,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
+    "op3_pfair_mix": pfair_mix.ORACLE,
     "op6_host_rules": host_quality.ORACLE,
 }
