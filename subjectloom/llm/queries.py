@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_quality, license_scan, pfair_mix
+from . import host_quality, language_id, license_scan, pfair_mix, spaced_seeds
 from .chosen_path import op10_chosen_path
 from .debruijn import op5_debruijn
 
@@ -11,6 +11,8 @@ QUERIES = {
     "op3_pfair_mix": pfair_mix.op3_pfair_mix,
     "op5_debruijn": op5_debruijn,
     "op6_host_rules": host_quality.op6_host_rules,
+    "op7_spaced_seeds": spaced_seeds.op7_spaced_seeds,
+    "op9_evidence_fusion": language_id.op9_evidence_fusion,
     "op10_chosen_path": op10_chosen_path,
 }
 

@@ -131,7 +131,7 @@ def overlaps(t: np.ndarray, table: SeedTable, least: int) -> Iterator[tuple[int,
 
 def _scan(table, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, build = TokenHashes(), table.value
+        cache, build = TokenHashes(), SeedTable(table.value)
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -161,7 +161,7 @@ def overlap_rows(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     out = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        table = spark.sparkContext.broadcast(SeedTable([(r["item_id"], r["text"].encode()) for r in block.collect()]))
+        table = spark.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in block.collect()])
         part = source.mapInArrow(_scan(table, least), "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_match long")
         out = part if out is None else out.union(part)
     return out
@@ -177,7 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     def keep(table):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache, build = TokenHashes(), table.value
+            cache, build = TokenHashes(), SeedTable(table.value)
             for batch in batches:
                 texts = (v.as_py() or b"" for v in batch.column(at).cast(pa.binary()))
                 yield batch.filter(pa.array([next(overlaps(tokens(t, cache), build, least), None) is None for t in texts], pa.bool_()))
@@ -186,7 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        table = spark.sparkContext.broadcast(SeedTable([(r["item_id"], r["text"].encode()) for r in block.collect()]))
+        table = spark.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in block.collect()])
         docs = docs.mapInArrow(keep(table), docs.schema)
     return docs
 
