@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import host_quality, language_id, license_scan, pfair_mix, spaced_seeds
+from . import host_quality, language_id, license_scan, pfair_mix, semicrf_pii, spaced_seeds
 from .chosen_path import op10_chosen_path
 from .debruijn import op5_debruijn
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_semicrf_pii": semicrf_pii.op2_semicrf_pii,
     "op3_pfair_mix": pfair_mix.op3_pfair_mix,
     "op5_debruijn": op5_debruijn,
     "op6_host_rules": host_quality.op6_host_rules,

@@ -108,7 +108,7 @@ def tokenise(text: str, base: list[tuple[int, int, int]], lo: int, hi: int) -> l
 
 
 _CONTEXT = {"secret": ("token", "key", "secret", "password", "passwd", "apikey", "api_key", "pwd", "auth", "bearer"), "phone": ("tel", "phone", "call", "fax", "mobile"), "email": ("mail", "email", "contact"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "payment", "iban")}
-FEATURES = ("bias", "tokens", "len<8", "len<16", "len<28", "len>=28", "digits", "hexadecimal", "mixed", "entropy", "one_word", "quoted", "spaces", "at_sign", "dots", "dashes", "ipv6", "local_phone", "luhn", "base_email", "base_ip", "base_card", "base_phone", "ctx_secret", "ctx_phone", "ctx_email", "ctx_ip", "ctx_card", "assigned")
+FEATURES = ("bias", "tokens", "len<8", "len<16", "len<28", "len>=28", "digits", "hexadecimal", "mixed", "entropy", "one_word", "quoted", "spaces", "at_sign", "dots", "dashes", "local_phone", "luhn", "base_email", "base_ip", "base_card", "base_phone", "ctx_secret", "ctx_phone", "ctx_email", "ctx_ip", "ctx_card", "assigned")
 
 
 def features(text: str, tokens: list[Token], i: int, j: int) -> np.ndarray:
@@ -129,7 +129,7 @@ def features(text: str, tokens: list[Token], i: int, j: int) -> np.ndarray:
     values = [
         1.0, (j - i - 1) / LONGEST, n < 8, 8 <= n < 16, 16 <= n < 28, n >= 28, digits / m, all(c in "0123456789abcdefABCDEF" for c in alnum) and 0 < digits < m,
         0.1 < digits / m < 0.9 and any(c.isalpha() for c in alnum), entropy / 5, j - i == 1, quoted, part.count(" ") / n, "@" in part, part.count(".") / n, part.count("-") / n,
-        bool(re.fullmatch(r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}", part)), bool(re.fullmatch(r"\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}", part)), 12 <= len(numbers) <= 19 and len(numbers) == m and luhn(numbers),
+        bool(re.fullmatch(r"\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}", part)), 12 <= len(numbers) <= 19 and len(numbers) == m and luhn(numbers),
         *[float(j - i == 1 and kinds == {k}) for k in range(4)], *ctx, bool(left) and left[-1] in ("=", ":", '"', "'", "`"),
     ]
     return np.array(values, float)
@@ -206,11 +206,11 @@ def _sample(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
         value = hexes(40) if pick == 0 else hexes(32) if pick == 1 else mixed(int(rng.integers(20, 41)))
         if not any(c.isdigit() for c in value):
             value += "7"
-        parts += [(str(name), -1), ("=" if rng.random() < 0.7 else ":", -1), ('"' + value + '"', 4 if rng.random() < 2 else -1)]
+        parts += [(str(name), -1), ("=" if rng.random() < 0.7 else ":", -1), ('"' + value + '"', 4)]
     elif pick == 3:
         parts += [(str(rng.choice(["call", "tel", "phone", word()])), -1), (f"({number(3)}) {number(3)}-{number(4)}" if rng.random() < 0.5 else f"{number(3)}-{number(3)}-{number(4)}", 3)]
     elif pick == 4:
-        parts += [(str(rng.choice(["host", "server", word()])), -1), (":".join(hexes(4) for _ in range(8)), 1)]
+        parts += [(str(rng.choice(["host", "server", word()])), -1), (f"{number(2)}:{number(2)}:{number(2)}", -1)]
     elif pick == 5:
         parts += [(str(rng.choice(["key", "token", "version", "chapter", word()])), -1), (number(int(rng.integers(1, 7))), -1)]
     elif pick == 6:
