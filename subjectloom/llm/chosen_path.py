@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, clean_text, groups_of, is_empty, mix, stage, text_bytes, word_hashes
+from .common import WordHashes, bounded, clean_text, groups_of, is_empty, mix, small_batches, stage, text_bytes, word_hashes
 from .components import components
 
 COORDINATES = 64
@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one id share a component and are all kept or all not.
     """
     num, den = threshold
+    small_batches(docs.sparkSession)
     j = num / den
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text_col).alias("text"))
     source = source.withColumn("key", F.xxhash64("doc_id", "text"))

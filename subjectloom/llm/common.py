@@ -51,6 +51,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts hold 8 MB and 2,000 rows at most, so that Python
+    workers stay small; settings already lower are kept."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)):
+        now = spark.conf.get(name)
+        if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > most or int(now.rstrip("bB")) <= 0:
+            spark.conf.set(name, str(most))
+
+
 def clean_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

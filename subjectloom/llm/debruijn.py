@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, clean_text, mix, stage, text_bytes, word_hashes
+from .common import WordHashes, bounded, clean_text, mix, small_batches, stage, text_bytes, word_hashes
 
 ANCHOR, SPAN = 6, 15
 #: An edge has at most this many words: the anchors are at most SPAN apart.
@@ -183,6 +183,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     """
     if window < ANCHOR + 2 * SPAN - 1:
         raise ValueError(f"window must be at least {ANCHOR + 2 * SPAN - 1} words")
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text_col).alias("text"))
     base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     edges = stage(base.select("key", "text").mapInArrow(_edges(window), "eh long, key long, pos long"), "edges")
@@ -193,7 +194,10 @@ def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     sites = sites.where("before is null or before != pos")  # repeated rows have one key and so the same sites
     s, length = F.shiftright("pos", 6), F.col("pos").bitwiseAND(63)
     sites = sites.select("key", "pos", "eh", "n", s.alias("s"), (s + length).alias("e"), F.when((F.shiftright("before", 6) + F.col("before").bitwiseAND(63) - ANCHOR == s) & (F.col("n_before") == F.col("n")), 0).otherwise(1).alias("new"))
-    paths = sites.withColumn("path", F.sum("new").over(w)).groupBy("key", "path").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("e").alias("first_end"), F.max("s").alias("last_start"), F.first("n").alias("n"), F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("pos", "eh"))), lambda x: x["eh"])).alias("seq"))
+    # A path is named by the start of its first edge, its edge sequence by an order-sensitive hash.
+    first = F.max(F.when(F.col("new") == 1, F.col("s"))).over(w)
+    paths = sites.withColumn("path", first).groupBy("key", "path").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("e").alias("first_end"), F.max("s").alias("last_start"), F.first("n").alias("n"), F.bit_xor(F.xxhash64("eh", F.col("pos") - F.col("path") * 64)).alias("x"), F.count("*").alias("m"))
+    paths = paths.withColumn("seq", F.xxhash64("x", "m")).drop("x", "m")
     paths = stage(paths, "paths")
     many = paths.groupBy("seq").agg(F.count("*").alias("copies")).where("copies > 1")
     paths = stage(paths.join(many, "seq", "left").select("key", "s", "e", "first_end", "last_start", F.coalesce(F.col("copies") == F.col("n"), F.lit(False)).alias("whole")), "compacted")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, clean_text, stage, text_bytes
+from .common import bounded, clean_text, small_batches, stage, text_bytes
 from .host_quality import host_of
 
 #: Rows of each declared language that the trigram models are fitted on, at most.
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     language there is no model and every row with words is 'und' and kept.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     declared = declared if declared is not None else F.col("lang")
     host = host_of(host if host is not None else F.col("source"))
     source = docs.select(F.col(id_col).alias("id"), clean_text(text_col).alias("text"), F.coalesce(F.lower(declared), F.lit("")).alias("declared"), host.alias("host"), *[F.col(c).alias(f"_{c}") for c in keep])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, clean_text
+from .common import bounded, clean_text, small_batches
 
 #: Kinds in listed order; ``secret`` is the model's own.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -347,6 +347,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     string); repeated rows are treated alike; a null id is carried through.
     """
     weights = fit()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -364,6 +365,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind (``<EMAIL>``); null texts stay null."""
+    small_batches(docs.sparkSession)
     weights, at = fit(), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, bounded, clean_text, mix, text_bytes
+from .common import CACHE_ENTRIES, bounded, clean_text, mix, small_batches, text_bytes
 
 # Offsets that each mask reads; all span SPAN tokens or fewer.
 MASKS = ((0, 1, 2, 3, 4, 5, 6, 7), (0, 1, 2, 4, 7, 8, 10), (0, 2, 3, 6, 7, 9, 10), (0, 1, 4, 5, 6, 9, 10))
@@ -154,6 +154,7 @@ def overlap_rows(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     an empty benchmark gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), clean_text(item_text).alias("text"))
     n = items.select(F.sum(F.size(F.split("text", " "))).alias("n")).first()["n"] or 0
     blocks = -(-n // block_words) or 1
@@ -170,6 +171,7 @@ def overlap_rows(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 13, block_words: int = 400_000) -> DataFrame:
     """The rows of ``docs`` that overlap with no benchmark item, all columns kept."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), clean_text("text").alias("text"))
     n = items.select(F.sum(F.size(F.split("text", " "))).alias("n")).first()["n"] or 0
     blocks = -(-n // block_words) or 1
