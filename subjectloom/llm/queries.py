@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_quality, language_id, license_scan, pfair_mix, semicrf_pii, spaced_seeds
+from . import host_quality, language_id, license_scan, pfair_mix, semicrf_pii, spaced_seeds, warc_archive
 from .chosen_path import op10_chosen_path
 from .debruijn import op5_debruijn
 
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_semicrf_pii": semicrf_pii.op2_semicrf_pii,
     "op3_pfair_mix": pfair_mix.op3_pfair_mix,
+    "op4_gzip_normaliser": warc_archive.op4_gzip_normaliser,
     "op5_debruijn": op5_debruijn,
     "op6_host_rules": host_quality.op6_host_rules,
     "op7_spaced_seeds": spaced_seeds.op7_spaced_seeds,
@@ -20,5 +21,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
     "op3_pfair_mix": pfair_mix.ORACLE,
+    "op4_gzip_normaliser": warc_archive.ORACLE,
     "op6_host_rules": host_quality.ORACLE,
 }
