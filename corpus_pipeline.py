@@ -1,8 +1,67 @@
-"""Corpus pipeline (stages follow)."""
+"""The corpus pipeline: five stages over ``documents``, each one operator.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
+Parquet into the shared folder and reads it again for the next one.  All stages but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from subjectloom.llm import chosen_path, language_id, pfair_mix, semicrf_pii, spaced_seeds
+from subjectloom.llm.common import stage
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; ``lang`` becomes the language found.  Texts
+    without letters, and texts that no language explains, go."""
+    found = language_id.identify(docs, keep=tuple(docs.columns))
+    return found.where("kept").select(*[F.col("language").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8): the one with
+    the least id; of rows repeated with that id, one."""
+    found = chosen_path.near_duplicates(docs, k=5, threshold=(4, 5))
+    keys = found.where("kept").select("key", F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.lit(1)).alias("empty")).distinct()
+    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    return keyed.join(keys.select("key").hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).select(*docs.columns)
+
+
+def remove_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    return spaced_seeds.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and secrets replaced by their kind; ``n_chars``
+    is that of the new text."""
+    redacted = semicrf_pii.redact(docs)
+    return redacted.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their place in the mixture of sources."""
+    return pfair_mix.pfair_mix(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", remove_benchmark_overlaps),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+]
+
+#: Language models, similarity joins and random fields have no SQL form; the tests
+#: hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_quality, language_id, license_scan, pfair_mix, semicrf_pii, spaced_seeds, warc_archive
+from . import host_quality, language_id, license_scan, pfair_mix, reply_trees, semicrf_pii, spaced_seeds, warc_archive
 from .chosen_path import op10_chosen_path
 from .debruijn import op5_debruijn
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_debruijn": op5_debruijn,
     "op6_host_rules": host_quality.op6_host_rules,
     "op7_spaced_seeds": spaced_seeds.op7_spaced_seeds,
+    "op8_reply_trees": reply_trees.op8_reply_trees,
     "op9_evidence_fusion": language_id.op9_evidence_fusion,
     "op10_chosen_path": op10_chosen_path,
 }
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op3_pfair_mix": pfair_mix.ORACLE,
     "op4_gzip_normaliser": warc_archive.ORACLE,
     "op6_host_rules": host_quality.ORACLE,
+    "op8_reply_trees": reply_trees.oracle(),
 }
