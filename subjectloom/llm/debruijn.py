@@ -18,8 +18,8 @@ join with the counts of whole paths (keyed by their edge sequence) tells which
 paths never branch: those that occur as often as each of their edges.  Every
 window inside such a path is repeated, and all its copies lie in copies of it.
 
-Verification.  From the source coordinates the windows that hold a repeated edge
-but reach over an end of their path are hashed in full (two independent 64-bit
+Verification.  From the source coordinates the windows whose edges are all repeated
+but that reach over an end of their path are hashed in full (two independent 64-bit
 polynomials); those that occur twice are repeated.  Coverage goes back to the
 documents by key, and whole texts are cut once.
 
@@ -75,8 +75,8 @@ def _spans(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Pow
     return mix(((sums[ends] - sums[starts]) * p.down[starts]) ^ (ends - starts).astype(np.uint64))
 
 
-def anchors(words: np.ndarray) -> np.ndarray:
-    """Positions of the anchors of one document, ascending."""
+def least_kmers(words: np.ndarray) -> np.ndarray:
+    """For each run of SPAN k-mers of one document, the position of the least (leftmost)."""
     n = len(words) - ANCHOR + 1
     if n < SPAN:
         return np.zeros(0, np.int64)
@@ -91,11 +91,38 @@ def anchors(words: np.ndarray) -> np.ndarray:
         a, b = least[: len(least) - step], least[step:]
         least = np.where(h[a] <= h[b], a, b)
         width += step
-    marked = np.zeros(n, bool)
-    marked[least] = True
+    return least
+
+
+def anchors(words: np.ndarray) -> np.ndarray:
+    """Positions of the anchors of one document, ascending."""
+    marked = np.zeros(len(words), bool)
+    marked[least_kmers(words)] = True
     return np.flatnonzero(marked)
 
 
+def candidates(words: np.ndarray, runs: list, window: int) -> np.ndarray:
+    """Starts of windows that may be repeated and that no unbranched path covers.
+
+    Equal windows share all edges from the first anchor chosen inside them to the
+    last one, so these anchors must lie on one chain of repeated edges."""
+    least = least_kmers(words)
+    chain = np.full(len(words), -1)
+    end = number = -1
+    for r in sorted(runs, key=lambda r: r["s"]):
+        number += r["s"] != end - ANCHOR
+        end = r["e"]
+        chain[r["s"] : end - ANCHOR + 1] = number
+    last = window - ANCHOR + 1 - SPAN
+    m = len(words) - window + 1
+    first = chain[least[:m]]
+    open_ = (first >= 0) & (first == chain[least[last : last + m]])
+    for r in runs:
+        if r["whole"]:
+            open_[r["s"] : max(r["s"], r["e"] - window + 1)] = False
+    return np.flatnonzero(open_)
+
+
 def _edges(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = WordHashes(), _Powers(_BASES[1])
@@ -126,7 +153,7 @@ def _edges(window: int):
 
 
 def _windows(window: int):
-    """Windows with a repeated edge that no unbranched path covers."""
+    """Hashes of the candidate windows of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, one, two = WordHashes(), _Powers(_BASES[0]), _Powers(_BASES[1])
@@ -134,13 +161,7 @@ def _windows(window: int):
             held: list[tuple] = []
             for key, text, runs in zip(batch.column("key").to_pylist(), text_bytes(batch, "text"), batch.column("runs").to_pylist(), strict=True):
                 w = word_hashes(text.split(), cache)
-                open_ = np.zeros(max(0, len(w) - window + 1), bool)
-                for r in runs:
-                    open_[max(0, r["first_end"] - window) : r["last_start"] + 1] = True
-                for r in runs:
-                    if r["whole"]:
-                        open_[r["s"] : max(r["s"], r["e"] - window + 1)] = False
-                at = np.flatnonzero(open_)
+                at = candidates(w, runs, window)
                 if len(at):
                     held.append((_spans(w, at, at + window, one).view(np.int64), _spans(w, at, at + window, two).view(np.int64), np.full(len(at), key, np.int64), at))
             if held:
@@ -196,13 +217,13 @@ def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     sites = sites.select("key", "pos", "eh", "n", s.alias("s"), (s + length).alias("e"), F.when((F.shiftright("before", 6) + F.col("before").bitwiseAND(63) - ANCHOR == s) & (F.col("n_before") == F.col("n")), 0).otherwise(1).alias("new"))
     # A path is named by the start of its first edge, its edge sequence by an order-sensitive hash.
     first = F.max(F.when(F.col("new") == 1, F.col("s"))).over(w)
-    paths = sites.withColumn("path", first).groupBy("key", "path").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("e").alias("first_end"), F.max("s").alias("last_start"), F.first("n").alias("n"), F.bit_xor(F.xxhash64("eh", F.col("pos") - F.col("path") * 64)).alias("x"), F.count("*").alias("m"))
+    paths = sites.withColumn("path", first).groupBy("key", "path").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("n").alias("n"), F.bit_xor(F.xxhash64("eh", F.col("pos") - F.col("path") * 64)).alias("x"), F.count("*").alias("m"))
     paths = paths.withColumn("seq", F.xxhash64("x", "m")).drop("x", "m")
     paths = stage(paths, "paths")
     many = paths.groupBy("seq").agg(F.count("*").alias("copies")).where("copies > 1")
-    paths = stage(paths.join(many, "seq", "left").select("key", "s", "e", "first_end", "last_start", F.coalesce(F.col("copies") == F.col("n"), F.lit(False)).alias("whole")), "compacted")
+    paths = stage(paths.join(many, "seq", "left").select("key", "s", "e", F.coalesce(F.col("copies") == F.col("n"), F.lit(False)).alias("whole")), "compacted")
 
-    runs = paths.groupBy("key").agg(F.collect_list(F.struct("s", "e", "first_end", "last_start", "whole")).alias("runs")).hint("shuffle_hash")
+    runs = paths.groupBy("key").agg(F.collect_list(F.struct("s", "e", "whole")).alias("runs")).hint("shuffle_hash")
     windows = stage(base.join(runs, "key").select("key", "text", "runs").mapInArrow(_windows(window), "h1 long, h2 long, key long, at long"), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     covered = windows.join(twice, ["h1", "h2"]).select("key", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
