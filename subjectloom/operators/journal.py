@@ -136,8 +136,17 @@ def sweep(rows: DataFrame, score: str, grid: list[float], right: Column, by: lis
     are accumulated over the grid.  The rows are never multiplied by the grid.
     """
     by = by or []
-    values = F.array(*[F.lit(float(g)) for g in sorted(grid)])
-    passed = F.size(F.filter(values, lambda g: (F.col(score) > g) if strict else (F.col(score) >= g)))
+    grid = sorted(float(g) for g in grid)
+    values = F.array(*[F.lit(g) for g in grid])
+    meets = (lambda g: F.col(score) > g) if strict else (lambda g: F.col(score) >= g)
+    step = (grid[-1] - grid[0]) / (len(grid) - 1) if len(grid) > 1 else 0.0
+    if step > 0 and all(abs(g - grid[0] - i * step) < step / 8 for i, g in enumerate(grid)):
+        # Even grids: guess the count by arithmetic, then settle it against the grid itself.
+        guess = F.greatest(F.lit(0), F.least(F.lit(len(grid)), F.floor((F.col(score) - grid[0]) / step).cast("int") + 1))
+        above, below = F.coalesce(meets(F.get(values, guess)), F.lit(False)), F.coalesce(meets(F.get(values, guess - 1)), F.lit(True))
+        passed = F.coalesce(F.when(above, guess + 1).when(~below, guess - 1).otherwise(guess), F.lit(0))
+    else:
+        passed = F.size(F.filter(values, meets))
     rep, ok = F.col("is_repeat"), F.coalesce(right, F.lit(False))
     binned = rows.groupBy(*by, passed.alias("k")).agg(F.count_if(rep & ok).alias("a"), F.count_if(rep & ~ok).alias("b"), F.count_if(~rep).alias("c"))
     # Every grid index once; bins with k > i link at grid value i.

@@ -7,6 +7,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import vectors as V
 
@@ -43,9 +44,12 @@ def terms(docs: DataFrame, key: str, text: str, grams: int = 2) -> DataFrame:
     (short tokens are dropped before the n-grams are formed)."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
     layer = docs.select(key, tokens.alias("w"))
-    parts = [F.col("w")]
-    for n in range(2, grams + 1):
-        parts.append(F.transform(F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0))), lambda x, i, n=n: F.array_join(F.slice(F.col("w"), i + 1, F.lit(n)), " ")))
+
+    def joined(n: int):
+        starts = F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda x, i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(n)), " "))
+
+    parts = [F.col("w"), *[joined(n) for n in range(2, grams + 1)]]
     return layer.select(key, F.explode(F.concat(*parts)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -94,7 +98,7 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2 * LCS / (len a + len b); 100 for two empty strings."""
     return pd.Series([100.0 if not x and not y else 200.0 * lcs_length(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -89,7 +89,7 @@ SIGMA2, SIGMA0 = 0.6, 0.9
 def _dp(spark, d, sized):
     """The bias at which each decision links: link score - new0 > bias, strictly."""
     s = spans(spark, d)
-    scored = J.dp_scores(J.decisions(s), J.running_mean_distance(s), SIGMA2, SIGMA0, sized)
+    scored = J.dp_scores(J.decisions(s), J.running_mean_distance(s).withColumnRenamed("ord", "t"), SIGMA2, SIGMA0, sized)
     best = J.top_two(scored.drop("d0_sq"), "link").join(scored.select("t", "new0").distinct(), "t")
     rows = best.withColumn("gain", F.round(F.col("top") - F.col("new0"), 9))
     return J.sweep(rows, "gain", V.linear_grid(-6, 6, 101), F.col("best") == F.col("gold"), strict=True)

@@ -141,10 +141,10 @@ def _reply():
     a fifth with an unreadable number, a fifth far out of range."""
     k, e = F.get_json_object("props", "$.k"), F.col("event_id") % 5
     text = lambda rank, conf: F.concat(F.lit('Sure. {"best_matched_rank": '), rank, F.lit(', "same_confidence": '), conf, F.lit("} done"))
-    return F.when(e == 0, F.concat(F.lit("no verdict "), k)).when(e == 1, text(F.lit("null"), k)).when(e == 2, text(F.lit("1"), F.concat(F.lit('"'), k, F.lit('%"')))).when(e == 3, text(F.lit("2"), F.concat(k, F.lit("00")))).otherwise(text(F.lit("3"), F.concat(k, F.lit(".7"))))
+    return F.when(e == 0, F.concat(F.lit("no verdict "), k)).when(e == 1, text(F.lit("null"), k)).when(e == 2, text(F.lit("1"), F.concat(F.lit('"'), k, F.lit('%"')))).when(e == 3, text(F.lit("2"), F.concat(F.lit("1"), k, F.lit("00")))).otherwise(text(F.lit("3"), F.concat(k, F.lit(".7"))))
 
 
-@query("verdict_parse", f"SELECT event_id, CASE event_id % 5 WHEN 3 THEN 2 WHEN 4 THEN 3 END::BIGINT AS best_matched_rank, CASE event_id % 5 WHEN 3 THEN least(100, {_K} * 100) WHEN 4 THEN least(100, {_K}) ELSE 0 END::BIGINT AS same_confidence, event_id % 5 IN (0, 2) AS parse_error FROM events")
+@query("verdict_parse", f"SELECT event_id, CASE event_id % 5 WHEN 3 THEN 2 WHEN 4 THEN 3 END::BIGINT AS best_matched_rank, CASE event_id % 5 WHEN 3 THEN 100 WHEN 4 THEN least(100, {_K}) ELSE 0 END::BIGINT AS same_confidence, event_id % 5 IN (0, 2) AS parse_error FROM events")
 def verdict_parse(spark, d):
     return table(spark, d, "events").select("event_id", J.verdict(_reply()).alias("v")).select("event_id", "v.best_matched_rank", "v.same_confidence", "v.parse_error")
 

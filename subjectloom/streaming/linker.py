@@ -64,9 +64,14 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
 
 
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream of its files."""
+    """A Parquet table (one file, or a folder of files) as a stream of its files."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
