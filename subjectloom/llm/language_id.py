@@ -41,7 +41,6 @@ MOST_LANGUAGES = 200
 EVIDENCE_WORDS = 25.0
 #: The background spreads its mass evenly over this many trigrams.
 BACKGROUND = 40.0**3
-CACHE = 200_000
 UNKNOWN = "und"
 
 _letters = re.compile(r"[\W\d_]+").sub
@@ -83,39 +82,53 @@ class TrigramModel:
         """What is broadcast: plain values, which workers can read without this package."""
         return self.languages, self.grams, self.logs
 
-    def word(self, word: bytes) -> np.ndarray:
-        unseen = len(self.grams)
-        rows = [self.grams.get(g, unseen) for g in trigrams(word)]
-        return np.append(self.logs[rows].sum(axis=0), 1.0) if rows else np.zeros(len(self.languages) + 2)
 
+#: Code points from here on count as letters without a look at their class.
+PLAIN = 0x3000
+#: The largest dense trigram table; larger alphabets are looked up by bisection.
+DENSE = 1 << 22
 
-class _Scorer(dict):
-    """Row numbers of word scores, in an array that is started anew when full."""
+
+class _Scorer:
+    """Scores whole texts by array lookups: code points to letters, letters to trigrams."""
 
     def __init__(self, model: TrigramModel):
-        super().__init__()
-        self.model = model
-        self.rows = np.zeros((1024, len(model.languages) + 2))
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at >= len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.word(word)
-        self[word] = at
-        return at
+        self.logs = model.logs
+        letters = sorted({c for g in model.grams for c in g if c != " "})
+        self.size = len(letters) + 2  # 0 is the space, the last one any other letter
+        self.table = np.full(0x110000, self.size - 1, np.int32)
+        self.table[:PLAIN] = [self.size - 1 if _letters("", chr(c)) else -1 for c in range(PLAIN)]
+        self.table[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.table[list(b" \t\n\v\f\r")] = 0
+        at = {" ": 0} | {c: i + 1 for i, c in enumerate(letters)}
+        codes = np.array([(at[g[0]] * self.size + at[g[1]]) * self.size + at[g[2]] for g in model.grams], np.int64)
+        rows = np.array(list(model.grams.values()), np.int64)
+        self.dense = None
+        if self.size**3 <= DENSE:
+            self.dense = np.full(self.size**3, len(model.grams), np.int32)
+            self.dense[codes] = rows
+        else:
+            order = np.argsort(codes)
+            self.codes, self.rows = codes[order], rows[order]
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[codes]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.rows[at], len(self.logs) - 1)
 
     def score(self, text: bytes) -> tuple[np.ndarray, int]:
         """Summed log-likelihoods of a text and its number of words with letters."""
-        total = np.zeros(self.rows.shape[1])
-        words = text.split()
-        for i in range(0, len(words), 50_000):
-            if len(self) > CACHE:
-                self.clear()
-            part = words[i : i + 50_000]
-            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            total += self.rows[at].sum(axis=0)
-        return total[:-1], int(total[-1])
+        points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = self.table[points]
+        c = np.concatenate([[0], c[c >= 0], [0]])
+        c = c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])]  # runs of spaces become one
+        middle = np.flatnonzero(c)
+        if not len(middle):
+            return np.zeros(self.logs.shape[1]), 0
+        codes = (c[middle - 1].astype(np.int64) * self.size + c[middle]) * self.size + c[middle + 1]
+        counts = np.bincount(self._rows(codes), minlength=len(self.logs))
+        return counts @ self.logs, int(np.count_nonzero(c[middle - 1] == 0))
 
 
 def _score(model):
