@@ -59,14 +59,16 @@ def root_paths(nodes: DataFrame, rounds: int = 40) -> tuple[DataFrame, list[Data
     state = nodes.select("node", "parent", "score").join(known, "parent", "left")
     state = state.select("node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     state = stage(state.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), "up0")
-    tables = [state.select("node", "up")]
+    tables = [state.select("node", "up").where("up is not null")]
     for r in range(rounds):
-        if is_empty(state.where("up is not null")):
+        # Only nodes that have not reached their root are joined again.
+        going, ended = state.where("up is not null"), state.where("up is null")
+        if is_empty(going):
             return state.select("node", "root", "depth", "total"), tables
         above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        state = state.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root"))
-        state = stage(state, f"up{r + 1}")
-        tables.append(state.select("node", "up"))
+        going = going.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root"))
+        state = stage(going.union(ended.select(*going.columns)), f"up{r + 1}")
+        tables.append(state.select("node", "up").where("up is not null"))
     raise ValueError(f"a reply path does not end within 2**{rounds} messages: the parents have a cycle")
 
 
@@ -82,7 +84,7 @@ def chosen_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     # Doubling: after round r all ancestors fewer than 2**r steps above the leaf are listed.
     listed = chosen.select(F.col("node").alias("path"), "node", F.lit(0).cast("long").alias("steps"))
     for r, table in enumerate(tables):
-        more = listed.join(table, "node").where("up is not null").select("path", F.col("up").alias("node"), (F.col("steps") + (1 << r)).alias("steps"))
+        more = listed.join(table, "node").select("path", F.col("up").alias("node"), (F.col("steps") + (1 << r)).alias("steps"))
         listed = stage(listed.union(more), f"listed{r}")
     tops = chosen.select(F.col("node").alias("path"), "root", "depth", "rank")
     return listed.join(tops, "path").select("path", "root", "rank", "node", (F.col("depth") - F.col("steps") - 1).alias("position"))
