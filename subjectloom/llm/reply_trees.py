@@ -40,9 +40,14 @@ def escape(text: Column) -> Column:
     return out
 
 
+def escape_role(role: Column) -> Column:
+    """As ``escape``; a role's line breaks are escaped as well, since one ends the role."""
+    return F.replace(escape(role), F.lit("\n"), F.lit(ESCAPE + "z"))
+
+
 def unescape(text: Column) -> Column:
-    """The inverse of ``escape``: every ESCAPE opens a code, and ESCAPE's own comes last."""
-    out = text
+    """The inverse of both: every ESCAPE opens a code, and ESCAPE's own comes last."""
+    out = F.replace(text, F.lit(ESCAPE + "z"), F.lit("\n"))
     for letter, control in zip(LETTERS, CONTROLS, strict=False):
         out = F.replace(out, F.lit(ESCAPE + letter), F.lit(control))
     return F.replace(out, F.lit(ESCAPE + "0"), F.lit(ESCAPE))
@@ -92,11 +97,11 @@ def chosen_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
 
 def format_turns(turns: Column) -> tuple[Column, Column]:
     """The formatted string and the loss ranges of an array of (position, role, text)."""
-    pieces = F.transform(turns, lambda x: F.concat(F.lit(START), escape(x["role"]), F.lit("\n"), escape(x["text"]), F.lit(CLOSE)))
+    pieces = F.transform(turns, lambda x: F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"), escape(x["text"]), F.lit(CLOSE)))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("mask"))
 
     def step(acc, x):
-        s = acc["at"] + F.length(escape(x["role"])) + len(START) + 1
+        s = acc["at"] + F.length(escape_role(x["role"])) + len(START) + 1
         e = s + F.length(escape(x["text"]))
         mask = F.when(x["role"] == "assistant", F.concat(acc["mask"], F.array(F.struct(s.alias("s"), e.alias("e"))))).otherwise(acc["mask"])
         return F.struct((e + len(CLOSE)).alias("at"), mask.alias("mask"))
