@@ -83,8 +83,6 @@ class TrigramModel:
         return self.languages, self.grams, self.logs
 
 
-#: Code points from here on count as letters without a look at their class.
-PLAIN = 0x3000
 #: The largest dense trigram table; larger alphabets are looked up by bisection.
 DENSE = 1 << 22
 
@@ -97,7 +95,8 @@ class _Scorer:
         letters = sorted({c for g in model.grams for c in g if c != " "})
         self.size = len(letters) + 2  # 0 is the space, the last one any other letter
         self.table = np.full(0x110000, self.size - 1, np.int32)
-        self.table[:PLAIN] = [self.size - 1 if _letters("", chr(c)) else -1 for c in range(PLAIN)]
+        for run in re.finditer(r"[\W\d_]+", "".join(map(chr, range(0x110000)))):
+            self.table[run.start() : run.end()] = -1
         self.table[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.table[list(b" \t\n\v\f\r")] = 0
         at = {" ": 0} | {c: i + 1 for i, c in enumerate(letters)}
