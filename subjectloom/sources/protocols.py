@@ -17,9 +17,18 @@ def read_protocols(spark: SparkSession, path: str) -> DataFrame:
 
 def read_protocols_tolerant(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_protocols``, but damaged files are left out and dates cut to the day."""
+    files = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    return parse_tolerant(files)
+
+
+def parse_tolerant(texts: DataFrame) -> DataFrame:
+    """Protocol rows of a column ``value`` of JSON; unreadable values are left out.
+
+    Parsing in an expression keeps its result whatever columns a query later reads."""
     schema = T.StructType([*PROTOCOL.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    rows = rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).where(F.col(CORRUPT).isNull() & F.col("doc_id").isNotNull()).drop(CORRUPT)
+    rest = [c for c in texts.columns if c != "value"]
+    rows = texts.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("p"), *rest)
+    rows = rows.where(F.col(f"p.{CORRUPT}").isNull() & F.col("p.doc_id").isNotNull()).select("p.*", *rest).drop(CORRUPT)
     return rows.withColumn("date", F.substring(F.coalesce("date", F.lit("")), 1, 10))
 
 
@@ -65,6 +74,5 @@ def round_trip(protocols: DataFrame) -> DataFrame:
     rows = protocols.select(F.lit(25).cast("long").alias("knesset_num"), "committee", F.col("doc_id").cast("string").alias("doc_id"), F.concat("date", F.lit("T15:00:00+03:00")).alias("date"), F.lit("").alias("source_file"), "text")
     write_protocols(rows, f"{path}/good")
     spark.range(1).select(F.lit('{"doc_id": "broken", "text": ').alias("value")).coalesce(1).write.text(f"{path}/bad")
-    schema = T.StructType([*PROTOCOL.fields, T.StructField(CORRUPT, T.StringType())])
-    back = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json([f"{path}/good", f"{path}/bad"]).where(F.col(CORRUPT).isNull())
-    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("date", 1, 10).alias("date"), F.length("text").cast("long").alias("n_chars"))
+    back = parse_tolerant(spark.read.text([f"{path}/good", f"{path}/bad"]))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "date", F.length("text").cast("long").alias("n_chars"))
