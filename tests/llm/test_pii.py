@@ -1,0 +1,77 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from subjectloom.llm import semicrf_pii as P
+
+from .helpers import clash, docs
+
+PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    out = []
+    for k, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+            if k == 0 or (k == 1 and all(int(p) <= 255 for p in m.group().split("."))) or (k == 2 and 12 <= len(d) <= 19 and luhn) or (k == 3 and 9 <= len(d) <= 15):
+                out.append((m.start(), m.end(), k))
+    return sorted(out, key=lambda s: (s[0], s[2], s[1]))
+
+
+@pytest.fixture(scope="module")
+def weights():
+    return P.fit()
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(5)
+    for alphabet in ("a@.1+- (5-%0é\n", "0123456789 -", "@.a", "12.+"):
+        for _ in range(4_000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+            assert P.base_spans(text) == brute(text), text
+
+
+def test_held_out_accuracy(weights):
+    rng = np.random.default_rng(4242)
+    right = wrong = missed = 0
+    for _ in range(300):
+        text, gold = P._sample(rng)
+        base, spans = P.spans_of(text, weights)
+        assert set(base) <= set(spans)
+        more, gold = set(spans) - set(base), set(gold) - set(base)
+        right, wrong, missed = right + len(more & gold), wrong + len(more - gold), missed + len(gold - more)
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.9
+
+
+def test_decoding_is_the_best_segmentation(weights):
+    """Dynamic programming against all segmentations of short texts."""
+    for text in ('key = "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6"', "call (555) 123-4567 now", "no 1 x 2"):
+        tokens = P.tokenise(text, P.base_spans(text), 0, len(text))
+        best = {}
+        for i, j, _, s in P.scored(text, tokens, weights):
+            best[i, j] = float(s.max())
+
+        def search(i, n=len(tokens), best=best):
+            return 0.0 if i == n else max(best[i, j] + search(j) for j in range(i + 1, n + 1) if (i, j) in best)
+
+        got = P.decode(text, tokens, weights)
+        total = sum(float(s[k + 1]) for i, j, _, s in P.scored(text, tokens, weights) for a, b, k in got if (tokens[i][0], tokens[j - 1][1]) == (a, b))
+        assert total == pytest.approx(search(0))
+
+
+def test_redaction(weights):
+    text = 'mail a.b@c.de or token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b" ok'
+    assert P.redacted(text, P.spans_of(text, weights)[1]) == 'mail <EMAIL> or token = "<SECRET>" ok'
+
+
+def test_edges(spark):
+    texts = [None, "", "clean words only", "x@y.zz", "x@y.zz", "1 " * 3_000]
+    rows = P.find_pii(clash(docs(spark, texts))).orderBy("doc_id").collect()
+    assert [r["n_email"] for r in rows] == [0, 0, 0, 1, 1, 0]
+    assert [r["spans"] for r in rows[:4]] == ["", "", "", "email:0:6"]
+    assert P.find_pii(docs(spark, ["a"]).where("false")).count() == 0
+    assert [r["text"] for r in P.redact(docs(spark, texts[:4])).orderBy("doc_id").collect()] == [None, "", "clean words only", "<EMAIL>"]
