@@ -14,20 +14,26 @@ from subjectloom.llm import chosen_path, language_id, pfair_mix, semicrf_pii, sp
 from subjectloom.llm.common import stage
 
 
+def _key():
+    """What names a row: a hash of its id and text, which spreads evenly over partitions."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; ``lang`` becomes the language found.  Texts
     without letters, and texts that no language explains, go."""
-    found = language_id.identify(docs, keep=tuple(docs.columns))
-    return found.where("kept").select(*[F.col("language").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    keyed = docs.withColumn("_key", _key())
+    found = language_id.identify(keyed, id_col="_key").where("kept").select(F.col("id").alias("_key"), "language").dropDuplicates(["_key"])
+    kept = keyed.join(found.hint("shuffle_hash"), "_key")
+    return kept.select(*[F.col("language").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8): the one with
-    the least id; of rows repeated with that id, one."""
-    found = chosen_path.near_duplicates(docs, k=5, threshold=(4, 5))
-    keys = found.where("kept").select("key", F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.lit(1)).alias("empty")).distinct()
-    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    return keyed.join(keys.select("key").hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).select(*docs.columns)
+    the least id.  Of equal rows one stays; different texts under that one id all stay."""
+    kept = chosen_path.near_duplicates(docs, k=5, threshold=(4, 5)).where("kept").select(F.col("key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", _key())
+    return keyed.join(kept.hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def remove_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,9 +14,9 @@ log P(language | row) is, up to a constant, the sum of
 
 Texts are scored once (Arrow batches, whole texts, word scores cached) and the
 scores staged; every count is a grouped aggregation combined before the shuffle,
-and the fusion is plain column arithmetic.  Joins carry one row a document with a
-handful of doubles; a host with a third of all rows is split by adaptive
-execution, since the host side has one row a host.
+and the fusion is plain column arithmetic.  The one shuffled join carries a row a
+document with a handful of doubles, no text; a host with a third of all rows is split
+by adaptive execution, since the host side has one row a host.
 """
 
 from __future__ import annotations
@@ -213,15 +213,18 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         logs = F.zip_with("c", "all", lambda c, n: F.log((c + 10.0 * share) / (n + 10.0)))
         return rows.select(key, F.when(F.col(key) == "", F.transform("c", lambda x: F.lit(0.0))).otherwise(logs).alias(f"{key}_logs"))
 
+    # A host has one suffix, so the host's row carries both its prior and its suffix's evidence.
     suffixes = table("suffix").withColumnRenamed("c", "sc").withColumn("one", F.lit(1)).join(corpus, "one")
-    suffixes = suffixes.select("suffix", scale(add(F.col("sc"), scale(base, F.lit(prior_weight))), 1.0 / (total(F.col("sc")) + prior_weight)).alias("sp"))
+    suffixes = suffixes.select("suffix", scale(add(F.col("sc"), scale(base, F.lit(prior_weight))), 1.0 / (total(F.col("sc")) + prior_weight)).alias("sp")).join(likelihood("suffix"), "suffix")
     hosts = scored.where("best is not null").groupBy("host", "suffix").agg(F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(k)]).alias("c")).join(suffixes, "suffix")
     prior = scale(add(F.col("c"), scale(F.col("sp"), F.lit(prior_weight))), 1.0 / (total(F.col("c")) + prior_weight))
-    hosts = hosts.select("host", F.transform(prior, lambda x: F.log(x)).alias("host_logs"))
+    hosts = hosts.select("host", add(F.transform(prior, lambda x: F.log(x)), F.col("suffix_logs")).alias("host_logs"))
+    # At most MOST_LANGUAGES rows; any other declaration is no evidence.
+    named = F.broadcast(likelihood("declared").where(F.col("declared").isin(*model.languages)))
 
-    fused = scored.join(hosts, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
+    fused = scored.join(named, "declared", "left").join(hosts, "host", "left")
     flat = F.transform("logs", lambda x: F.lit(0.0))
-    for part in ("host_logs", "declared_logs", "suffix_logs"):
+    for part in ("host_logs", "declared_logs"):
         fused = fused.withColumn("logs", add(F.col("logs"), F.coalesce(F.col(part), flat)))
     fused = fused.withColumn("top", F.array_max("logs")).withColumn("at", F.array_position("logs", F.col("top")))
     fused = fused.withColumn("posterior", F.when(F.col("n_words") > 0, 1.0 / total(F.transform("logs", lambda x: F.exp(x - F.col("top"))))).otherwise(0.0))
