@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import journals, lexical, measures, pluggable, sampling, segments, streams, texts, verdicts  # noqa: F401
+    from . import journals, lexical, measures, pluggable, sampling, segments, streams, studies, texts, verdicts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
