@@ -165,11 +165,11 @@ def miss_inspection(spark, d):
     return ranked.join(true, "t").where("rank < true_rank").withColumn("same_committee", F.col("entry") % 3 == F.col("gold") % 3)
 
 
-@query("verifier_queries", f"WITH {DEC}, ra AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY cos DESC, entry) AS rank FROM dec) SELECT t, gold, is_repeat, max(rank) FILTER (entry = gold) AS gold_rank, count(*) AS n_candidates, string_agg(entry::VARCHAR, ',' ORDER BY rank) AS candidates FROM ra WHERE rank <= 5 GROUP BY t, gold, is_repeat")
+@query("verifier_queries", f"WITH {DEC}, ra AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY cos DESC, entry) AS rank FROM dec) SELECT t, gold, is_repeat, max(rank) FILTER (entry = gold) AS gold_rank, count(*) AS n_candidates, string_agg(entry::VARCHAR, ',' ORDER BY rank) AS candidates FROM ra WHERE rank <= 10 GROUP BY t, gold, is_repeat")
 def verifier_queries(spark, d):
-    """The five best entries of each decision, nested in rank order."""
+    """The ten best entries of each decision, nested in rank order."""
     w = Window.partitionBy("t").orderBy(F.desc("cos"), "entry")
-    ranked = J.decisions(spans(spark, d)).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
+    ranked = J.decisions(spans(spark, d)).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10")
     return ranked.groupBy("t", "gold", "is_repeat").agg(F.max(F.when(F.col("entry") == F.col("gold"), F.col("rank"))).alias("gold_rank"), F.count("*").alias("n_candidates"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda x: x["entry"].cast("string")), ",").alias("candidates"))
 
 
@@ -212,18 +212,18 @@ ce AS (SELECT mv.t, s.ord, s.topic, list_transform(list_zip(s.v, mv.m), lambda p
 cn AS (SELECT t, ord, topic, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-300)) AS z FROM ce),
 pt AS (SELECT t, topic, i, avg(z[i]) AS c FROM cn, range(1, 65) r(i) WHERE ord < t GROUP BY t, topic, i),
 pv AS (SELECT t, topic, list(c ORDER BY i) AS c FROM pt GROUP BY t, topic)
-SELECT pv.t, pv.topic AS entry, round(list_dot_product(pv.c, cn.z) / sqrt(list_dot_product(pv.c, pv.c)), 5) AS cos FROM pv JOIN cn ON cn.t = pv.t AND cn.ord = pv.t WHERE pv.t <= 120"""
+SELECT pv.t, pv.topic AS entry, round(list_dot_product(pv.c, cn.z) / sqrt(list_dot_product(pv.c, pv.c)), 5) AS cos FROM pv JOIN cn ON cn.t = pv.t AND cn.ord = pv.t"""
 
 
 @query("honest_center_margin", _HONEST)
 def honest_center_margin(spark, d):
-    """The first 120 decisions with the centring refitted on each prefix."""
-    return K.honest_decisions(spans(spark, d).where("ord <= 120"), "center").select("t", "entry", F.round("cos", 5).alias("cos"))
+    """All decisions with the centring refitted on each prefix."""
+    return K.honest_decisions(spans(spark, d), "center").select("t", "entry", F.round("cos", 5).alias("cos"))
 
 
 @query("honest_abtt_margin")
 def honest_abtt_margin(spark, d):
-    return K.honest_decisions(spans(spark, d).where("ord <= 120"), "abtt1")
+    return K.honest_decisions(spans(spark, d), "abtt1")
 
 
 # Identifier sets: a span's set is {topic % 4, ord % 5, ord % 7}, tagged.
@@ -275,11 +275,11 @@ def timeline_cap(spark, d):
     return kept.groupBy("conv_id").agg(F.count("*").alias("kept"), F.sum("n").cast("long").alias("n_words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("s")))), lambda x: x["s"]), "\n").alias("timeline"))
 
 
-@query("running_journal", """SELECT conv_id, turn, coalesce(string_agg('[' || turn || '] ' || substr(text, 1, 20), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS journal FROM conversations""")
+@query("running_journal", """SELECT conv_id, turn, coalesce(string_agg('[' || turn || '] ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS journal FROM conversations""")
 def running_journal(spark, d):
     """Everything told before a turn, as dated lines."""
     c = table(spark, d, "conversations")
-    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), F.substring("text", 1, 20))
+    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), F.col("text"))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     return c.select("conv_id", "turn", F.array_join(F.collect_list(line).over(w), "\n").alias("journal"))
 

@@ -35,10 +35,10 @@ def center(spark, d):
     return K.transform(spans(spark, d), "center").select("ord", *digest())
 
 
-@query("cosine_pairs", f"WITH {S} SELECT a.ord AS i, b.ord AS j, round(list_dot_product(a.v, b.v), 6) AS sim FROM s a JOIN s b ON a.ord < b.ord AND b.ord <= 300")
+@query("cosine_pairs", f"WITH {S} SELECT a.ord AS i, b.ord AS j, round(list_dot_product(a.v, b.v), 6) AS sim FROM s a JOIN s b ON a.ord < b.ord")
 def cosine_pairs(spark, d):
-    """All pairs of the first 300 rows, through the blocked self-join."""
-    return M.cosine_pairs(spans(spark, d).where("ord <= 300")).select("i", "j", F.round("sim", 6).alias("sim"))
+    """All pairs, through the blocked self-join."""
+    return M.cosine_pairs(spans(spark, d)).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query("topic_centroid", f"WITH {S}, l AS (SELECT topic, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM s), c AS (SELECT topic, list(a ORDER BY i) AS v FROM (SELECT topic, i, avg(x) AS a FROM l GROUP BY topic, i) GROUP BY topic) SELECT topic, {DIGEST} FROM (SELECT topic, list_transform(v, lambda x: x / {NORM}) AS z FROM c)")
@@ -86,15 +86,16 @@ def same_diff_gap(spark, d):
     return both.select(F.round(ms, 6).alias("mean_same"), F.round(md, 6).alias("mean_diff"), F.round(ms - md, 6).alias("gap"))
 
 
-@query("clip_distance", f"WITH {S} SELECT a.ord AS i, b.ord AS j, round(greatest(0, 1 - list_dot_product(a.v, b.v)), 6) AS distance, round(greatest(list_dot_product(a.v, b.v), 0), 6) AS affinity FROM s a JOIN s b ON a.ord < b.ord AND b.ord <= 100")
+@query("clip_distance", f"WITH {S} SELECT a.ord AS i, b.ord AS j, round(greatest(0, 1 - list_dot_product(a.v, b.v)), 6) AS distance, round(greatest(list_dot_product(a.v, b.v), 0), 6) AS affinity FROM s a JOIN s b ON a.ord < b.ord")
 def clip_distance(spark, d):
-    p = M.cosine_pairs(spans(spark, d).where("ord <= 100"))
+    p = M.cosine_pairs(spans(spark, d))
     return p.select("i", "j", F.round(F.greatest(F.lit(0.0), 1 - F.col("sim")), 6).alias("distance"), F.round(F.greatest(F.col("sim"), F.lit(0.0)), 6).alias("affinity"))
 
 
 # ------------------------------------------------------------------ TF-IDF
 
-TF = r"""tk AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{M}\p{N}_])([\p{L}\p{M}\p{N}_]{2,})', 1), lambda x: x) AS w FROM conversations WHERE turn = 1),
+TF = r"""cv AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+tk AS (SELECT conv_id, list_transform(regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{M}\p{N}_])([\p{L}\p{M}\p{N}_]{2,})', 1), lambda x: x) AS w FROM cv),
 tm AS (SELECT conv_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tk),
 tf AS (SELECT conv_id, term, count(*) AS tf FROM tm GROUP BY ALL),
 nd AS (SELECT count(*)::DOUBLE AS n FROM tk),
@@ -105,9 +106,14 @@ ln_ AS (SELECT conv_id, sqrt(sum(raw * raw)) AS len FROM rw GROUP BY conv_id),
 wt AS (SELECT conv_id, term, raw / len AS weight FROM rw JOIN ln_ USING (conv_id))"""
 
 
+def whole_conversations(spark, d):
+    """``conv_id, text``: all turns of a conversation, in order."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(turns, " ").alias("text"))
+
+
 def _weights(spark, d):
-    docs = table(spark, d, "conversations").where("turn = 1").select("conv_id", "text")
-    return M.tfidf(docs, "conv_id", "text", most=5000)
+    return M.tfidf(whole_conversations(spark, d), "conv_id", "text", most=5000)
 
 
 @query("tfidf_weights", f"WITH {TF} SELECT conv_id, term, round(weight, 6) AS weight FROM wt")
@@ -130,14 +136,15 @@ def tfidf_pairs(spark, d):
 
 @query("document_frequency", f"WITH {TF} SELECT term, df, cf::BIGINT AS cf FROM df WHERE df >= 2")
 def document_frequency(spark, d):
-    tf = M.terms(table(spark, d, "conversations").where("turn = 1").select("conv_id", "text"), "conv_id", "text")
+    tf = M.terms(whole_conversations(spark, d), "conv_id", "text")
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 2")
 
 
-@query("hybrid_fusion", f"WITH {S}, {TF}, d AS (SELECT a.ord - 1 AS i, b.ord - 1 AS j, a.topic = b.topic AS same, list_dot_product(a.v, b.v) AS sim FROM s a JOIN s b ON a.ord < b.ord AND b.ord <= 60), x AS (SELECT a.conv_id AS i, b.conv_id AS j, sum(a.weight * b.weight) AS lex FROM wt a JOIN wt b ON a.term = b.term AND a.conv_id < b.conv_id GROUP BY 1, 2) SELECT alpha, i, j, same, round(alpha * coalesce(lex, 0) + (1 - alpha) * sim, 6) AS sim FROM d LEFT JOIN x USING (i, j), (SELECT unnest([0.0, 0.4, 0.6, 1.0])::DOUBLE AS alpha)")
+@query("hybrid_fusion", f"WITH {S}, {TF}, d AS (SELECT a.ord - 1 AS i, b.ord - 1 AS j, a.topic = b.topic AS same, list_dot_product(a.v, b.v) AS sim FROM s a JOIN s b ON a.ord < b.ord), x AS (SELECT a.conv_id AS i, b.conv_id AS j, sum(a.weight * b.weight) AS lex FROM wt a JOIN wt b ON a.term = b.term AND a.conv_id < b.conv_id GROUP BY 1, 2) SELECT alpha, i, j, same, round(alpha * coalesce(lex, 0) + (1 - alpha) * sim, 6) AS sim FROM d LEFT JOIN x USING (i, j), (SELECT unnest([0.0, 0.4, 0.6, 1.0])::DOUBLE AS alpha)")
 def hybrid_fusion(spark, d):
-    """Dense and lexical similarities of 60 spans (conversation n lends span n its text)."""
-    dense = M.cosine_pairs(spans(spark, d).where("ord <= 60")).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "same", "sim")
+    """Dense and lexical similarities of all spans (conversation n, where there is one, lends
+    span n its text)."""
+    dense = M.cosine_pairs(spans(spark, d)).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "same", "sim")
     fused = M.fuse(dense, M.sparse_pairs(_weights(spark, d), "conv_id"), [0.0, 0.4, 0.6, 1.0])
     return fused.select("alpha", "i", "j", "same", F.round("sim", 6).alias("sim"))
 
@@ -169,12 +176,23 @@ def geometric_median(spark, d):
 
 @query("fuzzy_ratio_pairs")
 def fuzzy_ratio_pairs(spark, d):
-    """Part names that resemble each other by the indel ratio, 80 or more."""
-    p = table(spark, d, "part").where("p_partkey <= 2000").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("s"))
-    return M.fuzzy_pairs(p, threshold=80.0)
+    """Topic titles that resemble each other by the indel ratio, 60 or more."""
+    return M.fuzzy_pairs(topic_titles(spark, d), threshold=60.0)
 
 
 @query("leader_clusters")
 def leader_clusters(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 2000").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("s"))
-    return M.leader_clusters(p, M.fuzzy_pairs(p, threshold=80.0))
+    t = topic_titles(spark, d)
+    return M.leader_clusters(t, M.fuzzy_pairs(t, threshold=60.0))
+
+
+def topic_titles(spark, d):
+    """``pos, s``: the distinct topic titles of all transcripts, in first-seen order."""
+    from pyspark.sql import Window
+
+    from ..functions import text as T
+    from .tables import protocols
+
+    raw = protocols(spark, d).select("doc_id", F.posexplode(T.between_tags(F.col("text"), T.TOPIC_TAG)).alias("at", "s"))
+    first = raw.groupBy("s").agg(F.min(F.struct("doc_id", "at")).alias("o"))
+    return first.select("s", F.row_number().over(Window.orderBy("o")).cast("long").alias("pos"))

@@ -116,8 +116,7 @@ def strata_counts(spark, d):
 
 
 def _clusters(spark, d, method):
-    s = spans(spark, d).where("ord <= 300")
-    out = K.cluster(s, method, 10)
+    out = K.cluster(spans(spark, d), method, 10)
     a, v = E.adjusted_rand(out, "topic", "cluster"), E.v_measure(out, "topic", "cluster")
     return a.select(F.lit(method).alias("method"), F.round("ari", 4).alias("ari"), F.lit(1).alias("one")).join(v.select(F.round("nmi", 4).alias("nmi"), F.lit(1).alias("one")), "one").drop("one")
 
@@ -145,7 +144,7 @@ def abtt_k_sweep(spark, d):
 
     out = None
     for k in (0, 1, 2, 3, 5):
-        moved = K.transform(spans(spark, d), "raw" if k == 0 else f"abtt{k}").where("ord <= 300")
+        moved = K.transform(spans(spark, d), "raw" if k == 0 else f"abtt{k}")
         part = E.auc(M.cosine_pairs(moved), "sim", "same").join(E.adjusted_rand(K.cluster(moved, "agglomerative", 10), "topic", "cluster"))
         row = part.select(F.lit(k).alias("k"), F.round("auc", 4).alias("auc"), F.round("ari", 4).alias("ari"))
         out = row if out is None else out.union(row)
@@ -157,7 +156,7 @@ def alpha_sweep(spark, d):
     """Separability of the fused similarity by alpha."""
     from .lexical import _weights
 
-    dense = M.cosine_pairs(spans(spark, d).where("ord <= 60")).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "same", "sim")
+    dense = M.cosine_pairs(spans(spark, d)).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "same", "sim")
     alphas = [round(0.1 * i, 1) for i in range(11)]
     fused = M.fuse(dense, M.sparse_pairs(_weights(spark, d), "conv_id"), alphas)
     out = None

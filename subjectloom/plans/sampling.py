@@ -10,14 +10,14 @@ from .registry import query
 from .tables import S, spans
 
 _H = "md5(i || ':' || j)"
-P = f"{S}, p AS (SELECT a.ord AS i, b.ord AS j, a.topic AS ta, b.topic AS tb, round(list_dot_product(a.v, b.v), 9) AS sim FROM s a JOIN s b ON a.ord < b.ord AND b.ord <= 200)"
+P = f"{S}, p AS (SELECT a.ord AS i, b.ord AS j, a.topic AS ta, b.topic AS tb, round(list_dot_product(a.v, b.v), 9) AS sim FROM s a JOIN s b ON a.ord < b.ord)"
 POS = f"pos AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY ta ORDER BY {_H}) AS r FROM p WHERE ta = tb) WHERE r <= 3)"
 HARD = "hard AS (SELECT i, j, sim FROM p WHERE ta <> tb ORDER BY sim DESC, i, j LIMIT 30)"
 EASY = f"easy AS (SELECT i, j FROM p WHERE ta <> tb AND sim <= (SELECT quantile_cont(sim, 0.2) FROM p WHERE ta <> tb) ORDER BY {_H} LIMIT 20)"
 
 
 def _pairs(spark, d) -> DataFrame:
-    p = M.all_pairs(spans(spark, d).where("ord <= 200"))
+    p = M.all_pairs(spans(spark, d))
     from ..functions import vectors as V
 
     return p.select("i", "j", F.col("topic_a").alias("ta"), F.col("topic_b").alias("tb"), F.round(V.dot(F.col("v_a"), F.col("v_b")), 9).alias("sim")).withColumn("h", F.md5(F.concat_ws(":", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary")))

@@ -58,7 +58,7 @@ def topic_fallback(spark, d):
     return mixed.select("doc_id", method.alias("method"))
 
 
-@query("agenda_items", "SELECT doc_id, 'Alpha ' || (doc_id % 5) || '|Beta|Gamma' AS items FROM documents WHERE doc_id % 1 = 0")
+@query("agenda_items", "SELECT doc_id, 'Alpha ' || (doc_id % 5) || '|Beta|Gamma' AS items FROM documents")
 def agenda_items(spark, d):
     """The agenda block's items, without numbers and trailing remarks."""
     text = F.concat(F.lit("סדר היום:\n1. Alpha "), (F.col("doc_id") % 5).cast("string"), F.lit("\n2. Beta - המשך דיון\n 3.  Gamma\n\nנכחו: x\n"), F.col("text"))
@@ -140,18 +140,18 @@ def last_wins_lookup(spark, d):
     return G.dedup_last(table(spark, d, "documents").select("source", "lang", "doc_id"), ["source", "lang"], "doc_id")
 
 
-@query("lookup_default", "SELECT o_orderkey, coalesce(c_name, '') AS c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("lookup_default", "SELECT o_orderkey, coalesce(c_name, '') AS c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def lookup_default(spark, d):
     """A left lookup with an empty default."""
-    c = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    c = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("c_name"))
 
 
-@query("map_override", "SELECT coalesce(c.n_name, b.n_name) AS n_name, coalesce(c.canonical, b.canonical) AS canonical FROM (SELECT n_name, lower(n_name) AS canonical FROM nation) b FULL JOIN (SELECT n_name, 'fixed' AS canonical FROM nation WHERE n_nationkey % 5 = 0) c ON b.n_name = c.n_name")
+@query("map_override", "SELECT coalesce(c.n_name, b.n_name) AS n_name, coalesce(c.canonical, b.canonical) AS canonical FROM (SELECT n_name, lower(n_name) AS canonical FROM nation) b FULL JOIN (SELECT n_name, 'fixed' AS canonical FROM nation WHERE n_regionkey = 1) c ON b.n_name = c.n_name")
 def map_override(spark, d):
     """A canonical map with corrections laid over it."""
     n = table(spark, d, "nation")
-    return G.override(n.select("n_name", F.lower("n_name").alias("canonical")), n.where("n_nationkey % 5 = 0").select("n_name", F.lit("fixed").alias("canonical")), "n_name", "canonical")
+    return G.override(n.select("n_name", F.lower("n_name").alias("canonical")), n.where("n_regionkey = 1").select("n_name", F.lit("fixed").alias("canonical")), "n_name", "canonical")
 
 
 @query("done_flags", "SELECT conv_id AS doc_id, count(*) AS n_turns, bool_or(conv_id IN (SELECT doc_id FROM labels)) AS done FROM conversations GROUP BY conv_id")

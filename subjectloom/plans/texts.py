@@ -114,9 +114,9 @@ def upper_median_words(spark, d):
     return seen.where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select("lang", F.col("w").cast("long").alias("upper_median"))
 
 
-@query("reply_cut", "SELECT doc_id, regexp_replace(substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') AS reply FROM documents")
+@query("reply_cut", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS reply FROM documents")
 def reply_cut(spark, d):
-    said = F.concat(F.substring("text", 1, 30), F.lit("\nNEW SESSION x\n<segment>y"))
+    said = F.concat("text", F.lit("\nNEW SESSION x\n<segment>y"))
     return _docs(spark, d).select("doc_id", T.cut_reply(said).alias("reply"))
 
 
