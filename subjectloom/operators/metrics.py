@@ -56,19 +56,23 @@ def pairwise_f1(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return s.select(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
-def auc(pairs: DataFrame, score: str, positive: str) -> DataFrame:
+def auc(pairs: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """``auc`` by the Mann-Whitney statistic with average ranks; null with one class.
 
     Scores are counted first; ranks are running sums over distinct scores, taken within
     ranges of a 1024th and across ranges (a small table), so no task sees all scores."""
-    ties = pairs.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("n"))
+    keys = by or ["one"]
+    if not by:
+        pairs = pairs.withColumn("one", F.lit(1))
+    ties = pairs.groupBy(*keys, F.col(score).alias("s")).agg(F.count_if(F.col(positive)).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("n"))
     ties = ties.withColumn("range", F.floor(F.col("s") * 1024))
-    lower = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ties.groupBy("range").agg(F.sum("n").alias("m")).select("range", F.coalesce(F.sum("m").over(lower), F.lit(0.0)).alias("base"))
-    inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ties.groupBy(*keys, "range").agg(F.sum("n").alias("m")).select(*keys, "range", F.coalesce(F.sum("m").over(lower), F.lit(0.0)).alias("base"))
+    inside = Window.partitionBy(*keys, "range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("base") + F.coalesce(F.col("inside"), F.lit(0.0))
-    won = ties.withColumn("inside", F.sum("n").over(inside)).join(ranges, "range").withColumn("won", F.col("p") * (below + F.col("n") / 2))
-    return _one(won, F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
+    won = ties.withColumn("inside", F.sum("n").over(inside)).join(ranges, [*keys, "range"]).withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    total = won.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return total.select(*(by or []), F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def cohen_kappa(votes: DataFrame, a: str, b: str) -> DataFrame:

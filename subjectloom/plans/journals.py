@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import journal as J
 from ..operators import kernels as K
+from ..sources.folders import keep
 from .registry import query
 from .tables import DEC, S, TOP, curve_sql, grid_sql, points_sql, spans, table
 
@@ -287,14 +288,19 @@ def running_journal(spark, d):
 @query("transform_leaderboard", None)
 def transform_leaderboard(spark, d):
     """The factorial study: transforms x entries x rules, best F1 of each, ranked."""
-    out = None
+    tops = None
     for kind in ("raw", "center", "abtt1", "whiten16"):
-        moved = K.transform(spans(spark, d), kind)
+        moved = keep(K.transform(spans(spark, d), kind), kind)
         for entry in ("first", "centroid"):
-            top = J.top_two(J.decisions(moved, entry))
-            for rule, score, lo, hi in (("threshold", "top", -0.2, 1.0), ("margin", "margin", 0.0, 0.6)):
-                best = J.operating_points(J.sweep(top, score, V.linear_grid(lo, hi, 101), F.col("best") == F.col("gold"))).where("point = 'best_f1'").select(F.lit(f"{kind}|{entry}|{rule}").alias("config"), "theta", "f1", "fmr")
-                out = best if out is None else out.union(best)
+            top = J.top_two(J.decisions(moved, entry)).withColumn("config", F.lit(f"{kind}|{entry}"))
+            tops = top if tops is None else tops.union(top)
+    # Each stream is replayed once and swept under every rule.
+    tops = keep(tops, "tops")
+    out = None
+    for rule, score, lo, hi in (("threshold", "top", -0.2, 1.0), ("margin", "margin", 0.0, 0.6)):
+        curve = J.sweep(tops, score, V.linear_grid(lo, hi, 101), F.col("best") == F.col("gold"), by=["config"])
+        best = J.operating_points(curve, by=["config"]).where("point = 'best_f1'").select(F.concat("config", F.lit(f"|{rule}")).alias("config"), "theta", "f1", "fmr")
+        out = best if out is None else out.union(best)
     return out.orderBy(F.desc("f1"), "config").limit(20)
 
 

@@ -9,6 +9,7 @@ from ..operators import journal as J
 from ..operators import kernels as K
 from ..operators import metrics as E
 from ..operators import similarity as M
+from ..sources.folders import keep
 from .journals import shortlist_events
 from .registry import query
 from .tables import S, curve_sql, grid_sql, points_sql, spans, table
@@ -144,7 +145,7 @@ def abtt_k_sweep(spark, d):
 
     out = None
     for k in (0, 1, 2, 3, 5):
-        moved = K.transform(spans(spark, d), "raw" if k == 0 else f"abtt{k}")
+        moved = keep(K.transform(spans(spark, d), "raw" if k == 0 else f"abtt{k}"), "moved")
         part = E.auc(M.cosine_pairs(moved), "sim", "same").join(E.adjusted_rand(K.cluster(moved, "agglomerative", 10), "topic", "cluster"))
         row = part.select(F.lit(k).alias("k"), F.round("auc", 4).alias("auc"), F.round("ari", 4).alias("ari"))
         out = row if out is None else out.union(row)
@@ -159,11 +160,7 @@ def alpha_sweep(spark, d):
     dense = M.cosine_pairs(spans(spark, d)).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "same", "sim")
     alphas = [round(0.1 * i, 1) for i in range(11)]
     fused = M.fuse(dense, M.sparse_pairs(_weights(spark, d), "conv_id"), alphas)
-    out = None
-    for a in alphas:
-        part = E.auc(fused.where(F.col("alpha") == a), "sim", "same").select(F.lit(a).alias("alpha"), F.round("auc", 4).alias("auc"))
-        out = part if out is None else out.union(part)
-    return out
+    return E.auc(fused, "sim", "same", by=["alpha"]).select("alpha", F.round("auc", 4).alias("auc"))
 
 
 @query("recall_summary")

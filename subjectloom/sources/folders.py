@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -16,3 +16,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="subjectloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/subjectloom-{uuid.uuid4().hex}/{label}"
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet and read back, for results with several readers."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
