@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import similarity as M
+from ..sources.folders import keep
 from .registry import query
 from .tables import S, spans
 
@@ -17,24 +18,24 @@ EASY = f"easy AS (SELECT i, j FROM p WHERE ta <> tb AND sim <= (SELECT quantile_
 
 
 def _pairs(spark, d) -> DataFrame:
-    p = M.all_pairs(spans(spark, d))
-    from ..functions import vectors as V
-
-    return p.select("i", "j", F.col("topic_a").alias("ta"), F.col("topic_b").alias("tb"), F.round(V.dot(F.col("v_a"), F.col("v_b")), 9).alias("sim")).withColumn("h", F.md5(F.concat_ws(":", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary")))
+    """All pairs once, with the topic of the first, whether the topics agree, and a shuffle key."""
+    s = spans(spark, d)
+    p = M.cosine_pairs(s).join(s.select(F.col("ord").alias("i"), F.col("topic").alias("ta")), "i")
+    return keep(p.select("i", "j", "ta", "same", F.round("sim", 9).alias("sim")).withColumn("h", F.md5(F.concat_ws(":", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))), "pairs")
 
 
 def positives(pairs: DataFrame, most: int = 3) -> DataFrame:
     w = Window.partitionBy("ta").orderBy("h")
-    return pairs.where("ta = tb").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("i", "j", "h")
+    return pairs.where("same").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("i", "j", "h")
 
 
 def hard(pairs: DataFrame, n: int = 30) -> DataFrame:
-    return pairs.where("ta != tb").orderBy(F.desc("sim"), "i", "j").limit(n)
+    return pairs.where("not same").orderBy(F.desc("sim"), "i", "j").limit(n)
 
 
 def easy(pairs: DataFrame, n: int = 20) -> DataFrame:
     """Random pairs of different topics at or below the 20th percentile of such pairs."""
-    across = pairs.where("ta != tb").withColumn("one", F.lit(1))
+    across = pairs.where("not same").withColumn("one", F.lit(1))
     cut = across.groupBy("one").agg(F.percentile("sim", F.lit(0.2)).alias("cut"))
     return across.join(F.broadcast(cut), "one").where("sim <= cut").orderBy("h").limit(n).select("i", "j", "h")
 
