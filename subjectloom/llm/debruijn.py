@@ -24,8 +24,9 @@ polynomials); those that occur twice are repeated.  Coverage goes back to the
 documents by key, and whole texts are cut once.
 
 All counts are aggregated before the shuffle, so a passage shared by a third of
-the documents is a count, not a group; the joins back to coordinates are plain
-equi-joins that adaptive execution may split.
+the documents is a count, not a group.  The counts are staged before the joins back to
+coordinates: adaptive execution splits a hot key only where both sides of a join
+come straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -209,7 +210,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     edges = stage(base.select("key", "text").mapInArrow(_edges(window), "eh long, key long, pos long"), "edges")
 
-    repeated = edges.groupBy("eh").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = stage(edges.groupBy("eh").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     w = Window.partitionBy("key").orderBy("pos")
     sites = edges.join(repeated, "eh").withColumns({"before": F.lag("pos").over(w), "n_before": F.lag("n").over(w)})
     sites = sites.where("before is null or before != pos")  # repeated rows have one key and so the same sites
@@ -225,7 +226,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
 
     runs = paths.groupBy("key").agg(F.collect_list(F.struct("s", "e", "whole")).alias("runs")).hint("shuffle_hash")
     windows = stage(base.join(runs, "key").select("key", "text", "runs").mapInArrow(_windows(window), "h1 long, h2 long, key long, at long"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    twice = stage(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
     covered = windows.join(twice, ["h1", "h2"]).select("key", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
     covered = covered.union(paths.where(F.col("whole") & (F.col("e") - F.col("s") >= window)).select("key", "s", "e"))
     spans = covered.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans")).hint("shuffle_hash")

@@ -157,10 +157,13 @@ def fit(docs: DataFrame) -> TrigramModel:
     """The trigram model of ``docs(id, text, declared)`` from at most SAMPLE_ROWS rows
     of each of the MOST_LANGUAGES languages, those of least id hash."""
     named = docs.where("declared != ''")
-    languages = [r["declared"] for r in named.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()]
+    counts = named.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
     mark = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
+    # About twice as many rows as wanted pass by their hash alone, so the ranking below sees few.
+    share = F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") / (1 << 32)
+    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["declared"], 2.0 * SAMPLE_ROWS / r["n"]) for r in counts], "declared string, part double"))
     first = F.row_number().over(Window.partitionBy("declared").orderBy("mark"))
-    chosen = named.where(F.col("declared").isin(languages)).select("declared", mark.alias("mark")).distinct().withColumn("r", first).where(F.col("r") <= SAMPLE_ROWS).select("declared", "mark")
+    chosen = named.join(sizes, "declared").where(share < F.col("part")).select("declared", mark.alias("mark")).distinct().withColumn("r", first).where(F.col("r") <= SAMPLE_ROWS).select("declared", "mark")
     # At most SAMPLE_ROWS * MOST_LANGUAGES marks.
     sample = named.withColumn("mark", mark).join(F.broadcast(chosen), ["declared", "mark"]).dropDuplicates(["declared", "mark"]).coalesce(8)
     rows = sample.select(F.col("declared").alias("lang"), "text").mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()

@@ -224,7 +224,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     source = source.withColumns({"sha": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    leaders = source.groupBy("sha").agg(F.max("page_id").alias("leader"))
+    leaders = stage(source.groupBy("sha").agg(F.max("page_id").alias("leader")), "leaders")
     revisit = F.coalesce(F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader")), F.lit(False))
     rows = source.join(leaders, "sha").select("page_id", "url", "n_bytes", F.when(~revisit, F.col("payload")).alias("payload"), "sha", "leader")
     return stage(rows.mapInArrow(_write(folder), "archive string, n long"), "archives")
