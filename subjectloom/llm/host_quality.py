@@ -77,15 +77,12 @@ def host_verdicts(counts: DataFrame, host_limit: float = 0.5, strongest: float =
     (``strongest`` where all hosts have one rate)."""
     names = list(rules())
     hosts = counts.groupBy("host").agg(F.count("*").cast("double").alias("n"), *[F.count_if(test).cast("double").alias(r) for r, test in rules().items()])
-    every = F.lit(0).alias("all")
-    prior = hosts.groupBy(every).agg(
-        *[(F.sum(r) / F.sum("n")).alias(f"m_{r}") for r in names],
-        *[F.var_pop(F.col(r) / F.col("n")).alias(f"v_{r}") for r in names],
-    )
-    joined = hosts.withColumn("all", F.lit(0)).join(prior, "all")
+    moments = [(F.sum(r) / F.sum("n")).alias(f"m_{r}") for r in names] + [F.var_pop(F.col(r) / F.col("n")).alias(f"v_{r}") for r in names]
+    prior = hosts.select(F.struct(*moments)).scalar()
+    joined = hosts.withColumn("prior", prior)
     failed = F.lit(False)
     for r in names:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
+        m, v = F.col(f"prior.m_{r}"), F.col(f"prior.v_{r}")
         strength = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(strongest), m * (1 - m) / v - 1))).otherwise(F.lit(strongest))
         failed = failed | ((F.col(r) + m * strength) / (F.col("n") + strength) > host_limit)
     return joined.select("host", failed.alias("host_failed"))

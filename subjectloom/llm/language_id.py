@@ -202,22 +202,21 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         """Counts of text-only decisions for each value of ``key``."""
         return scored.where("best is not null").groupBy(key).agg(F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(k)]).alias("c"))
 
-    one = F.lit(1).alias("one")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     scale = lambda a, w: F.transform(a, lambda x: x * w)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    corpus = scored.where("best is not null").groupBy(one).agg(F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(k)]).alias("all"))
+    corpus = scored.where("best is not null").select(F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(k)])).scalar()
     base = F.transform("all", lambda x: (x + 1.0) / (total(F.col("all")) + k))
 
     def likelihood(key: str) -> DataFrame:
         """log P(value | language) by corpus counts, one pseudo-count spread by the value's share."""
-        rows = table(key).withColumn("one", F.lit(1)).join(corpus, "one")
+        rows = table(key).withColumn("all", corpus)
         share = (total(F.col("c")) + 1.0) / (total(F.col("all")) + 1.0)
         logs = F.zip_with("c", "all", lambda c, n: F.log((c + 10.0 * share) / (n + 10.0)))
         return rows.select(key, F.when(F.col(key) == "", F.transform("c", lambda x: F.lit(0.0))).otherwise(logs).alias(f"{key}_logs"))
 
     # A host has one suffix, so the host's row carries both its prior and its suffix's evidence.
-    suffixes = table("suffix").withColumnRenamed("c", "sc").withColumn("one", F.lit(1)).join(corpus, "one")
+    suffixes = table("suffix").withColumnRenamed("c", "sc").withColumn("all", corpus)
     suffixes = suffixes.select("suffix", scale(add(F.col("sc"), scale(base, F.lit(prior_weight))), 1.0 / (total(F.col("sc")) + prior_weight)).alias("sp")).join(likelihood("suffix"), "suffix")
     hosts = scored.where("best is not null").groupBy("host", "suffix").agg(F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(k)]).alias("c")).join(suffixes, "suffix")
     prior = scale(add(F.col("c"), scale(F.col("sp"), F.lit(prior_weight))), 1.0 / (total(F.col("c")) + prior_weight))

@@ -33,9 +33,9 @@ def weights_of(docs: DataFrame, source_col: str, exponent: float, period: int) -
     """``source, n, p``: rows and integer weight; p is ``period`` times n^exponent's
     share, rounded, 1 at least."""
     counts = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
-    shares = counts.withColumns({"power": F.pow(F.col("n").cast("double"), F.lit(exponent)), "one": F.lit(1)})
-    total = shares.groupBy("one").agg(F.sum("power").alias("total"))
-    return shares.join(total, "one").select("source", "n", F.greatest(F.lit(1), F.floor(F.col("power") / F.col("total") * period + 0.5)).cast("long").alias("p"))
+    shares = counts.withColumn("power", F.pow(F.col("n").cast("double"), F.lit(exponent)))
+    total = shares.select(F.sum("power")).scalar()
+    return shares.select("source", "n", F.greatest(F.lit(1), F.floor(F.col("power") / total * period + 0.5)).cast("long").alias("p"))
 
 
 def schedule(weights: DataFrame) -> DataFrame:
@@ -87,13 +87,13 @@ def pfair_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     sizes = docs.select(key.alias("_s"), shard.alias("_shard")).groupBy("_s", "_shard").agg(F.count("*").alias("c"))
     before = F.sum("c").over(Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_s", "_shard", F.coalesce(before, F.lit(0)).alias("_before"))
-    horizon = plan.select(_slot(F.floor(F.col("n") / block)).alias("end"), F.lit(1).alias("one")).groupBy("one").agg(F.min("end").alias("horizon"))
+    horizon = plan.select(_slot(F.floor(F.col("n") / block)).alias("end")).select(F.min("end")).scalar()
     # One row a source, at most MOST_SOURCES, with a period's slots between them.
-    timed = F.broadcast(plan.withColumn("one", F.lit(1)).join(horizon, "one").select(F.col("source").alias("_s"), "p", "period", "slots", "horizon"))
+    timed = F.broadcast(plan.select(F.col("source").alias("_s"), "p", "period", "slots"))
     rank = F.row_number().over(Window.partitionBy("_s", "_shard").orderBy("_h", id_col))
     out = placed.withColumn("_r", rank).join(sizes, ["_s", "_shard"]).join(timed, "_s")
     place = F.col("_before") + F.col("_r") - 1
-    out = out.withColumn("mix_block", F.floor(place / block).cast("long")).withColumn("mix_slot", _slot(F.col("mix_block"))).withColumn("mix_rank", F.pmod(place, F.lit(block)).cast("long")).withColumn("in_mix", F.col("mix_slot") < F.col("horizon"))
+    out = out.withColumn("mix_block", F.floor(place / block).cast("long")).withColumn("mix_slot", _slot(F.col("mix_block"))).withColumn("mix_rank", F.pmod(place, F.lit(block)).cast("long")).withColumn("in_mix", F.col("mix_slot") < horizon)
     return out.select(*docs.columns, *names)
 
 
