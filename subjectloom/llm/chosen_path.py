@@ -203,8 +203,10 @@ def _tree_nodes(classes: DataFrame, trees: int, leaf: int, depth: int, extra: fl
     level = stage(level, "level0")
     done = []
     for at in range(depth):
-        # Staged, so that the join below reads both sides from a shuffle and can be split.
-        sizes = stage(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{at}")
+        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        if at == 0:
+            # The widest level: staged, so that the join reads both sides from a shuffle and can be split.
+            sizes = stage(sizes, "sizes")
         shared = stage(level.join(sizes, "path"), f"shared{at}")
         branches = F.col("n") > leaf
         if at >= 2:
@@ -265,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = tasks.join(sets, "cls").select("task", "cls", "label", "side", "sig", "shingles")
         return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_links(num, den, tau), "a binary, b binary")
 
-    least = stage(groups.groupBy("grp").agg(F.min("cls").alias("hub")), "least")
+    least = groups.groupBy("grp").agg(F.min("cls").alias("hub"))
     hubs = stage(groups.join(least, "grp").groupBy("cls").agg(F.min("hub").alias("hub")).where("cls != hub"), "hubs")
     dealt = hubs.join(hubs.groupBy("hub").agg(F.ceil(F.count("*") / chunk).alias("parts")), "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
     dealt = dealt.union(dealt.select("hub", F.col("hub").alias("cls"), "part").distinct())
@@ -274,7 +276,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = components(first)
     labelled = groups.join(named.withColumnRenamed("vertex", "cls"), "cls", "left").select("grp", "cls", F.coalesce("label", "cls").alias("label"))
     open_ = labelled.groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    open_ = stage(open_, "unsettled")
     labelled = stage(labelled.join(open_.select("grp", "n"), "grp"), "open")
     task = lambda *cols: F.xxhash64(*cols).alias("task")
     small = labelled.where(F.col("n") <= chunk).select(F.col("grp").alias("task"), "cls", "label", F.lit(-1).cast("long").alias("side"))
@@ -284,10 +285,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     faced = faced.select(task("grp", F.least("part", "q"), F.greatest("part", "q")), "cls", "label", F.when(F.col("part") == F.col("q"), F.lit(-1)).otherwise(F.col("part")).cast("long").alias("side"))
     second = stage(confirmed(small.union(faced)), "links2")
     if not is_empty(second):
-        named = components(first.union(second))
+        # The stars found so far stand for the links behind them.
+        named = components(named.select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(second))
 
     found = members.join(named.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    heads = stage(found.where("cls is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "heads")
+    heads = found.where("cls is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return found.join(heads, "label", "left").select("key", "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
