@@ -95,7 +95,8 @@ class _Scorer:
         letters = sorted({c for g in model.grams for c in g if c != " "})
         self.size = len(letters) + 2  # 0 is the space, the last one any other letter
         self.table = np.full(0x110000, self.size - 1, np.int32)
-        for run in re.finditer(r"[\W\d_]+", "".join(map(chr, range(0x110000)))):
+        every = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        for run in re.finditer(r"[\W\d_]+", every):
             self.table[run.start() : run.end()] = -1
         self.table[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.table[list(b" \t\n\v\f\r")] = 0
