@@ -3,9 +3,9 @@
 Ma, Tromp and Li, "PatternHunter" (2002): a seed reads only some positions of a
 stretch of tokens, so a substitution at an ignored position does not break it.
 Four fixed masks hash every position of the benchmark items and of the documents;
-equal hashes are joined, and each hit's diagonal is extended without gaps to the
-best-scoring stretch (match +1, substitution -3).  A stretch counts if it has
-``least`` tokens (13, or all of a shorter item) and four fifths of them agree.
+equal hashes are joined, and on each hit's diagonal the longest gapless stretch is
+taken of which four fifths agree.  It counts if it has ``least`` tokens (13, or all
+of a shorter item).  What no mask hits is not found; the README gives the recall.
 
 Tokens are words without punctuation, lower-cased, so a passage is found under
 changed punctuation or case; a word that is all punctuation is no token.
@@ -105,12 +105,16 @@ class SeedTable:
 
 
 def stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Start, length and matches of the best-scoring gapless stretch of two equal-length arrays."""
+    """Start, length and matches of the longest stretch of two equal-length arrays, the
+    first on ties, of which four fifths agree: the longest run whose sum of +1 a match
+    and -4 a mismatch is not negative."""
     same = a == b
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
+    # For each end, the first start whose sum is no higher: least sums so far only fall.
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    lengths = np.arange(len(sums)) - starts
+    end = int(np.argmax(lengths))
+    start = int(starts[end])
     return start, end - start, int(same[start:end].sum())
 
 
@@ -122,7 +126,7 @@ def overlaps(t: np.ndarray, table: SeedTable, least: int) -> Iterator[tuple[int,
         own = table.tokens[item]
         lo, hi = max(0, -shift), min(len(own), len(t) - shift)
         start, length, match = stretch(own[lo:hi], t[lo + shift : hi + shift])
-        if length >= min(least, len(own)) and 5 * match >= 4 * length:
+        if length >= min(least, len(own)):
             best[item] = max(best.get(item, (0, 0, 0, 0)), (match, length, -(lo + start + shift), -(lo + start)))
     for item in sorted(best):
         match, length, doc_start, item_start = best[item]
@@ -146,7 +150,8 @@ def _scan(table, least: int):
 
 def overlap_rows(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 13, block_words: int = 400_000) -> DataFrame:
     """One row for each document and benchmark item that overlap: ``doc_id, item_id,
-    doc_start, item_start, n_tokens, n_match`` (the best stretch, in tokens).
+    doc_start, item_start, n_tokens, n_match`` (of the longest stretch of each
+    diagonal, the one with most matches; in tokens).
 
     Defined results: null and empty texts overlap with nothing; items of fewer
     than SHORTEST tokens are not looked for; a repeated document row gives its

@@ -53,3 +53,30 @@ def test_edges(spark):
     assert S.overlap_rows(df.where("false"), bench(spark, ["a b c d e f g h"])).count() == 0
     assert S.overlap_rows(df, bench(spark, ["a b c d e f g h"])).count() == 2
     assert S.decontaminate(df, bench(spark, ["x"]).where("false")).count() == 2
+
+
+def longest(a, b):
+    """Length of the longest stretch with four fifths equal, by trying all of them."""
+    return max((j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if 5 * sum(x == y for x, y in zip(a[i:j], b[i:j], strict=True)) >= 4 * (j - i)), default=0)
+
+
+def test_substitutions_near_the_ends(spark):
+    """Whole items with substitutions anywhere: all that a mask hits are found."""
+    rng = np.random.default_rng(5)
+    items, texts = [], []
+    for n, edits in ((13, 1), (13, 2), (16, 1), (16, 2), (18, 2), (20, 3), (25, 5), (9, 1), (20, 7)):
+        for _ in range(25):
+            own = words(rng, n, 50_000).split()
+            copy = list(own)
+            for at in rng.choice(n, edits, replace=False):
+                copy[at] = "other"
+            items.append(own)
+            texts.append(copy)
+    want = set()
+    for i, (own, copy) in enumerate(zip(items, texts, strict=True)):
+        hit = any(all(own[at + k] == copy[at + k] for k in m) for m in S.MASKS for at in range(len(own) - m[-1]))
+        if hit and longest(own, copy) >= min(13, len(own)):
+            want.add((i, i))
+    padded = ["x y " + " ".join(t) + " z" for t in texts]
+    hits = {(r["doc_id"], r["item_id"]) for r in S.overlap_rows(docs(spark, padded), bench(spark, [" ".join(x) for x in items])).collect()}
+    assert hits == want and len(want) >= 100
