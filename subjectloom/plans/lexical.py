@@ -113,7 +113,7 @@ def whole_conversations(spark, d):
 
 
 def _weights(spark, d):
-    return M.tfidf(whole_conversations(spark, d), "conv_id", "text", most=5000)
+    return M.tfidf(whole_conversations(spark, d), "conv_id", "text")
 
 
 @query("tfidf_weights", f"WITH {TF} SELECT conv_id, term, round(weight, 6) AS weight FROM wt")
