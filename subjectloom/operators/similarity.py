@@ -51,6 +51,35 @@ def cosine_pairs(rows: DataFrame, key: str = "ord", blocks: int = 8) -> DataFram
     return dealt.groupBy("lo", "hi").applyInArrow(product, "i long, j long, same boolean, sim double")
 
 
+def nearest_earlier(queries: DataFrame, entries: DataFrame, key: str, most: int, rows_a_block: int = 2048) -> DataFrame:
+    """``q, key, sim, rank``: for each query (``q, v``) the ``most`` entries (``key, c``) with
+    ``key <= q`` and the highest dot products, rounded to 9 digits, ties by key.
+
+    A block of queries meets each block of entries in one matrix product, which keeps its
+    own best; those are merged.  No entry is left out.
+    """
+    count = lambda rows: -(-rows.count() // rows_a_block) or 1
+    nq, ne = count(queries), count(entries)
+    a = queries.select(F.lit(True).alias("asks"), F.col("q").cast("long").alias("id"), F.col("v").alias("x"), F.pmod(F.xxhash64("q"), F.lit(nq)).alias("bq"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ne - 1).cast("long"))).alias("be"))
+    b = entries.select(F.lit(False).alias("asks"), F.col(key).cast("long").alias("id"), F.col("c").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("bq"), F.pmod(F.xxhash64(key), F.lit(ne)).alias("be"))
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        asks, ids = np.array(table.column("asks").to_pylist(), bool), table.column("id").to_numpy()
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        q, e = ids[asks], ids[~asks]
+        s = np.where(e[None] <= q[:, None], np.round(x[asks] @ x[~asks].T, 9), -np.inf)
+        # Entries stand in the order of their keys, which a stable sort keeps on ties.
+        top = np.argsort(-s, axis=1, kind="stable")[:, :most]
+        sim = np.take_along_axis(s, top, axis=1)
+        r, k = np.nonzero(sim > -np.inf)
+        return pa.table({"q": q[r], key: e[top[r, k]], "sim": sim[r, k]})
+
+    best = a.union(b.select(*a.columns)).groupBy("bq", "be").applyInArrow(product, f"q long, {key} long, sim double")
+    w = Window.partitionBy("q").orderBy(F.desc("sim"), key)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
 def recurring(rows: DataFrame, topic: str = "topic", least: int = 2) -> DataFrame:
     """Rows whose topic occurs ``least`` times or more."""
     counts = rows.groupBy(topic).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)

@@ -1,5 +1,6 @@
 """Every query with a DuckDB text against it; the others run and keep their schema."""
 
+import numpy as np
 import pytest
 from .compare import connect, same_rows
 
@@ -30,6 +31,32 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_timelines_of_all_earlier_conversations(spark, sf):
+    """The best ten of all conversations up to the own one, against one whole product."""
+    from subjectloom.operators import models, similarity
+    from subjectloom.plans import studies
+
+    rows = sorted((r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").collect())
+    v = np.array(models.hashing_encoder()()([x or "" for *_, x in rows]))
+    of = np.array([c for c, *_ in rows])
+    ids = np.unique(of)
+    mean = np.array([v[of == c].mean(0) for c in ids])
+    mean /= np.linalg.norm(mean, axis=1, keepdims=True)
+    last = np.array([v[of == c][-1] for c in ids])
+    want = {}
+    for k, q in enumerate(ids):
+        s = np.round(mean[: k + 1] @ last[k], 9)
+        want[q] = [ids[i] for i in np.argsort(-s, kind="stable")[:10]]
+    found = {}
+    for r in studies.timeline_candidates(spark, sf).orderBy("q", "rank").collect():
+        found.setdefault(r["q"], []).append(r["conv_id"])
+    assert found == want and max(map(len, found.values())) == 10
+    asked = spark.createDataFrame([(int(q), x.tolist()) for q, x in zip(ids, last, strict=True)], "q long, v array<double>")
+    entries = spark.createDataFrame([(int(q), x.tolist()) for q, x in zip(ids, mean, strict=True)], "conv_id long, c array<double>")
+    small = {(r["q"], r["rank"]): r["conv_id"] for r in similarity.nearest_earlier(asked, entries, "conv_id", 10, 3).collect()}
+    assert small == {(q, k): c for q, cs in want.items() for k, c in enumerate(cs, 1)}
+
+
 def test_flagship(spark, sf):
     assert registry.flagship(spark, sf).count() > 0
 
