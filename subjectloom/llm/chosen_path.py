@@ -6,9 +6,11 @@ Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join"
 tokens.  A tree starts with one coordinate; a node holds the documents that
 agree on all tokens chosen on its path.  Nodes with more than ``leaf``
 documents branch again, each on one or two further coordinates so that the
-expected number of children that a pair at the threshold shares stays one.
-Small nodes are compared exhaustively, and independent trees are repeated until
-a pair at the threshold is missed with probability below ``1 - recall``.
+expected number of children that a pair shares is one for a pair that agrees on
+three standard deviations fewer coordinates than one at the threshold.  Small
+nodes are compared exhaustively, and trees are repeated until a pair at the
+threshold is missed with probability below ``1 - recall`` even where all of its
+nodes branch to the full depth.
 
 How this stays linear under large groups of copies:
 
@@ -192,7 +194,36 @@ def _shingles(k: int):
     return run
 
 
-def _tree_nodes(classes: DataFrame, trees: int, leaf: int, depth: int, extra: float) -> DataFrame:
+def branching(j: float, recall: float, depth: int) -> tuple[int, float]:
+    """Trees, and the share of nodes that branch on two coordinates, for a pair of
+    similarity ``j`` to be missed with probability below ``1 - recall``.
+
+    The pair agrees on a binomial number of coordinates.  Given that number, the
+    survival of a shared node over ``depth - 1`` branchings is a recursion, and the
+    agreeing roots among the trees (which start with different coordinates) are
+    hypergeometric."""
+    extra = min(1.0, 1 / max(0.5, j - 3 * math.sqrt(j * (1 - j) / COORDINATES)) - 1)
+    cases = []
+    for agree in range(COORDINATES + 1):
+        alive = 1.0
+        for _ in range(depth - 1):
+            x = agree / COORDINATES * alive
+            # Two picks are one where they fall on the same coordinate.
+            two = extra * (1 - 1 / COORDINATES)
+            alive = (1 - two) * x + two * (1 - (1 - x) ** 2)
+        cases.append((math.comb(COORDINATES, agree) * j**agree * (1 - j) ** (COORDINATES - agree), agree, alive))
+
+    def missed(trees: int) -> float:
+        ways = lambda n, h: math.comb(n, h) * math.comb(COORDINATES - n, trees - h)
+        return sum(w * sum(ways(n, h) * (1 - alive) ** h for h in range(min(n, trees) + 1)) for w, n, alive in cases) / math.comb(COORDINATES, trees)
+
+    for trees in range(4, COORDINATES + 1):
+        if missed(trees) < 1 - recall:
+            return trees, extra
+    raise ValueError(f"{COORDINATES} coordinates do not give recall {recall} at similarity {j}")
+
+
+def _tree_nodes(classes: DataFrame, trees: int, extra: float, leaf: int, depth: int) -> DataFrame:
     """``(path, cls, n)`` of all nodes with two or more members that branch no more.
 
     A large node three tokens deep that kept over 60 % of its parent is dense (its
@@ -249,8 +280,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketch = stage(source.select("key", "text").mapInArrow(_sketches(k), "key long, n_shingles long, cls binary, sig binary").distinct(), "sketch")
     members = source.select("key", "doc_id").join(sketch.select("key", "n_shingles", "cls"), "key")
     classes = stage(sketch.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("sig").alias("sig"), F.count("*").alias("size")), "classes")
-    trees = min(COORDINATES, max(4, math.ceil(math.log(1 - recall) / math.log(1 - j * 0.7))))
-    nodes = _tree_nodes(classes, trees, leaf, depth, 1 / j - 1)
+    nodes = _tree_nodes(classes, *branching(j, recall, depth), leaf, depth)
     # Nodes with the same members are one node: two independent member sums name them.
     marks = nodes.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("y"))
     once = marks.groupBy("n", "x", "y").agg(F.min("path").alias("path"))

@@ -68,6 +68,29 @@ def test_a_large_group_of_near_copies(spark):
     assert {r["component_id"] for r in rows} == {0}
 
 
+def missed(j, trees, extra, depth=7, draws=20_000):
+    """How often a pair at the threshold shares no node where all of its nodes branch to
+    the full depth (in a large family of texts): drawn, coordinate by coordinate."""
+    rng = np.random.default_rng(11)
+    lost = 0
+    for _ in range(draws):
+        agree = rng.random(C.COORDINATES) < j
+        shared = int(agree[rng.permutation(C.COORDINATES)[:trees]].sum())
+        for _ in range(depth - 1):
+            first, second = rng.integers(0, C.COORDINATES, (2, shared))
+            two = (rng.random(shared) < extra) & (first != second)
+            shared = min(300, int(agree[first].sum() + (agree[second] & two).sum()))
+        lost += shared == 0
+    return lost
+
+
+@pytest.mark.parametrize(("j", "before"), [(0.85, 11), (0.8, 12)])
+def test_recall_at_full_depth(j, before):
+    """At most 1e-4 of 20,000 pairs, within chance; the trees set before lost 80 or more."""
+    assert missed(j, before, 1 / j - 1) >= 80
+    assert missed(j, *C.branching(j, 0.9999, 7)) <= 8
+
+
 def test_edges(spark):
     df = docs(spark, ["a b c d", None, ""])
     rows = C.near_duplicates(clash(df.union(df))).collect()
