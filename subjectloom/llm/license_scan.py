@@ -25,7 +25,8 @@ CUES = ("licens", "licenc", "copyright", "permission", "redistribution", "warran
 # without a full stop.
 OPENINGS = ("licensed under", "released under", "this work is", "this software is", "this program is", "this file is", "permission is", "permission to", "redistribution", "redistributions", "copyright", "spdx", "the above copyright", "the software is", "neither the name", "you may obtain", "you should have", "unless required by", "all rights reserved")
 
-# Normalised sentence, identifier.
+# Normalised sentence, identifier.  Sentences are as STEPS cut the original
+# notices: at every ";" or ":" before a space, at "v. 2.0", at a line that begins with an opening.
 SENTENCES = (
     ("released under the mit license", "MIT_REF"),
     ("licensed under the mit license", "MIT_REF"),
@@ -51,6 +52,15 @@ SENTENCES = (
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "GPL3_LATER"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "GPL2_LATER"),
     ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "GPL_WARRANTY"),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "GPL3_LATER"),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "GPL2_LATER"),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "GPL_TERMS"),
+    ("either version 3 of the license or at your option any later version", "GPL3_VERSION"),
+    ("either version 2 of the license or at your option any later version", "GPL2_VERSION"),
+    ("this program is distributed in the hope that it will be useful but without any warranty", "GPL_USEFUL"),
+    ("without even the implied warranty of merchantability or fitness for a particular purpose", "GPL_IMPLIED"),
+    ("if not see https www.gnu.org licenses", "GPL_URL"),
+    ("if not see http www.gnu.org licenses", "GPL_URL"),
     ("see the gnu general public license for more details", "GPL_SEE"),
     ("you should have received a copy of the gnu general public license along with this program", "GPL_COPY"),
     ("licensed under the gnu lesser general public license version 2.1", "LGPL21_REF"),
@@ -70,7 +80,11 @@ SENTENCES = (
     ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "BSD_BINARY"),
     ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "BSD_NAME"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "ISC_GRANT"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above", "ISC_USE"),
+    ("copyright notice and this permission notice appear in all copies", "ISC_NOTICE"),
     ("this source code form is subject to the terms of the mozilla public license v 2.0", "MPL2_REF"),
+    # As "v. 2.0" is cut; no other version's notice has this wording.
+    ("this source code form is subject to the terms of the mozilla public license v", "MPL2_REF"),
     ("this is free and unencumbered software released into the public domain", "UNLICENSE_REF"),
     ("released into the public domain", "PUBLIC_DOMAIN_REF"),
     ("spdx license identifier mit", "MIT_REF"),
@@ -92,10 +106,17 @@ RULES = (
     ("Apache-2.0", ("APACHE2_REF", "APACHE_USE", "APACHE_COPY", "APACHE_WARRANTY", "APACHE_SEE")),
     ("Apache-2.0", ("APACHE2_REF", "APACHE_USE", "APACHE_COPY")),
     ("GPL-3.0-or-later", ("GPL3_LATER", "GPL_WARRANTY", "GPL_SEE", "GPL_COPY")),
+    ("GPL-3.0-or-later", ("GPL3_LATER", "GPL_USEFUL", "GPL_IMPLIED", "GPL_SEE", "GPL_COPY")),
     ("GPL-3.0-or-later", ("GPL3_LATER",)),
+    ("GPL-3.0-or-later", ("GPL_TERMS", "GPL3_VERSION", "GPL_USEFUL", "GPL_IMPLIED", "GPL_SEE", "GPL_COPY")),
+    ("GPL-3.0-or-later", ("GPL_TERMS", "GPL3_VERSION")),
     ("GPL-2.0-or-later", ("GPL2_LATER", "GPL_WARRANTY", "GPL_SEE", "GPL_COPY")),
+    ("GPL-2.0-or-later", ("GPL2_LATER", "GPL_USEFUL", "GPL_IMPLIED", "GPL_SEE", "GPL_COPY")),
     ("GPL-2.0-or-later", ("GPL2_LATER",)),
+    ("GPL-2.0-or-later", ("GPL_TERMS", "GPL2_VERSION", "GPL_USEFUL", "GPL_IMPLIED", "GPL_SEE", "GPL_COPY")),
+    ("GPL-2.0-or-later", ("GPL_TERMS", "GPL2_VERSION")),
     ("ISC", ("ISC_GRANT",)),
+    ("ISC", ("ISC_USE", "ISC_NOTICE")),
     ("MIT", ("MIT_REF",)),
     ("Apache-2.0", ("APACHE2_REF",)),
     ("GPL-3.0-only", ("GPL3_REF",)),
