@@ -100,7 +100,7 @@ tm AS (SELECT conv_id, unnest(list_concat(w, list_transform(range(1, len(w)), la
 tf AS (SELECT conv_id, term, count(*) AS tf FROM tm GROUP BY ALL),
 nd AS (SELECT count(*)::DOUBLE AS n FROM tk),
 df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
-kp AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, nd WHERE df >= 2 AND df <= 0.85 * n ORDER BY cf DESC, term LIMIT 5000),
+kp AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, nd WHERE df >= 2 AND df <= 0.85 * n ORDER BY cf DESC, term LIMIT 50000),
 rw AS (SELECT conv_id, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN kp USING (term)),
 ln_ AS (SELECT conv_id, sqrt(sum(raw * raw)) AS len FROM rw GROUP BY conv_id),
 wt AS (SELECT conv_id, term, raw / len AS weight FROM rw JOIN ln_ USING (conv_id))"""
