@@ -14,7 +14,7 @@ def clash(df):
     """The table with extra columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    for name in ("key", "t", "w", "label", "one", "host", "rank", "s", "e", "n", "path", "cls", "_h", "mix_slot"):
+    for name in ("key", "t", "w", "label", "one", "host", "rank", "s", "e", "n", "path", "cls", "p", "period", "slots", "id", "source_", "n_rows", "_part", "_hot", "_s", "_h", "_r", "_shard", "_key", "row", "suffix", "logs", "best", "seq", "grp", "size", "sig", "mix_slot"):
         df = df.withColumn(name, F.lit(7))
     return df
 
