@@ -23,6 +23,8 @@ How this stays linear under large groups of copies:
   one component need no further work: any link inside them changes nothing.
 * The rest is compared exhaustively, skipping pairs already connected; groups
   larger than a chunk are compared chunk against chunk, so no cap drops a pair.
+  Chunks of a group's largest component do not meet each other.
+* Keys of large groups, hubs and components are dealt into parts (``spread_join``).
 
 Links are always confirmed on full shingle sets, in integer arithmetic.
 """
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, clean_text, groups_of, is_empty, mix, small_batches, stage, text_bytes, word_hashes
+from .common import WordHashes, bounded, clean_text, groups_of, is_empty, mix, small_batches, spread_join, stage, text_bytes, word_hashes
 from .components import components
 
 COORDINATES = 64
@@ -47,7 +49,7 @@ _MULTIPLIERS = _RNG.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint
 _ADDENDS = _RNG.integers(0, 1 << 62, COORDINATES, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-SKETCH = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
+SKETCH = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
 
 
 def shingle_set(text: bytes, k: int, cache: WordHashes) -> np.ndarray:
@@ -82,11 +84,11 @@ def _sketches(k: int):
             full = [s for s in sets if len(s)]
             sigs = iter(minwise(full) if full else ())
             for key, s in zip(keys, sets, strict=True):
-                yield key, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, next(sigs).tobytes() if len(s) else None
+                yield *key, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, next(sigs).tobytes() if len(s) else None
 
         def all_rows() -> Iterator[tuple]:
             for batch in batches:
-                ids = batch.column("key").to_pylist()
+                ids = zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
                 keys, sets, held = [], [], 0
                 for key, text in zip(ids, text_bytes(batch, "text"), strict=True):
                     s = shingle_set(text, k, cache)
@@ -226,21 +228,20 @@ def branching(j: float, recall: float, depth: int) -> tuple[int, float]:
 def _tree_nodes(classes: DataFrame, trees: int, extra: float, leaf: int, depth: int) -> DataFrame:
     """``(path, cls, n)`` of all nodes with two or more members that branch no more.
 
-    A large node three tokens deep that kept over 60 % of its parent is dense (its
-    members resemble each other on average) and further branching would only
-    copy it; as in the published join, it is compared as it stands."""
+    A large node that kept over 60 % of its parent is dense (its members resemble each
+    other on average) and further branching would only copy it; as in the published
+    join, it is compared as it stands."""
     token = lambda c: F.expr(f"substring(sig, 4 * ({c}) + 1, 4)")
     level = classes.select(F.explode(F.array(*[F.xxhash64(F.lit(t), token(t)) for t in range(trees)])).alias("path"), "cls", F.lit(0).cast("long").alias("parent"))
     level = stage(level, "level0")
     done = []
     for at in range(depth):
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").withColumn("n_rows", F.col("n"))
         if at == 0:
-            # The widest level: staged, so that the join reads both sides from a shuffle and can be split.
-            sizes = stage(sizes, "sizes")
-        shared = stage(level.join(sizes, "path"), f"shared{at}")
+            sizes = stage(sizes, "sizes")  # the widest level, and three readers
+        shared = stage(spread_join(level, sizes, "path", ["cls"]), f"shared{at}")
         branches = F.col("n") > leaf
-        if at >= 2:
+        if at >= 1:
             branches = branches & (10 * F.col("n") <= 6 * F.col("parent"))
         if at == depth - 1:
             branches = F.lit(False)
@@ -277,15 +278,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     j = num / den
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text_col).alias("text"))
     source = source.withColumn("key", F.xxhash64("doc_id", "text"))
-    sketch = stage(source.select("key", "text").mapInArrow(_sketches(k), "key long, n_shingles long, cls binary, sig binary").distinct(), "sketch")
-    members = source.select("key", "doc_id").join(sketch.select("key", "n_shingles", "cls"), "key")
-    classes = stage(sketch.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("sig").alias("sig"), F.count("*").alias("size")), "classes")
+    sketch = stage(source.select("key", "doc_id", "text").mapInArrow(_sketches(k), "key long, doc_id long, n_shingles long, cls binary, sig binary"), "sketch")
+    members = sketch.select("key", "doc_id", "n_shingles", "cls")
+    classes = stage(sketch.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("sig").alias("sig"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
     nodes = _tree_nodes(classes, *branching(j, recall, depth), leaf, depth)
     # Nodes with the same members are one node: two independent member sums name them.
     marks = nodes.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("y"))
-    once = marks.groupBy("n", "x", "y").agg(F.min("path").alias("path"))
+    once = stage(marks.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n", F.col("n").alias("n_rows")), "once")
     tau = max(0.0, j - 4.5 * math.sqrt(j * (1 - j) / COORDINATES))
-    nodes = stage(nodes.select("path", "cls").join(once.select("path", "n"), "path"), "nodes")
+    nodes = stage(spread_join(nodes.select("path", "cls"), once, "path", ["cls"]), "nodes")
     small = nodes.where(F.col("n") <= leaf).join(classes.select("cls", "sig"), "cls")
     groups = small.select("path", "cls", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_groups(tau), "grp long, cls binary").distinct()
     groups = stage(groups.union(nodes.where(F.col("n") > leaf).select("path", "cls")), "groups")
@@ -297,30 +298,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = tasks.join(sets, "cls").select("task", "cls", "label", "side", "sig", "shingles")
         return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_links(num, den, tau), "a binary, b binary")
 
-    least = groups.groupBy("grp").agg(F.min("cls").alias("hub"))
-    hubs = stage(groups.join(least, "grp").groupBy("cls").agg(F.min("hub").alias("hub")).where("cls != hub"), "hubs")
-    dealt = hubs.join(hubs.groupBy("hub").agg(F.ceil(F.count("*") / chunk).alias("parts")), "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
+    least = stage(groups.groupBy("grp").agg(F.min("cls").alias("hub"), F.count("*").alias("n_rows")), "least")
+    hubs = stage(spread_join(groups, least, "grp", ["cls"]).groupBy("cls").agg(F.min("hub").alias("hub")).where("cls != hub"), "hubs")
+    parts = stage(hubs.groupBy("hub").agg(F.count("*").alias("n_rows")).withColumn("parts", F.ceil(F.col("n_rows") / chunk)), "parts")
+    dealt = spread_join(hubs, parts, "hub", ["cls"]).select("hub", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
     dealt = dealt.union(dealt.select("hub", F.col("hub").alias("cls"), "part").distinct())
     first = stage(confirmed(dealt.select(F.xxhash64("hub", "part").alias("task"), "cls", F.col("cls").alias("label"), F.lit(-1).cast("long").alias("side"))), "links1")
 
     named = components(first)
-    labelled = groups.join(named.withColumnRenamed("vertex", "cls"), "cls", "left").select("grp", "cls", F.coalesce("label", "cls").alias("label"))
-    open_ = labelled.groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    labelled = stage(labelled.join(open_.select("grp", "n"), "grp"), "open")
+    labelled = stage(groups.join(named.withColumnRenamed("vertex", "cls"), "cls", "left").select("grp", "cls", F.coalesce("label", "cls").alias("label")), "labelled")
+    shares = labelled.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("main"))
+    open_ = stage(shares.where("n > most").withColumn("n_rows", F.col("n")), "shares")
+    labelled = stage(spread_join(labelled, open_, "grp", ["cls"]), "open")
     task = lambda *cols: F.xxhash64(*cols).alias("task")
     small = labelled.where(F.col("n") <= chunk).select(F.col("grp").alias("task"), "cls", "label", F.lit(-1).cast("long").alias("side"))
-    big = labelled.where(F.col("n") > chunk).withColumn("parts", F.ceil(F.col("n") / chunk)).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    # Chunk p meets every chunk q: in task (min, max) its rows carry side p; task (p, p) compares all.
-    faced = big.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # The largest component's members fill the first chunks and the others the rest: two
+    # chunks of that component need no meeting, so the work is others times all, not all times all.
+    pieces = lambda c: F.ceil(c / chunk).cast("long")
+    own, parts = pieces(F.col("most")), pieces(F.col("most")) + pieces(F.col("n") - F.col("most"))
+    big = labelled.where(F.col("n") > chunk).select("grp", "cls", "label", own.alias("own"), parts.alias("parts"), (F.col("label") == F.col("main")).alias("in_main"))
+    h = F.xxhash64("cls")
+    big = big.withColumn("part", F.when(F.col("in_main"), F.pmod(h, F.col("own"))).otherwise(F.col("own") + F.pmod(h, F.col("parts") - F.col("own"))))
+    # Chunk p meets chunk q: in task (min, max) its rows carry side p; task (p, p) compares all.
+    faced = big.withColumn("q", F.explode(F.sequence(F.when(F.col("in_main"), F.col("own")).otherwise(F.lit(0).cast("long")), F.col("parts") - 1)))
     faced = faced.select(task("grp", F.least("part", "q"), F.greatest("part", "q")), "cls", "label", F.when(F.col("part") == F.col("q"), F.lit(-1)).otherwise(F.col("part")).cast("long").alias("side"))
     second = stage(confirmed(small.union(faced)), "links2")
     if not is_empty(second):
         # The stars found so far stand for the links behind them.
         named = components(named.select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(second))
 
-    found = members.join(named.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    heads = found.where("cls is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return found.join(heads, "label", "left").select("key", "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # Least ids by class and component first; documents meet only their class's row.
+    found = stage(classes.select("cls", "least", "size").join(named.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "found")
+    heads = found.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows"))
+    heads = stage(spread_join(found.select("cls", "label", "size"), heads, "label", ["cls"]).select("cls", "component_id", F.col("size").alias("n_rows")), "heads")
+    out = spread_join(members, heads, "cls", ["key"], "left")
+    return out.select("key", "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op10_chosen_path(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Only
 minima are aggregated (combined before the shuffle), each round's edges are
-staged in the shared folder, and no vertex list reaches the driver.
+staged in the shared folder, and no vertex list reaches the driver.  The centre of
+a large star is a hot key: its edges are dealt into parts (``spread_join``).
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, stage
+from .common import is_empty, spread_join, stage
 
 
 def _star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_rows")).select("a", F.least("a", "m").alias("m"), "n_rows")
     return both, least
 
 
@@ -26,11 +27,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges = stage(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
         both, least = _star(edges)
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = spread_join(both, least, "a", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         down = stage(down, "large")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_rows"))
+        small = spread_join(down, least, "a", ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         new = stage(small.where("a != b").distinct(), "small")
         # A fixpoint is a set of stars: no vertex points to a vertex that points on.
         moved = new.alias("x").join(new.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi")

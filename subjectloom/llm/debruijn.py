@@ -26,7 +26,8 @@ documents by key, and whole texts are cut once.
 All counts are aggregated before the shuffle, so a passage shared by a third of
 the documents is a count, not a group.  The counts are staged before the joins back to
 coordinates: adaptive execution splits a hot key only where both sides of a join
-come straight from a shuffle.
+come straight from a shuffle.  The key of a path that a third of the documents share
+is dealt into parts (``spread_join``).
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, clean_text, mix, small_batches, stage, text_bytes, word_hashes
+from .common import WordHashes, bounded, clean_text, mix, small_batches, spread_join, stage, text_bytes, word_hashes
 
 ANCHOR, SPAN = 6, 15
 #: An edge has at most this many words: the anchors are at most SPAN apart.
@@ -221,8 +222,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     paths = sites.withColumn("path", first).groupBy("key", "path").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("n").alias("n"), F.bit_xor(F.xxhash64("eh", F.col("pos") - F.col("path") * 64)).alias("x"), F.count("*").alias("m"))
     paths = paths.withColumn("seq", F.xxhash64("x", "m")).drop("x", "m")
     paths = stage(paths, "paths")
-    many = paths.groupBy("seq").agg(F.count("*").alias("copies")).where("copies > 1")
-    paths = stage(paths.join(many, "seq", "left").select("key", "s", "e", F.coalesce(F.col("copies") == F.col("n"), F.lit(False)).alias("whole")), "compacted")
+    many = stage(paths.groupBy("seq").agg(F.count("*").alias("n_rows")).where("n_rows > 1").withColumn("copies", F.col("n_rows")), "sequences")
+    paths = stage(spread_join(paths, many, "seq", ["key", "s"], "left").select("key", "s", "e", F.coalesce(F.col("copies") == F.col("n"), F.lit(False)).alias("whole")), "compacted")
 
     runs = paths.groupBy("key").agg(F.collect_list(F.struct("s", "e", "whole")).alias("runs")).hint("shuffle_hash")
     windows = stage(base.join(runs, "key").select("key", "text", "runs").mapInArrow(_windows(window), "h1 long, h2 long, key long, at long"), "windows")

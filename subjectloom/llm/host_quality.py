@@ -3,14 +3,15 @@
 Per document: word, symbol, repeated-line and repeated-window counts, all by
 built-in functions on one row (no shuffle of texts).  Per host: for each rule,
 failures f of n documents; a beta prior for each rule is fitted to the hosts'
-rates by the method of moments, and the posterior mean (f + a) / (n + a + b) is
-the shrunk rate.  A host whose shrunk rate passes ``host_limit`` for any rule is
-rejected, and its verdict is joined back to its documents.
+rates by the method of moments (weighted by documents, the binomial noise of
+small hosts taken off), and the posterior mean (f + a) / (n + a + b) is the shrunk
+rate.  A host whose shrunk rate passes ``host_limit`` for any rule is rejected, and
+its verdict is joined back to its documents.
 
 The counts are staged once, so that texts are read once; hosts are aggregated
-before the shuffle, and the join back carries numbers only.  A host with a third
-of all documents is split by adaptive execution (the host side has one row for
-each host).
+before the shuffle, and the join back carries numbers only.  The verdicts are
+staged with the hosts' sizes, and a host with a large share of all documents is
+dealt into parts (``spread_join``).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, clean_text, stage
+from .common import SPACE, clean_text, spread_join, stage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -72,20 +73,27 @@ def rules() -> dict[str, Column]:
 
 
 def host_verdicts(counts: DataFrame, host_limit: float = 0.5, strongest: float = 1000.0) -> DataFrame:
-    """``host`` and ``host_failed``.  The prior's strength is m(1-m)/v - 1 from the
-    mean rate m and the variance v of the hosts' rates, held to [1, ``strongest``]
-    (``strongest`` where all hosts have one rate)."""
+    """``host, n_rows, host_failed``.
+
+    A beta prior of mean m and strength s = a + b makes a host's rate vary by
+    m(1-m)(1 + (n-1) r) / n with r = 1 / (1 + s).  The sum of n (rate - m)^2 over k hosts of
+    N documents, S, has mean m(1-m) ((k-1) + r (N - k + 1 - sum n^2 / N)), which gives r;
+    s is held to [1, ``strongest``] (``strongest`` where the rates vary no more than by
+    chance)."""
     names = list(rules())
     hosts = counts.groupBy("host").agg(F.count("*").cast("double").alias("n"), *[F.count_if(test).cast("double").alias(r) for r, test in rules().items()])
-    moments = [(F.sum(r) / F.sum("n")).alias(f"m_{r}") for r in names] + [F.var_pop(F.col(r) / F.col("n")).alias(f"v_{r}") for r in names]
-    prior = hosts.select(F.struct(*moments)).scalar()
-    joined = hosts.withColumn("prior", prior)
+    n = F.col("n")
+    sums = [F.count("*").cast("double").alias("k"), F.sum("n").alias("n"), F.sum(n * n).alias("nn"), *[F.sum(r).alias(r) for r in names], *[F.sum(F.col(r) * F.col(r) / n).alias(f"q_{r}") for r in names]]
+    joined = hosts.withColumn("all", hosts.select(F.struct(*sums)).scalar())
+    at = lambda name: F.col(f"all.{name}")
     failed = F.lit(False)
     for r in names:
-        m, v = F.col(f"prior.m_{r}"), F.col(f"prior.v_{r}")
-        strength = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(strongest), m * (1 - m) / v - 1))).otherwise(F.lit(strongest))
-        failed = failed | ((F.col(r) + m * strength) / (F.col("n") + strength) > host_limit)
-    return joined.select("host", failed.alias("host_failed"))
+        m = at(r) / at("n")
+        spread = at(f"q_{r}") - at(r) * at(r) / at("n")
+        share = F.try_divide(F.try_divide(spread, m * (1 - m)) - (at("k") - 1), at("n") - at("k") + 1 - at("nn") / at("n"))
+        strength = F.when(share > 0, F.greatest(F.lit(1.0), F.least(F.lit(strongest), 1 / share - 1))).otherwise(F.lit(strongest))
+        failed = failed | ((F.col(r) + m * strength) / (n + strength) > host_limit)
+    return joined.select("host", n.cast("long").alias("n_rows"), failed.alias("host_failed"))
 
 
 def host_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
@@ -93,12 +101,13 @@ def host_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Defined results: a null text is empty (0 words, so it fails the base rule);
     a null host is the host named ''; repeated rows count as often as they stand;
-    an empty table gives an empty result.  Windows of five words are compared by
-    a 64-bit hash inside one document.
+    an empty table gives an empty result; other columns of the input are ignored.
+    Windows of five words are compared by a 64-bit hash inside one document.
     """
-    counts = stage(text_counts(docs.withColumn("host", host_of(F.col(host_col))), [id_col, "host"], text_col), "counts")
-    out = counts.join(host_verdicts(counts, host_limit), "host", "left")
-    return out.select(F.col(id_col).alias("doc_id"), *COUNTS, rules()["base"].alias("base_failed"), (~rules()["base"] & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), host_of(F.col(host_col)).alias("host"))
+    counts = stage(text_counts(rows, ["doc_id", "host"]), "counts")
+    out = spread_join(counts, stage(host_verdicts(counts, host_limit), "verdicts"), "host", ["doc_id", *COUNTS])
+    return out.select("doc_id", *COUNTS, rules()["base"].alias("base_failed"), (~rules()["base"] & ~F.col("host_failed")).alias("kept"))
 
 
 def op6_host_rules(spark, sf_dir: str) -> DataFrame:
@@ -107,7 +116,7 @@ def op6_host_rules(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH t AS (SELECT doc_id, CASE WHEN contains(source, '://') THEN lower(regexp_extract(source, '://([^/:?#]+)', 1)) ELSE coalesce(source, '') END AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, list_filter(string_split_regex(t, '[ \t-\r]+'), lambda x: x <> '') AS w,
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM t),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, w FROM w WHERE len(w) >= 5),
@@ -121,8 +130,9 @@ f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base, 1
       10 * n_dup_lines > 3 * n_words AS lines, (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS length FROM c),
 k AS (SELECT host, rule, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS x
       FROM (UNPIVOT (SELECT host, base, symbols, lines, length FROM f) ON base, symbols, lines, length INTO NAME rule VALUE failed) GROUP BY 1, 2),
-m AS (SELECT rule, sum(x) / sum(n) AS m, var_pop(x / n) AS v FROM k GROUP BY rule),
-s AS (SELECT host, x, n, m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM k JOIN m USING (rule)),
+m AS (SELECT rule, sum(x) / sum(n) AS m, sum(x * x / n) - sum(x) * sum(x) / sum(n) AS v, count(*) - 1 AS hosts, sum(n) - count(*) + 1 - sum(n * n) / sum(n) AS room FROM k GROUP BY rule),
+o AS (SELECT rule, m, CASE WHEN m > 0 AND m < 1 AND room <> 0 THEN (v / (m * (1 - m)) - hosts) / room END AS r FROM m),
+s AS (SELECT host, x, n, m, CASE WHEN r > 0 THEN greatest(1.0, least(1000.0, 1 / r - 1)) ELSE 1000.0 END AS s FROM k JOIN o USING (rule)),
 b AS (SELECT host, bool_or((x + m * s) / (n + s) > 0.5) AS host_failed FROM s GROUP BY host)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base AS base_failed,
