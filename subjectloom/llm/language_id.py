@@ -15,8 +15,9 @@ log P(language | row) is, up to a constant, the sum of
 Texts are scored once (Arrow batches, whole texts, word scores cached) and the
 scores staged; every count is a grouped aggregation combined before the shuffle,
 and the fusion is plain column arithmetic.  The one shuffled join carries a row a
-document with a handful of doubles, no text; a host with a third of all rows is split
-by adaptive execution, since the host side has one row a host.
+document with a handful of doubles, no text; a host with a large share of all rows is
+dealt into parts (``spread_join``).  All declared languages are modelled, a bounded
+number in each pass over the texts, so a worker's tables have a bound.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, clean_text, small_batches, stage, text_bytes
+from .common import bounded, clean_text, small_batches, spread_join, stage, text_bytes
 from .host_quality import host_of
 
 #: Rows of each declared language that the trigram models are fitted on, at most.
 SAMPLE_ROWS = 300
-#: Languages that are modelled: those declared most often.
-MOST_LANGUAGES = 200
+#: Languages whose models a worker holds at once; more take more passes over the texts.
+LANGUAGES_A_PASS = 200
 #: A text counts as at most this many words of evidence.
 EVIDENCE_WORDS = 25.0
 #: The background spreads its mass evenly over this many trigrams.
@@ -69,13 +70,14 @@ class TrigramModel:
         self.languages, self.grams, self.logs = languages, grams, logs
 
     @classmethod
-    def of(cls, rows: list[tuple[str, str, int]], languages: list[str], smooth: float = 0.1) -> TrigramModel:
+    def of(cls, rows: list[tuple[str, str, int]], languages: list[str], smooth: float = 0.1, vocabulary: int | None = None) -> TrigramModel:
+        """``vocabulary``: trigrams of all languages, where these are not all of them."""
         grams = {g: i for i, g in enumerate(sorted({g for _, g, _ in rows}))}
         counts = np.zeros((len(grams) + 1, len(languages)))
         at = {x: i for i, x in enumerate(languages)}
         for lang, g, n in rows:
             counts[grams[g], at[lang]] += n
-        logs = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * (len(grams) + 1)))
+        logs = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * ((vocabulary or len(grams)) + 1)))
         return cls(languages, grams, np.hstack([logs, np.full((len(logs), 1), -np.log(BACKGROUND))]))
 
     def parts(self) -> tuple:
@@ -131,15 +133,21 @@ class _Scorer:
         return counts @ self.logs, int(np.count_nonzero(c[middle - 1] == 0))
 
 
-def _score(model):
+def _score(model, last: bool):
+    """Appends the block's scores to ``logs`` (before the background's, which the ``last``
+    block adds), tempered by the number of words."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(TrigramModel(*model.value))
         for batch in batches:
             scores = [scorer.score(t) for t in text_bytes(batch, "text")]
             logs = [(s * (min(n, EVIDENCE_WORDS) / n if n else 0.0)).tolist() for s, n in scores]
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "text"]
-            names = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in scores], pa.int64()), pa.array(logs, pa.list_(pa.float64()))], [*names, "n_words", "logs"])
+            found = dict(zip(batch.schema.names, batch.columns, strict=True))
+            found["n_words"] = pa.array([n for _, n in scores], pa.int64())
+            found["logs"] = pa.array([a + (x if last else x[:-1]) for a, x in zip(batch.column("logs").to_pylist(), logs, strict=True)], pa.list_(pa.float64()))
+            if last:
+                found.pop("text")
+            yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     return run
 
@@ -154,21 +162,30 @@ def declared_of(html: Column) -> Column:
     return F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([a-z]{2,3})", 1))
 
 
-def fit(docs: DataFrame) -> TrigramModel:
-    """The trigram model of ``docs(id, text, declared)`` from at most SAMPLE_ROWS rows
-    of each of the MOST_LANGUAGES languages, those of least id hash."""
+def fit(docs: DataFrame) -> list[TrigramModel]:
+    """Trigram models of ``docs(id, text, declared)``, blocks of LANGUAGES_A_PASS declared
+    languages by name, from at most SAMPLE_ROWS rows of each, those of least id hash."""
+    spark = docs.sparkSession
     named = docs.where("declared != ''")
-    counts = named.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
     mark = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     # About twice as many rows as wanted pass by their hash alone, so the ranking below sees few.
     share = F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") / (1 << 32)
-    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["declared"], 2.0 * SAMPLE_ROWS / r["n"]) for r in counts], "declared string, part double"))
+    sizes = named.groupBy("declared").agg(F.count("*").alias("n_rows")).withColumn("part", 2.0 * SAMPLE_ROWS / F.col("n_rows"))
+    sizes = stage(sizes, "languages")
     first = F.row_number().over(Window.partitionBy("declared").orderBy("mark"))
-    chosen = named.join(sizes, "declared").where(share < F.col("part")).select("declared", mark.alias("mark")).distinct().withColumn("r", first).where(F.col("r") <= SAMPLE_ROWS).select("declared", "mark")
-    # At most SAMPLE_ROWS * MOST_LANGUAGES marks.
-    sample = named.withColumn("mark", mark).join(F.broadcast(chosen), ["declared", "mark"]).dropDuplicates(["declared", "mark"]).coalesce(8)
-    rows = sample.select(F.col("declared").alias("lang"), "text").mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    return TrigramModel.of([(r["lang"], r["gram"], r["n"]) for r in rows], sorted({r["lang"] for r in rows}))
+    near = spread_join(named.select("declared", mark.alias("mark"), share.alias("share")), sizes, "declared", ["mark"]).where(F.col("share") < F.col("part"))
+    chosen = stage(near.select("declared", "mark").distinct().withColumn("r", first).where(F.col("r") <= SAMPLE_ROWS).select("declared", "mark"), "chosen")
+    # The marks are a table of known size: Spark broadcasts it where that allows.
+    sample = named.withColumn("mark", mark).join(chosen, ["declared", "mark"]).dropDuplicates(["declared", "mark"]).coalesce(8)
+    rows = stage(sample.select(F.col("declared").alias("lang"), "text").mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
+    languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    vocabulary = rows.select("gram").distinct().count()
+    out = []
+    for k in range(0, len(languages), LANGUAGES_A_PASS):
+        block = languages[k : k + LANGUAGES_A_PASS]
+        held = rows.where((F.col("lang") >= block[0]) & (F.col("lang") <= block[-1])).collect()
+        out.append(TrigramModel.of([(r["lang"], r["gram"], r["n"]) for r in held], block, vocabulary=vocabulary))
+    return out
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, keep: tuple[str, ...] = (), accept: tuple[str, ...] | None = None, floor: float = 0.5, prior_weight: float = 20.0) -> DataFrame:
@@ -178,8 +195,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ``kept``: the language is known (and in ``accept`` where given) with a posterior
     of ``floor`` or more.  Defined results: null or letterless text (0 words) is
     'und' with posterior 0 and not kept; a null declaration or host is no
-    evidence; repeated rows are judged alike; where no row declares a
-    language there is no model and every row with words is 'und' and kept.
+    evidence; repeated rows are judged alike; of languages with equal scores the
+    alphabetically first wins, 'und' last; where no row declares a language there is
+    no model and every row with words is 'und' and kept; an empty table gives an empty
+    result; columns of the input other than those asked for are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -188,16 +207,29 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).alias("id"), clean_text(text_col).alias("text"), F.coalesce(F.lower(declared), F.lit("")).alias("declared"), host.alias("host"), *[F.col(c).alias(f"_{c}") for c in keep])
     source = source.withColumn("suffix", suffix_of(F.col("host")))
     kept = [F.col(f"_{c}").alias(c) for c in keep]
-    model = fit(source.select("id", "text", "declared"))
-    if not model.languages:
+    models = fit(source.select("id", "text", "declared"))
+    if not models:
         words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long")
         return source.select("id", *kept, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_language"), words.alias("n_words"), (words > 0).alias("kept"))
-    names = [*model.languages, UNKNOWN]
+    names = [x for m in models for x in m.languages] + [UNKNOWN]
+    scored = source.select(*source.drop("text").columns, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<double>").alias("logs"))
+    for i, model in enumerate(models):
+        last = i == len(models) - 1
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name != "text" or not last]
+        scored = scored.mapInArrow(_score(spark.sparkContext.broadcast(model.parts()), last), ", ".join(fields))
+    fused = fuse(stage(scored, "scored"), names, prior_weight)
+    good = (F.col("language") != UNKNOWN) & (F.col("posterior") >= floor)
+    if accept is not None:
+        good = good & F.col("language").isin(*accept)
+    return fused.select("id", *kept, "language", "posterior", "text_language", "n_words", good.alias("kept"))
+
+
+def fuse(scored: DataFrame, names: list[str], prior_weight: float = 20.0) -> DataFrame:
+    """``scored(declared, host, suffix, n_words, logs, ...)`` with ``language, posterior,
+    text_language``: the text's scores (one a name, UNKNOWN last) plus host prior, suffix
+    and declaration, all counted from the text-only decisions of ``scored`` itself."""
     k = len(names)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("text").schema]
-    ordered = source.select(*source.drop("text").columns, "text")
-    scored = ordered.mapInArrow(_score(spark.sparkContext.broadcast(model.parts())), ", ".join([*fields, "n_words long", "logs array<double>"]))
-    scored = stage(scored.withColumn("best", F.when(F.col("n_words") > 0, F.array_position("logs", F.array_max("logs")) - 1)), "scored")
+    scored = scored.withColumn("best", F.when(F.col("n_words") > 0, F.array_position("logs", F.array_max("logs")) - 1))
 
     def table(key: str) -> DataFrame:
         """Counts of text-only decisions for each value of ``key``."""
@@ -221,11 +253,11 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     suffixes = suffixes.select("suffix", scale(add(F.col("sc"), scale(base, F.lit(prior_weight))), 1.0 / (total(F.col("sc")) + prior_weight)).alias("sp")).join(likelihood("suffix"), "suffix")
     hosts = scored.where("best is not null").groupBy("host", "suffix").agg(F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(k)]).alias("c")).join(suffixes, "suffix")
     prior = scale(add(F.col("c"), scale(F.col("sp"), F.lit(prior_weight))), 1.0 / (total(F.col("c")) + prior_weight))
-    hosts = hosts.select("host", add(F.transform(prior, lambda x: F.log(x)), F.col("suffix_logs")).alias("host_logs"))
-    # At most MOST_LANGUAGES rows; any other declaration is no evidence.
-    named = F.broadcast(likelihood("declared").where(F.col("declared").isin(*model.languages)))
+    hosts = hosts.select("host", total(F.col("c")).alias("n_rows"), add(F.transform(prior, lambda x: F.log(x)), F.col("suffix_logs")).alias("host_logs"))
+    # Declarations other than a modelled language are no evidence; those are one row a name.
+    named = likelihood("declared").where(F.col("declared").isin(*names[:-1]))
 
-    fused = scored.join(named, "declared", "left").join(hosts, "host", "left")
+    fused = spread_join(scored.join(F.broadcast(named), "declared", "left"), stage(hosts, "hosts"), "host", ["id", "n_words"], "left")
     flat = F.transform("logs", lambda x: F.lit(0.0))
     for part in ("host_logs", "declared_logs"):
         fused = fused.withColumn("logs", add(F.col("logs"), F.coalesce(F.col(part), flat)))
@@ -233,14 +265,13 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     fused = fused.withColumn("posterior", F.when(F.col("n_words") > 0, 1.0 / total(F.transform("logs", lambda x: F.exp(x - F.col("top"))))).otherwise(0.0))
     label = lambda i: F.element_at(F.array(*[F.lit(x) for x in names]), i.cast("int"))
     fused = fused.withColumn("language", F.when(F.col("n_words") > 0, label(F.col("at"))).otherwise(UNKNOWN))
-    good = (F.col("language") != UNKNOWN) & (F.col("posterior") >= floor)
-    if accept is not None:
-        good = good & F.col("language").isin(*accept)
-    return fused.select("id", *kept, "language", "posterior", F.coalesce(label(F.col("best") + 1), F.lit(UNKNOWN)).alias("text_language"), "n_words", good.alias("kept"))
+    return fused.withColumn("text_language", F.coalesce(label(F.col("best") + 1), F.lit(UNKNOWN)))
 
 
 def identify_pages(pages: DataFrame) -> DataFrame:
-    """``identify`` over raw pages: markup language, address suffix and host from the page."""
+    """``identify`` over raw pages (``page_id, url, html``): markup language, address suffix
+    and host from the page.  Defined results are those of ``identify``; a null page is an
+    empty text, markup without letters is 'und', a null address is the host ''."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&[a-zA-Z#0-9]+;", " ")
     return identify(pages.withColumn("text", text), id_col="page_id", declared=declared_of(F.col("html")), host=F.col("url"))
 

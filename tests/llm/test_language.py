@@ -1,4 +1,5 @@
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -61,3 +62,77 @@ def test_pages(spark, sf):
 def test_addresses(spark):
     row = spark.sql("select 'a.example.fr' h, '<html class=x lang=\"DE-at\">' m").select(L.suffix_of(F.col("h")), L.declared_of(F.col("m"))).first()
     assert tuple(row) == ("fr", "de")
+
+
+def slow_fusion(rows, names, weight=20.0):
+    """The fusion in plain Python: counts of text-only decisions, then sums of logs."""
+    k = len(names)
+    best = [None if not r["n_words"] else max(range(k), key=lambda i, r=r: (r["logs"][i], -i)) for r in rows]
+
+    def counts(key):
+        out = defaultdict(lambda: [0.0] * k)
+        for r, b in zip(rows, best, strict=True):
+            if b is not None:
+                out[key(r)][b] += 1
+        return out
+
+    every = counts(lambda r: 0)[0]
+    base = [(x + 1) / (sum(every) + k) for x in every]
+    by_suffix, by_host, by_declared = (counts(lambda r, c=c: r[c]) for c in ("suffix", "host", "declared"))
+
+    def likely(c):
+        share = (sum(c) + 1) / (sum(every) + 1)
+        return [math.log((x + 10 * share) / (n + 10)) for x, n in zip(c, every, strict=True)]
+
+    out = []
+    for r, b in zip(rows, best, strict=True):
+        logs = list(r["logs"])
+        if r["host"] in by_host:
+            sc, hc = by_suffix[r["suffix"]], by_host[r["host"]]
+            prior = [(x + weight * p) / (sum(sc) + weight) for x, p in zip(sc, base, strict=True)]
+            prior = [(x + weight * p) / (sum(hc) + weight) for x, p in zip(hc, prior, strict=True)]
+            logs = [x + math.log(p) + (y if r["suffix"] else 0) for x, p, y in zip(logs, prior, likely(sc), strict=True)]
+        if r["declared"] in names[:-1] and r["declared"] in by_declared:
+            logs = [x + y for x, y in zip(logs, likely(by_declared[r["declared"]]), strict=True)]
+        top = max(logs)
+        post = 1 / sum(math.exp(x - top) for x in logs) if r["n_words"] else 0.0
+        out.append((r["id"], names[logs.index(top)] if r["n_words"] else "und", post, names[b] if b is not None else "und"))
+    return out
+
+
+def test_fusion_equals_plain_python(spark):
+    rng = np.random.default_rng(8)
+    names = ["de", "en", "fr", "und"]
+    hosts = [("", ""), ("a.fr", "fr"), ("b.fr", "fr"), ("c.de", "de"), ("plain", "")]
+    rows = []
+    for i in range(300):
+        host, suffix = hosts[int(rng.integers(0, 5)) if i % 3 else 1]
+        logs = [-1.0, -1.0, -2.0, -3.0] if i % 50 == 0 else [float(x) for x in np.round(rng.normal(-20, 2, 4), 3)]
+        rows.append({"id": i, "declared": ["", "en", "fr", "xx"][int(rng.integers(0, 4))], "host": host, "suffix": suffix, "n_words": int(i % 10 > 0), "logs": logs})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, declared string, host string, suffix string, n_words long, logs array<double>")
+    got = {r["id"]: r for r in L.fuse(df, names).collect()}
+    assert len(got) == 300
+    for i, language, posterior, text_language in slow_fusion(rows, names):
+        assert (got[i]["language"], got[i]["text_language"]) == (language, text_language) and abs(got[i]["posterior"] - posterior) < 1e-9
+    assert got[50 * 5]["text_language"] == "und" and got[51]["n_words"] == 1
+
+
+def test_blocks_of_languages_change_nothing(spark, sf, monkeypatch):
+    """Every declared language is modelled; a pass for each changes no score."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    key = lambda df: {r["id"]: (r["language"], round(r["posterior"], 9), r["text_language"], r["n_words"]) for r in df.collect()}
+    one = key(L.identify(table))
+    monkeypatch.setattr(L, "LANGUAGES_A_PASS", 1)
+    assert key(L.identify(table)) == one and len({x for x, *_ in one.values()}) == 4
+
+
+def test_query(spark, sf):
+    """The registered query: all rows, and very long and tied texts have results."""
+    from subjectloom.llm.queries import QUERIES
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    got = QUERIES["op9_evidence_fusion"](spark, sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in table.select("doc_id").collect())
+    long = table.where("lang = 'fr'").first()["text"] * 3_000
+    more = table.union(docs(spark, [long, long], 20_000, lang="fr", source=None).select(*table.columns))
+    assert {r["language"] for r in L.identify(more).where("id >= 20000").collect()} == {"fr"}
