@@ -12,10 +12,11 @@ the one with the largest page id is the response; the others are revisits
 (profile identical-payload-digest) whose block is the HTTP head alone, so equal
 payloads are stored once, however many there are.
 
-Files are reached through ``pyarrow.fs`` by URI, in the shared folder; a task writes
-under a name of its own and moves the file when it is whole, so a lost executor
-leaves no half-written archive under a final name.  A task streams: it holds one
-record (and one batch of rows) at a time.
+Files are reached through ``pyarrow.fs`` by URI, in the shared folder.  Every attempt of a
+task writes under a name of its own and gives that name in its output; the staged table
+of names is committed by Spark, so it names the files of the attempts that won.  What a
+lost or repeated attempt leaves is named nowhere, and nothing is moved or overwritten.
+A task streams: it holds one record (and one batch of rows) at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -53,19 +53,12 @@ def _open(uri: str):
     return system, path
 
 
-class _Gone(NamedTuple):
-    system: object
-    path: str
-    part: str
-
-    @classmethod
-    def at(cls, uri: str) -> _Gone:
-        system, path = _open(uri)
-        system.create_dir(path.rpartition("/")[0], recursive=True)
-        return cls(system, path, f"{path}.{uuid.uuid4().hex}.part")
-
-    def done(self) -> None:
-        self.system.move(self.part, self.path)
+def _new(folder: str):
+    """A file name that no other attempt has: system, path, URI."""
+    uri = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+    system, path = _open(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    return system, path, uri
 
 
 def record(page_id, url: str, n_bytes: int, payload: bytes | None, sha: str, refers_to) -> bytes:
@@ -90,39 +83,40 @@ def _write(folder: str):
     """Rows (page_id, url, n_bytes, payload, sha, leader) to one monolithic gzip file a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = stream = None
+        stream = uri = None
         packer = zlib.compressobj(COARSE, zlib.DEFLATED, 31)
         n = 0
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "n_bytes", "payload", "sha", "leader")]
             for row in zip(*columns, strict=True):
-                if out is None:
-                    out = _Gone.at(f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz")
-                    stream = out.system.open_output_stream(out.part, compression=None)
+                if stream is None:
+                    system, path, uri = _new(folder)
+                    stream = system.open_output_stream(path, compression=None)
                 stream.write(packer.compress(record(*[v.as_py() for v in row])))
                 n += 1
-        if out is not None:
+        if stream is not None:
             stream.write(packer.flush())
             stream.close()
-            out.done()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"]), pa.array([n], pa.int64())], ["archive", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], ["archive", "n"])
 
     return run
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The inflated chunks of a gzip file of one or many members, read once."""
-    engine = zlib.decompressobj(31)
+    """The inflated chunks of a gzip file of one or many members, read once; a file that ends
+    inside a member is an error, wherever the cut lies."""
+    engine, inside = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
         while data:
+            inside = True
             if out := engine.decompress(data, CHUNK * 4):
                 yield out
             data = engine.unconsumed_tail
             if engine.eof:
                 data = engine.unused_data
-                engine = zlib.decompressobj(31)
-    if out := engine.flush():
-        yield out
+                engine, inside = zlib.decompressobj(31), False
+    if inside:
+        raise ValueError("archive ends inside a gzip member")
 
 
 def records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -157,13 +151,12 @@ def _normalise(folder: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source in batch.column("archive").to_pylist():
-                target = f"{folder}/{source.rpartition('/')[2]}"
-                out, side = _Gone.at(target), _Gone.at(f"{target}.idx")
+                out, to, target = _new(folder)
                 system, path = _open(source)
 
                 def rows() -> Iterator[tuple]:
                     at = 0
-                    with system.open_input_stream(path, compression=None) as stream, out.system.open_output_stream(out.part, compression=None) as archive, side.system.open_output_stream(side.part, compression=None) as index:
+                    with system.open_input_stream(path, compression=None) as stream, out.open_output_stream(to, compression=None) as archive, out.open_output_stream(f"{to}.idx", compression=None) as index:
                         for head, whole in records(inflated(stream)):
                             packer = zlib.compressobj(FINE, zlib.DEFLATED, 31)
                             member = packer.compress(whole) + packer.flush()
@@ -172,8 +165,6 @@ def _normalise(folder: str):
                             index.write((json.dumps(row, ensure_ascii=False) + "\n").encode())
                             yield target, *row
                             at += len(member)
-                    out.done()
-                    side.done()
 
                 yield from bounded(rows(), INDEX, 20_000)
 
@@ -248,7 +239,8 @@ def warc_round_trip(pages: DataFrame, **columns) -> DataFrame:
     Defined results: a null html is the empty payload; a null url is empty (line
     breaks in urls are dropped); a null page id is never a leader, and a group of
     null ids alone is all responses; rows that repeat the leader's id are
-    responses; an empty table gives an empty result.
+    responses; an empty table gives an empty result; other columns of the input
+    are ignored.
     """
     folder = shared_dir(pages.sparkSession)
     archives = write_archives(pages, f"{folder}/monolithic", **columns)

@@ -48,6 +48,9 @@ def test_streams_in_pieces_and_truncation():
         assert heads == ["response", "revisit"]
     with pytest.raises(ValueError):
         list(W.records([rec[:-20]]))
+    for whole in (gzip.compress(rec[: rec.index(b"WARC/1.1", 8)]) + gzip.compress(rec[rec.index(b"WARC/1.1", 8) :])[:-9], gzip.compress(rec)[:-8]):
+        with pytest.raises(ValueError):
+            list(W.records(W.inflated(io.BytesIO(whole))))
     data = gzip.compress(rec[:100]) + gzip.compress(rec[100:])
     assert b"".join(W.inflated(io.BytesIO(data))) == rec
 
@@ -59,5 +62,15 @@ def test_edges(spark):
     assert W.warc_round_trip(pages(spark, rows).where("false")).count() == 0
 
 
+def test_every_attempt_has_names_of_its_own(spark):
+    """Two runs into one folder, as a repeated task writes, disturb nothing; clashing columns are ignored."""
+    folder = shared_dir(spark)
+    df = pages(spark, [(i, "u", f"x{i % 4}") for i in range(8)]).selectExpr("*", "1 as sha", "2 as leader", "3 as payload", "4 as n_bytes", "5 as archive")
+    one = W.normalise_archives(W.write_archives(df, f"{folder}/a"), f"{folder}/b")
+    two = W.normalise_archives(W.write_archives(df, f"{folder}/a"), f"{folder}/b")
+    assert not {r["archive"] for r in one.collect()} & {r["archive"] for r in two.collect()}
+    assert sorted(map(tuple, W.read_records(one).collect()), key=str) == sorted(map(tuple, W.read_records(two).collect()), key=str)
+
+
 def test_query(spark, sf):
     same_rows(QUERIES["op4_gzip_normaliser"](spark, sf), connect(sf), ORACLES["op4_gzip_normaliser"])
