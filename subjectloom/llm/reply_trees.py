@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_empty, stage
+from .common import is_empty, spread_join, stage
 
 # Control strings of common chat templates; each is written as
 # ESCAPE and the letter at its place.
@@ -57,23 +57,31 @@ def root_paths(nodes: DataFrame, rounds: int = 40) -> tuple[DataFrame, list[Data
     """``node, root, depth, total`` of each node, and the staged pointer tables:
     table r has ``node, up`` with up the ancestor 2**r steps above.
 
-    A parent that is no node is treated as none (its child is a root); a node in a
-    cycle has no root and is an error after ``rounds`` doublings.
+    A node is written again only until its root is known.  A parent that is no node is
+    treated as none (its child is a root); a node in a cycle has no root and is an
+    error after ``rounds`` doublings.
     """
-    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    state = nodes.select("node", "parent", "score").join(known, "parent", "left")
+
+    def children(rows: DataFrame, to: str) -> DataFrame:
+        return rows.where(F.col(to).isNotNull()).groupBy(to).agg(F.count("*").alias("n_rows"))
+
+    # A message may have a large share of all replies, and be the ancestor of as many: both
+    # joins know how many rows ask for a key, and deal those of the hot ones.
+    known = children(nodes, "parent").join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").withColumn("known", F.lit(True))
+    state = spread_join(nodes.select("node", "parent", "score"), known, "parent", ["node"], "left")
     state = state.select("node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     state = stage(state.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), "up0")
-    tables = [state.select("node", "up").where("up is not null")]
-    for r in range(rounds):
-        # Only nodes that have not reached their root are joined again.
-        going, ended = state.where("up is not null"), state.where("up is null")
+    tables, done = [], None
+    for r in range(rounds + 1):
+        ended, going = state.where("up is null"), state.where("up is not null")
+        done = ended if done is None else done.union(ended)
         if is_empty(going):
-            return state.select("node", "root", "depth", "total"), tables
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        going = going.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root"))
-        state = stage(going.union(ended.select(*going.columns)), f"up{r + 1}")
-        tables.append(state.select("node", "up").where("up is not null"))
+            return done.select("node", "root", "depth", "total"), tables
+        tables.append(going.select("node", "up"))
+        above = done.union(going).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
+        # An ancestor stands in exactly one of the tables: a node that has ended is in none of the later ones.
+        above = above.join(children(going, "up"), "up")
+        state = stage(spread_join(going.select("node", "up", "total", "depth"), above, "up", ["node"]).select("node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root")), f"up{r + 1}")
     raise ValueError(f"a reply path does not end within 2**{rounds} messages: the parents have a cycle")
 
 
@@ -156,7 +164,8 @@ def op8_reply_trees(spark, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return read_back(format_conversations(chain(rows.union(extra))))
+    # Staged: the texts pass through the ordering of turns once, not once for each reader.
+    return read_back(format_conversations(stage(chain(rows.union(extra)), "messages")))
 
 
 def oracle() -> str:

@@ -63,6 +63,27 @@ def test_deep_chains_and_cycles(spark):
         R.root_paths(loop, rounds=4)
 
 
+def test_a_viral_message(spark):
+    """Three thousand replies to one message, each with one answer: hot keys are dealt."""
+    n = 3_000
+    rows = [("top", None, 1, "user", "q", 0.0)] + [(f"a{i}", "top", 1, "assistant", f"t{i}", i / n) for i in range(n)] + [(f"b{i}", f"a{i}", 1, "user", "more", 0.5) for i in range(n)]
+    df = spark.createDataFrame(rows, MESSAGE)
+    state, _ = R.root_paths(df.select("node", "parent", "score"))
+    assert state.where("root = 'top'").count() == 2 * n + 1 and state.where("depth = 3").count() == n
+    assert [r["path"] for r in R.format_conversations(df).collect()] == [f"b{n - 1}"]
+
+
+def test_a_very_long_conversation_and_clashing_columns(spark):
+    conv = "conv_id long, turn long, role string, text string, node string, parent string, tree long, score double, up string, root long, n_rows long, known boolean"
+    rows = [(5, i, "assistant" if i % 2 else "user", f"said {i} " * 20, "x", "y", 1, 1.0, "z", 2, 3, True) for i in range(4_000)]
+    got = R.read_back(R.format_conversations(R.chain(spark.createDataFrame(rows, conv)))).collect()
+    want = "".join(f"{r}\n{t}\n" for _, _, r, t, *_ in rows)
+    loss = "".join(t for _, _, r, t, *_ in rows if r == "assistant")
+    assert [(r["conv_id"], r["n_turns"], r["turns_sha256"], r["loss_sha256"]) for r in got] == [(5, 4_000, hashlib.sha256(want.encode()).hexdigest(), hashlib.sha256(loss.encode()).hexdigest())]
+    messages = spark.createDataFrame([("a", None, 1, "user", "q", 1.0, 7, "r", True)], MESSAGE + ", n_rows long, up string, known boolean")
+    assert R.format_conversations(messages).first()["path"] == "a"
+
+
 def test_edges(spark):
     conv = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, None, "x"), (None, 0, "assistant", "n")]
