@@ -13,7 +13,8 @@ has no base kind to give, the kind is ``secret``.
 
 Only tokens within ``REACH`` of a token with a digit or an at-sign are decoded: an
 entity has such a token (segments without one are not entities), so what lies
-farther away can only be outside.  Time and memory are linear in the text.
+farther away can only be outside.  Time is linear in the text; features are made for
+BLOCK tokens at a time and dropped, and a token keeps some thirty bytes.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +43,9 @@ LONGEST, REACH, SENTENCES = 7, 8, 240
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match of digits always begins where a run of digits does, so the look-behind
-# changes no result; it and the possessive runs keep long runs linear.
+# changes no result; it and the possessive runs keep long runs linear and their stack flat.
 _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++").finditer
-_card = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
+_card = re.compile(r"[0-9](?:[\x20-]?[0-9])++").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _digits = re.compile(r"[^0-9]+").sub
 _tokens = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]").finditer
@@ -85,110 +89,182 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---------------------------------------------------------------- the model
 
-Token = tuple[int, int, int]  # start, end, base kind or -1
+class Tokens(NamedTuple):
+    """Starts, ends and base kinds (-1: none) of tokens, as arrays."""
 
+    start: np.ndarray
+    end: np.ndarray
+    kind: np.ndarray
+
+
+def tokenise(text: str, base: Iterable[tuple[int, int, int]], lo: int, hi: int) -> Tokens:
+    """Tokens of a stretch; overlapping base spans are merged into one.  ``base``: sorted,
+    those that end before the stretch may be left out."""
+    start, end, kinds = array("q"), array("q"), array("b")
+
+    def plain(a: int, b: int) -> None:
+        for m in _tokens(text, a, b):
+            start.append(m.start())
+            end.append(m.end())
+            kinds.append(-1)
 
-def tokenise(text: str, base: list[tuple[int, int, int]], lo: int, hi: int) -> list[Token]:
-    """Tokens of a stretch; overlapping base spans are merged into one."""
-    out: list[Token] = []
     at = lo
     for s, e, kind in base:
-        if e <= lo or s >= hi:
+        if s >= hi:
+            break
+        if e <= lo:
             continue
-        if s < at and out and out[-1][2] >= 0:
-            if e > out[-1][1]:
-                out[-1] = (out[-1][0], e, out[-1][2])
-                at = e
+        if s < at and kinds and kinds[-1] >= 0:
+            if e > end[-1]:
+                end[-1] = at = e
             continue
-        out.extend((m.start(), m.end(), -1) for m in _tokens(text, at, s))
-        out.append((s, e, kind))
+        plain(at, s)
+        start.append(s)
+        end.append(e)
+        kinds.append(kind)
         at = e
-    out.extend((m.start(), m.end(), -1) for m in _tokens(text, at, hi))
-    return out
+    plain(at, hi)
+    return Tokens(np.array(start, np.int64), np.array(end, np.int64), np.array(kinds, np.int8))
 
 
 _CONTEXT = {"secret": ("token", "key", "secret", "password", "passwd", "apikey", "api_key", "pwd", "auth", "bearer"), "phone": ("tel", "phone", "call", "fax", "mobile"), "email": ("mail", "email", "contact"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "payment", "iban")}
 FEATURES = ("bias", "tokens", "len<8", "len<16", "len<28", "len>=28", "digits", "hexadecimal", "mixed", "entropy", "one_word", "quoted", "spaces", "at_sign", "dots", "dashes", "local_phone", "luhn", "base_email", "base_ip", "base_card", "base_phone", "ctx_secret", "ctx_phone", "ctx_email", "ctx_ip", "ctx_card", "assigned")
 
 
-def features(text: str, tokens: list[Token], i: int, j: int) -> np.ndarray:
-    """Whole-segment features of tokens[i:j]."""
-    s, e = tokens[i][0], tokens[j - 1][1]
-    part = text[s:e]
-    n = len(part)
-    alnum = [c for c in part if c.isalnum()]
-    m = len(alnum) or 1
-    digits = sum(c.isdigit() for c in alnum)
-    counts = Counter(part)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    left = [text[a:b].lower() for a, b, _ in tokens[max(0, i - 4) : i]]
-    numbers = _digits("", part)
-    quoted = s > 0 and e < len(text) and text[s - 1] == text[e] and text[e] in "\"'`"
-    kinds = {t[2] for t in tokens[i:j]}
-    ctx = [float(any(w in _CONTEXT[k] for w in left)) for k in ("secret", "phone", "email", "ip", "card")]
-    values = [
-        1.0, (j - i - 1) / LONGEST, n < 8, 8 <= n < 16, 16 <= n < 28, n >= 28, digits / m, all(c in "0123456789abcdefABCDEF" for c in alnum) and 0 < digits < m,
-        0.1 < digits / m < 0.9 and any(c.isalpha() for c in alnum), entropy / 5, j - i == 1, quoted, part.count(" ") / n, "@" in part, part.count(".") / n, part.count("-") / n,
-        bool(re.fullmatch(r"\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}", part)), 12 <= len(numbers) <= 19 and len(numbers) == m and luhn(numbers),
-        *[float(j - i == 1 and kinds == {k}) for k in range(4)], *ctx, bool(left) and left[-1] in ("=", ":", '"', "'", "`"),
-    ]
-    return np.array(values, float)
-
-
-def segments(text: str, tokens: list[Token], bare: list[bool]) -> list[tuple[int, int, bool]]:
-    """(i, j, may be an entity): all segments; a base token stands alone and is
-    always an entity, and an entity has a trigger and no base token beside others."""
-    out = []
-    n = len(tokens)
-    for i in range(n):
-        if tokens[i][2] >= 0:
-            out.append((i, i + 1, True))
-            continue
-        out.append((i, i + 1, not bare[i]))
-        seen = not bare[i]
-        for j in range(i + 2, min(n, i + LONGEST) + 1):
-            if tokens[j - 1][2] >= 0 or "\n" in text[tokens[j - 2][1] : tokens[j - 1][0]]:
-                break
-            seen = seen or not bare[j - 1]
-            if seen:
-                out.append((i, j, True))
-    return out
-
-
-def scored(text: str, tokens: list[Token], weights: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, features, label scores); -inf for labels a segment cannot have."""
-    bare = [t[2] < 0 and not _trigger(text, t[0], t[1]) for t in tokens]
-    out = []
-    for i, j, entity in segments(text, tokens, bare):
-        f = features(text, tokens, i, j) if entity else None
-        s = np.full(len(LABELS), -np.inf)
-        kind = tokens[i][2]
-        if kind >= 0:
-            s[kind + 1] = 0.0
-        else:
-            if j == i + 1:
-                s[0] = 0.0
-            if entity:
-                s[1:] = f @ weights
-        out.append((i, j, f, s))
-    return out
-
-
-def decode(text: str, tokens: list[Token], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities: (start, end, kind index), base tokens left out."""
-    n = len(tokens)
-    best = np.full(n + 1, -np.inf)
+_WORDS = {w: [i for i, k in enumerate(("secret", "phone", "email", "ip", "card")) if w in _CONTEXT[k]] for words in _CONTEXT.values() for w in words}
+_local_phone = re.compile(r"\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}").fullmatch
+#: Tokens whose segments are scored together, and characters that are counted together.
+BLOCK, CHARS = 1024, 1 << 18
+
+
+def _counts(piece: str, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The characters of a piece, and how often each stands in each token and in the gap after it."""
+    chars = sorted(set(piece))
+    points, u = np.array([ord(c) for c in chars], np.uint32), len(chars)
+    inside, gaps = np.zeros(len(starts) * u, np.int64), np.zeros(len(starts) * u, np.int64)
+    for at in range(0, len(piece), CHARS):
+        codes = np.searchsorted(points, np.frombuffer(piece[at : at + CHARS].encode("utf-32-le", "surrogatepass"), np.uint32))
+        place = np.arange(at, at + len(codes))
+        token = np.searchsorted(starts, place, "right") - 1
+        own = place < ends[token]
+        inside += np.bincount(token[own] * u + codes[own], minlength=len(inside))
+        gaps += np.bincount(token[~own] * u + codes[~own], minlength=len(gaps))
+    return chars, inside.reshape(-1, u), gaps.reshape(-1, u)
+
+
+def segments(text: str, tokens: Tokens, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length from 1 to LONGEST: the length, which of the tokens ``lo`` to ``hi``
+    open a segment of that length that may be an entity, and the whole-segment
+    features of those.
+
+    An entity has a token with a digit or an at-sign, no base token and no line break.
+    Everything about a segment is a sum over its tokens and gaps, so all segments of a
+    length are done at once."""
+    start, end, kind = tokens
+    right = min(len(start), hi + LONGEST - 1)
+    m, k, origin = hi - lo, right - lo, int(start[lo])
+    piece = text[origin : int(end[right - 1])]
+    chars, inside, gaps = _counts(piece, start[lo:right] - origin, end[lo:right] - origin)
+    column = {c: i for i, c in enumerate(chars)}
+    mask = lambda test: np.array([bool(test(c)) for c in chars], np.int64)
+    alnum, isdigit, alpha = mask(str.isalnum), mask(str.isdigit), mask(str.isalpha)
+    hexes, ascii_digit = mask(lambda c: c in "0123456789abcdefABCDEF"), mask(lambda c: c in "0123456789")
+    trigger = inside @ mask(lambda c: c in "0123456789@") > 0
+    free = kind[lo:right] < 0
+    broken = gaps[:, column["\n"]] > 0 if "\n" in column else np.zeros(k, bool)
+    # What stands to the left of each token: context words, and a sign that assigns a value.
+    first = max(0, lo - 4)
+    words = [text[a:b] if b - a <= 8 else "" for a, b in zip(start[first : lo + m].tolist(), end[first : lo + m].tolist(), strict=True)]
+    said = np.zeros((len(words) + 4, 5), bool)
+    for i, w in enumerate(words):
+        if found := _WORDS.get(w.lower()):
+            said[i + 4, found] = True
+    skip = lo - first
+    context = said[skip : skip + m] | said[skip + 1 : skip + 1 + m] | said[skip + 2 : skip + 2 + m] | said[skip + 3 : skip + 3 + m]
+    assigned = np.array([i + skip > 0 and words[i + skip - 1] in ("=", ":", '"', "'", "`") for i in range(m)])
+    quote = lambda at: text[at] if 0 <= at < len(text) and text[at] in "\"'`" else ""
+    opening = np.array([quote(a - 1) for a in start[lo:hi].tolist()], dtype="U1")
+    closing = np.array([quote(b) for b in end[lo:right].tolist()], dtype="U1")
+    # Luhn sums of any run of digits: running sums with even, and with odd, places doubled.
+    digits = np.array([int(c) for c in _digits("", piece)] if len(piece) <= CHARS else [], np.int64)
+    doubled = 2 * digits - 9 * (digits > 4)
+    even = np.arange(len(digits)) % 2 == 0
+    sums = [np.concatenate([[0], np.cumsum(np.where(even == x, digits, doubled))]) for x in (True, False)]
+    before = np.concatenate([[0], np.cumsum(inside @ ascii_digit)])
+    total = np.zeros((m, len(chars)), np.int64)
+    ok, seen = np.ones(m, bool), np.zeros(m, bool)
+    for length in range(1, LONGEST + 1):
+        last = np.arange(m) + length - 1
+        there = last < k
+        last = np.minimum(last, k - 1)
+        if length > 1:
+            ok &= ~broken[np.minimum(last - 1, k - 1)]
+            total += gaps[np.maximum(last - 1, 0)]
+        ok &= there & free[last]
+        total += inside[last]
+        seen |= trigger[last]
+        rows = np.flatnonzero(ok & seen)
+        c, j = total[rows], last[rows]
+        n = (end[lo + j] - start[lo + rows]).astype(float)
+        a, d = c @ alnum, c @ isdigit
+        share = d / np.maximum(a, 1)
+        logs = np.log2(c, out=np.zeros(c.shape), where=c > 0)
+        entropy = np.log2(n) - (c * logs).sum(axis=1) / n
+        of = lambda x, c=c: c[:, column[x]] if x in column else np.zeros(len(c), np.int64)
+        f = np.zeros((len(rows), len(FEATURES)))
+        f[:, 0] = 1.0
+        f[:, 1] = (length - 1) / LONGEST
+        f[:, 2], f[:, 3], f[:, 4], f[:, 5] = n < 8, (n >= 8) & (n < 16), (n >= 16) & (n < 28), n >= 28
+        f[:, 6] = share
+        f[:, 7] = (c @ hexes == a) & (d > 0) & (d < np.maximum(a, 1))
+        f[:, 8] = (share > 0.1) & (share < 0.9) & (c @ alpha > 0)
+        f[:, 9] = entropy / 5
+        f[:, 10] = length == 1
+        f[:, 11] = (opening[rows] != "") & (opening[rows] == closing[j])
+        f[:, 12], f[:, 13], f[:, 14], f[:, 15] = of(" ") / n, of("@") > 0, of(".") / n, of("-") / n
+        numbers = c @ ascii_digit
+        for r in np.flatnonzero((numbers == 10) & (n >= 12) & (n <= 14)).tolist():
+            f[r, 16] = bool(_local_phone(text, int(start[lo + rows[r]]), int(end[lo + j[r]])))
+        for r in np.flatnonzero((numbers >= 12) & (numbers <= 19) & (numbers == a)).tolist():
+            p, q = int(before[rows[r]]), int(before[j[r] + 1])
+            f[r, 17] = (sums[(q - 1) % 2][q] - sums[(q - 1) % 2][p]) % 10 == 0 if len(digits) else luhn(_digits("", text[int(start[lo + rows[r]]) : int(end[lo + j[r]])]))
+        f[:, 22:27] = context[rows]
+        f[:, 27] = assigned[rows]
+        yield length, rows, f
+
+
+def decode(text: str, tokens: Tokens, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities: (start, end, kind index), base tokens left out.
+
+    One pass from left to right; a token keeps a score and two small numbers."""
+    n = len(tokens.start)
+    best = array("d", [-math.inf]) * (n + 1)
     best[0] = 0.0
-    back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-    for i, j, _, s in scored(text, tokens, weights):
-        label = int(np.argmax(s))
-        if best[i] + s[label] > best[j]:
-            best[j], back[j] = best[i] + s[label], (i, label)
+    size, label = bytearray(n + 1), bytearray(n + 1)
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        # Label 0 is outside (one token, score 0); a base token is its own kind.
+        score = np.full((LONGEST, hi - lo), -np.inf)
+        name = np.zeros((LONGEST, hi - lo), np.int64)
+        score[0] = 0.0
+        name[0] = tokens.kind[lo:hi] + 1
+        for length, rows, f in segments(text, tokens, lo, hi):
+            s = f @ weights
+            kind, top = s.argmax(axis=1), s.max(axis=1)
+            win = top > score[length - 1, rows]
+            score[length - 1, rows[win]] = top[win]
+            name[length - 1, rows[win]] = kind[win] + 1
+        for i, ways, names in zip(range(lo, hi), score.T.tolist(), name.T.tolist(), strict=True):
+            so_far = best[i]
+            for length, way in enumerate(ways, 1):
+                if so_far + way > best[min(i + length, n)]:
+                    best[i + length] = so_far + way
+                    size[i + length], label[i + length] = length, names[length - 1]
     out, at = [], n
     while at > 0:
-        i, label = back[at]
-        if label and tokens[i][2] < 0:
-            out.append((tokens[i][0], tokens[at - 1][1], label - 1))
+        i = at - size[at]
+        if label[at] and tokens.kind[i] < 0:
+            out.append((int(tokens.start[i]), int(tokens.end[at - 1]), label[at] - 1))
         at = i
     return out[::-1]
 
@@ -242,12 +318,18 @@ def fit(seed: int = 7, rounds: int = 40, rate: float = 0.5, ridge: float = 1e-3)
     for _ in range(SENTENCES):
         text, gold = _sample(rng)
         tokens = tokenise(text, base_spans(text), 0, len(text))
-        n, want = len(tokens), {(s, e): k for s, e, k in gold}
+        n, want = len(tokens.start), {(s, e): k for s, e, k in gold}
+        held = {(i, i + length): x for length, rows, f in segments(text, tokens, 0, n) for i, x in zip(rows.tolist(), f, strict=True)}
         rows, matrix = [], []
-        for i, j, f, s in scored(text, tokens, np.zeros((len(FEATURES), len(KINDS)))):
-            kind = want.get((tokens[i][0], tokens[j - 1][1]), -1)
-            rows.append((i, j, s, kind if tokens[i][2] < 0 else -1))
-            matrix.append(np.zeros(len(FEATURES)) if f is None else f)
+        for i, j in sorted(held.keys() | {(i, i + 1) for i in range(n)}):
+            s = np.full(len(LABELS), -np.inf)
+            if tokens.kind[i] >= 0:
+                s[tokens.kind[i] + 1] = 0.0
+            else:
+                s[0] = 0.0 if j == i + 1 else -np.inf
+                s[1:] = 0.0 if (i, j) in held else -np.inf
+            rows.append((i, j, s, want.get((int(tokens.start[i]), int(tokens.end[j - 1])), -1) if tokens.kind[i] < 0 else -1))
+            matrix.append(held.get((i, j), np.zeros(len(FEATURES))))
         data.append((n, rows, np.array(matrix)))
     weights = np.zeros((len(FEATURES), len(KINDS)))
     weights[0] = -2.0
@@ -290,10 +372,12 @@ def spans_of(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]]
     base = base_spans(text)
     found = list(base)
     # Stretches of REACH tokens around triggers; between them all is outside.
-    lo = hi = -1
+    passed = 0
     for lo, hi in _stretches(text):
-        tokens = tokenise(text, base, lo, hi)
-        if tokens:
+        while passed < len(base) and base[passed][1] <= lo:
+            passed += 1
+        tokens = tokenise(text, islice(base, passed, None), lo, hi)
+        if len(tokens.start):
             found.extend(decode(text, tokens, weights))
     return base, sorted(set(found), key=lambda s: (s[0], s[2], s[1]))
 
@@ -336,12 +420,12 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-REPORT = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("spans", pa.string())])
+REPORT = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone`` (base spans), ``base_sha256`` and
-    ``spans`` (kind:start:end, comma-joined, code points) of every row.
+    ``spans`` (kind:start:end, comma-joined, code points; ``n_spans`` of them) of every row.
 
     Defined results: null and empty texts have no spans (the digest of the empty
     string); repeated rows are treated alike; a null id is carried through.
@@ -355,12 +439,12 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                     base, spans = spans_of(text.as_py(), weights)
                     n = Counter(k for _, _, k in base)
-                    yield doc_id.as_py(), n[0], n[1], n[2], n[3], hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans)
+                    yield doc_id.as_py(), n[0], n[1], n[2], n[3], hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), len(spans)
 
         yield from bounded(rows(), REPORT, 5_000)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return source.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

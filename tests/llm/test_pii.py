@@ -1,5 +1,10 @@
+import hashlib
+import math
 import random
 import re
+import resource
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,20 +52,73 @@ def test_held_out_accuracy(weights):
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.9
 
 
-def test_decoding_is_the_best_segmentation(weights):
-    """Dynamic programming against all segmentations of short texts."""
-    for text in ('key = "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6"', "call (555) 123-4567 now", "no 1 x 2"):
+def features(text, tokens, i, j):
+    """Whole-segment features of tokens[i:j], one segment and one character at a time."""
+    spans = list(zip(tokens.start.tolist(), tokens.end.tolist(), strict=True))
+    s, e = spans[i][0], spans[j - 1][1]
+    part = text[s:e]
+    n = len(part)
+    alnum = [c for c in part if c.isalnum()]
+    m = len(alnum) or 1
+    digits = sum(c.isdigit() for c in alnum)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(part).values())
+    left = [text[a:b].lower() for a, b in spans[max(0, i - 4) : i]]
+    numbers = re.sub("[^0-9]", "", part)
+    quoted = s > 0 and e < len(text) and text[s - 1] == text[e] and text[e] in "\"'`"
+    phone = bool(re.fullmatch(r"\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}", part))
+    ctx = [any(w in P._CONTEXT[k] for w in left) for k in ("secret", "phone", "email", "ip", "card")]
+    hexes = all(c in "0123456789abcdefABCDEF" for c in alnum) and 0 < digits < m
+    return [
+        1.0, (j - i - 1) / P.LONGEST, n < 8, 8 <= n < 16, 16 <= n < 28, n >= 28, digits / m, hexes, 0.1 < digits / m < 0.9 and any(c.isalpha() for c in alnum), entropy / 5, j - i == 1, quoted,
+        part.count(" ") / n, "@" in part, part.count(".") / n, part.count("-") / n, phone, 12 <= len(numbers) <= 19 and len(numbers) == m and P.luhn(numbers), 0, 0, 0, 0, *ctx, bool(left) and left[-1] in ("=", ":", '"', "'", "`"),
+    ]
+
+
+def entities(text, tokens):
+    """All (i, j) that may be an entity."""
+    spans = list(zip(tokens.start.tolist(), tokens.end.tolist(), strict=True))
+    for i in range(len(spans)):
+        for j in range(i + 1, min(len(spans), i + P.LONGEST) + 1):
+            gaps = [text[spans[k][1] : spans[k + 1][0]] for k in range(i, j - 1)]
+            if all(tokens.kind[k] < 0 for k in range(i, j)) and not any("\n" in g for g in gaps) and any(re.search("[0-9@]", text[a:b]) for a, b in spans[i:j]):
+                yield i, j
+
+
+TEXTS = ('key = "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6"', "call (555) 123-4567 now", "no 1 x 2", "4111 1111 1111 1111 and 4111-1111-1111-1112 tel 555 123 4567", "Ünïcode ² ٣ key:\n9 a@b 'x1' `y2` mail a.b@c.org 7", "1 2 3\n4 5 6 78901 234567 890123 4")
+
+
+def test_features_and_decoding(weights, monkeypatch):
+    """Features of all segments at once against one by one; dynamic programming against all
+    segmentations; blocks of tokens and of characters change nothing."""
+    for text in TEXTS:
         tokens = P.tokenise(text, P.base_spans(text), 0, len(text))
-        best = {}
-        for i, j, _, s in P.scored(text, tokens, weights):
-            best[i, j] = float(s.max())
-
-        def search(i, n=len(tokens), best=best):
-            return 0.0 if i == n else max(best[i, j] + search(j) for j in range(i + 1, n + 1) if (i, j) in best)
-
-        got = P.decode(text, tokens, weights)
-        total = sum(float(s[k + 1]) for i, j, _, s in P.scored(text, tokens, weights) for a, b, k in got if (tokens[i][0], tokens[j - 1][1]) == (a, b))
-        assert total == pytest.approx(search(0))
+        n = len(tokens.start)
+        for block, chars in ((1024, 1 << 18), (2, 3)):
+            monkeypatch.setattr(P, "BLOCK", block)
+            monkeypatch.setattr(P, "CHARS", chars)
+            got = {(lo + i, lo + i + length): x for lo in range(0, n, block) for length, rows, f in P.segments(text, tokens, lo, min(n, lo + block)) for i, x in zip(rows.tolist(), f, strict=True)}
+            assert got.keys() == set(entities(text, tokens))
+            for (i, j), x in got.items():
+                assert np.allclose(x, np.array(features(text, tokens, i, j), float)), (text, i, j)
+            best = {(i, i + 1): 0.0 for i in range(n)}
+            for ij, x in got.items():
+                best[ij] = max(best.get(ij, -np.inf), float((x @ weights).max()))
+            total = [0.0] + [-np.inf] * n
+            for j in range(1, n + 1):
+                total[j] = max(total[i] + best[i, j] for i in range(max(0, j - P.LONGEST), j) if (i, j) in best)
+            spans = P.decode(text, tokens, weights)
+            at = {(int(a), int(b)): (i, j) for i, a in enumerate(tokens.start) for j, b in enumerate(tokens.end, 1)}
+            assert sum(float((got[at[s, e]] @ weights)[k]) for s, e, k in spans) == pytest.approx(total[n])
+
+
+@pytest.mark.parametrize("kind", ["one word", "numbers", "no spaces", "addresses"])
+def test_ten_megabytes(weights, kind):
+    text = {"one word": "the " * 2_500_000, "numbers": " ".join(str(i % 9_973) for i in range(2_100_000)), "no spaces": "abcde12345" * 1_000_000, "addresses": "a.b@c.org 10.0.0.1 plain words here " * 280_000}[kind]
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    base, spans = P.spans_of(text, weights)
+    assert set(base) <= set(spans) and len(base) == (560_000 if kind == "addresses" else 0)
+    print(kind, time.time() - start, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+    assert time.time() - start < 90
 
 
 def test_redaction(weights):
@@ -75,3 +133,13 @@ def test_edges(spark):
     assert [r["spans"] for r in rows[:4]] == ["", "", "", "email:0:6"]
     assert P.find_pii(docs(spark, ["a"]).where("false")).count() == 0
     assert [r["text"] for r in P.redact(docs(spark, texts[:4])).orderBy("doc_id").collect()] == [None, "", "clean words only", "<EMAIL>"]
+
+
+def test_query(spark, sf):
+    from subjectloom.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op2_semicrf_pii"](spark, sf).collect():
+        base = brute(texts[r["doc_id"]])
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(k == x for *_, k in base) for x in range(4))
+        assert r["base_sha256"] == hashlib.sha256(P.digest(base).encode()).hexdigest() and r["n_spans"] == len([x for x in r["spans"].split(",") if x])
