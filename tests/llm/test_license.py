@@ -1,3 +1,7 @@
+import random
+import re
+import textwrap
+
 from subjectloom.llm import license_scan as L
 from subjectloom.llm.queries import ORACLES, QUERIES
 
@@ -81,7 +85,116 @@ BSD3 = BSD2 + """
    may be used to endorse or promote products derived from this software
    without specific prior written permission."""
 
+DISCLAIMER = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+NAMED_BSD3 = "Copyright 2008, Example Widgets Inc.\nAll rights reserved.\n\n" + BSD2.replace("1. ", "   * ").replace("2. ", "   * ") + """
+
+   * Neither the name of Example Widgets Inc. nor the names of its
+     contributors may be used to endorse or promote products derived from
+     this software without specific prior written permission.""" + DISCLAIMER
+LETTERED_BSD3 = BSD3.replace("1. ", "a. ").replace("2. ", "b. ").replace("3. Neither the name of the copyright holder nor the names of its contributors", "c. Neither the name of the University of Example nor the names of its contributors")
+AUTHOR_BSD3 = BSD2 + """
+
+3. The name of the author may not be used to endorse or promote products
+   derived from this software without specific prior written permission."""
+BSD4 = BSD2 + """
+
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the Example project.
+
+4. Neither the name of the Example project nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+LGPL21 = GPL2.replace("GNU General", "GNU Lesser General").replace("This program", "This library").replace("this program", "this library").replace("version 2 ", "version 2.1 ")
+LGPL3 = GPL3.replace("GNU General", "GNU Lesser General").replace("This program", "This library").replace("this program", "this library")
+AGPL3 = GPL3.replace("GNU General", "GNU Affero General")
+EPL2 = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+EPL1 = """All rights reserved. This program and the accompanying materials
+are made available under the terms of the Eclipse Public License v1.0
+which accompanies this distribution, and is available at
+http://www.eclipse.org/legal/epl-v10.html"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+BOOST = """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file or copy at the address of the foundation.)"""
+CC0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty."""
 UNLICENSE = "This is free and unencumbered software released into the public domain."
+STANDARD = [
+    ("GPL-3.0-or-later", GPL3), ("GPL-2.0-or-later", GPL2), ("LGPL-2.1-or-later", LGPL21), ("LGPL-3.0-or-later", LGPL3), ("AGPL-3.0-or-later", AGPL3), ("MPL-2.0", MPL2), ("ISC", ISC), ("Apache-2.0", APACHE2),
+    ("BSD-2-Clause", BSD2), ("BSD-2-Clause", BSD2 + DISCLAIMER), ("BSD-3-Clause", BSD3), ("BSD-3-Clause", NAMED_BSD3), ("BSD-3-Clause", LETTERED_BSD3), ("BSD-3-Clause", AUTHOR_BSD3), ("BSD-4-Clause", BSD4),
+    ("EPL-2.0", EPL2), ("EPL-1.0", EPL1), ("Zlib", ZLIB), ("BSL-1.0", BOOST), ("CC0-1.0", CC0), ("Unlicense", UNLICENSE), ("MIT", MIT), ("MIT", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + MIT),
+]
+
+
+def wrapped(text, width):
+    """The paragraphs of a text, each wrapped anew."""
+    return "\n\n".join(textwrap.fill(" ".join(x.split()), width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n\n"))
+
+
+def commented(text, sign):
+    return "\n".join(f"{sign} {x}".rstrip() for x in text.split("\n"))
+
+
+def cut(text):
+    """Sentences by the rules in words, a run of letters and digits at a time: lists of lines."""
+    low = re.sub(r"spdx-license-identifier:[ \t]*", "spdx license identifier ", text.lower())
+    low = re.sub(r"(?<=[^a-z0-9])v\.[^a-z0-9\n]*\n?[^a-z0-9\n]*(?=[0-9])", "version ", low)
+    low = re.sub(r"gpl([ v-]{0,2})([0-9][0-9.]*)\+", r"gpl\1\2 or later ", low)
+    runs = re.findall(r"[a-z0-9]+|[^a-z0-9]+", low)
+    out, at = [[""]], 0
+    for k, run in enumerate(runs):
+        if run[0].isalnum() and run.isascii():
+            out[-1][-1] += run
+        else:
+            mark = re.search(r"[.;!?:]", run)
+            ends = mark and any(c in run[mark.start() :] for c in " \t\n")
+            if ends or run.count("\n") >= 2:
+                out.append([""])
+            elif "\n" in run and low[at + len(run) :].startswith(L.OPENINGS):
+                out[-1].append("")
+            else:
+                out[-1][-1] += "".join(" " if c != "." else c for c in re.sub(r"[^.]+", " ", run))
+        at += len(run)
+    return [[re.sub(r"^[ .]+|[ .]+$", "", x) for x in lines] for lines in out]
+
+
+def slow_scan(text):
+    """The identifiers and licences of a text, by lists."""
+    known, ids = dict(L.SENTENCES), []
+
+    def named(x):
+        for pattern, to in L.CANON:
+            x = re.sub(pattern, to.replace("{1}", r"\1").replace("{2}", r"\2"), x)
+        return known.get(x)
+
+    for lines in cut(text or ""):
+        lines = [x for x in lines if x] or [""]
+        whole = named(" ".join(lines))
+        found = [whole] if whole else [named(x) or ("UNKNOWN" if "licens" in x else None) for x in lines]
+        ids += [x for x in found if x]
+    rest, licences = list(ids), set()
+    for licence, need in L.ALL_RULES:
+        i = 0
+        while i < len(rest):
+            if rest[i : i + len(need)] == list(need):
+                rest[i : i + len(need)] = [None]
+                licences.add(licence)
+            i += 1
+    return ",".join(ids), ",".join(sorted(licences)), rest.count("UNKNOWN")
 
 
 def scan(spark, *texts):
@@ -90,7 +203,7 @@ def scan(spark, *texts):
 
 def test_every_sentence_has_a_cue():
     assert all(any(c in s for c in L.CUES) for s, _ in L.SENTENCES)
-    assert {x for _, need in L.RULES for x in need} <= {i for _, i in L.SENTENCES}
+    assert {x for _, need in L.ALL_RULES for x in need} <= {i for _, i in L.SENTENCES}
 
 
 def test_rules(spark):
@@ -101,10 +214,39 @@ def test_rules(spark):
     assert scan(spark, "This is under some license of ours. Licensed under CC BY-NC 4.0.") == [("CC-BY-NC-4.0", 1)]
 
 
+def forms(text):
+    bodies = [text, wrapped(text, 40), wrapped(text, 63), wrapped(text, 200)]
+    return bodies + [commented(x, sign) for x in bodies for sign in ("#", " *", "//")]
+
+
 def test_standard_notices(spark):
-    notices = {"GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "MPL-2.0": MPL2, "ISC": ISC, "Apache-2.0": APACHE2, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "Unlicense": UNLICENSE, "MIT": MIT}
-    assert scan(spark, *notices.values()) == [(name, 0) for name in notices]
+    """Each notice, in four wrappings, bare and in three kinds of comments, and after prose."""
+    want, texts = [], []
+    for name, text in STANDARD:
+        for x in forms(text) + ["Some prose here.\n\n" + text]:
+            want.append(name)
+            texts.append(x)
+    got = scan(spark, *texts)
+    wrong = [(name, found, text[:300]) for name, (found, _), text in zip(want, got, texts, strict=True) if found != name]
+    assert not wrong, wrong[:3]
     assert scan(spark, GPL2.replace("version 2", "version 3"), GPL3.replace("version 3", "version 2")) == [("GPL-3.0-or-later", 0), ("GPL-2.0-or-later", 0)]
+    assert scan(spark, "x\nThis software is not licensed under the MIT License.") == [("", 1)]
+
+
+def test_references(spark):
+    said = {"Licensed under the GPLv3 or later.": "GPL-3.0-or-later", "This project is distributed under the terms of the GNU LGPL v2.1.": "LGPL-2.1-only", "Available under the terms of version 2 of the GNU General Public License.": "GPL-2.0-only", "# SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later", "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA-4.0", "This work is\nlicensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0", "Released under the 3-clause BSD license": "BSD-3-Clause", "published under the MIT": "MIT", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": "GPL-3.0-only"}
+    assert [x for x, _ in scan(spark, *said)] == list(said.values())
+
+
+def test_against_a_cutter_in_python(spark, sf):
+    rng = random.Random(3)
+    pieces = [*"aA1v. ;:!?\n\t-#*(", "\n\n", ". ", ":\n", "\nCopyright ", "license", " v. 2.0 ", "Released under the MIT License", "SPDX-License-Identifier: MIT", "\nlicensed under the gpl v3", "the above copyright notice", "é", "\r\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts += [x for _, t in STANDARD for x in forms(t)] + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = L.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    for text, r in zip(texts, rows, strict=True):
+        assert (r["sentence_ids"], r["licenses"], r["n_unknown"]) == slow_scan(text), text
+        assert r["is_licensed"] == bool(r["licenses"])
 
 
 def test_edges(spark):
