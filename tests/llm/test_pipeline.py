@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
-from .helpers import docs, words
+from .helpers import clash, docs, words
 from .test_decontamination import exhaustive
 from .test_near_duplicates import brute
 
@@ -60,6 +60,22 @@ def test_run(spark, folder):
     assert out.where(F.col("doc_id") == 90_006).count() == 1
 
 
+def test_clashing_columns_null_ids_and_repeated_rows(spark, folder, tmp_path):
+    """Each stage carries columns of any name through unchanged and takes nulls and repeats."""
+    table = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60 or doc_id >= 90000")
+    nulls = spark.createDataFrame([(None, "plain words of no one in particular are here", "en", None, None), (None, None, None, "src1", 0)], table.schema)
+    rows = clash(table.union(table.where("doc_id < 20")).union(nulls)).withColumn("language", F.lit(8)).withColumn("mark", F.col("doc_id"))
+    rows = rows.drop("mix_slot")
+    docs_, names = rows, rows.columns
+    for name, function in P.STAGES:
+        docs_ = P.stage(function(spark, docs_, folder), name)
+        assert docs_.columns[: len(names)] == names
+        for r in docs_.collect():
+            assert (r["_key"], r["p"], r["row"], r["key"], r["language"], r["mark"]) == (7, 7, 7, 7, 8, r["doc_id"])
+    ids = [r["doc_id"] for r in docs_.collect()]
+    assert len(set(ids)) == len(ids) and None in ids
+
+
 def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -32,5 +32,24 @@ def test_hosts_of_addresses(spark):
     assert sorted(r[0] for r in df.select(Q.host_of(F.col("u"))).collect()) == ["", "a.example.org", "src1"]
 
 
+def test_small_hosts_do_not_weaken_the_prior(spark):
+    """Hosts of one document vary by chance alone: with one true rate the prior is strong."""
+    rows = spark.range(4_000).select(F.col("id"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.lit(50).cast("long").alias("n_words"), F.lit(200).cast("long").alias("word_chars"), F.lit(0).cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"), F.when(F.xxhash64("id") % 10 > 2, 40).otherwise(0).cast("long").alias("n_repeat_words"))
+    assert Q.host_verdicts(rows).where("host_failed").count() == 0
+
+
+def test_a_host_with_half_of_all_rows_is_split(spark):
+    df = docs(spark, [f"{GOOD} {i}" for i in range(3_000)], source="hot").union(docs(spark, [f"{GOOD} {i}" for i in range(3_000)], 3_000).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 300).cast("string"))))
+    for name, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "32")):
+        spark.conf.set(name, value)
+    try:
+        parts = [r["count"] for r in Q.host_quality(df).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(parts) == 6_000 and max(parts) < 1_000
+
+
 def test_query(spark, sf):
     same_rows(QUERIES["op6_host_rules"](spark, sf), connect(sf), ORACLES["op6_host_rules"])
