@@ -1,10 +1,10 @@
 """Oracle-growth journals: decision streams, rules and sweeps, all declarative.
 
 A journal entry holds the members of one topic seen so far.  As it grows from the
-gold topics, its state at a decision is a prefix aggregate: each state is valid from
-the row after its newest member to the topic's next member, and exploding that
-interval gives exactly the (decision, entry) pairs, which meet the arriving vectors in
-an equi-join.  Nothing is a nested loop, and nothing depends on earlier decisions.
+gold topics, its state at a decision is a function of the members that came before,
+whatever was decided.  Arriving rows are cut into blocks by their order and entries
+dealt into blocks by topic; each pair of blocks is one task of matrix products that
+ships scores only, and a block of arriving rows meets no member that comes later.
 
 Spans have columns ``ord`` (dense chronological order from 1), ``topic`` and ``v``
 (unit vector of doubles).
@@ -12,10 +12,13 @@ Spans have columns ``ord`` (dense chronological order from 1), ``topic`` and ``v
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .kernels import geometric_median
 
 
 def chronological(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,15 +33,6 @@ def first_seen(spans: DataFrame) -> DataFrame:
     return spans.withColumn("is_repeat", F.row_number().over(w) > 1)
 
 
-def prefix_sums(spans: DataFrame) -> DataFrame:
-    """``topic, ord, size, next_ord, sum_v``: the running vector sum of each topic."""
-    w = Window.partitionBy("topic", "dim").orderBy("ord")
-    long = spans.select("ord", "topic", F.posexplode("v").alias("dim", "x")).withColumn("c", F.sum("x").over(w))
-    sums = long.groupBy("topic", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "c"))), lambda p: p["c"]).alias("sum_v"))
-    t = Window.partitionBy("topic").orderBy("ord")
-    return sums.withColumn("size", F.row_number().over(t).cast("long")).withColumn("next_ord", F.lead("ord").over(t))
-
-
 def running_mean_distance(spans: DataFrame) -> DataFrame:
     """``ord, d0_sq``: squared chord distance to the mean of all rows up to this one."""
     w = Window.partitionBy("dim").orderBy("ord")
@@ -46,41 +40,69 @@ def running_mean_distance(spans: DataFrame) -> DataFrame:
     return long.groupBy("ord").agg((2 - 2 * F.sum(F.col("x") * F.col("m")) / F.sqrt(F.sum(F.col("m") * F.col("m")))).alias("d0_sq"))
 
 
-def _as_of(states: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each state with every span that arrives while it is valid: (t, entry state, x)."""
-    last = spans.groupBy(F.lit(1).alias("one")).agg(F.max("ord").alias("last"))
-    timed = states.withColumn("one", F.lit(1)).join(last, "one").withColumn("until", F.coalesce("next_ord", "last")).where(F.col("until") > F.col("ord"))
-    pairs = timed.withColumn("t", F.explode(F.sequence(F.col("ord") + 1, F.col("until")))).withColumnRenamed("topic", "entry").drop("ord", "next_ord", "until", "last", "one")
-    arriving = spans.select(F.col("ord").alias("t"), F.col("topic").alias("gold"), F.col("v").alias("x"))
-    return pairs.join(arriving, "t")
+ENTRIES = ("first", "centroid", "median", "members_max", "members_min", "members_mean")
+
 
+def _affinity(kind: str, x: np.ndarray, members: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The affinity of each row of ``x`` to an entry that has the first ``before`` of
+    ``members`` (1 or more of them)."""
+    if kind == "first":
+        return x @ members[0]
+    if kind in ("centroid", "members_mean"):
+        sums = members.cumsum(axis=0)
+        size = np.linalg.norm(sums, axis=1) if kind == "centroid" else np.arange(1.0, len(sums) + 1)
+        return np.einsum("ij,ij->i", x, sums[before - 1]) / np.maximum(size, 1e-12)[before - 1]
+    if kind == "median":
+        sizes, at = np.unique(before, return_inverse=True)
+        return np.einsum("ij,ij->i", x, np.array([geometric_median(members[:k]) for k in sizes])[at])
+    running = np.maximum if kind == "members_max" else np.minimum
+    return running.accumulate(x @ members.T, axis=1)[np.arange(len(x)), before - 1]
 
-def decisions(spans: DataFrame, entry: str = "centroid") -> DataFrame:
-    """One row for each decision and entry: ``t, gold, entry, size, cos, is_repeat``.
 
-    ``entry``: first | centroid | members_max | members_min | members_mean.  The
-    first row of the stream makes no decision.
+def decisions(spans: DataFrame, entry: str | tuple[str, ...] = "centroid", rows_a_block: int = 2048) -> DataFrame:
+    """One row for each decision and entry: ``t, gold, entry, size, cos, is_repeat``, and
+    ``kind`` where several representations are asked for (they share one pass).
+
+    ``entry``: first | centroid | median | members_max | members_min | members_mean.
+    The first row of the stream makes no decision.
     """
-    if entry == "centroid":
-        out = _as_of(prefix_sums(spans), spans).withColumn("cos", V.dot(F.col("x"), F.col("sum_v")) / V.norm(F.col("sum_v")))
-    elif entry == "members_mean":
-        out = _as_of(prefix_sums(spans), spans).withColumn("cos", V.dot(F.col("x"), F.col("sum_v")) / F.col("size"))
-    elif entry == "first":
-        t = Window.partitionBy("topic").orderBy("ord")
-        states = spans.select("ord", "topic").withColumn("size", F.row_number().over(t).cast("long")).withColumn("next_ord", F.lead("ord").over(t))
-        firsts = spans.withColumn("r", F.row_number().over(t)).where("r = 1").select(F.col("topic").alias("entry"), F.col("v").alias("first_v"))
-        out = _as_of(states, spans).join(firsts, "entry").withColumn("cos", V.dot(F.col("x"), F.col("first_v")))
-    elif entry in ("members_max", "members_min"):
-        # Every (decision, earlier member) pair; pairs meet by an exploded interval as well.
-        t = Window.partitionBy("topic").orderBy("ord")
-        states = spans.select("ord", "topic", F.col("v").alias("member"), F.lit(None).cast("long").alias("next_ord"), F.lit(1).cast("long").alias("size"))
-        pairs = _as_of(states, spans).withColumn("cos", V.dot(F.col("x"), F.col("member")))
-        best = F.max("cos") if entry == "members_max" else F.min("cos")
-        out = pairs.groupBy("t", "gold", "entry").agg(best.alias("cos"), F.sum("size").alias("size"))
-    else:
-        raise ValueError(f"unknown entry representation {entry}")
-    repeats = first_seen(spans).select(F.col("ord").alias("t"), "is_repeat")
-    return out.select("t", "gold", "entry", "size", "cos").join(repeats, "t")
+    kinds = (entry,) if isinstance(entry, str) else tuple(entry)
+    for k in kinds:
+        if k not in ENTRIES:
+            raise ValueError(f"unknown entry representation {k}")
+    last, n = spans.agg(F.max("ord"), F.count("*")).first()
+    rows, entries = (last or 0) // rows_a_block + 1, n // (2 * rows_a_block) + 1
+    topic = spans.schema["topic"].dataType
+    cut = first_seen(spans.select("ord", "topic", "v")).withColumn("rb", F.floor(F.col("ord") / rows_a_block).cast("int"))
+    each = lambda lo, hi, name: F.explode(F.sequence(lo, F.lit(hi - 1))).alias(name)
+    asks = cut.select("rb", each(F.lit(0), entries, "eb"), F.lit(True).alias("asks"), "ord", "topic", "is_repeat", "v")
+    held = cut.select(each(F.col("rb"), rows, "rb"), F.pmod(F.xxhash64("topic"), F.lit(entries)).cast("int").alias("eb"), F.lit(False).alias("asks"), "ord", "topic", "is_repeat", "v")
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord")
+        ask, order = np.array(table.column("asks").to_pylist(), bool), table.column("ord").to_numpy()
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)
+        named, repeat = table.column("topic"), np.array(table.column("is_repeat").to_pylist(), bool)
+        names, code = np.unique(np.array(named.to_pylist(), object).astype(str), return_inverse=True)
+        x, t = v[ask], order[ask]
+        asked = np.flatnonzero(ask)
+        parts: list[list] = [[], [], [], [], [], [], []]
+        for e in range(len(names)):
+            own = np.flatnonzero(~ask & (code == e))
+            before = np.searchsorted(order[own], t, "left") if len(own) else np.zeros(len(t), int)
+            some = np.flatnonzero(before > 0)
+            for kind in kinds if len(some) else ():
+                values = (t[some], asked[some], np.full(len(some), own[0]), before[some], _affinity(kind, x[some], v[own], before[some]), repeat[asked[some]], np.full(len(some), kind))
+                for part, value in zip(parts, values, strict=True):
+                    part.append(value)
+        t, gold, entry_row, size, cos, again, kind = (np.concatenate(p) if p else np.zeros(0, int) for p in parts)
+        types = {"size": pa.int64(), "cos": pa.float64(), "is_repeat": pa.bool_(), "kind": pa.string()}
+        columns = {"t": pa.array(t, pa.int64()), "gold": named.take(pa.array(gold, pa.int64())), "entry": named.take(pa.array(entry_row, pa.int64()))}
+        return pa.table(columns | {k: pa.array(c.tolist(), types[k]) for k, c in (("size", size), ("cos", cos), ("is_repeat", again), ("kind", kind))})
+
+    ddl = f"t long, gold {topic.simpleString()}, entry {topic.simpleString()}, size long, cos double, is_repeat boolean, kind string"
+    out = asks.union(held.select(*asks.columns)).groupBy("rb", "eb").applyInArrow(product, ddl)
+    return out.drop("kind") if isinstance(entry, str) else out
 
 
 def top_two(scored: DataFrame, score: str = "cos", by: list[str] = ["t"], single: str = "self") -> DataFrame:

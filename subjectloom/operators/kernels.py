@@ -232,26 +232,50 @@ def feedback(rows: DataFrame, thetas: list[float], rule: str = "threshold", entr
     return grid.groupBy("theta").applyInPandas(one, f"theta double, ord long, topic {rows.schema['topic'].dataType.simpleString()}, entry long, score double")
 
 
-def honest_decisions(rows: DataFrame, kind: str) -> DataFrame:
-    """``t, entry, cos`` with the transform refitted on the rows up to each decision;
-    centroid entries.  ``center`` has a closed form in prefix sums; ``abttK`` takes
-    the eigenvectors of each prefix's Gram.  For samples (n d^3)."""
+def _refit(x: np.ndarray, kind: str) -> np.ndarray:
+    """A transform fitted to ``x`` and applied to it: center | abttK | whitenD, as ``transform``."""
+    z = x - x.mean(0)
+    if kind != "center":
+        values, vectors = np.linalg.eigh(z.T @ z)
+        order = np.argsort(values)[::-1]
+        values, vectors = np.maximum(values[order], 0), vectors[:, order]
+        if kind.startswith("abtt"):
+            top = vectors[:, : int(kind[4:])]
+            z = z - (z @ top) @ top.T
+        else:
+            keep = min(int(kind[6:] or 50), int((np.sqrt(values) > 1e-9 * np.sqrt(values[0])).sum()))
+            if keep:
+                variance = values[:keep] / len(x)
+                z = z @ (vectors[:, :keep] / np.sqrt(np.maximum(0.9 * variance + 0.1 * variance.mean(), 1e-12)))
+                z = np.where(np.linalg.norm(z, axis=1, keepdims=True) > 1e-12, z, 1.0)
+    size = np.linalg.norm(z, axis=1, keepdims=True)
+    return np.divide(z, size, out=np.zeros_like(z), where=size > 0)
+
+
+def honest_decisions(rows: DataFrame, kind: str, entry: str = "centroid", decisions_a_task: int = 128) -> DataFrame:
+    """``t, gold, entry, size, cos, is_repeat`` with the transform (center | abttK | whitenD)
+    refitted on the rows up to each decision; entries are centroids or medians.
+
+    Each decision has a fit of its own, so ranges of decisions run in parallel, each with
+    the rows up to its end.  For samples: n fits over up to n rows."""
+    if not (kind == "center" or kind.startswith(("abtt", "whiten"))) or entry not in ("centroid", "median"):
+        raise ValueError(f"unknown transform or entry: {kind}, {entry}")
+    topic = rows.schema["topic"].dataType.simpleString()
+    last = rows.agg(F.max("ord")).first()[0] or 0
+    own = F.floor(F.col("ord") / decisions_a_task).cast("int")
+    dealt = rows.select("ord", "topic", "v", F.explode(F.sequence(own, F.lit(last // decisions_a_task).cast("int"))).alias("part"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         x, topics, ords = np.array(pdf["v"].tolist(), float), pdf["topic"].to_numpy(), pdf["ord"].to_numpy()
+        names, code = np.unique(topics, return_inverse=True)
         out = []
-        for t in range(1, len(x)):
-            z = x[: t + 1] - x[: t + 1].mean(0)
-            if kind.startswith("abtt"):
-                _, vectors = np.linalg.eigh(z.T @ z)
-                top = vectors[:, -int(kind[4:]) :]
-                z = z - (z @ top) @ top.T
-            size = np.linalg.norm(z, axis=1, keepdims=True)
-            z = np.divide(z, size, out=z, where=size > 0)
-            for e in pd.unique(topics[:t]):
-                c = z[:t][topics[:t] == e].mean(0)
-                out.append((ords[t], e, float(c @ z[t]) / max(np.linalg.norm(c), 1e-12)))
-        return pd.DataFrame(out, columns=["t", "entry", "cos"])
-
-    return rows.select("ord", "topic", "v").groupBy(F.lit(1).alias("one")).applyInPandas(one, f"t long, entry {rows.schema['topic'].dataType.simpleString()}, cos double")
+        for t in range(max(1, int(np.searchsorted(ords, key[0] * decisions_a_task))), len(x)):
+            z, past = _refit(x[: t + 1], kind), code[:t]
+            for e in np.unique(past):
+                m = z[:t][past == e]
+                c = geometric_median(m) if entry == "median" else m.mean(0)
+                out.append((ords[t], topics[t], names[e], len(m), float(c @ z[t]) / max(np.linalg.norm(c), 1e-12), bool((past == code[t]).any())))
+        return pd.DataFrame(out, columns=["t", "gold", "entry", "size", "cos", "is_repeat"])
+
+    return dealt.groupBy("part").applyInPandas(one, f"t long, gold {topic}, entry {topic}, size long, cos double, is_repeat boolean")

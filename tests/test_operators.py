@@ -79,18 +79,46 @@ def replay(rows, entry):
         for e, m in members.items():
             m = np.array(m)
             c = m.mean(0)
-            out[t, e] = {"centroid": x @ c / np.linalg.norm(c), "members_mean": (m @ x).mean(), "members_max": (m @ x).max(), "members_min": (m @ x).min(), "first": m[0] @ x}[entry]
+            out[t, e] = {"centroid": x @ c / np.linalg.norm(c), "members_mean": (m @ x).mean(), "members_max": (m @ x).max(), "members_min": (m @ x).min(), "first": m[0] @ x, "median": x @ K.geometric_median(m)}[entry]
         members.setdefault(topic, []).append(v)
     return out
 
 
-@pytest.mark.parametrize("entry", ["centroid", "members_mean", "members_max", "members_min", "first"])
-def test_decisions_equal_a_replay(spark, entry):
+@pytest.mark.parametrize("block", [2048, 7])
+@pytest.mark.parametrize("entry", G.ENTRIES)
+def test_decisions_equal_a_replay(spark, entry, block):
     rows = unit_rows()
-    got = {(r["t"], r["entry"]): r["cos"] for r in G.decisions(spark.createDataFrame(rows, UNIT), entry).collect()}
+    got = {(r["t"], r["entry"]): r for r in G.decisions(spark.createDataFrame(rows, UNIT), entry, block).collect()}
     want = replay(rows, entry)
     assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert all(abs(got[k]["cos"] - want[k]) < 1e-9 for k in want)
+    topic = {t: e for t, e, _ in rows}
+    for (t, e), r in got.items():
+        assert (r["gold"], r["size"], r["is_repeat"]) == (topic[t], sum(x == e for s, x in topic.items() if s < t), any(x == topic[t] for s, x in topic.items() if s < t))
+
+
+def test_decisions_of_named_topics_and_of_nothing(spark):
+    df = spark.createDataFrame([(o, f"topic {t}", v) for o, t, v in unit_rows(12)], "ord long, topic string, v array<double>")
+    got = G.decisions(df, ("first", "median")).collect()
+    assert {r["kind"] for r in got} == {"first", "median"} and {r["entry"] for r in got} <= {f"topic {i}" for i in range(5)}
+    assert G.decisions(df.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        G.decisions(df, "other")
+
+
+@pytest.mark.parametrize("kind", ["center", "abtt1", "whiten3"])
+@pytest.mark.parametrize("entry", ["centroid", "median"])
+def test_honest_decisions_equal_a_refit(spark, kind, entry):
+    """Each decision against the transform of its prefix alone, fitted in Spark."""
+    rows = unit_rows(24)
+    got = {(r["t"], r["entry"]): r["cos"] for r in K.honest_decisions(spark.createDataFrame(rows, UNIT), kind, entry, 5).collect()}
+    for t in (2, 9, 24):
+        z = {r["ord"]: (r["topic"], np.array(r["v"])) for r in K.transform(spark.createDataFrame(rows[:t], UNIT), kind).collect()}
+        for e in {x for o, (x, _) in z.items() if o < t}:
+            m = np.array([v for o, (x, v) in sorted(z.items()) if o < t and x == e])
+            c = K.geometric_median(m) if entry == "median" else m.mean(0)
+            assert got[t, e] == pytest.approx(float(c @ z[t][1]) / max(np.linalg.norm(c), 1e-12), abs=1e-6)
+    assert len(got) == len(replay(rows, "first"))
 
 
 def test_decisions_are_prefix_stable(spark):
