@@ -9,6 +9,8 @@ from ..functions import vectors as V
 from ..operators import journal as J
 from ..operators import kernels as K
 from ..sources.folders import keep
+from .lexical import TF, sigmas
+from .lexical import _weights as lexical_weights
 from .registry import query
 from .tables import DEC, S, TOP, curve_sql, grid_sql, points_sql, spans, table
 
@@ -175,35 +177,58 @@ def verifier_queries(spark, d):
 
 
 BETAS = [0.0, 0.1, 0.3, 0.5, 1.0]
-_OVERLAP = "CASE WHEN entry % 3 = gold % 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+RERANK_BETAS, RERANK_GATES = [0.0, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0], [0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5]
+_SHORT = f"""{_FIRST}, sl AS (SELECT dec.*, f.first, row_number() OVER (PARTITION BY t ORDER BY cos DESC, entry) AS r1 FROM dec JOIN f ON f.topic = dec.entry),
+sh AS (SELECT * FROM (SELECT *, max((entry = gold)::INT) OVER (PARTITION BY t) AS has FROM sl WHERE r1 <= 10 AND is_repeat) WHERE has = 1)"""
 
 
 def _rerank_sql(weight: str, name: str, values: list[float]) -> str:
-    return f"""WITH {DEC}, sl AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY cos DESC, entry) AS r1 FROM dec),
-re AS (SELECT {name}, t, gold, entry, row_number() OVER (PARTITION BY {name}, t ORDER BY round(cos + {name} * {weight}, 9) DESC, entry) AS r FROM sl, (SELECT unnest({values})::DOUBLE AS {name}) WHERE r1 <= 5 AND is_repeat)
-SELECT {name}, round(avg((entry = gold)::INT), 6) AS recall_1 FROM re WHERE r = 1 GROUP BY {name}"""
+    return f"""re AS (SELECT {name}, t, gold, entry, row_number() OVER (PARTITION BY {name}, t ORDER BY round(cos + {name} * {weight}, 9) DESC, entry) AS r FROM wg, (SELECT unnest({values})::DOUBLE AS {name}))
+SELECT {name}, count(*) AS events, round(avg((r = 1)::INT), 6) AS recall_1, round(avg((r <= 3)::INT), 6) AS recall_3 FROM re WHERE entry = gold GROUP BY {name}"""
 
 
-def _rerank(spark, d, weight, name, values):
-    w = Window.partitionBy("t").orderBy(F.desc("cos"), "entry")
-    short = J.decisions(spans(spark, d)).where("is_repeat").withColumn("r1", F.row_number().over(w)).where("r1 <= 5")
-    grid = short.select("*", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name))
-    order = Window.partitionBy(name, "t").orderBy(F.desc(F.round(F.col("cos") + F.col(name) * weight, 9)), "entry")
-    return grid.withColumn("r", F.row_number().over(order)).where("r = 1").groupBy(name).agg(F.round(F.avg((F.col("entry") == F.col("gold")).cast("int")), 6).alias("recall_1"))
+def shortlists(spark, d) -> DataFrame:
+    """``t, gold, entry, cos, first``: the ten entries nearest by their first members, of
+    repeats whose true entry is among them; ``first`` is the entry's first row."""
+    s = spans(spark, d)
+    w = Window.partitionBy("t")
+    short = J.decisions(s, "first").where("is_repeat").withColumn("r1", F.row_number().over(w.orderBy(F.desc("cos"), "entry"))).where("r1 <= 10")
+    short = short.withColumn("has", F.max(F.col("entry") == F.col("gold")).over(w)).where("has")
+    firsts = s.groupBy(F.col("topic").alias("entry")).agg(F.min("ord").alias("first"))
+    return short.join(firsts, "entry").select("t", "gold", "entry", "cos", "first")
 
 
-#: A deterministic stand-in for a lexical similarity: closeness of topic numbers.
-_LEXICAL = "1.0::DOUBLE / (1 + abs(entry - gold))"
+def _reranked(short: DataFrame, weight: str, name: str, values: list[float]) -> DataFrame:
+    """Recall of the true entry at one and three, by the weight of the added score."""
+    grid = short.select("*", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name))
+    order = Window.partitionBy(name, "t").orderBy(F.desc(F.round(F.col("cos") + F.col(name) * F.col(weight), 9)), "entry")
+    ranked = grid.withColumn("r", F.row_number().over(order)).where("entry = gold")
+    hit = lambda k: F.round(F.avg((F.col("r") <= k).cast("int")), 6).alias(f"recall_{k}")
+    return ranked.groupBy(name).agg(F.count("*").alias("events"), hit(1), hit(3))
 
 
-@query("rerank_fusion", _rerank_sql(_LEXICAL, "beta", BETAS))
+@query("rerank_fusion", f"WITH {_SHORT}, {TF}, lx AS (SELECT t, entry, sum(a.weight * b.weight) AS lex FROM sh JOIN wt a ON a.conv_id = t - 1 JOIN wt b ON b.conv_id = first - 1 AND a.term = b.term GROUP BY 1, 2), wg AS (SELECT sh.*, coalesce(lex, 0) AS lex FROM sh LEFT JOIN lx USING (t, entry)), {_rerank_sql('lex', 'beta', RERANK_BETAS)}")
 def rerank_fusion(spark, d):
-    return _rerank(spark, d, 1.0 / (1 + F.abs(F.col("entry") - F.col("gold"))), "beta", BETAS)
-
-
-@query("gate_rerank", _rerank_sql(_OVERLAP, "gate", [0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5]))
+    """The shortlist reranked by dense + beta * TF-IDF similarity of the row and the entry's
+    first row (conversation n lends row n its text, as in ``hybrid_fusion``).  Only shortlisted
+    pairs look up their terms."""
+    short, weights = keep(shortlists(spark, d), "short"), keep(lexical_weights(spark, d), "weights")
+    a = weights.select((F.col("conv_id") + 1).alias("t"), "term", F.col("weight").alias("x"))
+    b = weights.select((F.col("conv_id") + 1).alias("first"), "term", F.col("weight").alias("y"))
+    lex = short.select("t", "entry", "first").join(a, "t").join(b, ["first", "term"]).groupBy("t", "entry").agg(F.sum(F.col("x") * F.col("y")).alias("lex"))
+    both = short.join(lex, ["t", "entry"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
+    return _reranked(both, "lex", "beta", RERANK_BETAS)
+
+
+@query("gate_rerank", f"WITH {_SHORT}, {TF}, tp AS (SELECT conv_id, list(term) AS own FROM (SELECT conv_id, term, row_number() OVER (PARTITION BY conv_id ORDER BY round(weight, 9) DESC, term) AS r FROM wt) WHERE r <= 20 GROUP BY conv_id), wg AS (SELECT sh.*, coalesce(list_has_any(a.own, b.own), false)::INT AS ov FROM sh LEFT JOIN tp a ON a.conv_id = t - 1 LEFT JOIN tp b ON b.conv_id = first - 1), {_rerank_sql('ov', 'gate', RERANK_GATES)}")
 def gate_rerank(spark, d):
-    return _rerank(spark, d, F.when(F.col("entry") % 3 == F.col("gold") % 3, 1.0).otherwise(0.0), "gate", [0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5])
+    """The shortlist reranked by dense + gate * overlap: whether row and entry share one of
+    their twenty foremost terms (the gate's names come from the texts, not from labels)."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc(F.round("weight", 9)), "term")
+    own = keep(lexical_weights(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 20").groupBy("conv_id").agg(F.collect_list("term").alias("own")), "names")
+    a, b = own.select((F.col("conv_id") + 1).alias("t"), F.col("own").alias("x")), own.select((F.col("conv_id") + 1).alias("first"), F.col("own").alias("y"))
+    short = shortlists(spark, d).join(a, "t", "left").join(b, "first", "left").withColumn("ov", F.coalesce(F.arrays_overlap("x", "y"), F.lit(False)).cast("int"))
+    return _reranked(short, "ov", "gate", RERANK_GATES)
 
 
 _HONEST = f"""WITH {S}, l AS (SELECT ord, topic, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM s),
@@ -224,7 +249,42 @@ def honest_center_margin(spark, d):
 
 @query("honest_abtt_margin")
 def honest_abtt_margin(spark, d):
-    return K.honest_decisions(spans(spark, d), "abtt1")
+    return K.honest_decisions(spans(spark, d), "abtt1").select("t", "entry", F.round("cos", 5).alias("cos"))
+
+
+def honest_curves(rows: DataFrame, kinds: tuple[str, ...], entry: str) -> DataFrame:
+    """``kind, theta, f1, fmr, seen_theta, seen_f1``: the margin rule's best point with the
+    transform refitted on each prefix, and beside it with one fit on all rows, which has
+    seen the future."""
+    out = None
+    for kind in kinds:
+        for name, made in (("", K.honest_decisions(rows, kind, entry)), ("seen_", J.decisions(K.transform(rows, kind), entry))):
+            top = J.top_two(made, single="padded").withColumns({"kind": F.lit(kind), "name": F.lit(name)})
+            out = top if out is None else out.union(top)
+    tops = keep(out.withColumn("margin", F.round("margin", 9)), "honest")
+    curve = J.sweep(tops, "margin", V.linear_grid(0.0, 0.6, 101), F.col("best") == F.col("gold"), by=["kind", "name"])
+    best = J.operating_points(curve, by=["kind", "name"]).where("point = 'best_f1'")
+    pick = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c))).alias(f"{name}{c}")
+    return best.groupBy("kind").agg(pick("", "theta"), pick("", "f1"), pick("", "fmr"), pick("seen_", "theta"), pick("seen_", "f1"))
+
+
+@query("honest_comparison")
+def honest_comparison(spark, d):
+    """What refitting costs: centring, ABTT and whitening with median entries."""
+    return honest_curves(spans(spark, d), ("center", "abtt1", "whiten16"), "median")
+
+
+@query("whiten_sweep")
+def whiten_sweep(spark, d):
+    """The best F1 of the margin rule by whitening dimension and entry representation."""
+    out = None
+    for dims in (4, 8, 16, 32, 50):
+        moved = K.transform(spans(spark, d), f"whiten{dims}")
+        top = J.top_two(J.decisions(moved, ("centroid", "median")).withColumn("dims", F.lit(dims)), by=["dims", "kind", "t"], single="padded")
+        out = top if out is None else out.union(top)
+    curve = J.sweep(keep(out.withColumn("margin", F.round("margin", 9)), "tops"), "margin", V.linear_grid(0.0, 0.6, 101), F.col("best") == F.col("gold"), by=["dims", "kind"])
+    best = J.operating_points(curve, by=["dims", "kind"]).where("point = 'best_f1'")
+    return best.select("dims", "kind", "theta", "precision", "recall", "f1", "fmr")
 
 
 # Identifier sets: a span's set is {topic % 4, ord % 5, ord % 7}, tagged.
@@ -266,12 +326,12 @@ def id_gate(spark, d):
 
 @query("timeline_cap", """WITH w AS (SELECT conv_id, turn, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations),
 c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
-SELECT conv_id, count(*) AS kept, sum(n)::BIGINT AS n_words, string_agg('[' || turn || '] ' || text, chr(10) ORDER BY turn) AS timeline FROM c WHERE before < 60 GROUP BY conv_id""")
+SELECT conv_id, count(*) AS kept, sum(n)::BIGINT AS n_words, string_agg('[' || turn || '] ' || text, chr(10) ORDER BY turn) AS timeline FROM c WHERE before < 500 GROUP BY conv_id""")
 def timeline_cap(spark, d):
-    """Turns as a timeline that stops once 60 words have been told."""
+    """Turns as a timeline that stops once 500 words have been told."""
     c = table(spark, d, "conversations").withColumn("n", F.size(F.array_remove(F.split("text", r"\s+"), "")))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    kept = c.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < 60")
+    kept = c.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < 500")
     line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), F.col("text"))
     return kept.groupBy("conv_id").agg(F.count("*").alias("kept"), F.sum("n").cast("long").alias("n_words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("s")))), lambda x: x["s"]), "\n").alias("timeline"))
 
@@ -285,23 +345,67 @@ def running_journal(spark, d):
     return c.select("conv_id", "turn", F.array_join(F.collect_list(line).over(w), "\n").alias("journal"))
 
 
-@query("transform_leaderboard", None)
-def transform_leaderboard(spark, d):
-    """The factorial study: transforms x entries x rules, best F1 of each, ranked."""
+#: The factorial study: sweep, transforms, entries, rules.
+STUDY = (
+    ("S1", ("abtt1",), J.ENTRIES, ("threshold",)),
+    ("S2", ("raw", "center", "abtt1", "abtt2", "abtt3", "whiten50"), ("centroid",), ("threshold",)),
+    ("S3", ("abtt1",), ("centroid",), ("threshold", "margin", "dp")),
+    ("S4", ("center", "abtt1", "abtt2", "whiten50"), ("centroid", "median", "members_min", "members_mean"), ("threshold", "margin", "dp")),
+    ("BASELINE", ("abtt1",), ("first",), ("threshold",)),
+)
+RULES = {"threshold": ("top", -0.2, 1.0), "margin": ("margin", 0.0, 0.6), "dp": ("gain", -6.0, 6.0)}
+
+
+def factorial(rows: DataFrame) -> DataFrame:
+    """``config, theta, precision, recall, f1, fmr, held_recall`` of the 64 settings of STUDY:
+    the best F1 on the rule's curve, and the best recall at a false-merge rate of 5 % or less.
+
+    A transform's decisions are made once for all entries that any sweep asks of it, and
+    all streams are swept together."""
+    wanted: dict[str, list[str]] = {}
+    for _, kinds, entries, _ in STUDY:
+        for k in kinds:
+            wanted.setdefault(k, []).extend(e for e in entries if e not in wanted.get(k, []))
     tops = None
-    for kind in ("raw", "center", "abtt1", "whiten16"):
-        moved = keep(K.transform(spans(spark, d), kind), kind)
-        for entry in ("first", "centroid"):
-            top = J.top_two(J.decisions(moved, entry)).withColumn("config", F.lit(f"{kind}|{entry}"))
-            tops = top if tops is None else tops.union(top)
-    # Each stream is replayed once and swept under every rule.
+    for kind, entries in wanted.items():
+        moved = keep(K.transform(rows, kind), kind)
+        made = J.decisions(moved, tuple(entries))
+        sigma = sigmas(moved)
+        timed = made.join(J.running_mean_distance(moved).withColumnRenamed("ord", "t"), "t")
+        link = F.log(F.col("size").cast("double")) - V.chord2(F.col("cos")) / (2 * sigma.select("sigma2").scalar())
+        timed = timed.withColumns({"link": link, "new0": -F.col("d0_sq") / (2 * sigma.select("sigma0").scalar())})
+        by = Window.partitionBy("kind", "t")
+        timed = timed.withColumns({"r": F.row_number().over(by.orderBy(F.desc("cos"), "entry")), "l": F.row_number().over(by.orderBy(F.desc("link"), "entry"))})
+        at = lambda test, c: F.max(F.when(test, F.col(c)))
+        first, second, linked = F.col("r") == 1, F.col("r") == 2, F.col("l") == 1
+        top = timed.groupBy("kind", "t", "gold", "is_repeat").agg(at(first, "entry").alias("best"), at(first, "cos").alias("top"), at(second, "cos").alias("second"), at(linked, "entry").alias("dp_best"), (at(linked, "link") - F.max("new0")).alias("gain"))
+        top = top.withColumn("margin", F.col("top") - F.coalesce("second", F.lit(0.0))).withColumn("stream", F.concat(F.lit(f"{kind}|"), "kind"))
+        tops = top if tops is None else tops.union(top)
     tops = keep(tops, "tops")
-    out = None
-    for rule, score, lo, hi in (("threshold", "top", -0.2, 1.0), ("margin", "margin", 0.0, 0.6)):
-        curve = J.sweep(tops, score, V.linear_grid(lo, hi, 101), F.col("best") == F.col("gold"), by=["config"])
-        best = J.operating_points(curve, by=["config"]).where("point = 'best_f1'").select(F.concat("config", F.lit(f"|{rule}")).alias("config"), "theta", "f1", "fmr")
-        out = best if out is None else out.union(best)
-    return out.orderBy(F.desc("f1"), "config").limit(20)
+    points = None
+    for rule, (score, lo, hi) in RULES.items():
+        scored = tops.withColumn(score, F.round(score, 9))
+        right = F.col("dp_best" if rule == "dp" else "best") == F.col("gold")
+        curve = keep(J.sweep(scored, score, V.linear_grid(lo, hi, 101), right, by=["stream"], strict=rule == "dp"), f"curve_{rule}")
+        part = J.operating_points(curve, by=["stream"]).withColumn("rule", F.lit(rule))
+        points = part if points is None else points.union(part)
+    best = points.where("point = 'best_f1'").select("stream", "rule", "theta", "precision", "recall", "f1", "fmr")
+    held = points.where("point = 'best_recall'").select("stream", "rule", F.col("recall").alias("held_recall"))
+    names = [(f"{s}|{k}|{e}|{r}", f"{k}|{e}", r) for s, kinds, entries, rules in STUDY for k in kinds for e in entries for r in rules]
+    study = rows.sparkSession.createDataFrame(names, "config string, stream string, rule string")
+    return study.join(best.join(held, ["stream", "rule"], "left"), ["stream", "rule"]).select("config", "theta", "precision", "recall", "f1", "fmr", "held_recall")
+
+
+@query("factorial_study")
+def factorial_study(spark, d):
+    return factorial(spans(spark, d))
+
+
+@query("transform_leaderboard")
+def transform_leaderboard(spark, d):
+    """The twenty best settings of the factorial study, each setting once."""
+    once = factorial(spans(spark, d)).withColumn("config", F.regexp_replace("config", r"^[A-Z0-9]+\|", "")).groupBy("config").agg(*[F.first(c).alias(c) for c in ("theta", "f1", "fmr")])
+    return once.orderBy(F.desc("f1"), "config").limit(20)
 
 
 _FEEDBACK_THETA = 0.3

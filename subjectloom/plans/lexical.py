@@ -64,12 +64,19 @@ def weighted_pool(spark, d):
 
 @query("sigma_estimates", f"WITH {S}, l AS (SELECT ord, topic, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM s), c AS (SELECT topic, i, avg(x) AS a FROM l GROUP BY topic, i), n AS (SELECT topic, sqrt(sum(a * a)) AS n FROM c GROUP BY topic), g AS (SELECT i, avg(x) AS a FROM l GROUP BY i), k AS (SELECT sqrt(sum(a * a)) AS n FROM g), w AS (SELECT ord, 2 - 2 * sum(x * c.a) / any_value(n.n) AS d FROM l JOIN c USING (topic, i) JOIN n USING (topic) GROUP BY ord), o AS (SELECT ord, 2 - 2 * sum(x * g.a) / any_value(k.n) AS d FROM l JOIN g USING (i), k GROUP BY ord) SELECT round(greatest((SELECT avg(d) FROM w), 0.001), 6) AS sigma2, round(greatest((SELECT avg(d) FROM o), 0.001), 6) AS sigma0")
 def sigma_estimates(spark, d):
-    """Mean squared distance to the own topic's centroid, and to the global one."""
-    s = spans(spark, d)
-    within = s.join(topic_centroids(s).select("topic", F.col("v").alias("c")), "topic").select((2 - 2 * V.dot(F.col("v"), F.col("c"))).alias("w"), F.lit(None).cast("double").alias("g"))
-    every = topic_centroids(s.withColumn("topic", F.lit(0))).select(F.lit(1).alias("one"), F.col("v").alias("c"))
-    overall = s.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").select(F.lit(None).cast("double").alias("w"), (2 - 2 * V.dot(F.col("v"), F.col("c"))).alias("g"))
-    return within.union(overall).agg(F.round(F.greatest(F.avg("w"), F.lit(0.001)), 6).alias("sigma2"), F.round(F.greatest(F.avg("g"), F.lit(0.001)), 6).alias("sigma0"))
+    return sigmas(spans(spark, d)).select(F.round("sigma2", 6).alias("sigma2"), F.round("sigma0", 6).alias("sigma0"))
+
+
+def sigmas(s):
+    """``sigma2, sigma0``: mean squared distance of unit vectors to the own topic's centroid,
+    and to the global one, 0.001 at least.  The mean cosine to a normalised mean is the
+    length of that mean, so sums by topic and dimension are all that is needed."""
+    sums = s.select("topic", F.posexplode("v").alias("i", "x")).groupBy("topic", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    none = F.lit(None).cast("double")
+    topics = sums.groupBy("topic").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("w"), F.max("n").alias("n")).agg((2 - 2 * F.sum("w") / F.sum("n")).alias("w"))
+    every = sums.groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).agg((2 - 2 * F.sqrt(F.sum(F.col("x") * F.col("x"))) / F.max("n")).alias("g"))
+    both = topics.select("w", none.alias("g")).union(every.select(none.alias("w"), "g"))
+    return both.agg(F.greatest(F.max("w"), F.lit(0.001)).alias("sigma2"), F.greatest(F.max("g"), F.lit(0.001)).alias("sigma0"))
 
 
 @query("same_diff_gap", f"WITH {S}, p AS (SELECT a.topic = b.topic AS same, list_dot_product(a.v, b.v) AS sim FROM s a JOIN s b ON a.ord < b.ord) SELECT round(avg(sim) FILTER (same), 6) AS mean_same, round(avg(sim) FILTER (NOT same), 6) AS mean_diff, round(avg(sim) FILTER (same) - avg(sim) FILTER (NOT same), 6) AS gap FROM p")

@@ -10,6 +10,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import journal as G
 from ..operators import models as M
+from ..operators import similarity as Y
+from ..sources.folders import keep
 from .registry import query
 from .tables import table
 
@@ -26,24 +28,26 @@ def encode_pool(spark, d):
 
 
 def _retrieved(spark, d):
-    """Each user turn against the five best earlier user turns of its conversation."""
-    c = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    e = M.apply_model(c, "text", "v", M.hashing_encoder(), "array<double>")
-    a = e.select("conv_id", F.col("turn").alias("t"), F.col("text").alias("q"), F.col("v").alias("x"))
-    b = e.select("conv_id", "turn", F.col("text").alias("c"), F.col("v").alias("y"))
-    pairs = a.join(b, "conv_id").where("turn < t").withColumn("sim", V.dot(F.col("x"), F.col("y")))
-    w = Window.partitionBy("conv_id", "t").orderBy(F.desc("sim"), "turn")
-    return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    """``q, t, rank, c``: each user turn against the ten best of all earlier user turns, of
+    whatever conversation; turns are ordered by conversation and turn."""
+    c = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    at = (F.col("conv_id").cast("long") * (1 << 20) + F.col("turn")).alias("at")
+    e = keep(M.apply_model(c.select(at, "text"), "text", "v", M.hashing_encoder(), "array<double>"), "turns")
+    # The query just before its own turn: entries up to it are the strictly earlier ones.
+    best = Y.nearest_earlier(e.select((F.col("at") - 1).alias("q"), "v"), e.select("at", F.col("v").alias("c")), "at", 10)
+    said = e.select(F.col("at").alias("t"), F.col("text").alias("q"))
+    return best.select((F.col("q") + 1).alias("t"), "at", "rank").join(e.select("at", F.col("text").alias("c")), "at").join(said, "t")
 
 
 @query("retrieve_verify")
 def retrieve_verify(spark, d):
     """Retrieve, prompt, score, parse."""
-    r = _retrieved(spark, d).groupBy("conv_id", "t").agg(F.first("q").alias("q"), F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("cands"))
+    r = _retrieved(spark, d).groupBy("t").agg(F.first("q").alias("q"), F.array_sort(F.collect_list(F.struct("rank", "c"))).alias("cands"))
     line = F.transform("cands", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), T.snippet(x["c"], 40)))
-    prompts = r.select("conv_id", "t", F.concat(T.snippet(F.col("q"), 40), F.lit("\n"), F.array_join(line, "\n")).alias("prompt"))
+    prompts = r.select("t", F.concat(T.snippet(F.col("q"), 40), F.lit("\n"), F.array_join(line, "\n")).alias("prompt"))
     said = M.apply_model(prompts, "prompt", "reply", M.overlap_scorer())
-    return said.select("conv_id", "t", J.verdict(F.col("reply")).alias("v")).select("conv_id", "t", "v.best_matched_rank", "v.same_confidence", "v.parse_error")
+    said = said.select(F.shiftright("t", 20).alias("conv_id"), F.col("t").bitwiseAND((1 << 20) - 1).alias("t"), J.verdict(F.col("reply")).alias("v"))
+    return said.select("conv_id", "t", "v.best_matched_rank", "v.same_confidence", "v.parse_error")
 
 
 @query("verify_sweep")
