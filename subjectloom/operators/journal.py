@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.folders import ranked
 from .kernels import geometric_median
 
 
 def chronological(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``ord`` from 1.  The total order is inherent to a journal; only keys and the
-    row's payload pass through the one ordered partition."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    """``ord`` from 1, in the order of ``keys`` (unique)."""
+    return ranked(df, keys, "ord")
 
 
 def first_seen(spans: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,27 +9,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import vectors as V
+from ..sources.folders import keep
+
+
+#: Rows of a block of an all-pairs join: a task holds two blocks and makes their product.
+BLOCK_ROWS = 512
+
 
+def _blocks(rows: DataFrame) -> int:
+    return -(-rows.count() // BLOCK_ROWS) or 1
 
-def all_pairs(rows: DataFrame, key: str = "ord", blocks: int = 8, carry: tuple[str, ...] = ("topic", "v")) -> DataFrame:
+
+def all_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None, carry: tuple[str, ...] = ("topic", "v")) -> DataFrame:
     """Every unordered pair once (left key < right key), columns suffixed _a and _b.
 
     Rows are dealt into blocks and block pairs are equi-joined, so that the work is
-    blocks^2 / 2 even tasks rather than one nested loop over a broadcast side.
+    blocks^2 / 2 even tasks rather than one nested loop over a broadcast side.  There are as
+    many blocks as keep each at about BLOCK_ROWS rows.
     """
+    blocks = blocks or _blocks(rows)
     block = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     left = block.select(F.col(key).alias("i"), *[F.col(c).alias(f"{c}_a") for c in carry], F.col("block").alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bb"))
     right = block.select(F.col(key).alias("j"), *[F.col(c).alias(f"{c}_b") for c in carry], F.col("block").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ba"))
     return left.join(right, ["ba", "bb"]).where("i < j").drop("ba", "bb")
 
 
-def cosine_pairs(rows: DataFrame, key: str = "ord", blocks: int = 8) -> DataFrame:
+def cosine_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None) -> DataFrame:
     """``i, j, same, sim`` over all pairs of unit vectors, each pair once (i < j).
 
     Every row goes to the ``blocks`` block pairs that its block is in; a block pair is
-    one matrix product.  Widths stay small with more blocks: a task holds two blocks.
+    one matrix product.  There are as many blocks as keep each at about BLOCK_ROWS rows, so
+    what a task holds does not grow with the table.
     """
+    blocks = blocks or _blocks(rows)
     block = rows.select(F.col(key).cast("long").alias("i"), "topic", "v", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     dealt = block.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
     dealt = dealt.select("i", "topic", "v", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
@@ -154,38 +164,54 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([100.0 if not x and not y else 200.0 * lcs_length(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def fuzzy_pairs(strings: DataFrame, column: str = "s", key: str = "pos", threshold: float = 88.0, blocks: int = 8) -> DataFrame:
+def fuzzy_pairs(strings: DataFrame, column: str = "s", key: str = "pos", threshold: float = 88.0, blocks: int | None = None) -> DataFrame:
     """``i, j, ratio`` of pairs at the threshold or more.  Levenshtein never exceeds the
     indel distance, so a bounded one (in the JVM) rejects most pairs first."""
     pairs = all_pairs(strings, key, blocks, carry=(column,))
     a, b = F.col(f"{column}_a"), F.col(f"{column}_b")
     room = F.floor((1 - threshold / 100) * (F.length(a) + F.length(b))).cast("int")
-    near = pairs.withColumn("room", room).where(F.expr(f"levenshtein({column}_a, {column}_b) <= room"))
+    near = pairs.withColumn("room", room).where((F.abs(F.length(a) - F.length(b)) <= F.col("room")) & F.expr(f"levenshtein({column}_a, {column}_b) <= room"))
     return near.select("i", "j", F.round(indel_ratio(a, b), 4).alias("ratio")).where(F.col("ratio") >= threshold)
 
 
-def leader_clusters(strings: DataFrame, pairs: DataFrame, key: str = "pos", column: str = "s") -> DataFrame:
+#: Undecided pairs of strings that are settled one by one in a single task.
+SETTLED_AT_ONCE = 100_000
+
+
+def leader_clusters(strings: DataFrame, pairs: DataFrame, key: str = "pos", column: str = "s", settle: int = SETTLED_AT_ONCE) -> DataFrame:
     """``pos, s, leader, canonical``: greedy star clusters in first-seen order.
 
     A string joins the first leader before it that it resembles; leaders are strings
-    that no earlier leader took.  That is sequential in the strings that have a
-    neighbour, so only their pairs meet in one group; all others lead themselves.
-    The canonical form is the longest member, the first on ties.
+    that no earlier leader took: the lexicographically first independent set.  Rounds of
+    joins find it: an undecided string without an earlier undecided neighbour leads, and
+    its neighbours are taken.  When few pairs are undecided they are settled in order in
+    one task.  The canonical form is the longest member, the first on ties.
     """
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for i, j in zip(pdf["i"], pdf["j"], strict=True):
-            near.setdefault(i, set()).add(j)
-            near.setdefault(j, set()).add(i)
-        taken: dict[int, int] = {}
-        for s in sorted(near):
+        later: dict[int, list[int]] = {}
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            later.setdefault(a, []).append(b)
+        taken: set[int] = set()
+        for s in sorted(later):
             if s not in taken:
-                for t in [s, *sorted(near[s])]:
-                    taken.setdefault(t, s)
-        return pd.DataFrame({key: list(taken), "leader": list(taken.values())})
-
-    found = pairs.groupBy(F.lit(1).alias("one")).applyInPandas(greedy, f"{key} long, leader long")
-    named = strings.join(found, key, "left").withColumn("leader", F.coalesce("leader", key))
+                taken.update(later[s])
+        return pd.DataFrame({key: sorted(taken)}, dtype="int64")
+
+    every = keep(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "pairs")
+    open_, taken = every, strings.select(F.col(key).cast("long").alias(key)).where("false")
+    while (n := open_.count()) > settle:
+        first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = open_.join(first, "a", "left_semi").select(F.col("b").alias(key)).distinct()
+        taken = keep(taken.union(gone), "taken")
+        done = taken.union(first.select(F.col("a").alias(key)))
+        for end in ("a", "b"):
+            open_ = open_.join(done.select(F.col(key).alias(end)), end, "left_anti")
+        open_ = keep(open_.select("a", "b"), "open")
+    if n:
+        # At most ``settle`` rows.
+        taken = keep(taken.union(open_.groupBy(F.lit(1).alias("one")).applyInPandas(greedy, f"{key} long")), "taken")
+    led = every.join(taken.select(F.col(key).alias("a")), "a", "left_anti").groupBy(F.col("b").alias(key)).agg(F.min("a").alias("leader")).join(taken, key, "left_semi")
+    named = strings.join(led, key, "left").withColumn("leader", F.coalesce("leader", key))
     w = Window.partitionBy("leader").orderBy(F.desc(F.length(column)), key)
     return named.withColumn("canonical", F.first(column).over(w))

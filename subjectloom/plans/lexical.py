@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import kernels as K
 from ..operators import similarity as M
+from ..sources.folders import ranked
 from .registry import query
 from .tables import S, spans, table
 
@@ -195,11 +196,9 @@ def leader_clusters(spark, d):
 
 def topic_titles(spark, d):
     """``pos, s``: the distinct topic titles of all transcripts, in first-seen order."""
-    from pyspark.sql import Window
-
     from ..functions import text as T
     from .tables import protocols
 
     raw = protocols(spark, d).select("doc_id", F.posexplode(T.between_tags(F.col("text"), T.TOPIC_TAG)).alias("at", "s"))
     first = raw.groupBy("s").agg(F.min(F.struct("doc_id", "at")).alias("o"))
-    return first.select("s", F.row_number().over(Window.orderBy("o")).cast("long").alias("pos"))
+    return ranked(first, ["o"], "pos").select("s", "pos")

@@ -10,7 +10,8 @@ from ..operators import kernels as K
 from ..operators import metrics as E
 from ..operators import similarity as M
 from ..sources.folders import keep
-from .journals import shortlist_events
+from .journals import _RANKS, shortlist_events
+from .lexical import TF
 from .registry import query
 from .tables import S, curve_sql, grid_sql, points_sql, spans, table
 
@@ -89,7 +90,7 @@ def agreement_stats(spark, d):
 @query("percentile_neg", f"WITH {PAIRS} SELECT round(quantile_cont(sim, 0.2), 6) AS p20, count(*) AS n FROM pr_ WHERE NOT is_repeat")
 def percentile_neg(spark, d):
     """The 20th percentile of cross-topic similarities, linearly interpolated."""
-    return _pairs(spark, d).where("not is_repeat").agg(F.round(F.percentile("sim", F.lit(0.2)), 6).alias("p20"), F.count("*").alias("n"))
+    return E.quantile(keep(_pairs(spark, d).where("not is_repeat"), "pairs"), "sim", 0.2).select(F.round("value", 6).alias("p20"), "n")
 
 
 @query("margin_histogram", f"WITH {PAIRS}, h AS (SELECT is_repeat, least(floor((sim + 1) / (2.0::DOUBLE / 30)), 29)::BIGINT AS bin, count(*) AS n FROM pr_ GROUP BY ALL) SELECT is_repeat, bin, n, round(n / (sum(n) OVER (PARTITION BY is_repeat) * (2.0::DOUBLE / 30)), 6) AS density FROM h")
@@ -152,18 +153,23 @@ def abtt_k_sweep(spark, d):
     return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("ari"), "k")) == 1)
 
 
-@query("alpha_sweep")
+_ALPHAS = [round(0.1 * i, 1) for i in range(11)]
+
+
+@query("alpha_sweep", f"WITH {S}, {TF}, d AS (SELECT a.ord - 1 AS i, b.ord - 1 AS j, a.topic = b.topic AS same, list_dot_product(a.v, b.v) AS sim FROM s a JOIN s b ON a.ord < b.ord), x AS (SELECT a.conv_id AS i, b.conv_id AS j, sum(a.weight * b.weight) AS lex FROM wt a JOIN wt b ON a.term = b.term AND a.conv_id < b.conv_id GROUP BY 1, 2), f AS (SELECT alpha, same, round(alpha * coalesce(lex, 0) + (1 - alpha) * sim, 7) AS sim FROM d LEFT JOIN x USING (i, j), (SELECT unnest({_ALPHAS})::DOUBLE AS alpha)), r AS (SELECT alpha, same, rank() OVER (PARTITION BY alpha ORDER BY sim) + (count(*) OVER (PARTITION BY alpha, sim) - 1) / 2.0::DOUBLE AS r FROM f), u AS (SELECT alpha, round((sum(r) FILTER (same) - count(*) FILTER (same)::DOUBLE * (count(*) FILTER (same) + 1) / 2) / (count(*) FILTER (same)::DOUBLE * count(*) FILTER (NOT same)), 6) AS auc FROM r GROUP BY alpha) SELECT alpha, auc, row_number() OVER (ORDER BY round(auc, 4) DESC, alpha) = 1 AS best FROM u")
 def alpha_sweep(spark, d):
-    """Separability of the fused similarity by alpha."""
+    """Separability of the fused similarity by alpha, the best alpha marked.  Scores stand to
+    seven digits, as in ``auc_same_topic`` to nine: sums of products differ in the last ones."""
+    from pyspark.sql import Window
+
     from .lexical import _weights
 
     dense = M.cosine_pairs(spans(spark, d)).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "same", "sim")
-    alphas = [round(0.1 * i, 1) for i in range(11)]
-    fused = M.fuse(dense, M.sparse_pairs(_weights(spark, d), "conv_id"), alphas)
-    # Scores to five digits: few distinct values reach the shuffle.
-    return E.auc(fused.withColumn("sim", F.round("sim", 5)), "sim", "same", by=["alpha"]).select("alpha", F.round("auc", 4).alias("auc"))
+    fused = M.fuse(dense, M.sparse_pairs(_weights(spark, d), "conv_id"), _ALPHAS)
+    auc = E.auc_by_ranges(fused.withColumn("sim", F.round("sim", 7)), "sim", "same", "alpha").select("alpha", F.round("auc", 6).alias("auc"))
+    return auc.withColumn("best", F.row_number().over(Window.orderBy(F.desc(F.round("auc", 4)), "alpha")) == 1)
 
 
-@query("recall_summary")
+@query("recall_summary", _RANKS + " SELECT count(*) AS events, round(avg(1.0::DOUBLE / rank), 6) AS mean_reciprocal_rank FROM ev")
 def recall_summary(spark, d):
     return shortlist_events(spark, d).agg(F.count("*").alias("events"), F.round(F.avg(1 / F.col("rank")), 6).alias("mean_reciprocal_rank"))

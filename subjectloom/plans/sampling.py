@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import metrics as E
 from ..operators import similarity as M
 from ..sources.folders import keep
 from .registry import query
@@ -35,9 +36,8 @@ def hard(pairs: DataFrame, n: int = 30) -> DataFrame:
 
 def easy(pairs: DataFrame, n: int = 20) -> DataFrame:
     """Random pairs of different topics at or below the 20th percentile of such pairs."""
-    across = pairs.where("not same").withColumn("one", F.lit(1))
-    cut = across.groupBy("one").agg(F.percentile("sim", F.lit(0.2)).alias("cut"))
-    return across.join(F.broadcast(cut), "one").where("sim <= cut").orderBy("h").limit(n).select("i", "j", "h")
+    across = pairs.where("not same")
+    return across.where(F.col("sim") <= E.quantile(across, "sim", 0.2).select("value").scalar()).orderBy("h").limit(n).select("i", "j", "h")
 
 
 @query("positive_cap", f"WITH {P}, {POS} SELECT i, j FROM pos")

@@ -50,10 +50,15 @@ def session_counts(spark, d):
 
 @query("journal_growth", "SELECT vec_id + 1 AS ord, count(*) FILTER (r = 1) OVER (ORDER BY vec_id) AS entries FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings)")
 def journal_growth(spark, d):
-    """The number of journal entries after each row."""
+    """The number of journal entries after each row: the openings are ranked, and each row
+    takes the rank of the last opening at or before it, by ranges of the order."""
     from pyspark.sql import Window
 
     from ..operators.journal import first_seen
 
-    s = first_seen(spans(spark, d).select("ord", "topic"))
-    return s.select("ord", F.sum(F.when(~F.col("is_repeat"), 1).otherwise(0)).over(Window.orderBy("ord")).cast("long").alias("entries"))
+    s = first_seen(spans(spark, d).select("ord", "topic")).withColumn("part", F.floor(F.col("ord") / 65_536))
+    new = F.when(F.col("is_repeat"), 0).otherwise(1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = s.groupBy("part").agg(F.sum(new).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.sum(new).over(Window.partitionBy("part").orderBy("ord"))
+    return s.withColumn("n", inside).join(parts, "part").select("ord", (F.col("base") + F.col("n")).cast("long").alias("entries"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -13,6 +14,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     single-machine session without the setting gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="subjectloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/subjectloom-{uuid.uuid4().hex}/{label}"
@@ -23,3 +26,17 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row, from 1, in the order of ``keys`` (unique).
+
+    Rows are sorted within ranges of the keys; a range's offset is the number of rows
+    before it, from a table of one row a range.  No task sees all rows.
+    """
+    low = F.col("_id").bitwiseAND((1 << 33) - 1)
+    rows = keep(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), name)
+    rows = rows.select(*df.columns, F.shiftright("_id", 33).alias("_range"), low.alias("_at"))
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("long")).drop("_range", "_at", "_before")

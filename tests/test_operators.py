@@ -205,6 +205,36 @@ def test_leaders_are_greedy_and_not_transitive(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+@pytest.mark.parametrize("settle", [0, 3, 10_000])
+def test_leaders_equal_a_sequential_pass(spark, settle):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("ab"), 6)) for _ in range(60)]
+    words = list(dict.fromkeys(words))
+    df = spark.createDataFrame(list(enumerate(words)), "pos long, s string")
+    got = {r["pos"]: (r["leader"], r["canonical"]) for r in M.leader_clusters(df, M.fuzzy_pairs(df, threshold=84.0), settle=settle).collect()}
+    leaders, want = [], {}
+    for i, w in enumerate(words):
+        near = [j for j in leaders if 200 * M.lcs_length(words[j], w) / (len(words[j]) + len(w)) >= 84.0]
+        want[i] = near[0] if near else i
+        leaders += [] if near else [i]
+    assert {i: x for i, (x, _) in got.items()} == want and len(leaders) > 3
+    assert all(c == words[leader] for leader, c in got.values())
+
+
+def test_quantile_and_ranks(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(0, 0.3, 501), 3)
+    df = spark.createDataFrame([(float(v), bool(v > 0.1 or i % 3 == 0), i % 2) for i, v in enumerate(x)], "s double, y boolean, k long")
+    for q in (0.0, 0.2, 0.5, 0.999, 1.0):
+        r = E.quantile(df, "s", q).first()
+        assert r["value"] == pytest.approx(np.quantile(x, q)) and r["n"] == 501
+    assert E.quantile(df.where("false"), "s", 0.2).first()["n"] == 0
+    one = {r["k"]: r["auc"] for r in E.auc(df, "s", "y", by=["k"]).collect()}
+    assert {r["k"]: pytest.approx(r["auc"]) for r in E.auc_by_ranges(df, "s", "y", "k", 16).collect()} == one
+    keyed = spark.createDataFrame([(int(i), f"v{i}") for i in rng.permutation(200)], "i long, v string").repartition(5)
+    assert sorted((r["i"], r["at"]) for r in G.ranked(keyed, ["i"], "at").collect()) == [(i, i + 1) for i in range(200)]
+
+
 def test_all_pairs_once(spark):
     df = spark.createDataFrame(unit_rows(17), UNIT)
     pairs = [(r["i"], r["j"]) for r in M.all_pairs(df, blocks=3).collect()]
