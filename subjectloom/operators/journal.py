@@ -59,7 +59,7 @@ def _affinity(kind: str, x: np.ndarray, members: np.ndarray, before: np.ndarray)
     return running.accumulate(x @ members.T, axis=1)[np.arange(len(x)), before - 1]
 
 
-def decisions(spans: DataFrame, entry: str | tuple[str, ...] = "centroid", rows_a_block: int = 2048) -> DataFrame:
+def decisions(spans: DataFrame, entry: str | tuple[str, ...] = "centroid", rows_a_block: int | None = None) -> DataFrame:
     """One row for each decision and entry: ``t, gold, entry, size, cos, is_repeat``, and
     ``kind`` where several representations are asked for (they share one pass).
 
@@ -71,7 +71,9 @@ def decisions(spans: DataFrame, entry: str | tuple[str, ...] = "centroid", rows_
         if k not in ENTRIES:
             raise ValueError(f"unknown entry representation {k}")
     last, n = spans.agg(F.max("ord"), F.count("*")).first()
-    rows, entries = (last or 0) // rows_a_block + 1, n // (2 * rows_a_block) + 1
+    # Blocks of 2,048 rows, fewer where that would leave most cores idle.
+    rows_a_block = rows_a_block or max(64, min(2048, (last or 0) // 16))
+    rows, entries = (last or 0) // rows_a_block + 1, n // 4096 + 1
     topic = spans.schema["topic"].dataType
     cut = first_seen(spans.select("ord", "topic", "v")).withColumn("rb", F.floor(F.col("ord") / rows_a_block).cast("int"))
     each = lambda lo, hi, name: F.explode(F.sequence(lo, F.lit(hi - 1))).alias(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -77,25 +79,40 @@ def auc(pairs: DataFrame, score: str, positive: str, by: list[str] | None = None
     return total.select(*(by or []), F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def auc_by_ranges(pairs: DataFrame, score: str, positive: str, by: str, ranges: int = 4096) -> DataFrame:
-    """``by, auc`` as ``auc``, where nearly all scores differ: instead of counting each score,
-    the scores of a range are sorted together; ranges are put together by their counts."""
+def fused_auc(pairs: DataFrame, alphas: list[float], digits: int = 7, ranges: int = 256) -> DataFrame:
+    """``alpha, auc`` of alpha * lex + (1 - alpha) * sim (rounded to ``digits``) for each
+    alpha, over ``pairs(same, sim, lex)``; null with one class.
+
+    A batch of pairs makes the scores of all alphas at once and ships them packed by range
+    of the score; a range's scores are sorted together, with average ranks for ties, and
+    ranges are put together by their counts.  No score is left out or merged."""
+
+    def scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, sim, lex = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("same", "sim", "lex"))
+            out: list[tuple] = []
+            for alpha in alphas:
+                s = np.round(alpha * lex + (1 - alpha) * sim, digits)
+                cell = np.floor(s * ranges).astype(np.int64)
+                order = np.argsort(cell, kind="stable")
+                names, starts = np.unique(cell[order], return_index=True)
+                for name, at in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
+                    out.append((alpha, name, s[at][same[at]].tobytes(), s[at][~same[at]].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.float64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["alpha", "cell", "p", "n"])
 
     def inside(table: pa.Table) -> pa.Table:
-        s, p = table.column("s").to_numpy(), np.array(table.column("p").to_pylist(), bool)
-        value, code = np.unique(s, return_inverse=True)
-        n = np.bincount(code[~p], minlength=len(value))
-        below = np.cumsum(n) - n
-        won = float((below[code[p]] + n[code[p]] / 2).sum())
-        return pa.table({by: table.column(by)[:1], "range": table.column("range")[:1], "won": [won], "p": [float(p.sum())], "n": [float((~p).sum())]})
-
-    kind = pairs.schema[by].dataType.simpleString()
-    cut = pairs.select(by, F.floor(F.col(score) * ranges).alias("range"), F.col(score).alias("s"), F.col(positive).alias("p"))
-    parts = cut.groupBy(by, "range").applyInArrow(inside, f"{by} {kind}, range long, won double, p double, n double")
-    lower = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        p, n = (np.frombuffer(b"".join(table.column(c).to_pylist())) for c in ("p", "n"))
+        n = np.sort(n)
+        won = (np.searchsorted(n, p, "left") + np.searchsorted(n, p, "right")).sum() / 2
+        return pa.table({"alpha": table.column("alpha")[:1], "cell": table.column("cell")[:1], "won": [float(won)], "p": [float(len(p))], "n": [float(len(n))]})
+
+    packed = pairs.select("same", "sim", "lex").mapInArrow(scores, "alpha double, cell long, p binary, n binary")
+    parts = packed.groupBy("alpha", "cell").applyInArrow(inside, "alpha double, cell long, won double, p double, n double")
+    lower = Window.partitionBy("alpha").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(lower), F.lit(0.0)))
-    total = parts.groupBy(by).agg(F.sum(F.col("won") + F.col("base") * F.col("p")).alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return total.select(by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
+    total = parts.groupBy("alpha").agg(F.sum(F.col("won") + F.col("base") * F.col("p")).alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return total.select("alpha", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def quantile(df: DataFrame, value: str, q: float) -> DataFrame:

@@ -127,11 +127,53 @@ def tfidf(docs: DataFrame, key: str, text: str, *, min_df: int = 2, max_df: floa
     return raw.join(length, key).select(key, "term", (F.col("raw") / F.col("len")).alias("weight"))
 
 
-def sparse_pairs(weights: DataFrame, key: str) -> DataFrame:
-    """``i, j, sim`` of documents that share a term: an equi-join on the term."""
-    a = weights.select(F.col(key).alias("i"), "term", F.col("weight").alias("x"))
-    b = weights.select(F.col(key).alias("j"), "term", F.col("weight").alias("y"))
-    return a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
+#: Terms whose weights are laid out densely at once in a block product.
+TERMS_AT_ONCE = 4096
+
+
+def sparse_pairs(weights: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
+    """``i, j, sim`` of documents that share a term (weights are positive).
+
+    Documents are dealt into blocks, one row a document; a block pair is one product, made
+    over a bounded number of terms at a time.  A term that nearly every document has is a
+    column among others, not a key with a square of rows.  Terms are told apart by 64-bit
+    hashes."""
+    docs = keep(weights.groupBy(F.col(key).cast("long").alias("i")).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("w")), "documents")
+    blocks = blocks or _blocks(docs)
+    block = docs.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    dealt = block.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    dealt = dealt.select("i", "terms", "w", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        b, ids = table.column("b").to_numpy(), table.column("i").to_numpy()
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        sizes = table.column("terms").combine_chunks().value_lengths().to_numpy()
+        row, w = np.repeat(np.arange(len(ids)), sizes), flat("w")
+        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+        place = np.zeros((2, len(ids)), int)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        names, term = np.unique(flat("terms"), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        row, w, term = row[order], w[order], term[order]
+        s = np.zeros((len(left), len(right)))
+        for at in range(0, len(names), TERMS_AT_ONCE):
+            part = slice(*np.searchsorted(term, [at, at + TERMS_AT_ONCE]))
+            sides = []
+            for side, own in ((lo, left), (hi, right)):
+                mine = b[row[part]] == side
+                x = np.zeros((len(own), TERMS_AT_ONCE))
+                x[place[0 if side == lo and own is left else 1, row[part][mine]], term[part][mine] - at] = w[part][mine]
+                sides.append(x)
+            s += sides[0] @ sides[1].T
+        r, c = np.nonzero(s > 0)
+        if lo == hi:
+            r, c = r[ids[left[r]] < ids[right[c]]], c[ids[left[r]] < ids[right[c]]]
+        p, q = ids[left[r]], ids[right[c]]
+        return pa.table({"i": np.minimum(p, q), "j": np.maximum(p, q), "sim": s[r, c]})
+
+    return dealt.groupBy("lo", "hi").applyInArrow(product, "i long, j long, sim double")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, alphas: list[float]) -> DataFrame:
@@ -158,6 +200,33 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
+def lcs_matrix(left: list[str], right: list[str]) -> np.ndarray:
+    """``lcs_length`` of every string of ``left`` with every one of ``right``, those of 63
+    characters or fewer, a column of all pairs at a time; longer ones one by one."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    rows = np.flatnonzero([len(x) < 64 for x in left])
+    letters = {c: i for i, c in enumerate(sorted(set("".join(right))))}
+    masks = np.zeros((len(rows), len(letters) + 1), np.uint64)
+    for r, at in enumerate(rows.tolist()):
+        for i, c in enumerate(left[at]):
+            if c in letters:
+                masks[r, letters[c]] |= np.uint64(1 << i)
+    widest = max(map(len, right), default=0)
+    codes = np.full((len(right), widest), len(letters))
+    for q, x in enumerate(right):
+        codes[q, : len(x)] = [letters[c] for c in x]
+    full = np.array([(1 << len(left[at])) - 1 for at in rows.tolist()], np.uint64)[:, None]
+    s = np.repeat(full, len(right), axis=1)
+    for k in range(widest):
+        # Columns past a string's end have no letters and change nothing.
+        u = s & masks[:, codes[:, k]]
+        s = ((s + u) | (s - u)) & full
+    out[rows] = np.array([len(left[at]) for at in rows.tolist()], np.int64)[:, None] - np.bitwise_count(s)
+    for at in sorted(set(range(len(left))) - set(rows.tolist())):
+        out[at] = [lcs_length(left[at], x) for x in right]
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2 * LCS / (len a + len b); 100 for two empty strings."""
@@ -165,13 +234,28 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fuzzy_pairs(strings: DataFrame, column: str = "s", key: str = "pos", threshold: float = 88.0, blocks: int | None = None) -> DataFrame:
-    """``i, j, ratio`` of pairs at the threshold or more.  Levenshtein never exceeds the
-    indel distance, so a bounded one (in the JVM) rejects most pairs first."""
-    pairs = all_pairs(strings, key, blocks, carry=(column,))
-    a, b = F.col(f"{column}_a"), F.col(f"{column}_b")
-    room = F.floor((1 - threshold / 100) * (F.length(a) + F.length(b))).cast("int")
-    near = pairs.withColumn("room", room).where((F.abs(F.length(a) - F.length(b)) <= F.col("room")) & F.expr(f"levenshtein({column}_a, {column}_b) <= room"))
-    return near.select("i", "j", F.round(indel_ratio(a, b), 4).alias("ratio")).where(F.col("ratio") >= threshold)
+    """``i, j, ratio`` of pairs whose indel ratio is the threshold or more; null strings
+    resemble nothing.  Blocks of strings meet as those of ``cosine_pairs`` do, and their
+    pairs are compared a character at a time, all at once."""
+    strings = strings.where(F.col(column).isNotNull())
+    blocks = blocks or _blocks(strings)
+    block = strings.select(F.col(key).cast("long").alias("i"), F.col(column).alias("s"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    dealt = block.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    dealt = dealt.select("i", "s", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        b, ids, texts = table.column("b").to_numpy(), table.column("i").to_numpy(), table.column("s").to_pylist()
+        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+        size = np.array([len(x) for x in texts])
+        total = size[left][:, None] + size[right]
+        same = lcs_matrix([texts[k] for k in left], [texts[k] for k in right])
+        ratio = np.where(total > 0, np.round(200.0 * same / np.maximum(total, 1), 4), 100.0)
+        r, c = np.nonzero((ratio >= threshold) & ((lo != hi) | (ids[left][:, None] < ids[right])))
+        p, q = ids[left[r]], ids[right[c]]
+        return pa.table({"i": np.minimum(p, q), "j": np.maximum(p, q), "ratio": ratio[r, c]})
+
+    return dealt.groupBy("lo", "hi").applyInArrow(compare, "i long, j long, ratio double")
 
 
 #: Undecided pairs of strings that are settled one by one in a single task.

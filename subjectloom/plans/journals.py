@@ -423,7 +423,19 @@ def feedback_linker(spark, d):
     return K.feedback(spans(spark, d), [_FEEDBACK_THETA]).select("ord", "topic", "entry")
 
 
-@query("feedback_sweep")
+_FEEDBACK = f"""{S}, m AS (SELECT b.ord AS t, b.topic, list(list_dot_product(a.v, b.v) ORDER BY a.ord) AS sims FROM s a JOIN s b ON a.ord < b.ord GROUP BY ALL),
+j(theta, t, topic, entry, reps, opened) AS (
+  SELECT theta, 1::BIGINT, topic, 0::BIGINT, [1::BIGINT], true FROM s, {grid_sql(0.0, 1.0, 21)} WHERE ord = 1
+  UNION ALL
+  SELECT theta, t, topic, CASE WHEN b >= theta THEN list_position(d, b) - 1 ELSE len(reps) END, CASE WHEN b >= theta THEN reps ELSE list_append(reps, t) END, b < theta
+  FROM (SELECT theta, t, topic, reps, d, list_max(d) AS b FROM (SELECT j.theta, m.t, m.topic, j.reps, list_transform(j.reps, lambda r: m.sims[r]) AS d FROM j JOIN m ON m.t = j.t + 1))),
+g AS (SELECT theta, t, NOT opened AS l, row_number() OVER (PARTITION BY theta, topic ORDER BY t) > 1 AS is_repeat, topic = first_value(topic) OVER (PARTITION BY theta, entry ORDER BY t) AS ok FROM j),
+cf AS (SELECT theta, count(*) FILTER (l AND is_repeat AND ok) AS tp, count(*) FILTER (l AND NOT (is_repeat AND ok)) AS fp, count(*) FILTER (is_repeat AND (NOT l OR NOT ok)) AS fn, count(*) FILTER (NOT l AND NOT is_repeat) AS tn, count(*) FILTER (NOT is_repeat) AS neg FROM g GROUP BY theta),
+pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0::DOUBLE END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS rc FROM cf)
+SELECT theta, tp, fp, fn, tn, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0.0::DOUBLE END, 6) AS f1, round(CASE WHEN neg > 0 THEN fp / neg ELSE 0.0::DOUBLE END, 6) AS fmr FROM pr"""
+
+
+@query("feedback_sweep", f"WITH RECURSIVE {_FEEDBACK}")
 def feedback_sweep(spark, d):
     """Confusion of feedback journals over theta (one group each), wrong links both FP and FN."""
     rows = K.feedback(spans(spark, d), V.linear_grid(0.0, 1.0, 21))

@@ -29,13 +29,17 @@ def auc_same_topic(spark, d):
     return E.auc(_pairs(spark, d), "sim", "is_repeat").select(F.round("auc", 6).alias("auc"))
 
 
-_SWEEP = f"WITH {PAIRS}, {curve_sql('pr_', 'sim', grid_sql(0.0, 1.0, 201), 'is_repeat', 'wrong_is_both')}"
+_RECURRING = PAIRS.replace("ON a.ord < b.ord)", "ON a.ord < b.ord WHERE a.topic IN (SELECT topic FROM s GROUP BY topic HAVING count(*) > 1) AND b.topic IN (SELECT topic FROM s GROUP BY topic HAVING count(*) > 1))")
+_SWEEP = f"WITH {_RECURRING}, {curve_sql('pr_', 'sim', grid_sql(0.0, 1.0, 201), 'is_repeat', 'wrong_is_both')}"
 
 
 @query("pairwise_sweep", _SWEEP + " SELECT * FROM curve")
 def pairwise_sweep(spark, d):
-    """The oracle pairwise curve over 201 thetas, in one pass over the pairs."""
-    return J.sweep(_pairs(spark, d), "sim", V.linear_grid(0.0, 1.0, 201), F.col("is_repeat"), convention="wrong_is_both")
+    """The oracle pairwise curve over 201 thetas, in one pass over the pairs of rows whose
+    topic recurs."""
+    rows = M.recurring(spans(spark, d))
+    pairs = M.cosine_pairs(rows).select(F.col("same").alias("is_repeat"), F.round("sim", 9).alias("sim"))
+    return J.sweep(pairs, "sim", V.linear_grid(0.0, 1.0, 201), F.col("is_repeat"), convention="wrong_is_both")
 
 
 @query("pairwise_best_f1", _SWEEP + points_sql("first"))
@@ -165,8 +169,9 @@ def alpha_sweep(spark, d):
     from .lexical import _weights
 
     dense = M.cosine_pairs(spans(spark, d)).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "same", "sim")
-    fused = M.fuse(dense, M.sparse_pairs(_weights(spark, d), "conv_id"), _ALPHAS)
-    auc = E.auc_by_ranges(fused.withColumn("sim", F.round("sim", 7)), "sim", "same", "alpha").select("alpha", F.round("auc", 6).alias("auc"))
+    lex = M.sparse_pairs(_weights(spark, d), "conv_id").withColumnRenamed("sim", "lex")
+    pairs = dense.join(lex, ["i", "j"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
+    auc = E.fused_auc(pairs, _ALPHAS).select("alpha", F.round("auc", 6).alias("auc"))
     return auc.withColumn("best", F.row_number().over(Window.orderBy(F.desc(F.round("auc", 4)), "alpha")) == 1)
 
 

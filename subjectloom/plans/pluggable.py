@@ -63,13 +63,22 @@ def _write(journal: str, text: str) -> str:
     return " ".join([w for w in text.split() if w not in known][:8])
 
 
-@query("log_writing")
+#: DuckDB: the stand-in writer's logs, lg(conv_id, idx, words, entry words, words known before).
+_LOGS = r"""c AS (SELECT conv_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM conversations WHERE role = 'assistant'),
+lg AS (SELECT conv_id, idx, w, w[1:8] AS e, []::VARCHAR[] AS known FROM c WHERE idx = 0
+  UNION ALL SELECT conv_id, idx, w, list_filter(w, lambda x: NOT list_contains(had, x))[1:8], had FROM (SELECT c.conv_id, c.idx, c.w, list_concat(lg.known, lg.e) AS had FROM lg JOIN c ON c.conv_id = lg.conv_id AND c.idx = lg.idx + 1))"""
+
+
+@query("log_writing", f"WITH RECURSIVE {_LOGS} SELECT conv_id, idx, idx = 0 AS is_opening, array_to_string(e, ' ') AS entry FROM lg")
 def log_writing(spark, d):
     """Logs written incrementally, one conversation a chain."""
     return M.write_logs(table(spark, d, "conversations").where("role = 'assistant'"), "conv_id", "turn", "text", _write)
 
 
-@query("log_judging")
+_SHARE = "CASE WHEN len(list_distinct(e)) > 0 THEN round(100.0::DOUBLE * {} / len(list_distinct(e)), 0) ELSE 0 END::BIGINT"
+
+
+@query("log_judging", f"WITH RECURSIVE {_LOGS} SELECT conv_id, idx, idx = 0 AS is_opening, {_SHARE.format('len(list_filter(list_distinct(e), lambda x: list_contains(w, x)))')} AS faithfulness, CASE WHEN idx > 0 THEN {_SHARE.format('len(list_filter(list_distinct(e), lambda x: NOT list_contains(known, x)))')} END AS novelty FROM lg")
 def log_judging(spark, d):
     """Written entries joined to their source by position and judged: the share of an
     entry's words that its source has, and how many the journal before it lacks."""

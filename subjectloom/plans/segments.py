@@ -111,7 +111,22 @@ def not_yet_done(spark, d):
     return table(spark, d, "documents").where(F.contains("lang", F.lit("e"))).select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("span_modes")
+def spans_sql(count: str, extra: str) -> str:
+    """DuckDB: the spans of conversations whose list of topics has ``count`` entries (of n
+    titles), the titles first and then those of ``extra``."""
+    tidy = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"""t0 AS (SELECT conv_id AS doc_id, turn, text, role = 'user' AS opens, role = 'user' AND turn > min(turn) OVER (PARTITION BY conv_id) AS heads, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:3], ' ') AS title FROM conversations),
+t AS (SELECT *, sum(heads::INT) OVER (PARTITION BY doc_id ORDER BY turn) AS h, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY turn) AS o FROM t0),
+hd AS (SELECT doc_id, h, max(title) FILTER (heads) AS title, string_agg(text, ' ' ORDER BY turn) AS part FROM t WHERE h > 0 GROUP BY ALL),
+bd AS (SELECT doc_id, string_agg(CASE WHEN heads THEN (turn + 1) || '. ' || title || ' ' ELSE '' END || text, ' ' ORDER BY turn) AS body, count(*) FILTER (opens) AS n, count(*) FILTER (heads) AS k FROM t GROUP BY doc_id),
+md AS (SELECT *, CASE WHEN m = 1 THEN 'single' WHEN k >= m THEN 'marker_split' ELSE 'frontloaded' END AS segmentation FROM (SELECT *, {count} AS m FROM bd)),
+tp AS (SELECT doc_id, o AS h, title FROM t WHERE opens UNION ALL SELECT doc_id, n + unnest(range(1, 1 + len({extra}))), unnest({extra}) FROM bd),
+sp AS (SELECT doc_id, segmentation, title AS topic, {tidy("title || ' ' || part")} AS span_text FROM md JOIN hd USING (doc_id) WHERE segmentation = 'marker_split'
+       UNION ALL SELECT doc_id, segmentation, title, {tidy("body")} FROM md JOIN tp USING (doc_id) WHERE segmentation <> 'marker_split' AND tp.h <= m),
+spans_ AS (SELECT doc_id, 'c' || (doc_id % 7) AS committee, '2023-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS date, topic, span_text, length(span_text)::BIGINT AS n_chars, len(list_filter(string_split_regex(span_text, '\\s+'), lambda x: x <> ''))::BIGINT AS n_words, segmentation, segmentation <> 'frontloaded' AS clean_for_eval FROM sp)"""
+
+
+@query("span_modes", f"WITH {spans_sql('CASE doc_id % 5 WHEN 0 THEN least(n, 1) WHEN 1 THEN n + 2 ELSE n END', "['x', 'y']")} SELECT * FROM spans_")
 def span_modes(spark, d):
     """Spans in the three segmentation modes; a fifth of the transcripts has one topic
     only, a fifth more topics than headers."""
@@ -175,7 +190,7 @@ def position_join(spark, d):
     return c.select("conv_id", "turn", F.col("role").alias("said_by")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_by")), ["conv_id", "turn"])
 
 
-@query("protocol_scan")
+@query("protocol_scan", f"WITH {P} SELECT doc_id, date, length(text)::BIGINT AS n_chars FROM p")
 def protocol_scan(spark, d):
     """Write the transcripts as one JSON file each, and a damaged one, and scan them back."""
     from ..sources import protocols as S

@@ -198,6 +198,29 @@ def test_lcs(a, b):
     assert M.lcs_length(a, b) == table[-1][-1]
 
 
+def test_lcs_of_all_pairs():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcé "), rng.integers(0, n))) for n in (8, 30, 64, 70, 120) for _ in range(6)] + ["", "a" * 63, "a" * 64, "z" * 200]
+    assert M.lcs_matrix(words, words[::-1]).tolist() == [[M.lcs_length(a, b) for b in words[::-1]] for a in words]
+    assert M.lcs_matrix([], words).shape == (0, len(words)) and M.lcs_matrix(words, []).shape == (len(words), 0)
+
+
+def test_fuzzy_pairs_equal_all_ratios(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcd"), rng.integers(0, 14))) for _ in range(40)] + [None, "", ""]
+    df = spark.createDataFrame(list(enumerate(words)), "pos long, s string")
+    for blocks in (None, 3):
+        got = {(r["i"], r["j"]): r["ratio"] for r in M.fuzzy_pairs(df, threshold=70.0, blocks=blocks).collect()}
+        want = {}
+        for i, a in enumerate(words):
+            for j, b in enumerate(words[:i]):
+                if a is not None and b is not None:
+                    ratio = 100.0 if not a and not b else round(200 * M.lcs_length(a, b) / (len(a) + len(b)), 4)
+                    if ratio >= 70:
+                        want[j, i] = ratio
+        assert got == pytest.approx(want) and len(want) > 10
+
+
 def test_leaders_are_greedy_and_not_transitive(spark):
     df = spark.createDataFrame([(0, "aaaaaaaaaa"), (1, "aaaaaaaabb"), (2, "aaaaaabbbb"), (3, "zz")], "pos long, s string")
     pairs = M.fuzzy_pairs(df, threshold=80.0)
@@ -229,12 +252,28 @@ def test_quantile_and_ranks(spark):
         r = E.quantile(df, "s", q).first()
         assert r["value"] == pytest.approx(np.quantile(x, q)) and r["n"] == 501
     assert E.quantile(df.where("false"), "s", 0.2).first()["n"] == 0
-    one = {r["k"]: r["auc"] for r in E.auc(df, "s", "y", by=["k"]).collect()}
-    assert {r["k"]: pytest.approx(r["auc"]) for r in E.auc_by_ranges(df, "s", "y", "k", 16).collect()} == one
+    pairs = df.select(F.col("y").alias("same"), F.col("s").alias("sim"), F.round(F.col("s") * F.col("k") + 0.1, 2).alias("lex"))
+    for r in E.fused_auc(pairs, [0.0, 0.3, 1.0], 9, 16).collect():
+        one = E.auc(pairs.select("same", F.round(r["alpha"] * F.col("lex") + (1 - r["alpha"]) * F.col("sim"), 9).alias("z")), "z", "same").first()["auc"]
+        assert r["auc"] == pytest.approx(one)
+    assert E.fused_auc(pairs.where("same"), [0.5]).first()["auc"] is None
     keyed = spark.createDataFrame([(int(i), f"v{i}") for i in rng.permutation(200)], "i long, v string").repartition(5)
     assert sorted((r["i"], r["at"]) for r in G.ranked(keyed, ["i"], "at").collect()) == [(i, i + 1) for i in range(200)]
 
 
+@pytest.mark.parametrize("blocks", [None, 1, 4])
+def test_sparse_pairs_equal_a_product(spark, blocks, monkeypatch):
+    monkeypatch.setattr(M, "TERMS_AT_ONCE", 16)
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((30, 50)) < 0.2, rng.random((30, 50)) + 0.01, 0.0)
+    x[:, 7] = 0.5
+    x[29] = 0.0
+    df = spark.createDataFrame([(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "k long, term string, weight double")
+    got = {(r["i"], r["j"]): r["sim"] for r in M.sparse_pairs(df, "k", blocks).collect()}
+    s = x @ x.T
+    assert got == {(i, j): pytest.approx(s[i, j]) for i in range(30) for j in range(i + 1, 30) if s[i, j] > 0}
+
+
 def test_all_pairs_once(spark):
     df = spark.createDataFrame(unit_rows(17), UNIT)
     pairs = [(r["i"], r["j"]) for r in M.all_pairs(df, blocks=3).collect()]

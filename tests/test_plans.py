@@ -26,7 +26,7 @@ def test_vocabulary_of_the_reference(spark, sf, name):
     same_rows(QUERIES[name](spark, d), connect(d), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"transform_leaderboard", "alpha_sweep", "abtt_k_sweep", "kmeans_ml", "representation_study"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
