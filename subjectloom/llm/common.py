@@ -39,6 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/subjectloom/{uuid.uuid4().hex}"
 
 
+#: Files of a staged table for each core, at most.
+FILES_A_CORE = 4
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -47,6 +51,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}"
+    # No more files than FILES_A_CORE for each core: many partitions of a small table would
+    # be as many small files.  The partitions of a task follow one another.
+    df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
     # Small row groups: a writer holds one in memory, and each core has a writer.
     df.write.option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
