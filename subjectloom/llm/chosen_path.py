@@ -233,13 +233,15 @@ def _tree_nodes(classes: DataFrame, trees: int, extra: float, leaf: int, depth:
     join, it is compared as it stands."""
     token = lambda c: F.expr(f"substring(sig, 4 * ({c}) + 1, 4)")
     level = classes.select(F.explode(F.array(*[F.xxhash64(F.lit(t), token(t)) for t in range(trees)])).alias("path"), "cls", F.lit(0).cast("long").alias("parent"))
-    level = stage(level, "level0")
+    # Rows of a level, for the number of files: members fall into about one child each.
+    rows = trees * classes.count()
+    level = stage(level, "level0", rows)
     done = []
     for at in range(depth):
         sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").withColumn("n_rows", F.col("n"))
         if at == 0:
-            sizes = stage(sizes, "sizes")  # the widest level, and three readers
-        shared = stage(spread_join(level, sizes, "path", ["cls"]), f"shared{at}")
+            sizes = stage(sizes, "sizes", rows)  # the widest level, and three readers
+        shared = stage(spread_join(level, sizes, "path", ["cls"]), f"shared{at}", rows)
         branches = F.col("n") > leaf
         if at >= 1:
             branches = branches & (10 * F.col("n") <= 6 * F.col("parent"))
@@ -252,7 +254,7 @@ def _tree_nodes(classes: DataFrame, trees: int, extra: float, leaf: int, depth:
         pick = lambda salt: F.pmod(F.xxhash64("path", F.lit(salt)), F.lit(COORDINATES)).cast("int")
         second = F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(1000)) < int(1000 * extra)
         picked = large.select("path", "cls", "n", F.explode(F.when(second, F.array_distinct(F.array(pick(1), pick(2)))).otherwise(F.array(pick(1)))).alias("c"))
-        level = stage(picked.join(classes.select("cls", "sig"), "cls").select(F.xxhash64("path", "c", token("c")).alias("path"), "cls", F.col("n").alias("parent")), f"level{at + 1}")
+        level = stage(picked.join(classes.select("cls", "sig"), "cls").select(F.xxhash64("path", "c", token("c")).alias("path"), "cls", F.col("n").alias("parent")), f"level{at + 1}", rows)
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -281,15 +283,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketch = stage(source.select("key", "doc_id", "text").mapInArrow(_sketches(k), "key long, doc_id long, n_shingles long, cls binary, sig binary"), "sketch")
     members = sketch.select("key", "doc_id", "n_shingles", "cls")
     classes = stage(sketch.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("sig").alias("sig"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
-    nodes = _tree_nodes(classes, *branching(j, recall, depth), leaf, depth)
+    trees, extra = branching(j, recall, depth)
+    nodes = _tree_nodes(classes, trees, extra, leaf, depth)
+    n_classes = classes.count()
+    n_nodes = trees * n_classes
     # Nodes with the same members are one node: two independent member sums name them.
     marks = nodes.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("y"))
-    once = stage(marks.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n", F.col("n").alias("n_rows")), "once")
+    once = stage(marks.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n", F.col("n").alias("n_rows")), "once", n_nodes)
     tau = max(0.0, j - 4.5 * math.sqrt(j * (1 - j) / COORDINATES))
-    nodes = stage(spread_join(nodes.select("path", "cls"), once, "path", ["cls"]), "nodes")
+    nodes = stage(spread_join(nodes.select("path", "cls"), once, "path", ["cls"]), "nodes", n_nodes)
     small = nodes.where(F.col("n") <= leaf).join(classes.select("cls", "sig"), "cls")
     groups = small.select("path", "cls", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_groups(tau), "grp long, cls binary").distinct()
-    groups = stage(groups.union(nodes.where(F.col("n") > leaf).select("path", "cls")), "groups")
+    groups = stage(groups.union(nodes.where(F.col("n") > leaf).select("path", "cls")), "groups", n_nodes)
 
     wanted = groups.select("cls").distinct().join(classes.select("cls", "key", "sig"), "cls").hint("shuffle_hash")
     sets = stage(source.select("key", "text").join(wanted, "key").dropDuplicates(["cls"]).select("cls", "sig", "text").mapInArrow(_shingles(k), "cls binary, sig binary, shingles binary"), "sets")
@@ -298,18 +303,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = tasks.join(sets, "cls").select("task", "cls", "label", "side", "sig", "shingles")
         return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_links(num, den, tau), "a binary, b binary")
 
-    least = stage(groups.groupBy("grp").agg(F.min("cls").alias("hub"), F.count("*").alias("n_rows")), "least")
-    hubs = stage(spread_join(groups, least, "grp", ["cls"]).groupBy("cls").agg(F.min("hub").alias("hub")).where("cls != hub"), "hubs")
-    parts = stage(hubs.groupBy("hub").agg(F.count("*").alias("n_rows")).withColumn("parts", F.ceil(F.col("n_rows") / chunk)), "parts")
+    least = stage(groups.groupBy("grp").agg(F.min("cls").alias("hub"), F.count("*").alias("n_rows")), "least", n_nodes)
+    hubs = stage(spread_join(groups, least, "grp", ["cls"]).groupBy("cls").agg(F.min("hub").alias("hub")).where("cls != hub"), "hubs", n_classes)
+    parts = stage(hubs.groupBy("hub").agg(F.count("*").alias("n_rows")).withColumn("parts", F.ceil(F.col("n_rows") / chunk)), "parts", n_classes)
     dealt = spread_join(hubs, parts, "hub", ["cls"]).select("hub", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
     dealt = dealt.union(dealt.select("hub", F.col("hub").alias("cls"), "part").distinct())
-    first = stage(confirmed(dealt.select(F.xxhash64("hub", "part").alias("task"), "cls", F.col("cls").alias("label"), F.lit(-1).cast("long").alias("side"))), "links1")
+    first = stage(confirmed(dealt.select(F.xxhash64("hub", "part").alias("task"), "cls", F.col("cls").alias("label"), F.lit(-1).cast("long").alias("side"))), "links1", n_classes)
 
     named = components(first)
-    labelled = stage(groups.join(named.withColumnRenamed("vertex", "cls"), "cls", "left").select("grp", "cls", F.coalesce("label", "cls").alias("label")), "labelled")
+    labelled = stage(groups.join(named.withColumnRenamed("vertex", "cls"), "cls", "left").select("grp", "cls", F.coalesce("label", "cls").alias("label")), "labelled", n_nodes)
     shares = labelled.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("main"))
-    open_ = stage(shares.where("n > most").withColumn("n_rows", F.col("n")), "shares")
-    labelled = stage(spread_join(labelled, open_, "grp", ["cls"]), "open")
+    open_ = stage(shares.where("n > most").withColumn("n_rows", F.col("n")), "shares", n_nodes)
+    labelled = stage(spread_join(labelled, open_, "grp", ["cls"]), "open", n_nodes)
     task = lambda *cols: F.xxhash64(*cols).alias("task")
     small = labelled.where(F.col("n") <= chunk).select(F.col("grp").alias("task"), "cls", "label", F.lit(-1).cast("long").alias("side"))
     # The largest component's members fill the first chunks and the others the rest: two
@@ -328,9 +333,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         named = components(named.select(F.col("vertex").alias("a"), F.col("label").alias("b")).union(second))
 
     # Least ids by class and component first; documents meet only their class's row.
-    found = stage(classes.select("cls", "least", "size").join(named.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "found")
+    found = stage(classes.select("cls", "least", "size").join(named.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "found", n_classes)
     heads = found.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows"))
-    heads = stage(spread_join(found.select("cls", "label", "size"), heads, "label", ["cls"]).select("cls", "component_id", F.col("size").alias("n_rows")), "heads")
+    heads = stage(spread_join(found.select("cls", "label", "size"), heads, "label", ["cls"]).select("cls", "component_id", F.col("size").alias("n_rows")), "heads", n_classes)
     out = spread_join(members, heads, "cls", ["key"], "left")
     return out.select("key", "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 

@@ -39,21 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/subjectloom/{uuid.uuid4().hex}"
 
 
-#: Files of a staged table for each core, at most.
-FILES_A_CORE = 4
+#: A staged table of known size has FILES_A_CORE files a core, or one for each ROWS_A_FILE rows
+#: where that is more.
+FILES_A_CORE, ROWS_A_FILE = 4, 500_000
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts lineage (a lost executor costs no recomputation of what came
     before) and keeps a costly scan from running once for each of its readers.
+    ``rows``: about how many rows there are at most, where the caller knows; many
+    partitions of a small table would be as many small files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}"
-    # No more files than FILES_A_CORE for each core: many partitions of a small table would
-    # be as many small files.  The partitions of a task follow one another.
-    df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
+    if rows is not None:
+        df = df.coalesce(max(FILES_A_CORE * spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE))
     # Small row groups: a writer holds one in memory, and each core has a writer.
     df.write.option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,14 +25,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     least vertex of its component.  Self-loops and null ends are dropped.
     """
     edges = stage(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n = edges.count()
     for _ in range(rounds):
         both, least = _star(edges)
         large = spread_join(both, least, "a", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        down = stage(down, "large")
+        down = stage(down, "large", 2 * n)
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_rows"))
         small = spread_join(down, least, "a", ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        new = stage(small.where("a != b").distinct(), "small")
+        new = stage(small.where("a != b").distinct(), "small", 2 * n)
         # A fixpoint is a set of stars: no vertex points to a vertex that points on.
         moved = new.alias("x").join(new.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi")
         split = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
