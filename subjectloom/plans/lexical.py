@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import kernels as K
 from ..operators import similarity as M
-from ..sources.folders import ranked
+from ..sources.folders import ranked, read_variants, write_variants
 from .registry import query
 from .tables import S, spans, table
 
@@ -36,6 +36,15 @@ def center(spark, d):
     return K.transform(spans(spark, d), "center").select("ord", *digest())
 
 
+@query("variant_matrices", f"WITH {S}, l AS (SELECT unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM s), m AS (SELECT list(a ORDER BY i) AS mu FROM (SELECT i, avg(x) AS a FROM l GROUP BY i)), c AS (SELECT ord, list_transform(list_zip(v, mu), lambda p: p[1] - p[2]) AS v FROM s, m), z AS (SELECT 'raw' AS variant, ord, v AS z FROM s UNION ALL SELECT 'center', ord, list_transform(v, lambda x: x / {NORM}) FROM c UNION ALL SELECT 'reversed', ord, list_reverse(v) FROM s) SELECT variant, ord, {DIGEST} FROM z")
+def variant_matrices(spark, d):
+    """Saved matrices found by their folders, beside a variant that is computed anew."""
+    rows = spans(spark, d).select("ord", "topic", "v")
+    path = write_variants({"raw": rows, "center": K.transform(rows, "center").select("ord", "topic", "v")}, "variants")
+    anew = rows.select("ord", F.reverse("v").alias("v"), F.lit("reversed").alias("variant"))
+    return read_variants(spark, path).select("ord", "v", "variant").union(anew).select("variant", "ord", *digest())
+
+
 @query("cosine_pairs", f"WITH {S} SELECT a.ord AS i, b.ord AS j, round(list_dot_product(a.v, b.v), 6) AS sim FROM s a JOIN s b ON a.ord < b.ord")
 def cosine_pairs(spark, d):
     """All pairs, through the blocked self-join."""

@@ -196,3 +196,31 @@ def protocol_scan(spark, d):
     from ..sources import protocols as S
 
     return S.round_trip(protocols(spark, d))
+
+
+@query("tagged_predictions", "SELECT role AS tag, conv_id AS doc_id, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY ALL")
+def tagged_predictions(spark, d):
+    """Turns written as one JSON file set for each speaker and read back as one table, the
+    speaker taken from the file names."""
+    from ..sources import folders, protocols as S
+
+    path = folders.scratch(spark, "tagged")
+    turns = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("doc_id"), "text")
+    files = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("doc_id"), "text", F.concat("role", F.lit(".json")).alias("predictions"))
+    files.write.partitionBy("predictions").json(path)
+    rows = S.read_tagged(spark, f"{path}/predictions=*.json", turns.schema, "predictions=")
+    return rows.groupBy("tag", "doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query("resumed_saves", "SELECT lang AS annotator, doc_id, CASE WHEN doc_id % 6 = 0 THEN 'revised' WHEN doc_id % 3 = 0 THEN 'first' ELSE 'resumed' END AS label FROM documents")
+def resumed_saves(spark, d):
+    """Annotators (one for each language) save a third of their documents, resume with those
+    that remain, and revise some of the first; the last save of each document counts."""
+    from ..sources import folders, protocols as S
+
+    root = folders.scratch(spark, "progress")
+    tasks = table(spark, d, "documents").select(F.col("lang").alias("annotator"), "doc_id")
+    S.save_progress(tasks.where("doc_id % 3 = 0").withColumn("label", F.lit("first")), root, 1)
+    S.save_progress(S.remaining(tasks, S.read_progress(spark, root)).withColumn("label", F.lit("resumed")), root, 2)
+    S.save_progress(tasks.where("doc_id % 6 = 0").withColumn("label", F.lit("revised")), root, 3)
+    return S.read_progress(spark, root)

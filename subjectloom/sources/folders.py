@@ -28,6 +28,20 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_variants(variants: dict[str, DataFrame], label: str) -> str:
+    """One table of vectors a variant below one folder, whose name is returned."""
+    path = scratch(next(iter(variants.values())).sparkSession, label)
+    for name, rows in variants.items():
+        rows.write.parquet(f"{path}/variant={name}")
+    return path
+
+
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """All variants below a folder as one table; ``variant`` is a partition column, so a
+    filter on it reads that variant only."""
+    return spark.read.parquet(path)
+
+
 def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` with ``name``: the place of each row, from 1, in the order of ``keys`` (unique).
 

@@ -33,8 +33,9 @@ def parse_tolerant(texts: DataFrame) -> DataFrame:
 
 
 def read_tagged(spark: SparkSession, glob: str, schema: T.StructType, prefix: str, tag: str = "tag") -> DataFrame:
-    """Several JSON files as one table; ``tag`` is the file's stem without ``prefix``."""
-    stem = F.regexp_extract(F.input_file_name(), rf"{prefix}([^/]*)\.json$", 1)
+    """Several JSON files (or folders of them, as Spark writes) as one table; ``tag`` is the
+    file's or folder's stem without ``prefix``."""
+    stem = F.regexp_extract(F.input_file_name(), rf"/{prefix}([^/]*)\.json(?:/[^/]*)?$", 1)
     return spark.read.schema(schema).json(glob).withColumn(tag, stem)
 
 
@@ -65,6 +66,27 @@ def write_protocols(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def save_progress(rows: DataFrame, root: str, save: int) -> None:
+    """Add one save of all annotators' ``annotator, doc_id, label`` rows below ``root``.
+
+    A save is a folder of its own, a later one has a larger number, and nothing is read or
+    rewritten; repeating a save that failed half-way replaces it."""
+    rows.select("annotator", "doc_id", "label").write.mode("overwrite").parquet(f"{root}/save={save}")
+
+
+def read_progress(spark: SparkSession, root: str) -> DataFrame:
+    """``annotator, doc_id, label``: the last save of each document by each annotator; no
+    rows where nothing was saved yet."""
+    schema = T.StructType([T.StructField("annotator", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("save", T.LongType())])
+    last = read_optional(spark, root, schema).groupBy("annotator", "doc_id").agg(F.max_by("label", "save").alias("label"))
+    return last.select("annotator", "doc_id", "label")
+
+
+def remaining(tasks: DataFrame, progress: DataFrame) -> DataFrame:
+    """The ``annotator, doc_id`` tasks without a save: where annotators resume."""
+    return tasks.join(progress.select("annotator", "doc_id"), ["annotator", "doc_id"], "left_anti")
+
+
 def round_trip(protocols: DataFrame) -> DataFrame:
     """Write, add a damaged file, and scan tolerantly: ``doc_id, date, n_chars``."""
     from ..sources.folders import scratch

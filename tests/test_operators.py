@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as PY
 
 from subjectloom.functions import jsonparse as J
 from subjectloom.functions import text as T
@@ -302,6 +303,18 @@ def test_linkage_and_clusters():
     assert len(set(K.kmeans(x, 3))) == 3
 
 
+@pytest.mark.parametrize("k", [1, 4, 9])
+def test_linkage_equals_means_of_all_pairs(k):
+    x = np.random.default_rng(k).normal(size=(30, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > k:
+        _, a, b = min((d[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
+        groups[a] += groups.pop(b)
+    labels = K.average_linkage(d, k)
+    assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == {frozenset(g) for g in groups}
+
+
 def test_geometric_median_resists_an_outlier():
     x = np.array([[1.0, 0.0]] * 9 + [[0.0, 1.0]])
     assert K.geometric_median(x)[0] > 0.99
@@ -341,12 +354,35 @@ def test_sources(spark, tmp_path):
     rows = P.read_protocols_tolerant(spark, str(tmp_path)).collect()
     assert [(r["doc_id"], r["date"], r["file"]) for r in rows] == [("a", "2023-06-27", "a.json")]
     assert P.read_optional(spark, str(tmp_path / "none"), P.PROTOCOL).count() == 0
+    (tmp_path / "good").mkdir()
+    for name in "ba":
+        (tmp_path / "good" / f"{name}.json").write_text(f'{{"doc_id": "{name}",\n "text": "t", "date": "2023-06-27T15:00:00+03:00"}}')
+    assert [(r["file"], r["doc_id"], r["committee"]) for r in P.read_protocols(spark, str(tmp_path / "good")).orderBy("file").collect()] == [("a.json", "a", None), ("b.json", "b", None)]
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        P.read_protocols(spark, str(tmp_path / "[ab].json")).collect()
+    for tag in ("x", "y_z"):
+        (tmp_path / f"annotations_{tag}.json").write_text('{"k": 1}\n{"k": 2}\n')
+    tagged = P.read_tagged(spark, str(tmp_path / "annotations_*.json"), PY.StructType([PY.StructField("k", PY.LongType())]), "annotations_")
+    assert sorted((r["tag"], r["k"]) for r in tagged.collect()) == [("x", 1), ("x", 2), ("y_z", 1), ("y_z", 2)]
     old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, n long")
     assert {tuple(r) for r in P.upsert(old, spark.createDataFrame([("b", 2)], "k string, n long"), ["k"]).collect()} == {("a", 1), ("b", 2)}
 
 
 
 
+def test_progress_resumes(spark, tmp_path):
+    root = str(tmp_path / "progress")
+    rows = lambda *r: spark.createDataFrame(list(r), "annotator string, doc_id long, label string")
+    read = lambda: sorted(tuple(r) for r in P.read_progress(spark, root).collect())
+    assert read() == []
+    P.save_progress(rows(("p", 1, "a"), ("q", 1, "b")), root, 1)
+    P.save_progress(rows(("p", 1, "lost")), root, 2)
+    P.save_progress(rows(("p", 1, "c"), ("p", 2, "d")), root, 2)
+    assert read() == [("p", 1, "c"), ("p", 2, "d"), ("q", 1, "b")]
+    tasks = spark.createDataFrame([(a, i) for a in "pq" for i in (1, 2, 3)], "annotator string, doc_id long")
+    assert sorted(tuple(r) for r in P.remaining(tasks, P.read_progress(spark, root)).collect()) == [("p", 3), ("q", 2), ("q", 3)]
+
+
 def best_point(records, rule):
     """Best F1 and best recall at 5 % false merges over the rule's grid, by a replay."""
     lo, hi = {"threshold": (-0.2, 1.0), "margin": (0.0, 0.6), "dp": (-6.0, 6.0)}[rule]

@@ -57,6 +57,65 @@ def test_timelines_of_all_earlier_conversations(spark, sf):
     assert small == {(q, k): c for q, cs in want.items() for k, c in enumerate(cs, 1)}
 
 
+def test_pooled_chunks(spark, sf):
+    from subjectloom.operators import models
+
+    encode, want = models.hashing_encoder()(), {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        words = (r["text"] or "").split()
+        parts = [words[i : i + 350] for i in range(0, len(words), 350)] or [[]]
+        v = np.average(np.array(encode([" ".join(x) for x in parts])), axis=0, weights=[max(1, len(x)) for x in parts])
+        n = np.linalg.norm(v)
+        want[r["doc_id"]] = (n > 0, v[0] / n if n else 0.0)
+    for r in QUERIES["encode_pool"](spark, sf).collect():
+        some, first = want.pop(r["doc_id"])
+        assert r["norm"] == (1.0 if some else 0.0) and abs(r["first"] - first) < 2e-6
+    assert not want
+
+
+def test_retrieved_and_verified(spark, sf):
+    """Ten best of all earlier user turns, prompted and scored, against one whole product."""
+    import json
+
+    from subjectloom.operators import models
+
+    rows = sorted((r["conv_id"], r["turn"], r["text"] or "") for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").collect())
+    v = np.array(models.hashing_encoder()()([x for *_, x in rows]))
+    short = [" ".join(x.split()[:40]) for *_, x in rows]
+    score, want = models.overlap_scorer()(), {}
+    for i in range(1, len(rows)):
+        best = np.argsort(-np.round(v[:i] @ v[i], 9), kind="stable")[:10]
+        reply = score(["\n".join([short[i], *[f"[{k}] {short[j]}" for k, j in enumerate(best, 1)]])])[0]
+        told = json.loads(reply.removeprefix("verdict: "))
+        want[rows[i][:2]] = (told["best_matched_rank"], told["same_confidence"])
+    found = {(r["conv_id"], r["t"]): (r["best_matched_rank"], r["same_confidence"]) for r in QUERIES["retrieve_verify"](spark, sf).collect()}
+    assert found.keys() == want.keys()
+    assert sum(found[k][0] != want[k][0] for k in want) == 0
+    assert all(found[k][1] == want[k][1] for k in want if want[k][0])
+
+
+def test_variants_of_a_sequential_pass(spark, sf):
+    """One pass in first-seen order: a title joins the first leader that it resembles; the
+    canonical form is the longest member, the first on ties."""
+    from subjectloom.plans import lexical
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = 0
+            for k, y in enumerate(b, 1):
+                old, row[k] = row[k], old + 1 if x == y else max(row[k], row[k - 1])
+        return 200.0 * row[-1] / ((len(a) + len(b)) or 1)
+
+    leaders: dict[str, list[str]] = {}
+    for r in lexical.topic_titles(spark, sf).orderBy("pos").collect():
+        led = next((x for x in leaders if ratio(r["s"], x) >= 60.0), r["s"])
+        leaders.setdefault(led, []).append(r["s"])
+    want = {(max(m, key=len), len(m), "|".join(sorted(m))) for m in leaders.values() if len(m) > 1}
+    assert want
+    assert {tuple(r) for r in QUERIES["variant_clusters"](spark, sf).select("canonical", "n", "variants").collect()} == want
+
+
 def test_flagship(spark, sf):
     assert registry.flagship(spark, sf).count() > 0
 
