@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_quality, language_id, license_scan, pfair_mix, reply_trees, semicrf_pii, spaced_seeds, warc_archive
+from . import host_quality, language_id, license_scan, periodic_runs, pfair_mix, reply_trees, semicrf_pii, spaced_seeds, warc_archive
 from .chosen_path import op10_chosen_path
 from .debruijn import op5_debruijn
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_reply_trees": reply_trees.op8_reply_trees,
     "op9_evidence_fusion": language_id.op9_evidence_fusion,
     "op10_chosen_path": op10_chosen_path,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
