@@ -150,7 +150,7 @@ def is_empty(df: DataFrame) -> bool:
 HOT = 1024
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: str, salt: list[str], how: str = "inner", spread: int = 64) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: str | list[str], salt: list[str], how: str = "inner", spread: int = 64) -> DataFrame:
     """``big.join(small, on, how)`` for a ``small`` with one row a key and a column
     ``n_rows``: how many rows of ``big`` have the key.
 
@@ -159,9 +159,10 @@ def spread_join(big: DataFrame, small: DataFrame, on: str, salt: list[str], how:
     key's row of ``small`` for each part.  No task gets more than its share of a key, with
     or without adaptive execution.
     """
+    on = [on] if isinstance(on, str) else on
     total = small.select(F.sum("n_rows")).scalar()
     hot = F.col("n_rows") * HOT > total
-    named = F.broadcast(small.where(hot).select(on, F.lit(True).alias("_hot")))
+    named = F.broadcast(small.where(hot).select(*on, F.lit(True).alias("_hot")))
     dealt = big.join(named, on, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt), F.lit(spread))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(hot, spread - 1).otherwise(0)))).drop("n_rows")
-    return dealt.join(copies, [on, "_part"], how).drop("_part")
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")

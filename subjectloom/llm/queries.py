@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_quality, language_id, license_scan, periodic_runs, pfair_mix, reply_trees, semicrf_pii, spaced_seeds, warc_archive
+from . import crf_quality, divergence, host_quality, language_id, license_scan, periodic_runs, pfair_mix, reply_trees, semicrf_pii, spaced_seeds, warc_archive
 from .chosen_path import op10_chosen_path
 from .debruijn import op5_debruijn
 
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_reply_trees": reply_trees.op8_reply_trees,
     "op9_evidence_fusion": language_id.op9_evidence_fusion,
     "op10_chosen_path": op10_chosen_path,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_crf_quality": crf_quality.op12_crf_quality,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
@@ -26,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op4_gzip_normaliser": warc_archive.ORACLE,
     "op6_host_rules": host_quality.ORACLE,
     "op8_reply_trees": reply_trees.oracle(),
+    "op11_source_divergence": divergence.ORACLE,
 }
