@@ -18,6 +18,7 @@ Forms are counted for a whole Arrow batch at once: one histogram of (line, class
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded, clean_text, small_batches, text_bytes
 
 #: At most so many labelled documents are fitted to, half of them of either label, of so many lines.
-SAMPLE_ROWS, SAMPLE_LINES = 4_000, 200
+SAMPLE_ROWS, SAMPLE_LINES = 4_000, 100
 
 #: Classes of bytes; the first is what none of the others is.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\n\r\x0b\x0c", "shout": b"!?", "sign": b"#*$%&@^~=+\\", "bar": b"|<>{}[]_", "stop": b".,;:", "lead": bytes(range(0xC0, 0x100)), "rest": bytes(range(0x80, 0xC0))}
@@ -46,6 +47,7 @@ BINS = {
     "digit": (0.0, 0.02, 0.1, 0.3),
     "beyond": (0.0, 0.02, 0.1, 0.3),
     "other": (0.0, 0.02, 0.1, 0.3),
+    "echo": (0.0, 0.05, 0.2, 0.5),
     "distinct": (0.1, 0.3, 0.5, 0.7, 0.85, 0.95),
     "length": (2.5, 3.5, 4.5, 5.5, 7.0, 10.0),
     "words": (1.0, 3.0, 8.0, 20.0, 60.0, 200.0),
@@ -64,6 +66,7 @@ def line_bins(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lines: list[bytes] = []
     counts = np.zeros(len(texts), np.int64)
     distinct: list[int] = []
+    echo: list[int] = []
     again: list[bool] = []
     for k, text in enumerate(texts):
         seen: set[bytes] = set()
@@ -72,11 +75,13 @@ def line_bins(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if words:
                 lines.append(line)
                 distinct.append(len(set(words)))
+                echo.append(sum(map(eq, words, words[1:])))
                 again.append(line in seen)
                 seen.add(line)
         if not seen:
             lines.append(b"")
             distinct.append(0)
+            echo.append(0)
             again.append(False)
         counts[k] = len(lines)
     counts = np.diff(counts, prepend=0)
@@ -94,7 +99,7 @@ def line_bins(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = np.maximum(chars - by["space"], 1)
     some = np.maximum(words, 1)
     letters = np.maximum(by["upper"] + by["lower"], 1)
-    measures = {"upper": by["upper"] / letters, "shout": by["shout"] / some, "sign": by["sign"] / some, "bar": by["bar"] / some, "stop": by["stop"] / some, "digit": by["digit"] / solid, "beyond": by["lead"] / solid, "other": found[:, 0] / solid, "distinct": np.array(distinct) / some, "length": solid / some, "words": words, "again": np.array(again, float)}
+    measures = {"upper": by["upper"] / letters, "shout": by["shout"] / some, "sign": by["sign"] / some, "bar": by["bar"] / some, "stop": by["stop"] / some, "digit": by["digit"] / solid, "beyond": by["lead"] / solid, "other": found[:, 0] / solid, "echo": np.array(echo) / some, "distinct": np.array(distinct) / some, "length": solid / some, "words": words, "again": np.array(again, float)}
     bins = np.stack([np.searchsorted(BINS[m], measures[m], "left") + first for m, first in zip(BINS, _FIRST, strict=False)], 1)
     return counts, np.maximum(chars, 1).astype(np.int64), bins.astype(np.uint8)
 
@@ -115,8 +120,9 @@ def evidence(weights: np.ndarray, counts: np.ndarray, bins: np.ndarray) -> np.nd
     return out
 
 
-def chains(odds: np.ndarray, counts: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of all lines to be good, and of all neighbours to be both bad and both good (summed).
+def chains(odds: np.ndarray, counts: np.ndarray, stay: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of all lines to be good, and of all neighbours to be both bad and both good (summed,
+    each with its line's ``weight``).
 
     ``stay``: the weights of two bad and of two good neighbours.  All chains go forward one
     line at a time together, the longest first."""
@@ -142,7 +148,8 @@ def chains(odds: np.ndarray, counts: np.ndarray, stay: np.ndarray) -> tuple[np.n
     inner = np.ones(len(odds), bool)
     inner[start + size - 1] = False
     i = np.flatnonzero(inner)
-    pairs = np.array([np.exp(a[0, i] + stay[0] + b[0, i + 1] - whole[i]).sum(), np.exp(a[1, i] + stay[1] + odds[i + 1] + b[1, i + 1] - whole[i]).sum()])
+    w = np.ones(len(i)) if weight is None else weight[i]
+    pairs = np.array([w @ np.exp(a[0, i] + stay[0] + b[0, i + 1] - whole[i]), w @ np.exp(a[1, i] + stay[1] + odds[i + 1] + b[1, i + 1] - whole[i])])
     return good, pairs
 
 
@@ -155,25 +162,25 @@ def scores(model: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return np.clip(total, 0.0, 1.0)
 
 
-def fit_chains(counts: np.ndarray, bins: np.ndarray, labels: np.ndarray, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> np.ndarray:
+def fit_chains(counts: np.ndarray, bins: np.ndarray, labels: np.ndarray, rounds: int = 250, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
     """Weights of evidence and of agreement that maximise the mean likelihood of the labels of
-    all lines (each that of its text)."""
+    all lines (each that of its text), less a ridge; the lines of either label weigh the same in sum."""
     model = np.zeros(N_WEIGHTS + 2)
     if not len(counts) or labels.min() == labels.max():
         return model
-    y = np.repeat(labels, counts).astype(float)
+    y = np.repeat(labels, counts)
+    weight = (0.5 / np.bincount(y))[y]
     start = np.cumsum(counts) - counts
-    end = start + counts - 1
     first, last = np.zeros(len(y), bool), np.zeros(len(y), bool)
-    first[start], last[end] = True, True
-    seen = np.array([(counts - 1)[labels == k].sum() for k in (0, 1)], float)
+    first[start], last[start + counts - 1] = True, True
+    seen = np.bincount(y[~last], weight[~last], 2)
     mean, square = np.zeros_like(model), np.zeros_like(model)
     for step in range(1, rounds + 1):
-        good, pairs = chains(evidence(model[:-2], counts, bins), counts, model[-2:])
-        rest = y - good
+        good, pairs = chains(evidence(model[:-2], counts, bins), counts, model[-2:], weight)
+        rest = (y - good) * weight
         tally = lambda at, r: np.bincount(at.ravel(), np.repeat(r, at.shape[1]), N_BINS)
         slope = np.concatenate([tally(bins, rest), tally(bins[:-1][~last[:-1]], rest[1:][~first[1:]]), tally(bins[1:][~first[1:]], rest[:-1][~last[:-1]]), [rest[first].sum(), rest[last].sum(), rest.sum()], seen - pairs])
-        slope = slope / len(y) - ridge * model
+        slope = slope - ridge * model
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
         model = model + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
     return model
