@@ -41,93 +41,88 @@ from .common import bounded, groups_of, small_batches, spread_join, stage, text_
 TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 #: Entries that a task counts before it emits a block and starts anew.
-BLOCK_ENTRIES = 200_000
+BLOCK_ENTRIES = 400_000
 #: Bytes of a text that are cut into terms at once.
 PIECE = 1 << 20
 
-COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("block", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
+_COUNTED = "key binary, source string, block long, docs long, n long"
+_RUNS = "key binary, source string, docs long, n long"
 PAIRS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("part_value", pa.int64())])
 
 
-def terms_of(text: bytes) -> Counter:
-    """How often each term stands in a text; long texts are cut in pieces between terms."""
+def pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text; those of a long one in several lists."""
     plain = text.translate(TERM_BYTES)
-    if len(plain) <= PIECE:
-        return Counter(plain.split())
-    out: Counter = Counter()
     at = 0
     while at < len(plain):
-        end = plain.find(b" ", at + PIECE)
+        end = plain.find(b" ", at + PIECE) if len(plain) - at > PIECE else -1
         end = len(plain) if end < 0 else end
-        out.update(plain[at:end].split())
+        yield plain[at:end].split()
         at = end
-    return out
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents as counts; the empty term has the documents of a group, terms or not."""
+    """Blocks of documents as counts.  A key is the language, a zero byte and the term (which has none), so
+    keys sort by language and term; the empty term has the documents of a group, terms or not."""
     groups: defaultdict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
     block = size = 0
 
-    def rows() -> Iterator[tuple]:
+    def emitted() -> Iterator[pa.RecordBatch]:
         for (lang, source), (docs, n) in groups.items():
-            for term, d in docs.items():
-                yield lang, term.decode("utf-8", "replace"), source, block, d, n[term]
+            head, terms = lang.encode() + b"\0", list(docs)
+            for at in range(0, len(terms), 50_000):
+                part = terms[at : at + 50_000]
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([head + t for t in part], pa.binary()), pa.array([source] * m, pa.string()), pa.array(np.full(m, block)), pa.array(np.fromiter(map(docs.__getitem__, part), np.int64, m)), pa.array(np.fromiter(map(n.__getitem__, part), np.int64, m))], ["key", "source", "block", "docs", "n"])
 
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), text_bytes(batch, "text"), strict=True):
-            own = terms_of(text)
             docs, n = groups[lang, source]
-            before = len(docs)
-            docs.update(own.keys())
-            docs[b""] += 1
-            n.update(own)
+            before, own = len(docs), {b""}
+            for terms in pieces(text):
+                n.update(terms)
+                own.update(terms)
+            docs.update(own)
             size += len(docs) - before
             if size >= BLOCK_ENTRIES:
-                yield from bounded(rows(), COUNTS)
+                yield from emitted()
                 groups.clear()
                 block, size = block + 1, 0
-    yield from bounded(rows(), COUNTS)
-
-
-def _same_as_before(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
-    """Whether each row but the first has the values of the row before in these columns."""
-    same = np.ones(batch.num_rows - 1, bool)
-    for name in names:
-        column = batch.column(name)
-        same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-    return same
+    yield from emitted()
 
 
 def _run_lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each run of (lang, term, source) in sorted rows, with its sums."""
-    held: tuple | None = None
-    schema = pa.schema([f for f in COUNTS if f.name != "block"])
+    """One row for each run of (key, source) in sorted rows, with its sums."""
+    held: pa.RecordBatch | None = None
+    names = ["key", "source", "docs", "n"]
     for batch in batches:
         if not batch.num_rows:
             continue
-        start = np.flatnonzero(np.concatenate([[True], ~_same_as_before(batch, ("lang", "term", "source"))]))
-        keys = [batch.column(c).take(pa.array(start)).to_pylist() for c in ("lang", "term", "source")]
-        sums = [np.add.reduceat(batch.column(c).to_numpy(), start).tolist() for c in ("docs", "n")]
-        rows = list(zip(*keys, *sums, strict=True))
+        batch = batch.select(names)
         if held is not None:
-            if held[:3] == rows[0][:3]:
-                rows[0] = (*held[:3], held[3] + rows[0][3], held[4] + rows[0][4])
-            else:
-                rows.insert(0, held)
-        held = rows.pop()
-        yield from bounded(rows, schema)
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        same = np.ones(batch.num_rows - 1, bool)
+        for name in names[:2]:
+            same &= pc.equal(batch.column(name)[1:], batch.column(name)[:-1]).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(np.concatenate([[True], ~same]))
+        sums = [pa.array(np.add.reduceat(batch.column(c).to_numpy(), start)) for c in names[2:]]
+        runs = pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(start)) for c in names[:2]), *sums], names)
+        # The last run may go on in the next batch.
+        held = runs.slice(runs.num_rows - 1)
+        if runs.num_rows > 1:
+            yield runs.slice(0, runs.num_rows - 1)
     if held is not None:
-        yield from bounded([held], schema)
+        yield held
 
 
 def runs_of(docs: DataFrame) -> DataFrame:
-    """``lang, term, source, docs, n`` of ``docs(lang, source, text)``: documents with the term and
-    occurrences; the empty term stands for each group, with all its documents."""
+    """``key, source, docs, n`` of ``docs(lang, source, text)``: documents with the key's term and occurrences of
+    it; the empty term stands for each group, with all its documents.
+
+    One binary key sorts by its first bytes, most of which are the term's."""
     small_batches(docs.sparkSession)
-    counted = docs.mapInArrow(_count, "lang string, term string, source string, block long, docs long, n long")
-    ordered = counted.repartition("lang", "term", "source").sortWithinPartitions("lang", "term", "source", "block")
-    return ordered.mapInArrow(_run_lengths, "lang string, term string, source string, docs long, n long")
+    ordered = docs.mapInArrow(_count, _COUNTED).repartition("key", "source").sortWithinPartitions("key", "source", "block")
+    return ordered.mapInArrow(_run_lengths, _RUNS)
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -189,14 +184,17 @@ def source_divergence(docs: DataFrame, *, text_col: str = "text", lang_col: str
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     runs = stage(runs_of(docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))), "runs")
 
-    words = runs.where("term != ''")
-    terms = words.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"), F.count("*").alias("n_rows")).where(F.col("docs") >= least_docs).drop("docs")
-    terms = stage(terms, "terms")
-    kept = stage(spread_join(words.drop("docs"), terms, ["lang", "term"], ["source"]), "kept")
+    zero = F.instr(F.reverse(F.col("key").cast("string")), "\0")
+    lang = F.expr("substring(cast(key as string), 1, char_length(cast(key as string)) - z)")
+    term = F.expr("right(cast(key as string), z - 1)")
+    named = runs.where(F.substring("key", -1, 1) == F.lit(b"\0")).withColumn("z", zero).select(lang.alias("lang"), "source")
+    words = runs.where(F.substring("key", -1, 1) != F.lit(b"\0"))
+    terms = words.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"), F.count("*").alias("n_rows")).where(F.col("docs") >= least_docs)
+    terms = stage(terms.withColumn("z", zero).select("key", lang.alias("lang"), term.alias("term"), "n_lang", "n_rows"), "terms")
+    kept = stage(spread_join(words.drop("docs"), terms, "key", ["source"]).drop("key"), "kept")
 
     # One row a group; the groups of a language are counted and given blocks and ranges.
     langs = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n_lang").alias("all_n"), F.sum("n_rows").alias("all_rows"))
-    named = runs.where("term = ''").select("lang", "source")
     groups = named.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("own_n"), F.count("*").alias("n_rows")), ["lang", "source"], "left")
     groups = groups.join(named.groupBy("lang").agg(F.count("*").alias("sources")), "lang").join(langs, "lang", "left").na.fill(0)
     blocks = F.ceil(F.col("sources") / sources_a_block).cast("int")

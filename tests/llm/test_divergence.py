@@ -51,9 +51,11 @@ def random_rows(rng, n, sources=7):
 
 
 @pytest.mark.parametrize("block,span", [(256, 20_000), (2, 10)])
-def test_audit_equals_plain_python(spark, block, span):
+def test_audit_equals_plain_python(spark, block, span, monkeypatch):
+    if block == 2:
+        monkeypatch.setattr(D, "BLOCK_ENTRIES", 5)
     rng = np.random.default_rng(block)
-    rows = random_rows(rng, 150) + [(None, None, None), ("", "s", ""), (None, "t", "the the the"), ("l0", "lone", "only once seen"), ("l0", "empty", "")] + [("l1", "s1", "the the Q" * 9)] * 5
+    rows = random_rows(rng, 150) + [(None, None, None), ("", "s", ""), (None, "t", "the the the"), ("l0", "lone", "only once seen"), ("l0", "empty", ""), ("x\0y", "s", "the"), ("x\0y", "t", ""), ("x", "y\0", "the")] + [("l1", "s1", "the the Q" * 9)] * 5
     assert audit(spark, rows, least_docs=4, sources_a_block=block, rows_a_range=span) == expected(rows, 4)
 
 
@@ -67,9 +69,11 @@ def test_no_term_is_kept(spark):
 def test_blocks_and_pieces(monkeypatch):
     """Long texts in pieces and small blocks give the same counts."""
     text = ("Ab cD1e-ÄÖ.é" * 40).encode()
-    whole = D.terms_of(text)
+    whole = [t.encode() for t in TERM.findall(text.decode().translate(LOWER))]
+    assert list(D.pieces(text)) == [whole] and list(D.pieces(b"")) == []
     monkeypatch.setattr(D, "PIECE", 7)
-    assert D.terms_of(text) == whole == Counter(t.encode() for t in TERM.findall(text.decode().translate(LOWER)))
+    parts = list(D.pieces(text))
+    assert len(parts) > 20 and sum(parts, []) == whole
 
 
 def test_shares_are_exact_for_huge_counts(spark):
