@@ -2,9 +2,11 @@
 
 A journal entry holds the members of one topic seen so far.  As it grows from the
 gold topics, its state at a decision is a function of the members that came before,
-whatever was decided.  Arriving rows are cut into blocks by their order and entries
-dealt into blocks by topic; each pair of blocks is one task of matrix products that
-ships scores only, and a block of arriving rows meets no member that comes later.
+whatever was decided.  Arriving rows are cut into blocks by their order.  First members,
+centroids and means are prefix sums in two levels: the sums of each topic and block are
+scanned over the blocks, and a block's own members are added inside it, so a member's vector is
+sent once.  Extremes over members need each member beside each later row; there blocks of
+members meet the blocks of rows that come later.  Tasks ship scores only.
 
 Spans have columns ``ord`` (dense chronological order from 1), ``topic`` and ``v``
 (unit vector of doubles).
@@ -18,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.folders import ranked
+from ..sources.folders import keep, ranked
 from .kernels import geometric_median
+from .prefix import prefix_states, vectors
 
 
 def chronological(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,29 +32,48 @@ def chronological(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_seen(spans: DataFrame) -> DataFrame:
     """``is_repeat``: whether an earlier row has the row's topic."""
-    w = Window.partitionBy("topic").orderBy("ord")
-    return spans.withColumn("is_repeat", F.row_number().over(w) > 1)
+    first = spans.groupBy(F.col("topic").alias("_topic")).agg(F.min("ord").alias("_first"))
+    joined = spans.join(first, F.col("topic").eqNullSafe(F.col("_topic")))
+    return joined.withColumn("is_repeat", F.col("ord") > F.col("_first")).drop("_topic", "_first")
+
+
+def _block_rows(last: int | None) -> int:
+    """Blocks of 2,048 rows, fewer where that would leave most cores idle."""
+    return max(64, min(2048, (last or 0) // 16))
 
 
 def running_mean_distance(spans: DataFrame) -> DataFrame:
-    """``ord, d0_sq``: squared chord distance to the mean of all rows up to this one."""
-    w = Window.partitionBy("dim").orderBy("ord")
-    long = spans.select("ord", F.posexplode("v").alias("dim", "x")).withColumn("m", F.sum("x").over(w))
-    return long.groupBy("ord").agg((2 - 2 * F.sum(F.col("x") * F.col("m")) / F.sqrt(F.sum(F.col("m") * F.col("m")))).alias("d0_sq"))
+    """``ord, d0_sq``: squared chord distance to the mean of all rows up to this one.
+
+    Prefix sums in two levels: the state before a block, and the block's own rows."""
+    last = spans.agg(F.max("ord")).first()[0] or 0
+    size = _block_rows(last)
+    cut = spans.select(F.lit(0).alias("topic"), F.floor(F.col("ord") / size).cast("int").alias("rb"), "ord", "v")
+    states = prefix_states(cut, last // size).select("rb", F.lit(0).cast("long").alias("ord"), F.col("s").alias("v"))
+
+    def distances(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord")
+        order, x = table.column("ord").to_numpy(), vectors(table.column("v"))
+        m = np.cumsum(x, axis=0)
+        own = order > 0  # a state, if any, comes first
+        size = np.sqrt((m * m).sum(1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = 2 - 2 * (x * m).sum(1) / size
+        return pa.table({"ord": order[own], "d0_sq": pa.array(d[own], from_pandas=True)})
+
+    return cut.select("rb", "ord", "v").union(states).groupBy("rb").applyInArrow(distances, "ord long, d0_sq double")
 
 
 ENTRIES = ("first", "centroid", "median", "members_max", "members_min", "members_mean")
 
 
+#: Representations whose state is a sum, and those that need all members.
+SUMMED = ("first", "centroid", "members_mean")
+
+
 def _affinity(kind: str, x: np.ndarray, members: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The affinity of each row of ``x`` to an entry that has the first ``before`` of
     ``members`` (1 or more of them)."""
-    if kind == "first":
-        return x @ members[0]
-    if kind in ("centroid", "members_mean"):
-        sums = members.cumsum(axis=0)
-        size = np.linalg.norm(sums, axis=1) if kind == "centroid" else np.arange(1.0, len(sums) + 1)
-        return np.einsum("ij,ij->i", x, sums[before - 1]) / np.maximum(size, 1e-12)[before - 1]
     if kind == "median":
         sizes, at = np.unique(before, return_inverse=True)
         return np.einsum("ij,ij->i", x, np.array([geometric_median(members[:k]) for k in sizes])[at])
@@ -59,51 +81,132 @@ def _affinity(kind: str, x: np.ndarray, members: np.ndarray, before: np.ndarray)
     return running.accumulate(x @ members.T, axis=1)[np.arange(len(x)), before - 1]
 
 
-def decisions(spans: DataFrame, entry: str | tuple[str, ...] = "centroid", rows_a_block: int | None = None) -> DataFrame:
-    """One row for each decision and entry: ``t, gold, entry, size, cos, is_repeat``, and
-    ``kind`` where several representations are asked for (they share one pass).
+#: Entries, and members of one entry, that a block of entries holds at most (about).
+ENTRIES_A_BLOCK, MEMBERS_A_BLOCK = 512, 8192
 
-    ``entry``: first | centroid | median | members_max | members_min | members_mean.
-    The first row of the stream makes no decision.
-    """
-    kinds = (entry,) if isinstance(entry, str) else tuple(entry)
-    for k in kinds:
-        if k not in ENTRIES:
-            raise ValueError(f"unknown entry representation {k}")
-    last, n = spans.agg(F.max("ord"), F.count("*")).first()
-    # Blocks of 2,048 rows, fewer where that would leave most cores idle.
-    rows_a_block = rows_a_block or max(64, min(2048, (last or 0) // 16))
-    rows, entries = (last or 0) // rows_a_block + 1, n // 4096 + 1
-    topic = spans.schema["topic"].dataType
-    cut = first_seen(spans.select("ord", "topic", "v")).withColumn("rb", F.floor(F.col("ord") / rows_a_block).cast("int"))
+_TYPES = {"size": pa.int64(), "cos": pa.float64(), "is_repeat": pa.bool_(), "kind": pa.string()}
+
+
+def _scores(topics: pa.Array, t, gold, entry, size, cos, again, kind) -> pa.Table:
+    """Decisions as a table; ``gold`` and ``entry`` are places in ``topics``."""
+    named = {"t": pa.array(t, pa.int64()), "gold": topics.take(pa.array(gold, pa.int64())), "entry": topics.take(pa.array(entry, pa.int64()))}
+    return pa.table(named | {k: pa.array(c, _TYPES[k]) for k, c in (("size", size), ("cos", cos), ("is_repeat", again), ("kind", kind))})
+
+
+def _summed_decisions(cut: DataFrame, kinds: tuple[str, ...], rows: int, entries: int, ddl: str) -> DataFrame:
+    """Decisions on entries whose state is a sum: a block of rows meets, for each block of entries,
+    their states before it and their members inside it."""
+    eb = F.pmod(F.xxhash64("topic"), F.lit(entries)).cast("int").alias("eb")
+    none = F.lit(None).cast("array<double>")
+    each = F.explode(F.sequence(F.lit(0), F.lit(entries - 1))).alias("eb")
+    asks = cut.select("rb", each, F.lit(0).alias("role"), "ord", "topic", "is_repeat", "v", none.alias("f"))
+    own = cut.select("rb", eb, F.lit(1).alias("role"), "ord", "topic", "is_repeat", "v", none.alias("f"))
+    states = prefix_states(cut.select("topic", "rb", "v"), rows - 1)
+    if "first" in kinds:
+        states = states.join(cut.groupBy("topic").agg(F.min_by("v", "ord").alias("f")), "topic")
+    else:
+        states = states.withColumn("f", none)
+    states = states.select("rb", eb, F.lit(2).alias("role"), F.col("n").alias("ord"), "topic", F.lit(True).alias("is_repeat"), F.col("s").alias("v"), "f")
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("role", "ascending"), ("ord", "ascending")])
+        role, order, v = table.column("role").to_numpy(), table.column("ord").to_numpy(), vectors(table.column("v"))
+        again = np.array(table.column("is_repeat").to_pylist(), bool)
+        coded = table.column("topic").combine_chunks().dictionary_encode()
+        code, n = coded.indices.to_numpy(), len(coded.dictionary)
+        asked, held = role == 0, role == 2
+        x, t, gold, repeat = v[asked], order[asked], code[asked], again[asked]
+        sums, count = np.zeros((n, v.shape[1])), np.zeros(n, np.int64)
+        sums[code[held]], count[code[held]] = v[held], order[held]
+        before = np.repeat(count[None], len(t), axis=0)
+        members = {int(e): np.flatnonzero((role == 1) & (code == e)) for e in np.unique(code[role == 1])}
+        for e, at in members.items():
+            before[:, e] += np.searchsorted(order[at], t, "left")
+        some, e_some = np.nonzero(before > 0)
+        parts = []
+        for kind in kinds:
+            if kind == "first":
+                state = np.zeros_like(sums)
+                if held.any():
+                    state[code[held]] = vectors(table.column("f").filter(pa.array(held)))
+                cos = x @ state.T
+                for e, at in members.items():
+                    if not count[e]:
+                        cos[:, e] = x @ v[at[0]]
+            else:
+                size = lambda s, c: np.maximum(np.linalg.norm(s, axis=-1) if kind == "centroid" else c, 1e-12)  # noqa: B023, E731
+                cos = x @ sums.T / size(sums, count)
+                for e, at in members.items():
+                    grown = np.vstack([sums[e], sums[e] + np.cumsum(v[at], axis=0)])
+                    place = before[:, e] - count[e]
+                    cos[:, e] = np.einsum("ij,ij->i", x, grown[place]) / size(grown, count[e] + np.arange(len(grown)))[place]
+            parts.append(cos[some, e_some])
+        times = len(kinds)
+        return _scores(coded.dictionary, np.tile(t[some], times), np.tile(gold[some], times), np.tile(e_some, times), np.tile(before[some, e_some], times), np.concatenate(parts), np.tile(repeat[some], times), np.repeat(np.array(kinds, object), len(some)))
+
+    return asks.union(own).union(states).groupBy("rb", "eb").applyInArrow(product, ddl)
+
+
+def _member_decisions(cut: DataFrame, kinds: tuple[str, ...], rows: int, entries: int, most: int, ddl: str) -> DataFrame:
+    """Decisions on entries that need all their members: a block of members meets each block of
+    rows that does not come earlier.  An entry of many members is dealt by order into parts, whose
+    extremes are put together; a median needs its members in one place."""
+    parts = 1 if "median" in kinds else -(-most // MEMBERS_A_BLOCK)
     each = lambda lo, hi, name: F.explode(F.sequence(lo, F.lit(hi - 1))).alias(name)
-    asks = cut.select("rb", each(F.lit(0), entries, "eb"), F.lit(True).alias("asks"), "ord", "topic", "is_repeat", "v")
-    held = cut.select(each(F.col("rb"), rows, "rb"), F.pmod(F.xxhash64("topic"), F.lit(entries)).cast("int").alias("eb"), F.lit(False).alias("asks"), "ord", "topic", "is_repeat", "v")
+    deal = F.pmod(F.xxhash64("topic", *([F.pmod(F.xxhash64("ord"), F.lit(parts))] if parts > 1 else [])), F.lit(entries * parts)).cast("int")
+    asks = cut.select("rb", each(F.lit(0), entries * parts, "eb"), F.lit(True).alias("asks"), "ord", "topic", "is_repeat", "v")
+    held = cut.select(each(F.col("rb"), rows, "rb"), deal.alias("eb"), F.lit(False).alias("asks"), "ord", "topic", "is_repeat", "v")
 
     def product(table: pa.Table) -> pa.Table:
         table = table.sort_by("ord")
-        ask, order = np.array(table.column("asks").to_pylist(), bool), table.column("ord").to_numpy()
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)
-        named, repeat = table.column("topic"), np.array(table.column("is_repeat").to_pylist(), bool)
-        names, code = np.unique(np.array(named.to_pylist(), object).astype(str), return_inverse=True)
-        x, t = v[ask], order[ask]
-        asked = np.flatnonzero(ask)
-        parts: list[list] = [[], [], [], [], [], [], []]
-        for e in range(len(names)):
+        ask, order, v = np.array(table.column("asks").to_pylist(), bool), table.column("ord").to_numpy(), vectors(table.column("v"))
+        repeat = np.array(table.column("is_repeat").to_pylist(), bool)
+        coded = table.column("topic").combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        x, t, gold, again = v[ask], order[ask], code[ask], repeat[ask]
+        found: list[list] = [[np.zeros(0, d)] for d in (np.int64, np.int64, np.int64, np.int64, float, bool, object)]
+        for e in np.unique(code[~ask]):
             own = np.flatnonzero(~ask & (code == e))
-            before = np.searchsorted(order[own], t, "left") if len(own) else np.zeros(len(t), int)
+            before = np.searchsorted(order[own], t, "left")
             some = np.flatnonzero(before > 0)
             for kind in kinds if len(some) else ():
-                values = (t[some], asked[some], np.full(len(some), own[0]), before[some], _affinity(kind, x[some], v[own], before[some]), repeat[asked[some]], np.full(len(some), kind))
-                for part, value in zip(parts, values, strict=True):
+                values = (t[some], gold[some], np.full(len(some), e), before[some], _affinity(kind, x[some], v[own], before[some]), again[some], np.full(len(some), kind, object))
+                for part, value in zip(found, values, strict=True):
                     part.append(value)
-        t, gold, entry_row, size, cos, again, kind = (np.concatenate(p) if p else np.zeros(0, int) for p in parts)
-        types = {"size": pa.int64(), "cos": pa.float64(), "is_repeat": pa.bool_(), "kind": pa.string()}
-        columns = {"t": pa.array(t, pa.int64()), "gold": named.take(pa.array(gold, pa.int64())), "entry": named.take(pa.array(entry_row, pa.int64()))}
-        return pa.table(columns | {k: pa.array(c.tolist(), types[k]) for k, c in (("size", size), ("cos", cos), ("is_repeat", again), ("kind", kind))})
+        return _scores(coded.dictionary, *(np.concatenate(p) for p in found))
 
-    ddl = f"t long, gold {topic.simpleString()}, entry {topic.simpleString()}, size long, cos double, is_repeat boolean, kind string"
     out = asks.union(held.select(*asks.columns)).groupBy("rb", "eb").applyInArrow(product, ddl)
+    if parts == 1:
+        return out
+    extreme = F.when(F.col("kind") == "members_max", F.max("cos")).otherwise(F.min("cos"))
+    return out.groupBy("t", "gold", "entry", "is_repeat", "kind").agg(F.sum("size").alias("size"), extreme.alias("cos")).select(*out.columns)
+
+
+def decisions(spans: DataFrame, entry: str | tuple[str, ...] = "centroid", rows_a_block: int | None = None) -> DataFrame:
+    """One row for each decision and entry: ``t, gold, entry, size, cos, is_repeat``, and
+    ``kind`` where several representations are asked for (they share their passes).
+
+    ``entry``: first | centroid | median | members_max | members_min | members_mean.
+    The first row of the stream makes no decision.
+    """
+    kinds = (entry,) if isinstance(entry, str) else tuple(entry)
+    for k in kinds:
+        if k not in ENTRIES:
+            raise ValueError(f"unknown entry representation {k}")
+    sizes = spans.groupBy("topic").agg(F.max("ord").alias("last"), F.count("*").alias("n"))
+    last, topics, most = sizes.agg(F.max("last"), F.count("*"), F.max("n")).first()
+    rows_a_block = rows_a_block or _block_rows(last)
+    rows, entries = (last or 0) // rows_a_block + 1, topics // ENTRIES_A_BLOCK + 1
+    topic = spans.schema["topic"].dataType.simpleString()
+    cut = keep(first_seen(spans.select("ord", "topic", "v")).withColumn("rb", F.floor(F.col("ord") / rows_a_block).cast("int")), "cut")
+    ddl = f"t long, gold {topic}, entry {topic}, size long, cos double, is_repeat boolean, kind string"
+    summed, whole = tuple(k for k in kinds if k in SUMMED), tuple(k for k in kinds if k not in SUMMED)
+    found = [_summed_decisions(cut, summed, rows, entries, ddl)] if summed else []
+    # A median's members stay together; extremes of large entries are made in parts.
+    found += [_member_decisions(cut, part, rows, entries, most or 0, ddl) for part in (("median",) if "median" in whole else (), tuple(k for k in whole if k != "median")) if part]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
     return out.drop("kind") if isinstance(entry, str) else out
 
 

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.folders import keep as kept
+from .feedback import first_feedback
+from .prefix import lists, running_states, vectors
 
 GEOMETRIC_ROUNDS, GEOMETRIC_STOP = 16, 1e-7
 
@@ -28,8 +31,8 @@ def moments(rows: DataFrame, v: str = "v") -> tuple[int, np.ndarray, np.ndarray]
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), float)
-            if len(x):
+            if batch.num_rows:
+                x = vectors(pa.chunked_array([batch.column(0)]))
                 part = [float(len(x)), x.sum(0), x.T @ x]
                 total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
         if total is not None:
@@ -45,6 +48,40 @@ def moments(rows: DataFrame, v: str = "v") -> tuple[int, np.ndarray, np.ndarray]
     return n, mean, flat[d:].reshape(d, d) - n * np.outer(mean, mean)
 
 
+#: Directions whose singular value is below this share of the largest have no variance: a Gram
+#: matrix in doubles tells no smaller ones apart.
+RANK = 1e-7
+
+
+def fitted(gram: np.ndarray, n: int, kind: str) -> np.ndarray | None:
+    """The matrix by which a transform multiplies centred rows, from their Gram matrix; none where
+    centring is all (``center``, or no direction has variance)."""
+    if kind == "center":
+        return None
+    values, directions = np.linalg.eigh(gram)
+    order = np.argsort(values)[::-1]
+    values, directions = np.maximum(values[order], 0), directions[:, order]
+    if kind.startswith("abtt"):
+        top = directions[:, : int(kind[4:])]
+        return np.eye(len(gram)) - top @ top.T
+    keep = min(int(kind[6:] or 50), n - 1, int((np.sqrt(values) > RANK * np.sqrt(values[0])).sum()))
+    if keep < 1:
+        return None
+    variance = values[:keep] / n
+    return directions[:, :keep] / np.sqrt(np.maximum(0.9 * variance + 0.1 * variance.mean(), 1e-12))
+
+
+def moved(centred: np.ndarray, matrix: np.ndarray | None, kind: str) -> np.ndarray:
+    """Centred rows transformed, of unit length; zero rows stay zero, whitened ones become the all-ones
+    direction."""
+    z = centred if matrix is None else centred @ matrix
+    size = np.linalg.norm(z, axis=1, keepdims=True)
+    if matrix is not None and kind.startswith("whiten"):
+        z = np.where(size > 1e-12, z, 1.0)
+        size = np.linalg.norm(z, axis=1, keepdims=True)
+    return np.divide(z, size, out=np.zeros_like(z), where=size > 0)
+
+
 def transform(rows: DataFrame, kind: str, v: str = "v") -> DataFrame:
     """``rows`` with ``v`` transformed: raw | center | abttK | whitenD.
 
@@ -62,29 +99,15 @@ def transform(rows: DataFrame, kind: str, v: str = "v") -> DataFrame:
     centred = V.subtract(F.col(v), mu)
     if kind == "center":
         return rows.withColumn(v, V.normalize(centred))
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1]
-    values, vectors = np.maximum(values[order], 0), vectors[:, order]
-    if kind.startswith("abtt"):
-        matrix = np.eye(len(mean)) - vectors[:, : int(kind[4:])] @ vectors[:, : int(kind[4:])].T
-    else:
-        keep = min(int(kind[6:] or 50), int((np.sqrt(values) > 1e-9 * np.sqrt(values[0])).sum()))
-        if keep < 1:
-            return rows.withColumn(v, V.normalize(centred))
-        variance = values[:keep] / n
-        matrix = vectors[:, :keep] / np.sqrt(np.maximum(0.9 * variance + 0.1 * variance.mean(), 1e-12))
+    matrix = fitted(gram, n, kind)
+    if matrix is None:
+        return rows.withColumn(v, V.normalize(centred))
     at = rows.columns.index(v)
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(at).to_pylist(), float).reshape(-1, len(mean))
-            z = (x - mean) @ matrix
-            size = np.linalg.norm(z, axis=1, keepdims=True)
-            if kind.startswith("whiten"):
-                z = np.where(size > 1e-12, z, 1.0)
-                size = np.linalg.norm(z, axis=1, keepdims=True)
-            z = np.divide(z, size, out=z, where=size > 0)
-            yield batch.set_column(at, v, pa.array(z.tolist(), pa.list_(pa.float64())))
+            x = vectors(pa.chunked_array([batch.column(at)])) if batch.num_rows else np.zeros((0, len(mean)))
+            yield batch.set_column(at, v, lists(moved(x - mean, matrix, kind)))
 
     return rows.mapInArrow(project, rows.schema)
 
@@ -194,9 +217,13 @@ def feedback(rows: DataFrame, thetas: list[float], rule: str = "threshold", entr
 
     ``entry`` is the journal entry that the row joins (numbered in order of opening)
     and ``score`` the best similarity (or margin) it had, null for the first row.
-    ``entry`` kinds: first (representatives never change) | centroid | median.  Each
-    theta is a group of its own; within one the stream is sequential by nature.
+    ``entry`` kinds: first (representatives never change) | centroid | median.  First
+    representatives under the threshold rule are found in rounds (``first_feedback``).  Where an
+    entry changes with each decision, or a margin depends on all entries, the stream is
+    sequential by nature: each theta is a group of its own, for samples.
     """
+    if rule == "threshold" and entry == "first":
+        return first_feedback(rows, thetas)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         theta = key[0]
@@ -232,50 +259,115 @@ def feedback(rows: DataFrame, thetas: list[float], rule: str = "threshold", entr
     return grid.groupBy("theta").applyInPandas(one, f"theta double, ord long, topic {rows.schema['topic'].dataType.simpleString()}, entry long, score double")
 
 
-def _refit(x: np.ndarray, kind: str) -> np.ndarray:
-    """A transform fitted to ``x`` and applied to it: center | abttK | whitenD, as ``transform``."""
-    z = x - x.mean(0)
-    if kind != "center":
-        values, vectors = np.linalg.eigh(z.T @ z)
-        order = np.argsort(values)[::-1]
-        values, vectors = np.maximum(values[order], 0), vectors[:, order]
-        if kind.startswith("abtt"):
-            top = vectors[:, : int(kind[4:])]
-            z = z - (z @ top) @ top.T
-        else:
-            keep = min(int(kind[6:] or 50), int((np.sqrt(values) > 1e-9 * np.sqrt(values[0])).sum()))
-            if keep:
-                variance = values[:keep] / len(x)
-                z = z @ (vectors[:, :keep] / np.sqrt(np.maximum(0.9 * variance + 0.1 * variance.mean(), 1e-12)))
-                z = np.where(np.linalg.norm(z, axis=1, keepdims=True) > 1e-12, z, 1.0)
-    size = np.linalg.norm(z, axis=1, keepdims=True)
-    return np.divide(z, size, out=np.zeros_like(z), where=size > 0)
+def _honest_fits(rows: DataFrame, kind: str, size: int, last: int) -> DataFrame:
+    """``t, topic, rb, v, mean, matrix``: each row with the transform fitted on the rows up to it.
+
+    The moments before a block of rows are prefix sums in two levels; inside a block they grow by
+    one row at a time, so a fit costs the same wherever it stands."""
+    topic = rows.schema["topic"].dataType.simpleString()
+    cut = rows.select("topic", F.floor(F.col("ord") / size).cast("int").alias("rb"), "ord", "v")
+
+    def block_moments(table: pa.Table) -> pa.Table:
+        x = vectors(table.column("v"))
+        s = np.concatenate([x.sum(0), (x.T @ x).ravel()])
+        return pa.table({"topic": pa.array([0], pa.int32()), "rb": table.column("rb")[:1], "n": [len(x)], "s": lists(s[None])})
+
+    sums = cut.groupBy("rb").applyInArrow(block_moments, "topic int, rb int, n long, s array<double>")
+    states = running_states(kept(sums, "moments"), last // size).select(F.lit(None).cast(topic).alias("topic"), "rb", (-F.col("n")).alias("ord"), F.col("s").alias("v"))
+
+    def fits(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord")
+        order, v = table.column("ord").to_numpy(), table.column("v")
+        state = order[0] < 0  # minus the number of earlier rows
+        x = vectors(v.slice(1) if state else v) if len(order) > state else np.zeros((0, 1))
+        d = x.shape[1]
+        flat = vectors(v.slice(0, 1))[0] if state else np.zeros(d + d * d)
+        n, total, gram = -int(order[0]) if state else 0, flat[:d].copy(), flat[d:].reshape(d, d).copy()
+        means, matrices = [], []
+        for row in x:
+            n, total, gram = n + 1, total + row, gram + np.outer(row, row)
+            mean = total / n
+            matrix = fitted(gram - n * np.outer(mean, mean), n, kind)
+            means.append(mean)
+            matrices.append(np.zeros(0) if matrix is None else matrix.ravel())
+        own = table.slice(1) if state else table
+        return pa.table({"t": own.column("ord"), "topic": own.column("topic"), "rb": own.column("rb"), "v": own.column("v"), "mean": pa.array(means, pa.list_(pa.float64())), "matrix": pa.array(matrices, pa.list_(pa.float64()))})
+
+    return cut.union(states.select(*cut.columns)).groupBy("rb").applyInArrow(fits, f"t long, topic {topic}, rb int, v array<double>, mean array<double>, matrix array<double>")
+
+
+#: Members of a block that meets the decisions of another, and topics of a group of sums.
+MEMBERS, TOPICS = 4096, 512
 
 
 def honest_decisions(rows: DataFrame, kind: str, entry: str = "centroid", decisions_a_task: int = 128) -> DataFrame:
     """``t, gold, entry, size, cos, is_repeat`` with the transform (center | abttK | whitenD)
     refitted on the rows up to each decision; entries are centroids or medians.
 
-    Each decision has a fit of its own, so ranges of decisions run in parallel, each with
-    the rows up to its end.  For samples: n fits over up to n rows."""
+    Fits come from running moments.  Each decision transforms the earlier rows anew, as it must: their
+    lengths after it are not sums of anything.  Blocks of decisions meet blocks of members, so no
+    task holds all rows; the parts of a centroid are added up.  A median needs an entry's rows in one
+    place: there the blocks of a decision are put together before it, for samples."""
     if not (kind == "center" or kind.startswith(("abtt", "whiten"))) or entry not in ("centroid", "median"):
         raise ValueError(f"unknown transform or entry: {kind}, {entry}")
     topic = rows.schema["topic"].dataType.simpleString()
     last = rows.agg(F.max("ord")).first()[0] or 0
-    own = F.floor(F.col("ord") / decisions_a_task).cast("int")
-    dealt = rows.select("ord", "topic", "v", F.explode(F.sequence(own, F.lit(last // decisions_a_task).cast("int"))).alias("part"))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        x, topics, ords = np.array(pdf["v"].tolist(), float), pdf["topic"].to_numpy(), pdf["ord"].to_numpy()
-        names, code = np.unique(topics, return_inverse=True)
-        out = []
-        for t in range(max(1, int(np.searchsorted(ords, key[0] * decisions_a_task))), len(x)):
-            z, past = _refit(x[: t + 1], kind), code[:t]
-            for e in np.unique(past):
-                m = z[:t][past == e]
-                c = geometric_median(m) if entry == "median" else m.mean(0)
-                out.append((ords[t], topics[t], names[e], len(m), float(c @ z[t]) / max(np.linalg.norm(c), 1e-12), bool((past == code[t]).any())))
-        return pd.DataFrame(out, columns=["t", "gold", "entry", "size", "cos", "is_repeat"])
-
-    return dealt.groupBy("part").applyInPandas(one, f"t long, gold {topic}, entry {topic}, size long, cos double, is_repeat boolean")
+    asked = kept(_honest_fits(rows.select("ord", "topic", "v"), kind, decisions_a_task, last), "fits")
+    block = F.floor(F.col("ord") / MEMBERS).cast("int")
+    none = F.lit(None).cast("array<double>")
+    from_, to = F.floor(F.col("ord") / decisions_a_task).cast("int"), F.lit(last // decisions_a_task)
+    held = rows.select(F.explode(F.sequence(from_, to)).alias("rb"), block.alias("mb"), "ord", "topic", "v", none.alias("mean"), none.alias("matrix"))
+    # A decision meets the blocks of members up to its own.
+    asks = asked.select("rb", F.explode(F.sequence(F.lit(0), F.floor(F.col("t") / MEMBERS).cast("int"))).alias("mb"), (-F.col("t")).alias("ord"), "topic", "v", "mean", "matrix")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord")
+        order = table.column("ord").to_numpy()
+        asks, x = order < 0, vectors(table.column("v"))
+        coded = table.column("topic").combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        order_m, x_m, code_m = order[~asks], x[~asks], code[~asks]
+        means, matrices = table.column("mean").to_pylist(), table.column("matrix")
+        out: list[list] = [[], [], [], [], [], []]
+        for i in np.flatnonzero(asks)[::-1]:
+            t = -order[i]
+            m = int(np.searchsorted(order_m, t, "left"))
+            if not m:
+                continue
+            mean, flat = np.array(means[i]), matrices[int(i)].values.to_numpy()
+            matrix = flat.reshape(len(mean), -1) if len(flat) else None
+            z = moved(x_m[:m] - mean, matrix, kind)
+            own = moved(x[i : i + 1] - mean, matrix, kind)[0]
+            names, at, n = np.unique(code_m[:m], return_inverse=True, return_counts=True)
+            if entry == "median":
+                parts = [z[at == k].ravel() for k in range(len(names))]
+            else:
+                sums = np.zeros((len(names), z.shape[1]))
+                np.add.at(sums, at, z)
+                parts = list(sums)
+            for column, values in zip(out, (np.full(len(names), t), np.full(len(names), code[i]), names, n, parts, [own] * len(names)), strict=True):
+                column.extend(values)
+        t, gold, names, n, parts, own = out
+        number = lambda c: pa.array(np.array(c, np.int64))
+        return pa.table({"t": number(t), "gold": coded.dictionary.take(number(gold)), "entry": coded.dictionary.take(number(names)), "n": number(n), "part": pa.array(parts, pa.list_(pa.float64())), "own": pa.array(own, pa.list_(pa.float64()))})
+
+    met = held.unionByName(asks).groupBy("rb", "mb").applyInArrow(meet, f"t long, gold {topic}, entry {topic}, n long, part array<double>, own array<double>")
+
+    def put_together(table: pa.Table) -> pa.Table:
+        coded = table.column("entry").combine_chunks().dictionary_encode()
+        code, own = coded.indices.to_numpy(), table.column("own")[0].values.to_numpy()
+        flat, width = table.column("part").to_pylist(), len(own)
+        size, cos = [], []
+        for e in range(len(coded.dictionary)):
+            rows_ = np.flatnonzero(code == e)
+            part = np.concatenate([np.reshape(flat[r], (-1, width)) for r in rows_])
+            c = geometric_median(part) if entry == "median" else part.sum(0)
+            size.append(int(table.column("n").take(pa.array(rows_)).to_numpy().sum()))
+            cos.append(float(c @ own) / max(np.linalg.norm(c), 1e-12))
+        first = np.unique(code, return_index=True)[1]
+        return pa.table({"t": table.column("t").take(pa.array(first)), "gold": table.column("gold").take(pa.array(first)), "entry": coded.dictionary, "size": size, "cos": cos})
+
+    groups = met.withColumn("g", F.pmod(F.xxhash64("entry"), F.lit(1 + rows.select("topic").distinct().count() // TOPICS)))
+    scored = groups.groupBy("t", "g").applyInArrow(lambda t: put_together(t.drop(["g"])), f"t long, gold {topic}, entry {topic}, size long, cos double")
+    first = rows.groupBy(F.col("topic").alias("gold")).agg(F.min("ord").alias("first"))
+    return scored.join(first, "gold").select("t", "gold", "entry", "size", "cos", (F.col("t") > F.col("first")).alias("is_repeat"))

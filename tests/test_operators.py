@@ -10,9 +10,11 @@ from pyspark.sql import types as PY
 from subjectloom.functions import jsonparse as J
 from subjectloom.functions import text as T
 from subjectloom.functions import vectors as V
+from subjectloom.operators import feedback as B
 from subjectloom.operators import journal as G
 from subjectloom.operators import kernels as K
 from subjectloom.operators import metrics as E
+from subjectloom.operators import prefix as X
 from subjectloom.operators import segments as S
 from subjectloom.operators import similarity as M
 from subjectloom.sources import protocols as P
@@ -98,6 +100,33 @@ def test_decisions_equal_a_replay(spark, entry, block):
         assert (r["gold"], r["size"], r["is_repeat"]) == (topic[t], sum(x == e for s, x in topic.items() if s < t), any(x == topic[t] for s, x in topic.items() if s < t))
 
 
+@pytest.mark.parametrize("entry", G.ENTRIES)
+def test_decisions_in_small_blocks(spark, entry, monkeypatch):
+    """A topic with most rows, blocks of entries and of members, scans in two levels."""
+    rows = [(t, 1 if t % 4 else e, v) for t, e, v in unit_rows(90, 6)]
+    monkeypatch.setattr(X, "SCANNED", 3)
+    for name, value in (("ENTRIES_A_BLOCK", 2), ("MEMBERS_A_BLOCK", 10)):
+        monkeypatch.setattr(G, name, value)
+    got = {(r["t"], r["entry"]): r for r in G.decisions(spark.createDataFrame(rows, UNIT), entry, 5).collect()}
+    want = replay(rows, entry)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k]["cos"] - want[k]) < 1e-9 for k in want)
+    topic = {t: e for t, e, _ in rows}
+    assert all(r["size"] == sum(x == e for s, x in topic.items() if s < t) for (t, e), r in got.items())
+
+
+def test_running_mean_equals_a_pass(spark, monkeypatch):
+    rows = unit_rows(90, 6)
+    monkeypatch.setattr(X, "SCANNED", 2)
+    monkeypatch.setattr(G, "_block_rows", lambda last: 4)
+    got = {r["ord"]: r["d0_sq"] for r in G.running_mean_distance(spark.createDataFrame(rows, UNIT)).collect()}
+    x = np.array([v for *_, v in rows])
+    for t in range(len(rows)):
+        m = x[: t + 1].mean(0)
+        assert abs(got[t + 1] - (2 - 2 * x[t] @ m / np.linalg.norm(m))) < 1e-9
+    assert len(got) == len(rows)
+
+
 def test_decisions_of_named_topics_and_of_nothing(spark):
     df = spark.createDataFrame([(o, f"topic {t}", v) for o, t, v in unit_rows(12)], "ord long, topic string, v array<double>")
     got = G.decisions(df, ("first", "median")).collect()
@@ -129,6 +158,31 @@ def test_decisions_are_prefix_stable(spark):
     assert all(abs(whole[k] - v) < 1e-12 for k, v in part.items())
 
 
+@pytest.mark.parametrize("settle", [512, 6])
+def test_feedback_in_rounds_equals_a_pass(spark, settle, monkeypatch):
+    """Openers in rounds, several thetas at once, against a journal grown row by row."""
+    if settle == 6:
+        monkeypatch.setattr(B, "ASKED_ROWS", 16)
+        monkeypatch.setattr(B, "HELD_ROWS", 8)
+    rows = unit_rows(150, 5, 5)
+    rows += [(151 + i, 1, rows[3 * i][2]) for i in range(20)]  # equal vectors
+    thetas = [-1.0, 0.2, 0.5, 0.8, 0.95, 1.0]
+    got = {(r["theta"], r["ord"]): (r["entry"], r["score"]) for r in B.first_feedback(spark.createDataFrame(rows, UNIT), thetas, settle).collect()}
+    assert len(got) == len(thetas) * len(rows)
+    for theta in thetas:
+        reps = []
+        for t, _, v in rows:
+            s = [round(float(np.dot(r, v)), 12) for r in reps]
+            best = int(np.argmax(s)) if s else -1
+            joins = best >= 0 and s[best] >= theta
+            entry, score = got[theta, t]
+            assert entry == (best if joins else len(reps))
+            assert score is None if best < 0 else abs(score - s[best]) < 1e-9
+            if not joins:
+                reps.append(v)
+    assert B.first_feedback(spark.createDataFrame(rows, UNIT).where("false"), [0.5]).count() == 0
+
+
 def test_single_entry_margin(spark):
     df = spark.createDataFrame([(2, 1, True, 1, 0.4)], "t long, gold long, is_repeat boolean, entry long, cos double")
     assert G.top_two(df).first()["margin"] == pytest.approx(0.4)
