@@ -93,9 +93,10 @@ def _scores(topics: pa.Array, t, gold, entry, size, cos, again, kind) -> pa.Tabl
     return pa.table(named | {k: pa.array(c, _TYPES[k]) for k, c in (("size", size), ("cos", cos), ("is_repeat", again), ("kind", kind))})
 
 
-def _summed_decisions(cut: DataFrame, kinds: tuple[str, ...], rows: int, entries: int, ddl: str) -> DataFrame:
+def _summed_decisions(cut: DataFrame, kinds: tuple[str, ...], rows: int, entries: int, ddl: str, most: int | None = None) -> DataFrame:
     """Decisions on entries whose state is a sum: a block of rows meets, for each block of entries,
-    their states before it and their members inside it."""
+    their states before it and their members inside it.  With ``most`` a block keeps that many best
+    entries of a row (of equal ones, to nine digits, the least) and drops the others."""
     eb = F.pmod(F.xxhash64("topic"), F.lit(entries)).cast("int").alias("eb")
     none = F.lit(None).cast("array<double>")
     each = F.explode(F.sequence(F.lit(0), F.lit(entries - 1))).alias("eb")
@@ -140,6 +141,12 @@ def _summed_decisions(cut: DataFrame, kinds: tuple[str, ...], rows: int, entries
                     grown = np.vstack([sums[e], sums[e] + np.cumsum(v[at], axis=0)])
                     place = before[:, e] - count[e]
                     cos[:, e] = np.einsum("ij,ij->i", x, grown[place]) / size(grown, count[e] + np.arange(len(grown)))[place]
+            if most is not None:
+                order = np.argsort(np.array(coded.dictionary.to_pylist()), kind="stable")
+                sim = np.where(before > 0, np.round(cos, 9), -np.inf)[:, order]
+                top = np.argsort(-sim, axis=1, kind="stable")[:, :most]
+                some, place = np.nonzero(np.take_along_axis(sim, top, axis=1) > -np.inf)
+                e_some = order[top[some, place]]
             parts.append(cos[some, e_some])
         times = len(kinds)
         return _scores(coded.dictionary, np.tile(t[some], times), np.tile(gold[some], times), np.tile(e_some, times), np.tile(before[some, e_some], times), np.concatenate(parts), np.tile(repeat[some], times), np.repeat(np.array(kinds, object), len(some)))
@@ -182,6 +189,21 @@ def _member_decisions(cut: DataFrame, kinds: tuple[str, ...], rows: int, entries
     return out.groupBy("t", "gold", "entry", "is_repeat", "kind").agg(F.sum("size").alias("size"), extreme.alias("cos")).select(*out.columns)
 
 
+def _ddl(spans: DataFrame) -> str:
+    topic = spans.schema["topic"].dataType.simpleString()
+    return f"t long, gold {topic}, entry {topic}, size long, cos double, is_repeat boolean, kind string"
+
+
+def _cut(spans: DataFrame, rows_a_block: int | None) -> tuple[DataFrame, int, int, int]:
+    """Rows in blocks (``rb``) and whether they repeat a topic; the number of blocks, of topics, and of rows
+    of the largest topic."""
+    sizes = spans.groupBy("topic").agg(F.max("ord").alias("last"), F.count("*").alias("n"))
+    last, topics, most = sizes.agg(F.coalesce(F.max("last"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    size = rows_a_block or _block_rows(last)
+    cut = first_seen(spans.select("ord", "topic", "v")).withColumn("rb", F.floor(F.col("ord") / size).cast("int"))
+    return keep(cut, "cut"), last // size + 1, topics, most
+
+
 def decisions(spans: DataFrame, entry: str | tuple[str, ...] = "centroid", rows_a_block: int | None = None) -> DataFrame:
     """One row for each decision and entry: ``t, gold, entry, size, cos, is_repeat``, and
     ``kind`` where several representations are asked for (they share their passes).
@@ -193,23 +215,30 @@ def decisions(spans: DataFrame, entry: str | tuple[str, ...] = "centroid", rows_
     for k in kinds:
         if k not in ENTRIES:
             raise ValueError(f"unknown entry representation {k}")
-    sizes = spans.groupBy("topic").agg(F.max("ord").alias("last"), F.count("*").alias("n"))
-    last, topics, most = sizes.agg(F.max("last"), F.count("*"), F.max("n")).first()
-    rows_a_block = rows_a_block or _block_rows(last)
-    rows, entries = (last or 0) // rows_a_block + 1, topics // ENTRIES_A_BLOCK + 1
-    topic = spans.schema["topic"].dataType.simpleString()
-    cut = keep(first_seen(spans.select("ord", "topic", "v")).withColumn("rb", F.floor(F.col("ord") / rows_a_block).cast("int")), "cut")
-    ddl = f"t long, gold {topic}, entry {topic}, size long, cos double, is_repeat boolean, kind string"
+    cut, rows, topics, most = _cut(spans, rows_a_block)
+    entries, ddl = topics // ENTRIES_A_BLOCK + 1, _ddl(spans)
     summed, whole = tuple(k for k in kinds if k in SUMMED), tuple(k for k in kinds if k not in SUMMED)
     found = [_summed_decisions(cut, summed, rows, entries, ddl)] if summed else []
     # A median's members stay together; extremes of large entries are made in parts.
-    found += [_member_decisions(cut, part, rows, entries, most or 0, ddl) for part in (("median",) if "median" in whole else (), tuple(k for k in whole if k != "median")) if part]
+    found += [_member_decisions(cut, part, rows, entries, most, ddl) for part in (("median",) if "median" in whole else (), tuple(k for k in whole if k != "median")) if part]
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out.drop("kind") if isinstance(entry, str) else out
 
 
+def shortlist(spans: DataFrame, most: int, entry: str = "centroid") -> DataFrame:
+    """``t, gold, entry, size, cos, is_repeat, rank``: the ``most`` best entries of each decision, by similarity
+    to nine digits, the least of equal ones first; ``entry``: first | centroid | members_mean.  Each
+    block product keeps its own best, so what is shipped does not grow with the entries."""
+    if entry not in SUMMED:
+        raise ValueError(f"no shortlists by {entry}")
+    cut, rows, topics, _ = _cut(spans, None)
+    best = _summed_decisions(cut, (entry,), rows, topics // ENTRIES_A_BLOCK + 1, _ddl(spans), most).drop("kind")
+    order = Window.partitionBy("t").orderBy(F.desc(F.round("cos", 9)), "entry")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def top_two(scored: DataFrame, score: str = "cos", by: list[str] = ["t"], single: str = "self") -> DataFrame:
     """Per decision the best entry, its score, and the margin over the runner-up.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..sources.folders import keep as kept
 from .feedback import first_feedback
-from .prefix import lists, running_states, vectors
+from .prefix import lists, running_states, summed, vectors
 
 GEOMETRIC_ROUNDS, GEOMETRIC_STOP = 16, 1e-7
 
@@ -126,90 +126,54 @@ def geometric_median(x: np.ndarray, rounds: int = GEOMETRIC_ROUNDS, stop: float
     return m / size if size > 0 else m
 
 
-def topic_medians(rows: DataFrame) -> DataFrame:
-    """``topic, n, v``: the geometric median of each topic's vectors."""
+#: Rows of a topic that one task iterates over; larger topics are dealt into parts.
+MEDIAN_ROWS = 4096
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["v"].tolist(), float)
-        return pd.DataFrame({"topic": [pdf["topic"].iloc[0]], "n": [len(x)], "v": [geometric_median(x).tolist()]})
-
-    return rows.select("topic", "v").groupBy("topic").applyInPandas(one, f"topic {rows.schema['topic'].dataType.simpleString()}, n long, v array<double>")
-
-
-def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by unweighted average linkage; the first nearest pair merges.
-
-    Each row keeps its nearest other cluster, so a merge looks at one value a row."""
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    n = len(d)
-    size, label = np.ones(n), np.arange(n)
-    near = d.argmin(1) if n else np.zeros(0, int)
-    least = d[np.arange(n), near]
-    for _ in range(n - max(k, 1)):
-        i = int(np.argmin(least))
-        i, j = sorted((i, int(near[i])))
-        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i, i] = d[j] = d[:, j] = np.inf
-        size[i] += size[j]
-        label[label == label[j]] = label[i]
-        # Rows that pointed at the merged pair look again; others may find row i nearer.
-        again = np.flatnonzero((near == i) | (near == j) | (np.arange(n) == i) | (np.arange(n) == j))
-        near[again] = d[again].argmin(1)
-        least[again] = d[again, near[again]]
-        closer = (d[:, i] < least) | ((d[:, i] == least) & (i < near))
-        near[closer], least[closer] = i, d[closer, i]
-    return np.unique(label, return_inverse=True)[1]
-
-
-def _squared(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)[None], 0)
-
-
-def kmeans(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, rounds: int = 50) -> np.ndarray:
-    """Labels of the best of ``starts`` runs of Lloyd's rounds from k-means++ seeds."""
-    rng, best, labels = np.random.default_rng(seed), np.inf, np.zeros(len(x), int)
-    for _ in range(starts):
-        centre = x[[rng.integers(len(x))]]
-        while len(centre) < k:
-            d = _squared(x, centre).min(1)
-            centre = np.vstack([centre, x[rng.choice(len(x), p=d / d.sum() if d.sum() > 0 else None)]])
-        for _ in range(rounds):
-            own = _squared(x, centre).argmin(1)
-            new = np.array([x[own == c].mean(0) if (own == c).any() else centre[c] for c in range(k)])
-            if np.allclose(new, centre):
-                break
-            centre = new
-        cost = ((x - centre[own]) ** 2).sum()
-        if cost < best:
-            best, labels = cost, own
-    return labels
-
-
-def spectral(affinity: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """k-means on the leading eigenvectors of the normalised affinity."""
-    root = 1 / np.sqrt(np.maximum(affinity.sum(1), 1e-12))
-    _, vectors = np.linalg.eigh(affinity * root[:, None] * root[None])
-    return kmeans(vectors[:, -k:] * root[:, None], k, seed)
-
-
-def cluster(rows: DataFrame, method: str, k: int, by: str | None = None) -> DataFrame:
-    """``by, ord, topic, cluster`` of evaluation samples: agglomerative | kmeans |
-    spectral, on cosine; one group for each value of ``by``.  The methods hold an n x n
-    matrix, so they are for labelled samples, as their metrics are."""
-    rows = rows.withColumn("_by", F.col(by) if by else F.lit(0))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        x = np.array(pdf["v"].tolist(), float)
-        s = x @ x.T
-        labels = average_linkage(np.maximum(1 - s, 0), k) if method == "agglomerative" else kmeans(x, k) if method == "kmeans" else spectral(np.maximum(s, 0), k)
-        return pd.DataFrame({"_by": pdf["_by"], "ord": pdf["ord"], "topic": pdf["topic"], "cluster": labels.astype("int64")})
-
-    types = rows.schema
-    ddl = f"_by {types['_by'].dataType.simpleString()}, ord long, topic {types['topic'].dataType.simpleString()}, cluster long"
-    out = rows.select("_by", "ord", "topic", "v").groupBy("_by").applyInPandas(one, ddl)
-    return out.withColumnRenamed("_by", by) if by else out.drop("_by")
+
+def topic_medians(rows: DataFrame, whole: int = MEDIAN_ROWS, rounds: int = GEOMETRIC_ROUNDS, stop: float = GEOMETRIC_STOP) -> DataFrame:
+    """``topic, n, v``: the geometric median of each topic's vectors.
+
+    A topic of up to ``whole`` rows is one group.  Larger ones are dealt into parts: a round of Weiszfeld's
+    iteration is a weighted sum over the parts, and only topics whose median still moves take part in the next."""
+    kind = rows.schema["topic"].dataType.simpleString()
+    sizes = kept(rows.groupBy("topic").agg(F.count("*").alias("n")), "sizes")
+
+    def one(table: pa.Table) -> pa.Table:
+        x = vectors(table.column("v"))
+        return pa.table({"topic": table.column("topic")[:1], "n": [len(x)], "v": lists(geometric_median(x, rounds, stop)[None])})
+
+    small = rows.join(sizes.where(F.col("n") <= whole), "topic").select("topic", "v").groupBy("topic").applyInArrow(one, f"topic {kind}, n long, v array<double>")
+    large = sizes.where(F.col("n") > whole).withColumn("parts", F.ceil(F.col("n") / whole).cast("int"))
+    if not large.limit(1).count():
+        return small
+    points = kept(rows.join(large, "topic").select("topic", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v"), "points")
+
+    def weighted(key, points: pa.Table, state: pa.Table) -> pa.Table:
+        if not points.num_rows or not state.num_rows:
+            return pa.table({"topic": pa.array([], points.schema.field("topic").type), "n": pa.array([], pa.int64()), "s": pa.array([], pa.list_(pa.float64()))})
+        x, m = vectors(points.column("v")), vectors(state.column("m"))[0]
+        w = 1 / np.maximum(np.linalg.norm(x - m, axis=1), 1e-9) if len(m) else np.ones(len(x))
+        return pa.table({"topic": points.column("topic")[:1], "n": [len(x)], "s": lists(np.append((x * w[:, None]).sum(0), w.sum())[None])})
+
+    def copies(state: DataFrame) -> DataFrame:
+        return state.select("topic", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    active, done = large.select("topic", "parts", F.array().cast("array<double>").alias("m")), None
+    for r in range(rounds + 1):
+        met = points.groupBy("topic", "part").cogroup(copies(active).groupBy("topic", "part"))
+        sums = met.applyInArrow(lambda key, p, q: weighted(key, p.select(["topic", "v"]), q.select(["m"])), f"topic {kind}, n long, s array<double>")
+        added = sums.groupBy("topic").applyInArrow(lambda t: summed(t, "topic"), f"topic {kind}, n long, s array<double>")
+        new = F.transform(F.slice("s", 1, F.size("s") - 1), lambda x: x / F.element_at("s", -1))
+        step = added.join(active, "topic").select("topic", "parts", "n", new.alias("m"), F.col("m").alias("old"))
+        # The first pass gives the mean; a median that moves less than ``stop`` stays.
+        far = F.lit(True) if r == 0 else V.norm(V.subtract(F.col("m"), F.col("old"))) >= stop
+        step = kept(step.withColumn("moves", far & F.lit(r < rounds)), "medians")
+        rest = step.where("not moves").select("topic", "n", V.normalize(F.col("m")).alias("v"))
+        done = rest if done is None else done.union(rest)
+        active = step.where("moves").select("topic", "parts", "m")
+        if not active.limit(1).count():
+            break
+    return small.union(done)
 
 
 def feedback(rows: DataFrame, thetas: list[float], rule: str = "threshold", entry: str = "first") -> DataFrame:

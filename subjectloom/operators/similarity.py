@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,12 +37,13 @@ def all_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None, carr
     return left.join(right, ["ba", "bb"]).where("i < j").drop("ba", "bb")
 
 
-def cosine_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None) -> DataFrame:
-    """``i, j, same, sim`` over all pairs of unit vectors, each pair once (i < j).
+def pair_blocks(rows: DataFrame, make: Callable[..., pa.Table], ddl: str, key: str = "ord", blocks: int | None = None) -> DataFrame:
+    """What ``make(i, j, topic, same, sim)`` keeps of all pairs of unit vectors, each pair once (i < j);
+    ``topic`` is that of i.
 
     Every row goes to the ``blocks`` block pairs that its block is in; a block pair is
-    one matrix product.  There are as many blocks as keep each at about BLOCK_ROWS rows, so
-    what a task holds does not grow with the table.
+    one matrix product, and only what ``make`` returns of it leaves the task.  There are as many
+    blocks as keep each at about BLOCK_ROWS rows, so what a task holds does not grow with the table.
     """
     blocks = blocks or _blocks(rows)
     block = rows.select(F.col(key).cast("long").alias("i"), "topic", "v", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
@@ -49,16 +53,131 @@ def cosine_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None) -
     def product(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         b, ids = table.column("b").to_numpy(), table.column("i").to_numpy()
-        topics = np.unique(np.array(table.column("topic").to_pylist(), object).astype(str), return_inverse=True)[1]
+        coded = table.column("topic").combine_chunks().dictionary_encode()
+        topics = coded.indices.to_numpy(zero_copy_only=False)
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
         s = x[left] @ x[right].T
         r, c = np.nonzero(ids[left][:, None] < ids[right][None]) if lo == hi else np.indices(s.shape).reshape(2, -1)
         p, q = left[r], right[c]
-        first, second = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
-        return pa.table({"i": first, "j": second, "same": topics[p] == topics[q], "sim": s[r, c]})
+        turned = ids[p] > ids[q]
+        p, q = np.where(turned, q, p), np.where(turned, p, q)
+        return make(ids[p], ids[q], coded.dictionary.take(pa.array(topics[p])), topics[p] == topics[q], s[r, c])
+
+    return dealt.groupBy("lo", "hi").applyInArrow(product, ddl)
 
-    return dealt.groupBy("lo", "hi").applyInArrow(product, "i long, j long, same boolean, sim double")
+
+def cosine_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None) -> DataFrame:
+    """``i, j, same, sim`` over all pairs of unit vectors, each pair once (i < j)."""
+    return pair_blocks(rows, lambda i, j, topic, same, sim: pa.table({"i": i, "j": j, "same": same, "sim": sim}), "i long, j long, same boolean, sim double", key, blocks)
+
+
+def hardest_pairs(rows: DataFrame, most: int, blocks: int | None = None) -> DataFrame:
+    """``i, j, sim``: the ``most`` most similar pairs of different topics (to nine digits, then by i and j).
+    A block product keeps its own best; those are merged."""
+
+    def best(i, j, topic, same, sim):
+        i, j, sim = i[~same], j[~same], np.round(sim[~same], 9)
+        if len(sim) > most:
+            near = np.flatnonzero(sim >= np.partition(sim, -most)[-most])
+            i, j, sim = i[near], j[near], sim[near]
+        order = np.lexsort((j, i, -sim))[:most]
+        return pa.table({"i": i[order], "j": j[order], "sim": sim[order]})
+
+    return pair_blocks(rows, best, "i long, j long, sim double", blocks=blocks).orderBy(F.desc("sim"), "i", "j").limit(most)
+
+
+def shuffle_key(i: np.ndarray, j: np.ndarray) -> list[str]:
+    """A key of a pair whose order stands for a seeded shuffle."""
+    return [hashlib.md5(f"{a}:{b}".encode()).hexdigest() for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+def random_positives(rows: DataFrame, most: int, blocks: int | None = None) -> DataFrame:
+    """``i, j, h``: at most ``most`` pairs of each topic, by the shuffle key ``h``."""
+    kind = rows.schema["topic"].dataType.simpleString()
+
+    def first(i, j, topic, same, sim):
+        at = np.flatnonzero(same)
+        h, names = np.array(shuffle_key(i[at], j[at])), topic.take(pa.array(at)).dictionary_encode()
+        order = np.lexsort((h, names.indices.to_numpy()))
+        code = names.indices.to_numpy()[order]
+        place = np.arange(len(code)) - np.searchsorted(code, code, "left")
+        kept = order[place < most]
+        return pa.table({"topic": topic.take(pa.array(at[kept])), "i": i[at[kept]], "j": j[at[kept]], "h": pa.array(h[kept].tolist(), pa.string())})
+
+    found = pair_blocks(rows, first, f"topic {kind}, i long, j long, h string", blocks=blocks)
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("h"))).where(F.col("r") <= most).select("i", "j", "h")
+
+
+def random_easy(rows: DataFrame, most: int, limit: float, blocks: int | None = None) -> DataFrame:
+    """``i, j, h``: ``most`` pairs of different topics with a similarity (to nine digits) of ``limit`` or less, by
+    the shuffle key."""
+
+    def first(i, j, topic, same, sim):
+        at = np.flatnonzero(~same & (np.round(sim, 9) <= limit))
+        h = np.array(shuffle_key(i[at], j[at]))
+        kept = np.argsort(h, kind="stable")[:most]
+        return pa.table({"i": i[at[kept]], "j": j[at[kept]], "h": pa.array(h[kept].tolist(), pa.string())})
+
+    return pair_blocks(rows, first, "i long, j long, h string", blocks=blocks).orderBy("h", "i", "j").limit(most)
+
+
+#: Bins of a pass over all pairs, and values that are gathered at once.
+BINS, GATHERED = 1024, 50_000
+
+
+def pair_quantile(rows: DataFrame, q: float, blocks: int | None = None, gathered: int = GATHERED) -> float | None:
+    """The q-quantile, linearly interpolated, of the similarities (to nine digits) of pairs of different topics.
+
+    Similarities are counted as whole billionths.  Each pass counts pairs in at most BINS bins of the
+    intervals that hold the two ranks in question (a row for each bin is all that leaves a task); the
+    intervals shrink until one holds few enough values to be sorted, or a single one."""
+
+    def counted(spans: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
+        """Pairs by interval (low, width of a bin, number of bins) and bin."""
+
+        def count(i, j, topic, same, sim):
+            unit = np.rint(sim[~same] * 1e9).astype(np.int64)
+            parts = [np.zeros((0, 3), np.int64)]
+            for k, (lo, width, n) in enumerate(spans):
+                bins, times = np.unique((unit[(unit >= lo) & (unit < lo + width * n)] - lo) // width, return_counts=True)
+                parts.append(np.stack([np.full(len(bins), k), bins, times], 1))
+            k, bins, times = np.concatenate(parts).T
+            return pa.table({"k": k, "bin": bins, "n": times})
+
+        found = pair_blocks(rows, count, "k long, bin long, n long", blocks=blocks).groupBy("k", "bin").agg(F.sum("n").alias("n"))
+        return {(r["k"], r["bin"]): r["n"] for r in found.collect()}
+
+    # Unit vectors: from -1 to 1, and a little for rounding.
+    whole = (-1_100_000_000, -(-2_200_000_000 // BINS), BINS)
+    first = counted([whole])
+    total = sum(first.values())
+    if not total:
+        return None
+    place = (total - 1) * q
+    ranks = sorted({int(np.floor(place)), min(int(np.floor(place)) + 1, total - 1)})
+    state = {r: (whole, 0, {b: n for (_, b), n in first.items()}) for r in ranks}  # interval, values below it, its bins
+    out: dict[int, float] = {}
+    while len(out) < len(ranks):
+        for r in set(ranks) - set(out):
+            (lo, width, _), below, bins = state[r]
+            for b in sorted(bins):
+                if below + bins[b] > r:
+                    break
+                below += bins[b]
+            if width == 1:
+                out[r] = (lo + b) / 1e9
+            else:
+                # As many bins as values that could be told apart, if there are few values.
+                finer = 1 if bins[b] <= gathered else -(-width // BINS)
+                state[r] = ((lo + b * width, finer, -(-width // finer)), below, {})
+        spans = sorted({state[r][0] for r in ranks if r not in out})
+        found = counted(spans) if spans else {}
+        for r in set(ranks) - set(out):
+            k = spans.index(state[r][0])
+            state[r] = (*state[r][:2], {b: n for (s_, b), n in found.items() if s_ == k})
+    low, high = out[ranks[0]], out[ranks[-1]]
+    return low + (high - low) * (place - np.floor(place))
 
 
 def nearest_earlier(queries: DataFrame, entries: DataFrame, key: str, most: int, rows_a_block: int = 2048) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import clusters as C
 from ..operators import journal as J
 from ..operators import kernels as K
 from ..operators import metrics as E
@@ -121,10 +122,20 @@ def strata_counts(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") != "en").alias("other"))
 
 
+def _scored(led, by):
+    """``by, ari, nmi`` of clusters against topics, a row for each variant."""
+    parts = None
+    for (name,) in sorted(tuple(r) for r in led.select(by).distinct().collect()):  # a row a variant
+        own = led.where(F.col(by) == name)
+        one = E.adjusted_rand(own, "topic", "cluster").withColumn("one", F.lit(1)).join(E.v_measure(own, "topic", "cluster").withColumn("one", F.lit(1)), "one")
+        row = one.select(F.lit(name).alias(by), F.round("ari", 4).alias("ari"), F.round("nmi", 4).alias("nmi"))
+        parts = row if parts is None else parts.union(row)
+    return parts
+
+
 def _clusters(spark, d, method):
-    out = K.cluster(spans(spark, d), method, 10)
-    a, v = E.adjusted_rand(out, "topic", "cluster"), E.v_measure(out, "topic", "cluster")
-    return a.select(F.lit(method).alias("method"), F.round("ari", 4).alias("ari"), F.lit(1).alias("one")).join(v.select(F.round("nmi", 4).alias("nmi"), F.lit(1).alias("one")), "one").drop("one")
+    led = keep(C.cluster(spans(spark, d), method, 10).withColumn("method", F.lit(method)), "led")
+    return _scored(led, "method")
 
 
 query("agglomerative")(lambda spark, d: _clusters(spark, d, "agglomerative"))
@@ -148,12 +159,13 @@ def abtt_k_sweep(spark, d):
     """ARI and AUC by the number of removed directions, and the best row marked."""
     from pyspark.sql import Window
 
-    out = None
+    rows = aucs = None
     for k in (0, 1, 2, 3, 5):
-        moved = keep(K.transform(spans(spark, d), "raw" if k == 0 else f"abtt{k}"), "moved")
-        part = E.auc(M.cosine_pairs(moved), "sim", "same").join(E.adjusted_rand(K.cluster(moved, "agglomerative", 10), "topic", "cluster"))
-        row = part.select(F.lit(k).alias("k"), F.round("auc", 4).alias("auc"), F.round("ari", 4).alias("ari"))
-        out = row if out is None else out.union(row)
+        moved = keep(K.transform(spans(spark, d), "raw" if k == 0 else f"abtt{k}"), "moved").withColumn("k", F.lit(k))
+        auc = E.auc(M.cosine_pairs(moved), "sim", "same").select(F.lit(k).alias("k"), F.round("auc", 4).alias("auc"))
+        rows, aucs = (moved, auc) if rows is None else (rows.union(moved), aucs.union(auc))
+    led = keep(C.cluster(rows, "agglomerative", 10, by="k"), "led")
+    out = aucs.join(_scored(led, "k").drop("nmi"), "k")
     return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("ari"), "k")) == 1)
 
 
@@ -175,6 +187,42 @@ def alpha_sweep(spark, d):
     return auc.withColumn("best", F.row_number().over(Window.orderBy(F.desc(F.round("auc", 4)), "alpha")) == 1)
 
 
+def _recurring(rows):
+    """Rows of one or more variants whose topic has two rows or more in each."""
+    counts = rows.groupBy("variant", "topic").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(counts.drop("n"), ["variant", "topic"], "left_semi")
+
+
+@query("hybrid_study")
+def hybrid_study(spark, d):
+    """Rows whose topic recurs, clustered on alpha * lexical + (1 - alpha) * dense: ARI by average linkage
+    and by spectral clusters for each dense variant and alpha, the best of each variant and of all."""
+    from pyspark.sql import Window
+
+    from .lexical import _weights
+
+    lex = _weights(spark, d).groupBy((F.col("conv_id") + 1).alias("ord")).agg(F.map_from_entries(F.collect_list(F.struct(F.xxhash64("term"), "weight"))).alias("m"))
+    rows = None
+    for kind in ("raw", "abtt1"):
+        own = K.transform(spans(spark, d), kind).withColumn("variant", F.lit(kind))
+        rows = own if rows is None else rows.union(own)
+    none = F.create_map().cast("map<bigint,double>")
+    rows = keep(_recurring(rows).join(lex, "ord", "left").withColumn("m", F.coalesce("m", none)), "rows")
+    each = rows.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in _ALPHAS])))
+    dense, lexical = F.sqrt(1 - F.col("alpha")), F.sqrt("alpha")
+    scaled = each.select("ord", "topic", F.transform("v", lambda x: x * dense).alias("v"), F.transform_values("m", lambda k, x: x * lexical).alias("m"), F.concat_ws("|", "variant", F.col("alpha").cast("string")).alias("setting"))
+    scaled = keep(scaled, "scaled")
+    k = rows.select("topic").distinct().count()
+    out = None
+    for method in ("agglomerative", "spectral"):
+        part = _scored(keep(C.cluster(scaled, method, k, by="setting"), "led"), "setting").select("setting", F.col("ari").alias(f"ari_{method}"))
+        out = part if out is None else out.join(part, "setting")
+    out = out.select(F.split("setting", r"\|")[0].alias("variant"), F.split("setting", r"\|")[1].cast("double").alias("alpha"), "ari_agglomerative", "ari_spectral")
+    first = lambda score, *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), "variant", "alpha")) == 1
+    one = F.lit(1)
+    return out.select("*", first("ari_agglomerative", "variant").alias("best_of_variant"), first("ari_agglomerative", one).alias("best_agglomerative"), first("ari_spectral", one).alias("best_spectral"))
+
+
 @query("recall_summary", _RANKS + " SELECT count(*) AS events, round(avg(1.0::DOUBLE / rank), 6) AS mean_reciprocal_rank FROM ev")
 def recall_summary(spark, d):
     return shortlist_events(spark, d).agg(F.count("*").alias("events"), F.round(F.avg(1 / F.col("rank")), 6).alias("mean_reciprocal_rank"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics as E
 from ..operators import similarity as M
-from ..sources.folders import keep
 from .registry import query
 from .tables import S, spans
 
@@ -18,47 +17,32 @@ HARD = "hard AS (SELECT i, j, sim FROM p WHERE ta <> tb ORDER BY sim DESC, i, j
 EASY = f"easy AS (SELECT i, j FROM p WHERE ta <> tb AND sim <= (SELECT quantile_cont(sim, 0.2) FROM p WHERE ta <> tb) ORDER BY {_H} LIMIT 20)"
 
 
-def _pairs(spark, d) -> DataFrame:
-    """All pairs once, with the topic of the first, whether the topics agree, and a shuffle key."""
-    s = spans(spark, d)
-    p = M.cosine_pairs(s).join(s.select(F.col("ord").alias("i"), F.col("topic").alias("ta")), "i")
-    return keep(p.select("i", "j", "ta", "same", F.round("sim", 9).alias("sim")).withColumn("h", F.md5(F.concat_ws(":", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))), "pairs")
-
-
-def positives(pairs: DataFrame, most: int = 3) -> DataFrame:
-    w = Window.partitionBy("ta").orderBy("h")
-    return pairs.where("same").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("i", "j", "h")
-
-
-def hard(pairs: DataFrame, n: int = 30) -> DataFrame:
-    return pairs.where("not same").orderBy(F.desc("sim"), "i", "j").limit(n)
-
-
-def easy(pairs: DataFrame, n: int = 20) -> DataFrame:
+def _easy(rows: DataFrame, n: int = 20) -> DataFrame:
     """Random pairs of different topics at or below the 20th percentile of such pairs."""
-    across = pairs.where("not same")
-    return across.where(F.col("sim") <= E.quantile(across, "sim", 0.2).select("value").scalar()).orderBy("h").limit(n).select("i", "j", "h")
+    limit = M.pair_quantile(rows, 0.2)
+    return M.random_easy(rows, n, -np.inf if limit is None else limit)
 
 
 @query("positive_cap", f"WITH {P}, {POS} SELECT i, j FROM pos")
 def positive_cap(spark, d):
-    return positives(_pairs(spark, d)).select("i", "j")
+    return M.random_positives(spans(spark, d), 3).select("i", "j")
 
 
 @query("hard_negatives", f"WITH {P}, {HARD} SELECT i, j, sim FROM hard")
 def hard_negatives(spark, d):
-    return hard(_pairs(spark, d)).select("i", "j", "sim")
+    return M.hardest_pairs(spans(spark, d), 30)
 
 
 @query("easy_negatives", f"WITH {P}, {EASY} SELECT i, j FROM easy")
 def easy_negatives(spark, d):
-    return easy(_pairs(spark, d)).select("i", "j")
+    return _easy(spans(spark, d)).select("i", "j")
 
 
 @query("stratified_pairs", f"WITH {P}, {POS}, {HARD}, {EASY}, al AS (SELECT i, j, 'positive' AS stratum FROM pos UNION ALL SELECT i, j, 'hard_neg' FROM hard UNION ALL SELECT i, j, 'easy_neg' FROM easy), de AS (SELECT i, j, min(stratum) AS stratum FROM al GROUP BY i, j) SELECT format('pair_{{:04d}}', row_number() OVER (ORDER BY {_H}) - 1) AS id, i, j, stratum FROM de".replace("{{", "{").replace("}}", "}"))
 def stratified_pairs(spark, d):
     """The batch to annotate: three strata, unordered pairs once, shuffled and numbered."""
-    p = _pairs(spark, d)
-    parts = positives(p).select("i", "j", "h", F.lit("positive").alias("stratum")).union(hard(p).select("i", "j", "h", F.lit("hard_neg"))).union(easy(p).select("i", "j", "h", F.lit("easy_neg")))
+    rows = spans(spark, d)
+    parts = M.random_positives(rows, 3).select("i", "j", F.lit("positive").alias("stratum")).union(M.hardest_pairs(rows, 30).select("i", "j", F.lit("hard_neg"))).union(_easy(rows).select("i", "j", F.lit("easy_neg")))
+    parts = parts.withColumn("h", F.md5(F.concat_ws(":", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary")))
     once = parts.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "h").agg(F.min("stratum").alias("stratum"))
     return once.select(F.format_string("pair_%04d", F.row_number().over(Window.orderBy("h")) - 1).alias("id"), "i", "j", "stratum")

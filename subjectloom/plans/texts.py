@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonparse as J
 from ..functions import text as T
+from ..operators.dictionary import names_in
 from .registry import query
 from .tables import table
 
@@ -76,7 +77,8 @@ def dict_gate(spark, d):
     """Ministries that a text names, spelling variants merged."""
     k = F.col("doc_id") % 3
     named = F.concat("text", F.when(k == 0, " רשות המסים ").when(k == 1, ' משרד האוצר ו רמ"י ').otherwise(""))
-    return _docs(spark, d).select("doc_id", F.array_join(T.dictionary_matches(named, T.MINISTRIES, T.MINISTRY_VARIANTS), "|").alias("found"))
+    rows = names_in(_docs(spark, d).select("doc_id", named.alias("named")), "named", "names", T.MINISTRIES, T.MINISTRY_VARIANTS)
+    return rows.select("doc_id", F.array_join("names", "|").alias("found"))
 
 
 @query("gate_overlap", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, len(list_intersect(a.w, b.w))::BIGINT AS common FROM (SELECT n_nationkey, list_distinct(string_split(lower(n_name), '')) AS w FROM nation) a JOIN (SELECT n_nationkey, list_distinct(string_split(lower(n_name), '')) AS w FROM nation) b ON a.n_nationkey < b.n_nationkey WHERE len(list_intersect(a.w, b.w)) >= 4")

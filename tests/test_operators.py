@@ -10,6 +10,8 @@ from pyspark.sql import types as PY
 from subjectloom.functions import jsonparse as J
 from subjectloom.functions import text as T
 from subjectloom.functions import vectors as V
+from subjectloom.operators import clusters as C
+from subjectloom.operators import dictionary as D
 from subjectloom.operators import feedback as B
 from subjectloom.operators import journal as G
 from subjectloom.operators import kernels as K
@@ -19,6 +21,8 @@ from subjectloom.operators import segments as S
 from subjectloom.operators import similarity as M
 from subjectloom.sources import protocols as P
 
+from . import dense
+
 UNIT = "ord long, topic long, v array<double>"
 
 
@@ -260,6 +264,29 @@ def test_lcs_of_all_pairs():
     assert M.lcs_matrix([], words).shape == (0, len(words)) and M.lcs_matrix(words, []).shape == (len(words), 0)
 
 
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_samples_inside_products(spark, blocks):
+    """Hardest, random positive and random easy pairs, and the quantile, against all pairs."""
+    rows = unit_rows(60, 5, 5)
+    df = spark.createDataFrame(rows, UNIT)
+    pairs = [(i, j, a == b, round(float(np.dot(v, w)), 9), a) for i, a, v in rows for j, b, w in rows if i < j]
+    across = [p for p in pairs if not p[2]]
+    got = [tuple(r) for r in M.hardest_pairs(df, 7, blocks).collect()]
+    assert got == [(i, j, s) for i, j, _, s, _ in sorted(across, key=lambda p: (-p[3], p[0], p[1]))[:7]]
+    key = {(i, j): M.shuffle_key(np.array([i]), np.array([j]))[0] for i, j, *_ in pairs}
+    want = set()
+    for topic in range(5):
+        want |= set(sorted([p[:2] for p in pairs if p[2] and p[4] == topic], key=key.get)[:3])
+    assert {(r["i"], r["j"]) for r in M.random_positives(df, 3, blocks).collect()} == want
+    for q in (0.0, 0.2, 0.5, 1.0):
+        for gathered in (50_000, 3):
+            assert M.pair_quantile(df, q, blocks, gathered) == pytest.approx(np.quantile([p[3] for p in across], q), abs=1e-12)
+    limit = M.pair_quantile(df, 0.2, blocks)
+    easy = sorted([p[:2] for p in across if p[3] <= limit], key=key.get)[:20]
+    assert [(r["i"], r["j"]) for r in M.random_easy(df, 20, limit, blocks).collect()] == easy
+    assert M.pair_quantile(df.withColumn("topic", F.lit(1).cast("long")), 0.2) is None
+
+
 def test_fuzzy_pairs_equal_all_ratios(spark):
     rng = np.random.default_rng(7)
     words = ["".join(rng.choice(list("abcd"), rng.integers(0, 14))) for _ in range(40)] + [None, "", ""]
@@ -350,11 +377,18 @@ def test_transforms(spark):
         K.transform(df, "other")
 
 
+def partition(rows, label):
+    groups = {}
+    for key, c in zip(rows, label, strict=True):
+        groups.setdefault(c, set()).add(key)
+    return {frozenset(g) for g in groups.values()}
+
+
 def test_linkage_and_clusters():
     x = np.array([[0.0], [0.1], [5.0], [5.1], [9.0]])
-    labels = K.average_linkage(np.abs(x - x.T), 3)
+    labels = dense.average_linkage(np.abs(x - x.T), 3)
     assert labels[0] == labels[1] and labels[2] == labels[3] and len(set(labels)) == 3
-    assert len(set(K.kmeans(x, 3))) == 3
+    assert len(set(dense.kmeans(x, 3))) == 3
 
 
 @pytest.mark.parametrize("k", [1, 4, 9])
@@ -365,15 +399,81 @@ def test_linkage_equals_means_of_all_pairs(k):
     while len(groups) > k:
         _, a, b = min((d[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
         groups[a] += groups.pop(b)
-    labels = K.average_linkage(d, k)
+    labels = dense.average_linkage(d, k)
     assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == {frozenset(g) for g in groups}
 
 
+@pytest.mark.parametrize("settle", [512, 9])
+def test_mutual_mergers_equal_the_sequential_ones(spark, settle, monkeypatch):
+    """Two variants, with and without a lexical part, cut at several sizes."""
+    monkeypatch.setattr(C, "TERMS", 3)
+    if settle == 9:
+        monkeypatch.setattr(C, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    dense_rows = {by: [(t, np.array(v)) for t, _, v in unit_rows(n, 6, 8, seed)] for by, n, seed in (("a", 90, 5), ("b", 25, 6))}
+    words = {by: [{int(k): float(w) for k, w in zip(rng.choice(12, 4, False), rng.uniform(0.1, 0.6, 4), strict=True)} for _ in rows] for by, rows in dense_rows.items()}
+    flat = [(by, t, v.tolist(), words[by][i]) for by, rows in dense_rows.items() for i, (t, v) in enumerate(rows)]
+    df = spark.createDataFrame(flat, "by string, ord long, v array<double>, m map<bigint,double>")
+    for rows, lexical in ((df, True), (df.drop("m"), False)):
+        tree = C.mergers(rows, settle).cache()
+        assert tree.count() == 90 + 25 - 2
+        for k in (1, 3, 7, 24):
+            got = C.cut(rows, tree, k).collect()
+            for by, own in dense_rows.items():
+                x, m = np.array([v for _, v in own]), np.zeros((len(own), 12))
+                for i, w in enumerate(words[by] if lexical else []):
+                    m[i, list(w)] = list(w.values())
+                want = dense.average_linkage(1 - x @ x.T - m @ m.T, k)
+                mine = {r["ord"]: r["cluster"] for r in got if r["by"] == by}
+                assert partition([t for t, _ in own], [mine[t] for t, _ in own]) == partition([t for t, _ in own], want)
+
+
+def test_spectral_and_kmeans_near_the_dense_ones(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    of = np.arange(120) % 4
+    x = np.eye(8)[of] + rng.normal(0, 0.35, (120, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, int(of[i]), v.tolist()) for i, v in enumerate(x)], UNIT)
+    for method, plain in (("spectral", dense.spectral(np.maximum(x @ x.T, 0), 4)), ("kmeans", dense.kmeans(x, 4))):
+        led = C.cluster(df, method, 4)
+        other = spark.createDataFrame([(i, int(c)) for i, c in enumerate(plain)], "ord long, plain long")
+        assert E.adjusted_rand(led.join(other, "ord"), "plain", "cluster").first()["ari"] > 0.99
+    with pytest.raises(ValueError):
+        C.cluster(df, "other", 3)
+
+
 def test_geometric_median_resists_an_outlier():
     x = np.array([[1.0, 0.0]] * 9 + [[0.0, 1.0]])
     assert K.geometric_median(x)[0] > 0.99
 
 
+def test_medians_of_large_topics_in_rounds(spark):
+    """A topic with most rows, dealt into parts, against one pass; others stay whole."""
+    rows = [(t, 1 if t % 5 else 2 + t % 3, v) for t, _, v in unit_rows(200, 6)]
+    got = {r["topic"]: (r["n"], np.array(r["v"])) for r in K.topic_medians(spark.createDataFrame(rows, UNIT), whole=30).collect()}
+    for topic in {e for _, e, _ in rows}:
+        x = np.array([v for _, e, v in rows if e == topic])
+        n, v = got[topic]
+        assert n == len(x) and np.abs(v - K.geometric_median(x)).max() < 1e-6
+
+
+def test_names_by_one_automaton(spark):
+    """The same rows as one ``contains`` a name; a large dictionary, in parts as well."""
+    rng = np.random.default_rng(2)
+    names = ["".join(rng.choice(list("abc "), int(rng.integers(1, 5)))) for _ in range(60)] + ["ab", "b", "abc", "משרד"]
+    texts = ["".join(rng.choice(list("abc d"), int(rng.integers(0, 30)))) for _ in range(40)] + [None, "", "ה משרד"]
+    variants = {"ab": "b", names[3]: "other"}
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    want = {r["i"]: r["x"] for r in df.select("i", T.dictionary_matches(F.col("t"), tuple(names), variants).alias("x")).collect()}
+    for largest in (10**6, 7):
+        got = {r["i"]: r["x"] for r in D.names_in(df, "t", "x", names, variants, largest).collect()}
+        assert all(got[i] == (None if texts[i] is None else want[i]) for i in got) and len(got) == len(texts)
+    many = [f"name{i}x" for i in range(100_000)]
+    found = D.names_in(spark.createDataFrame([("a name7x and name99999x, name5",)], "t string"), "t", "x", many).first()["x"]
+    assert found == ["name7x", "name99999x"]
+
+
 def test_feedback_first_row_opens(spark):
     got = K.feedback(spark.createDataFrame(unit_rows(10), UNIT), [2.0, -2.0]).collect()
     assert {r["entry"] for r in got if r["theta"] == -2.0} == {0}

@@ -31,30 +31,38 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-def test_timelines_of_all_earlier_conversations(spark, sf):
-    """The best ten of all conversations up to the own one, against one whole product."""
-    from subjectloom.operators import models, similarity
-    from subjectloom.plans import studies
-
-    rows = sorted((r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").collect())
-    v = np.array(models.hashing_encoder()()([x or "" for *_, x in rows]))
-    of = np.array([c for c, *_ in rows])
-    ids = np.unique(of)
-    mean = np.array([v[of == c].mean(0) for c in ids])
-    mean /= np.linalg.norm(mean, axis=1, keepdims=True)
-    last = np.array([v[of == c][-1] for c in ids])
-    want = {}
-    for k, q in enumerate(ids):
-        s = np.round(mean[: k + 1] @ last[k], 9)
-        want[q] = [ids[i] for i in np.argsort(-s, kind="stable")[:10]]
-    found = {}
-    for r in studies.timeline_candidates(spark, sf).orderBy("q", "rank").collect():
-        found.setdefault(r["q"], []).append(r["conv_id"])
-    assert found == want and max(map(len, found.values())) == 10
-    asked = spark.createDataFrame([(int(q), x.tolist()) for q, x in zip(ids, last, strict=True)], "q long, v array<double>")
-    entries = spark.createDataFrame([(int(q), x.tolist()) for q, x in zip(ids, mean, strict=True)], "conv_id long, c array<double>")
-    small = {(r["q"], r["rank"]): r["conv_id"] for r in similarity.nearest_earlier(asked, entries, "conv_id", 10, 3).collect()}
-    assert small == {(q, k): c for q, cs in want.items() for k, c in enumerate(cs, 1)}
+def test_timelines_of_strictly_earlier_turns(spark, sf):
+    """Row by row: centroids of the turns before, the best ten, timelines up to the turn, the verdict."""
+    import json
+
+    from subjectloom.operators import models
+
+    rows = sorted((r["conv_id"], r["turn"], r["text"] or "") for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").collect())
+    v = np.array(models.hashing_encoder()()([x for *_, x in rows]))
+    score, members, want = models.overlap_scorer()(), {}, {}
+    words = lambda text, n: " ".join(text.replace("\n", " ").split()[:n])
+    for i, (conv, turn, text) in enumerate(rows):
+        names = sorted(members)
+        if names:
+            c = np.array([v[members[e]].sum(0) for e in names])
+            sims = np.round(c @ v[i] / np.maximum(np.linalg.norm(c, axis=1), 1e-12), 9)
+            top = [names[k] for k in np.argsort(-sims, kind="stable")[:10]]
+            shown = []
+            for e in top:
+                line, used = [], 0
+                for m in members[e]:
+                    line.append(f"({rows[m][1]}) {words(rows[m][2], 90)}")
+                    used += len(words(rows[m][2], 90).split())
+                    if used >= 500:
+                        break
+                shown.append(" ".join(line))
+            told = json.loads(score(["\n".join([words(text, 120), *[f"[{k}] {x}" for k, x in enumerate(shown, 1)]])])[0].removeprefix("verdict: "))
+            want[conv, turn] = (conv in members, top.index(conv) + 1 if conv in top else None, told["best_matched_rank"], told["same_confidence"])
+        members.setdefault(conv, []).append(i)
+    got = {(r["conv_id"], r["turn"]): (r["is_repeat"], r["gold_rank"], r["best_matched_rank"], r["same_confidence"]) for r in QUERIES["timeline_verify"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    wrong = [k for k in want if got[k][:3] != want[k][:3] or (want[k][2] and got[k][3] != want[k][3])]
+    assert not wrong, [(k, got[k], want[k]) for k in wrong[:3]]
 
 
 def test_pooled_chunks(spark, sf):
