@@ -51,6 +51,23 @@ def v_measure(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return all_.select(h.alias("homogeneity"), c.alias("completeness"), v.alias("v"), v.alias("nmi"))
 
 
+def partition_scores(df: DataFrame, gold: str, pred: str, by: str) -> DataFrame:
+    """``by, ari, nmi`` for each variant, as ``adjusted_rand`` and ``v_measure`` give them, in one plan."""
+    log = lambda c: F.sum(F.col(c) * F.log(c))
+    cells = df.groupBy(F.col(by).alias("by"), F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count("*").cast("double").alias("n"))
+    rows, cols = cells.groupBy("by", "g").agg(F.sum("n").alias("a")), cells.groupBy("by", "p").agg(F.sum("n").alias("b"))
+    parts = cells.groupBy("by").agg(F.sum(pairs2(F.col("n"))).alias("ij"), F.sum("n").alias("total"), log("n").alias("ln"))
+    parts = parts.join(rows.groupBy("by").agg(F.sum(pairs2(F.col("a"))).alias("i"), log("a").alias("la")), "by").join(cols.groupBy("by").agg(F.sum(pairs2(F.col("b"))).alias("j"), log("b").alias("lb")), "by")
+    expected = F.when(F.col("total") > 1, F.col("i") * F.col("j") / pairs2(F.col("total"))).otherwise(0.0)
+    top, bottom = F.col("ij") - expected, (F.col("i") + F.col("j")) / 2 - expected
+    whole = F.log("total")
+    hg, hp = whole - F.col("la") / F.col("total"), whole - F.col("lb") / F.col("total")
+    mutual = whole + (F.col("ln") - F.col("la") - F.col("lb")) / F.col("total")
+    share = lambda h: F.when(F.abs(h) < 1e-12, 1.0).otherwise(mutual / h)
+    both = share(hg) + share(hp)
+    return parts.select(F.col("by").alias(by), F.when(bottom == 0, 1.0).otherwise(top / bottom).alias("ari"), F.when(both == 0, 0.0).otherwise(2 * share(hg) * share(hp) / both).alias("nmi"))
+
+
 def pairwise_f1(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """``precision, recall, f1`` over unordered pairs in one group, in closed form."""
     cells, rows, cols = _marginals(df, gold, pred)

@@ -124,13 +124,7 @@ def strata_counts(spark, d):
 
 def _scored(led, by):
     """``by, ari, nmi`` of clusters against topics, a row for each variant."""
-    parts = None
-    for (name,) in sorted(tuple(r) for r in led.select(by).distinct().collect()):  # a row a variant
-        own = led.where(F.col(by) == name)
-        one = E.adjusted_rand(own, "topic", "cluster").withColumn("one", F.lit(1)).join(E.v_measure(own, "topic", "cluster").withColumn("one", F.lit(1)), "one")
-        row = one.select(F.lit(name).alias(by), F.round("ari", 4).alias("ari"), F.round("nmi", 4).alias("nmi"))
-        parts = row if parts is None else parts.union(row)
-    return parts
+    return E.partition_scores(led, "topic", "cluster", by).select(by, F.round("ari", 4).alias("ari"), F.round("nmi", 4).alias("nmi"))
 
 
 def _clusters(spark, d, method):

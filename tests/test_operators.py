@@ -228,6 +228,19 @@ def test_metrics_on_equal_partitions(spark):
     assert E.v_measure(df, "g", "p").first()["v"] == pytest.approx(1.0)
 
 
+def test_partition_scores_by_variant(spark):
+    """In one plan as one by one; equal, trivial and single-row partitions."""
+    rng = np.random.default_rng(6)
+    rows = [("x", int(a), int(b)) for a, b in rng.integers(0, 4, (60, 2))] + [("same", i % 3, 5 - i % 3) for i in range(9)] + [("one", 1, 1)] * 4 + [("lone", 1, 2)] + [("split", 1, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "v string, g long, p long")
+    got = {r["v"]: (r["ari"], r["nmi"]) for r in E.partition_scores(df, "g", "p", "v").collect()}
+    for v in ("x", "same", "one", "split"):
+        own = df.where(F.col("v") == v)
+        assert got[v][0] == pytest.approx(E.adjusted_rand(own, "g", "p").first()["ari"], abs=1e-9)
+        assert got[v][1] == pytest.approx(E.v_measure(own, "g", "p").first()["nmi"], abs=1e-9)
+    assert got["same"] == (1.0, pytest.approx(1.0)) and got["lone"][0] == 1.0
+
+
 def test_auc_edges(spark):
     df = spark.createDataFrame([(0.1, False), (0.4, True), (0.4, False)], "s double, y boolean")
     assert E.auc(df, "s", "y").first()["auc"] == 0.75
