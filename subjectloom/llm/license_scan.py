@@ -32,6 +32,8 @@ NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "MIT_GRANT"),
     ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "MIT_NOTICE"),
     ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "MIT_WARRANTY"),
+    ("licensed to the holder under one or more contributor license agreements", "CONTRIBUTOR"),
+    ("see the notice file distributed with this work for additional information regarding copyright ownership", "NOTICE_FILE"),
     ("you may not use this file except in compliance with the license", "APACHE_USE"),
     ("you may obtain a copy of the license at http www.apache.org licenses license 2.0", "APACHE_COPY"),
     ("you may obtain a copy of the license at https www.apache.org licenses license 2.0", "APACHE_COPY"),
@@ -45,6 +47,8 @@ NOTICES = (
     ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "BSD_BINARY"),
     ("all advertising materials mentioning features or use of this software must display the following acknowledgement copyright", "BSD_ADVERTISING"),
     ("neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "BSD_NAME"),
+    ("use of this source code is governed by a bsd style license that can be found in the license file", "BSD_STYLE_REF"),
+    ("licensed under the apache license version 2.0 or the mit license at your option", "APACHE_OR_MIT_REF"),
     ("nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "BSD_NAME"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "ISC_GRANT"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "0BSD_GRANT"),
@@ -76,6 +80,9 @@ NAMES = (
     ("EPL-1.0", ("eclipse public license version 1.0", "eclipse public license 1.0", "epl 1.0")),
     ("EPL-2.0", ("eclipse public license version 2.0", "eclipse public license 2.0", "epl 2.0")),
     ("Unlicense", ("unlicense",)),
+    ("WTFPL", ("wtfpl", "wtfpl version 2", "do what the fuck you want to public license")),
+    ("PostgreSQL", ("postgresql license", "postgresql licence")),
+    ("Artistic-2.0", ("artistic license 2.0", "artistic license version 2.0")),
     ("CC0-1.0", ("cc0 1.0", "cc0 1.0 universal license", "creative commons zero version 1.0 universal license")),
 )
 
@@ -165,7 +172,12 @@ def _known() -> tuple[tuple[tuple[str, str], ...], tuple[tuple[str, tuple[str, .
 RULES = (
     ("BSD-4-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ADVERTISING", "BSD_NAME")),
     ("BSD-3-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME")),
+    # A clause that is not known may change what the others mean: not the two-clause licence.
+    ("LicenseRef-BSD-variant", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "UNKNOWN")),
+    ("LicenseRef-BSD-variant", ("BSD_GRANT", "BSD_SOURCE", "UNKNOWN", "BSD_BINARY")),
     ("BSD-2-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY")),
+    ("LicenseRef-BSD-style", ("BSD_STYLE_REF",)),
+    ("Apache-2.0 OR MIT", ("APACHE_OR_MIT_REF",)),
     ("MIT", ("MIT_GRANT", "MIT_NOTICE", "MIT_WARRANTY")),
     ("MIT", ("MIT_GRANT", "MIT_NOTICE")),
     ("Apache-2.0", ("Apache-2.0_REF", "APACHE_USE", "APACHE_COPY", "APACHE_URL", "APACHE_WARRANTY", "APACHE_SEE")),
@@ -190,6 +202,10 @@ BORDER, SOFT = "\x01", "\x02"
 STEPS = (
     # A colon ends no sentence inside an SPDX tag, nor a full stop inside "v. 2.0".
     (r"spdx-license-identifier:[\x20\x09]*", "spdx license identifier "),
+    # Each licence of an SPDX expression is a sentence of its own (five at most on a line); an exception is left out.
+    (r"(spdx license identifier [^\n\x01]*?) with [a-z0-9.-]+", "{1}"),
+    *[(r"(spdx license identifier [^\n\x01]*?) (?:or|and) ([a-z0-9(])", "{1}" + BORDER + "spdx license identifier {2}")] * 4,
+    (r"(spdx license identifier [^\n\x01]*)\n", "{1}" + BORDER),
     (r"([^a-z0-9])v\.[^a-z0-9\n]*\n?[^a-z0-9\n]*([0-9])", "{1}version {2}"),
     (r"gpl([\x20v-]{0,2})([0-9][0-9.]*)\+", "gpl{1}{2} or later "),
     # A line without letters and digits, of whatever comment signs, ends a sentence.
@@ -206,7 +222,12 @@ STEPS = (
 CANON = (
     (r" v ?([0-9])", " version {1}"),
     (r"^(?:[0-9]{1,2}|[a-e]) (redistributions|neither the|the name|all advertising)", "{1}"),
-    (r"^neither the names? of .* nor the names? of (?:its |their |the |any )?contributors may", "neither the name of the holder nor the names of its contributors may"),
+    (r"without (?:specific )?(?:prior )?written permission", "without specific prior written permission"),
+    (r"^licensed to .* under one or more (?:contributor )?license agreements$", "licensed to the holder under one or more contributor license agreements"),
+    (r"^(?:[a-z0-9. ]{1,60} )?licenses this file to you under the ", "licensed under the "),
+    (r"^licensed under (?:either of )?(?:the )?apache license version 2\.0 .* or (?:the )?mit license .* at your option.*$", "licensed under the apache license version 2.0 or the mit license at your option"),
+    (r"^use of this source code is governed by a bsd style license that can be found in the .*$", "use of this source code is governed by a bsd style license that can be found in the license file"),
+    (r"^neither .* nor the names? of (?:its |their |the |any |other )*contributors may", "neither the name of the holder nor the names of its contributors may"),
     (r"^nor the names? of (?:its |their |the |any )?contributors may", "nor the names of its contributors may"),
     (r"^the names? of .* may not be used to endorse", "neither the name of the holder nor the names of its contributors may be used to endorse"),
     (r"^all advertising materials mentioning features or use of this software must display the following acknowledge?ment$", "all advertising materials mentioning features or use of this software must display the following acknowledgement copyright"),
@@ -226,7 +247,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, sentence_ids, licenses, n_unknown, is_licensed`` of every row.
 
     ``sentence_ids``: identifiers in order, comma-joined; a sentence that speaks of
-    a licence but is not known is UNKNOWN.  ``licenses``: distinct matches, sorted.
+    a licence, or of endorsement, but is not known is UNKNOWN.  ``licenses``: distinct matches, sorted.
     Defined results: a null or empty text has no sentences ('' and '', 0, false);
     repeated rows are scanned alike; other columns of the input are ignored.
     """
@@ -242,7 +263,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # whole first, then line by line at soft borders.
     two = two.select("doc_id", F.transform("s", lambda x: F.struct(x.alias("x"), named(F.replace(x, F.lit(SOFT), F.lit(" "))).alias("whole"))).alias("s"))
     pieces = F.flatten(F.transform("s", lambda y: F.when(y["whole"].isNotNull(), F.array(F.struct(F.lit("").alias("x"), y["whole"].alias("id")))).otherwise(F.transform(F.split(y["x"], SOFT), lambda x: F.struct(x.alias("x"), named(x).alias("id"))))))
-    ids = F.transform(pieces, lambda y: F.coalesce(y["id"], F.when(y["x"].contains("licens"), F.lit("UNKNOWN"))))
+    ids = F.transform(pieces, lambda y: F.coalesce(y["id"], F.when(y["x"].contains("licens") | y["x"].contains("endorse or promote"), F.lit("UNKNOWN"))))
     three = two.select("doc_id", F.coalesce(F.filter(ids, lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("ids"))
     seq = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     for licence, need in ALL_RULES:
@@ -279,7 +300,7 @@ u AS (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM s WHERE len
 w AS (SELECT doc_id, i, x, {named("replace(x, chr(2), ' ')")} AS id FROM u),
 v AS (SELECT doc_id, i, 0 AS j, '' AS x, id FROM w WHERE id IS NOT NULL
       UNION ALL SELECT doc_id, i, j, x, {named("x")} FROM (SELECT doc_id, i, unnest(string_split(x, chr(2))) AS x, unnest(range(len(string_split(x, chr(2))))) AS j FROM w WHERE id IS NULL)),
-n AS (SELECT doc_id, i, j, coalesce(id, CASE WHEN contains(x, 'licens') THEN 'UNKNOWN' END) AS id FROM v),
+n AS (SELECT doc_id, i, j, coalesce(id, CASE WHEN contains(x, 'licens') OR contains(x, 'endorse or promote') THEN 'UNKNOWN' END) AS id FROM v),
 l AS (SELECT doc_id, list(id ORDER BY i, j) AS ids FROM n WHERE id IS NOT NULL GROUP BY doc_id),
 q AS (SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, {seq} AS seq FROM (SELECT doc_id, coalesce(ids, []::VARCHAR[]) AS ids FROM documents LEFT JOIN l USING (doc_id)))
 SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(regexp_extract_all(seq, '\[([^\]]+)\]', 1))), ',') AS licenses,

@@ -203,7 +203,7 @@ def scan(spark, *texts):
 
 def test_every_sentence_has_a_cue():
     assert all(any(c in s for c in L.CUES) for s, _ in L.SENTENCES)
-    assert {x for _, need in L.ALL_RULES for x in need} <= {i for _, i in L.SENTENCES}
+    assert {x for _, need in L.ALL_RULES for x in need} <= {i for _, i in L.SENTENCES} | {"UNKNOWN"}
 
 
 def test_rules(spark):
@@ -238,6 +238,62 @@ def test_references(spark):
     assert [x for x, _ in scan(spark, *said)] == list(said.values())
 
 
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+
+   http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_headers_and_expressions(spark):
+    cases = [
+        (ASF, "Apache-2.0"),
+        (textwrap.indent(ASF, " * "), "Apache-2.0"),
+        (ASF.replace("Apache Software Foundation (ASF)", "Elasticsearch").replace("The ASF licenses", "Elasticsearch licenses"), "Apache-2.0"),
+        (BSD, "BSD-2-Clause"),
+        (BSD + "3. Neither the name of the Foo nor the names of its contributors may be used to\n   endorse or promote products derived from this software without prior written\n   permission.", "BSD-3-Clause"),
+        (BSD + "3. Neither Foo Corp nor the names of its contributors may be used to endorse or\n   promote products derived from this software without specific prior written\n   permission.", "BSD-3-Clause"),
+        (BSD + "3. No one may endorse or promote anything with this.", "LicenseRef-BSD-variant"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR ISC", "BSD-3-Clause,ISC,MIT"),
+        ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0-only"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later OR MPL-2.0", "GPL-2.0-or-later,MPL-2.0"),
+        ("Use of this source code is governed by a BSD-style license that can be\nfound in the LICENSE file.", "LicenseRef-BSD-style"),
+        ("Licensed under the Apache License, Version 2.0 <LICENSE-APACHE or\nhttp://www.apache.org/licenses/LICENSE-2.0> or the MIT license\n<LICENSE-MIT or http://opensource.org/licenses/MIT>, at your option.", "Apache-2.0 OR MIT"),
+        ("Released under the PostgreSQL License", "PostgreSQL"),
+        ("This file is licensed under the Artistic License 2.0.", "Artistic-2.0"),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in L.license_scan(docs(spark, [t for t, _ in cases])).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_a_long_text_of_cues(spark):
+    import time
+
+    start = time.time()
+    row = L.license_scan(docs(spark, ["a license or two " * 300_000 + ".\n" + MIT])).first()
+    assert row["licenses"] == "MIT" and time.time() - start < 60
+
+
 def test_against_a_cutter_in_python(spark, sf):
     rng = random.Random(3)
     pieces = [*"aA1v. ;:!?\n\t-#*(", "\n\n", ". ", ":\n", "\nCopyright ", "license", " v. 2.0 ", "Released under the MIT License", "SPDX-License-Identifier: MIT", "\nlicensed under the gpl v3", "the above copyright notice", "é", "\r\n"]

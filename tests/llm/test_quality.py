@@ -27,6 +27,18 @@ def test_edges(spark):
     assert Q.host_quality(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_ten_megabytes(spark):
+    """A text of equal lines, and one without repeats."""
+    import time
+
+    many, other = "these are seven words in one line ok\n" * 250_000, " ".join(f"w{i}" for i in range(1_200_000))
+    start = time.time()
+    rows = {r["doc_id"]: r for r in Q.host_quality(docs(spark, [many, other, GOOD])).collect()}
+    assert time.time() - start < 60
+    assert (rows[0]["n_words"], rows[0]["n_dup_lines"], rows[0]["n_repeat_words"], rows[0]["base_failed"]) == (2_000_000, 249_999, 2_000_000, True)
+    assert (rows[1]["n_words"], rows[1]["n_dup_lines"], rows[1]["n_repeat_words"]) == (1_200_000, 0, 0)
+
+
 def test_hosts_of_addresses(spark):
     df = spark.sql("select 'https://A.Example.org:80/x?y' u union all select 'src1' union all select null")
     assert sorted(r[0] for r in df.select(Q.host_of(F.col("u"))).collect()) == ["", "a.example.org", "src1"]
