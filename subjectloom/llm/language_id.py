@@ -281,3 +281,9 @@ def op9_evidence_fusion(spark, sf_dir: str) -> DataFrame:
     the host is ``source``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs).select(F.col("id").alias("doc_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "n_words", "kept")
+
+
+def pages_evidence_fusion(spark, sf_dir: str) -> DataFrame:
+    """``identify_pages`` over the whole of ``pages``, where markup, suffix and host all have something to say."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return identify_pages(pages).select(F.col("id").alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "n_words", "kept")

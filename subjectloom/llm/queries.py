@@ -16,6 +16,7 @@ QUERIES = {
     "op7_spaced_seeds": spaced_seeds.op7_spaced_seeds,
     "op8_reply_trees": reply_trees.op8_reply_trees,
     "op9_evidence_fusion": language_id.op9_evidence_fusion,
+    "pages_evidence_fusion": language_id.pages_evidence_fusion,
     "op10_chosen_path": op10_chosen_path,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_crf_quality": crf_quality.op12_crf_quality,

@@ -117,6 +117,26 @@ def test_fusion_equals_plain_python(spark):
     assert got[50 * 5]["text_language"] == "und" and got[51]["n_words"] == 1
 
 
+def test_pages_with_all_kinds_of_evidence(spark, sf, monkeypatch):
+    """The whole of pages: markup, suffix and host speak, and the fusion equals plain Python."""
+    from subjectloom.llm.queries import QUERIES
+
+    seen, fuse = [], L.fuse
+
+    def watched(scored, names, weight):
+        seen.append(([r.asDict() for r in scored.collect()], names))
+        return fuse(scored, names, weight)
+
+    monkeypatch.setattr(L, "fuse", watched)
+    got = {r["page_id"]: r for r in QUERIES["pages_evidence_fusion"](spark, sf).collect()}
+    ((rows, names),) = seen
+    assert len(rows) == len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert {r["suffix"] for r in rows} >= {"com", "net", "org"} and len({r["host"] for r in rows}) > 5
+    assert {r["declared"] for r in rows} == {"de", "en", "es", "fr"} == set(names) - {"und"}
+    for i, language, posterior, text_language in slow_fusion(rows, names):
+        assert (got[i]["language"], got[i]["text_language"]) == (language, text_language) and abs(got[i]["posterior"] - posterior) < 1e-6
+
+
 def test_blocks_of_languages_change_nothing(spark, sf, monkeypatch):
     """Every declared language is modelled; a pass for each changes no score."""
     table = spark.read.parquet(f"{sf}/documents.parquet")

@@ -149,9 +149,21 @@ def commented(text, sign):
     return "\n".join(f"{sign} {x}".rstrip() for x in text.split("\n"))
 
 
+def tags(low):
+    """SPDX tags end with their line; each licence of an expression gets a tag and a paragraph of its own."""
+    tag, out = "spdx license identifier ", []
+    for line in low.split("\n"):
+        head, found, tail = line.partition(tag)
+        if found:
+            parts = re.split(r" (?:or|and) (?=[a-z0-9(])", re.sub(r" with [a-z0-9.-]+", "", tail, count=1), maxsplit=4)
+            line = head + "\n\n".join(tag + x for x in parts) + "\n"
+        out.append(line)
+    return "\n".join(out)
+
+
 def cut(text):
     """Sentences by the rules in words, a run of letters and digits at a time: lists of lines."""
-    low = re.sub(r"spdx-license-identifier:[ \t]*", "spdx license identifier ", text.lower())
+    low = tags(re.sub(r"spdx-license-identifier:[ \t]*", "spdx license identifier ", text.lower()))
     low = re.sub(r"(?<=[^a-z0-9])v\.[^a-z0-9\n]*\n?[^a-z0-9\n]*(?=[0-9])", "version ", low)
     low = re.sub(r"gpl([ v-]{0,2})([0-9][0-9.]*)\+", r"gpl\1\2 or later ", low)
     runs = re.findall(r"[a-z0-9]+|[^a-z0-9]+", low)
@@ -184,7 +196,7 @@ def slow_scan(text):
     for lines in cut(text or ""):
         lines = [x for x in lines if x] or [""]
         whole = named(" ".join(lines))
-        found = [whole] if whole else [named(x) or ("UNKNOWN" if "licens" in x else None) for x in lines]
+        found = [whole] if whole else [named(x) or ("UNKNOWN" if "licens" in x or "endorse or promote" in x else None) for x in lines]
         ids += [x for x in found if x]
     rest, licences = list(ids), set()
     for licence, need in L.ALL_RULES:
