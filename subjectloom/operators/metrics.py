@@ -77,6 +77,17 @@ def pairwise_f1(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return s.select(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
+def pairwise_scores(df: DataFrame, gold: str, pred: str, by: str) -> DataFrame:
+    """``by, precision, recall, f1, clusters`` over unordered pairs in one group, for each variant in one plan;
+    precision is 1 where no two rows share a predicted group."""
+    cells = df.groupBy(F.col(by).alias("by"), F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count("*").cast("double").alias("n"))
+    rows, cols = cells.groupBy("by", "g").agg(F.sum("n").alias("a")), cells.groupBy("by", "p").agg(F.sum("n").alias("b"))
+    parts = cells.groupBy("by").agg(F.sum(pairs2(F.col("n"))).alias("both")).join(rows.groupBy("by").agg(F.sum(pairs2(F.col("a"))).alias("gold")), "by").join(cols.groupBy("by").agg(F.sum(pairs2(F.col("b"))).alias("pred"), F.count("*").alias("clusters")), "by")
+    p = F.when(F.col("pred") > 0, F.col("both") / F.col("pred")).otherwise(1.0)
+    r = F.when(F.col("gold") > 0, F.col("both") / F.col("gold")).otherwise(0.0)
+    return parts.select(F.col("by").alias(by), p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), "clusters")
+
+
 def auc(pairs: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """``auc`` by the Mann-Whitney statistic with average ranks; null with one class.
 

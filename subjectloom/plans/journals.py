@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import journal as J
 from ..operators import kernels as K
+from ..operators import metrics as E
 from ..sources.folders import keep
 from .lexical import TF, sigmas
 from .lexical import _weights as lexical_weights
@@ -450,11 +451,25 @@ def feedback_sweep(spark, d):
 @query("feedback_clusters")
 def feedback_clusters(spark, d):
     """Pairwise F1 of the partition that a margin-rule feedback journal induces, by theta."""
-    from ..operators.metrics import pairwise_f1
+    rows = keep(K.feedback(spans(spark, d), [0.1, 0.3, 0.5], rule="margin", entry="centroid"), "feedback")
+    return E.pairwise_scores(rows, "topic", "entry", "theta").select("theta", "precision", "recall", "f1")
 
-    rows = K.feedback(spans(spark, d), [0.1, 0.3, 0.5], rule="margin", entry="centroid")
+
+def best_feedback(rows: DataFrame, thetas: list[float], rule: str, entry: str) -> DataFrame:
+    """``theta, precision, recall, f1, clusters`` of the feedback journal whose partition has the best
+    pairwise F1 (on four digits, the first theta of equal ones)."""
+    led = keep(K.feedback(rows, thetas, rule=rule, entry=entry), "feedback")
+    curve = E.pairwise_scores(led, "topic", "entry", "theta")
+    digits = curve.select("theta", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "clusters")
+    return digits.orderBy(F.desc("f1"), "theta").limit(1)
+
+
+@query("feedback_study")
+def feedback_study(spark, d):
+    """Journals that grow from their own decisions, each at the best of 40 thetas: first representatives under
+    the threshold rule, and whitened medians under the margin rule."""
     out = None
-    for theta in (0.1, 0.3, 0.5):
-        part = pairwise_f1(rows.where(F.col("theta") == theta), "topic", "entry").withColumn("theta", F.lit(theta))
-        out = part if out is None else out.union(part)
+    for name, kind, rule, entry, lo, hi in (("baseline", "abtt1", "threshold", "first", 0.2, 0.95), ("winner", "whiten50", "margin", "median", 0.02, 0.5)):
+        best = best_feedback(K.transform(spans(spark, d), kind), V.linear_grid(lo, hi, 40), rule, entry).select(F.lit(name).alias("setting"), "*")
+        out = best if out is None else out.union(best)
     return out

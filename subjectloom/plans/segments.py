@@ -198,6 +198,34 @@ def protocol_scan(spark, d):
     return S.round_trip(protocols(spark, d))
 
 
+@query("strict_scan", f"WITH {P} SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (ORDER BY 'd' || lpad(doc_id::VARCHAR, 12, '0')) AS place, length(text)::BIGINT AS n_chars FROM p")
+def strict_scan(spark, d):
+    """Transcripts written as one JSON file each, scanned strictly and numbered in the order of their file names."""
+    from ..sources import folders, protocols as S
+
+    path = folders.scratch(spark, "strict")
+    rows = protocols(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows.withColumn("file", F.concat(F.lit("d"), F.lpad("doc_id", 12, "0"))).write.partitionBy("file").json(path)
+    name = F.regexp_extract(F.input_file_name(), "/file=([^/]*)/", 1)
+    scanned = S.read_protocols(spark, f"{path}/file=*").withColumn("file", name)
+    return folders.ranked(scanned.select("file", "doc_id", F.length("text").cast("long").alias("n_chars")), ["file"], "place").drop("file")
+
+
+@query("optional_source", "SELECT 'saved' AS source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'absent', 0")
+def optional_source(spark, d):
+    """A table that was saved and one that was not: the one is read, the other is empty."""
+    from ..sources import folders, protocols as S
+
+    root = folders.scratch(spark, "optional")
+    saved = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "lang")
+    saved.write.parquet(f"{root}/saved")
+    out = None
+    for name in ("saved", "absent"):
+        one = S.read_optional(spark, f"{root}/{name}", saved.schema).agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("tagged_predictions", "SELECT role AS tag, conv_id AS doc_id, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY ALL")
 def tagged_predictions(spark, d):
     """Turns written as one JSON file set for each speaker and read back as one table, the

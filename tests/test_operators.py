@@ -461,6 +461,34 @@ def test_geometric_median_resists_an_outlier():
     assert K.geometric_median(x)[0] > 0.99
 
 
+@pytest.mark.parametrize(("rule", "entry"), [("threshold", "first"), ("threshold", "centroid"), ("margin", "median"), ("margin", "centroid")])
+def test_best_feedback_equals_replays(spark, rule, entry):
+    """Each journal row by row, its pairs counted one by one, the best of several thetas."""
+    from subjectloom.plans.journals import best_feedback
+
+    rows, thetas = unit_rows(60, 4, 6), [0.05, 0.2, 0.4, 0.6, 0.8]
+    best = None
+    for theta in thetas:
+        members, label = [], []
+        for _, _, v in rows:
+            x = np.array(v)
+            reps = [np.array(m[0]) if entry == "first" else K.geometric_median(np.array(m), 12, None) if entry == "median" else np.mean(m, 0) / np.linalg.norm(np.mean(m, 0)) for m in members]
+            s = [float(r @ x) for r in reps]
+            value = max(s) if rule == "threshold" and s else (sorted(s)[-1] - (sorted(s)[-2] if len(s) > 1 else -1.0)) if s else -9
+            if s and value >= theta:
+                label.append(int(np.argmax(s)))
+                members[label[-1]].append(v)
+            else:
+                label.append(len(members))
+                members.append([v])
+        pairs = lambda names: {(i, j) for i in range(len(names)) for j in range(i) if names[i] == names[j]}
+        p, g = pairs(label), pairs([t for _, t, _ in rows])
+        prec, rec = len(p & g) / len(p) if p else 1.0, len(p & g) / len(g)
+        one = (theta, round(prec, 4), round(rec, 4), round(2 * prec * rec / (prec + rec), 4) if prec + rec else 0.0, len(members))
+        best = one if best is None or one[3] > best[3] else best
+    assert tuple(best_feedback(spark.createDataFrame(rows, UNIT), thetas, rule, entry).first()) == pytest.approx(best)
+
+
 def test_medians_of_large_topics_in_rounds(spark):
     """A topic with most rows, dealt into parts, against one pass; others stay whole."""
     rows = [(t, 1 if t % 5 else 2 + t % 3, v) for t, _, v in unit_rows(200, 6)]
