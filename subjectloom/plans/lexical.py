@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import indexed as I
 from ..operators import kernels as K
 from ..operators import similarity as M
 from ..sources.folders import ranked, read_variants, write_variants
@@ -151,6 +152,12 @@ def tfidf_pairs(spark, d):
     return M.sparse_pairs(_weights(spark, d), "conv_id").select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+@query("tfidf_near", f"WITH {TF}, p AS (SELECT a.conv_id AS i, b.conv_id AS j, round(sum(a.weight * b.weight), 9) AS sim FROM wt a JOIN wt b ON a.term = b.term AND a.conv_id < b.conv_id GROUP BY 1, 2) SELECT i, j, round(sim, 6) AS sim FROM p WHERE sim >= 0.25")
+def tfidf_near(spark, d):
+    """Conversations with a TF-IDF similarity of a quarter or more, by an index on rare terms."""
+    return I.lexical_above(_weights(spark, d), "conv_id", 0.25).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
 @query("document_frequency", f"WITH {TF} SELECT term, df, cf::BIGINT AS cf FROM df WHERE df >= 2")
 def document_frequency(spark, d):
     tf = M.terms(whole_conversations(spark, d), "conv_id", "text")
@@ -194,13 +201,13 @@ def geometric_median(spark, d):
 @query("fuzzy_ratio_pairs")
 def fuzzy_ratio_pairs(spark, d):
     """Topic titles that resemble each other by the indel ratio, 60 or more."""
-    return M.fuzzy_pairs(topic_titles(spark, d), threshold=60.0)
+    return I.fuzzy_above(topic_titles(spark, d), 60.0)
 
 
 @query("leader_clusters")
 def leader_clusters(spark, d):
     t = topic_titles(spark, d)
-    return M.leader_clusters(t, M.fuzzy_pairs(t, threshold=60.0))
+    return M.leader_clusters(t, I.fuzzy_above(t, 60.0))
 
 
 def topic_titles(spark, d):

@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..streaming import linker as L
 from .registry import query
-from .tables import spans, table
+from .tables import S, spans, table
 
 
-@query("stream_linker")
+_LINKED = f"""WITH RECURSIVE {S}, c AS (SELECT (ord - 1) % 4 AS channel, ord, v, row_number() OVER (PARTITION BY (ord - 1) % 4 ORDER BY ord) AS k FROM s),
+j(channel, k, ord, entry, opened, reps) AS (
+  SELECT channel, k, ord, 0::BIGINT, true, [v] FROM c WHERE k = 1
+  UNION ALL
+  SELECT c.channel, c.k, c.ord, CASE WHEN b.m >= 0.3 THEN b.e ELSE len(j.reps) END, b.m < 0.3, CASE WHEN b.m >= 0.3 THEN j.reps ELSE list_append(j.reps, c.v) END
+  FROM j JOIN c ON c.channel = j.channel AND c.k = j.k + 1, LATERAL (SELECT list_max(d) AS m, list_position(d, list_max(d)) - 1 AS e FROM (SELECT list_transform(j.reps, lambda r: list_dot_product(r, c.v)) AS d)) b)
+SELECT channel, ord, entry::BIGINT AS entry, opened FROM j"""
+
+
+@query("stream_linker", _LINKED)
 def stream_linker(spark, d):
     """Four channels' feedback journals over a stream of embeddings."""
     rows = L.read_table_stream(spark, f"{d}/embeddings.parquet")

@@ -13,6 +13,7 @@ from subjectloom.functions import vectors as V
 from subjectloom.operators import clusters as C
 from subjectloom.operators import dictionary as D
 from subjectloom.operators import feedback as B
+from subjectloom.operators import indexed as I
 from subjectloom.operators import journal as G
 from subjectloom.operators import kernels as K
 from subjectloom.operators import metrics as E
@@ -316,6 +317,41 @@ def test_fuzzy_pairs_equal_all_ratios(spark):
         assert got == pytest.approx(want) and len(want) > 10
 
 
+@pytest.mark.parametrize("block", [512, 4])
+@pytest.mark.parametrize("threshold", [55.0, 80.0, 90.0])
+def test_indexed_strings_equal_all_ratios(spark, threshold, block):
+    """The pairs of the whole block products, with a part of the comparisons."""
+    rng = np.random.default_rng(int(threshold))
+    words = ["".join(rng.choice(list("abcdefghij "), int(rng.integers(0, 40)))) for _ in range(60)]
+    for x in list(words[:30]):
+        at = int(rng.integers(0, len(x) + 1))
+        words += [x[:at] + "z" + x[at:], x[: at // 2] + x[at // 2 + 1 :]]
+    words += [None, "", "", "a", "a", "ab", "q" * 70, "q" * 69 + "r"]
+    df = spark.createDataFrame(list(enumerate(words)), "pos long, s string")
+    counter = spark.sparkContext.accumulator(0)
+    got = {(r["i"], r["j"]): r["ratio"] for r in I.fuzzy_above(df, threshold, block=block, counter=counter).collect()}
+    want = {(r["i"], r["j"]): r["ratio"] for r in M.fuzzy_pairs(df, threshold=threshold).collect()}
+    assert got == want and len(want) > 20
+    if threshold >= 80:
+        assert counter.value < len(words) ** 2 / 2 / (3 if threshold < 90 else 6)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_indexed_documents_equal_all_pairs(spark, block):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        own = {0, 1, *rng.choice(40, int(rng.integers(1, 9)), False).tolist()} if i % 3 else {0, 1, 7, 9 + i % 4}
+        w = {t: float(rng.uniform(0.05, 0.2) if t < 2 else rng.uniform(0.5, 1)) for t in own}
+        size = np.sqrt(sum(v * v for v in w.values()))
+        rows += [(i, f"t{t}", v / size) for t, v in w.items()]
+    df = spark.createDataFrame(rows, "k long, term string, weight double")
+    every = {(r["i"], r["j"]): round(r["sim"], 9) for r in M.sparse_pairs(df, "k").collect()}
+    for least in (0.2, 0.5, 0.8, 0.95):
+        got = {(r["i"], r["j"]): r["sim"] for r in I.lexical_above(df, "k", least, block).collect()}
+        assert got == pytest.approx({k: s for k, s in every.items() if s >= least}, abs=1e-9) and len(got) > 5
+
+
 def test_leaders_are_greedy_and_not_transitive(spark):
     df = spark.createDataFrame([(0, "aaaaaaaaaa"), (1, "aaaaaaaabb"), (2, "aaaaaabbbb"), (3, "zz")], "pos long, s string")
     pairs = M.fuzzy_pairs(df, threshold=80.0)

@@ -102,6 +102,39 @@ def test_retrieved_and_verified(spark, sf):
     assert all(found[k][1] == want[k][1] for k in want if want[k][0])
 
 
+def test_confidence_curve_of_the_verifier(spark, sf):
+    """Each theta counted over the verdicts one by one."""
+    rows = [(r["t"] % 4 == 2, float(r["same_confidence"]) if r["best_matched_rank"] is not None else -1.0, r["best_matched_rank"] == 1) for r in QUERIES["retrieve_verify"](spark, sf).collect()]
+    got = {r["theta"]: r for r in QUERIES["verify_sweep"](spark, sf).collect()}
+    assert sorted(got) == [5.0 * i for i in range(21)]
+    for theta, r in got.items():
+        link = [(s >= theta, rep, ok) for rep, s, ok in rows]
+        tp, fp = sum(a and b and c for a, b, c in link), sum(a and not (b and c) for a, b, c in link)
+        fn, tn = sum(b and not a for a, b, c in link), sum(not a and not b for a, b, c in link)
+        assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (tp, fp, fn, tn)
+        assert r["recall"] == pytest.approx(tp / (tp + fn) if tp + fn else 0.0, abs=1e-6)
+
+
+def test_canonical_topics_of_a_sequential_pass(spark, sf):
+    """Titles in first-seen order join the first leader at 88; the longest member names a cluster, a correction wins."""
+    from pyspark.sql import functions as F
+
+    from subjectloom.functions import text as T
+    from subjectloom.operators.similarity import lcs_length
+    from subjectloom.plans.tables import protocols
+
+    topics, method = T.topics_with_method(F.col("text"))
+    found = {r["doc_id"]: (r["method"], r["topics"] or []) for r in protocols(spark, sf).select("doc_id", method.alias("method"), topics.alias("topics")).collect()}
+    order = list(dict.fromkeys(s for _, (_, own) in sorted(found.items()) for s in own))
+    ratio = lambda a, b: 100.0 if not a and not b else round(200 * lcs_length(a, b) / (len(a) + len(b)), 4)
+    leaders: dict[str, list[str]] = {}
+    for s in order:
+        leaders.setdefault(next((x for x in leaders if ratio(s, x) >= 88), s), []).append(s)
+    name = {s: max(m, key=len) for m in leaders.values() for s in m} | {order[0]: "corrected " + order[0]}
+    want = {(d, m, "|".join(dict.fromkeys(name[s] for s in own))) for d, (m, own) in found.items() if own}
+    assert want == {(r["doc_id"], r["method"], r["topics"]) for r in QUERIES["canonical_topics"](spark, sf).collect()}
+
+
 def test_variants_of_a_sequential_pass(spark, sf):
     """One pass in first-seen order: a title joins the first leader that it resembles; the
     canonical form is the longest member, the first on ties."""
