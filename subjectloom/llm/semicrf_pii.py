@@ -43,6 +43,8 @@ from .common import bounded, clean_text, small_batches
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("none", *KINDS)
 LONGEST, REACH, SENTENCES = 16, 8, 560
+#: An entity of more tokens than these has no white space (numbers in groups have up to seven).
+SPACED = 7
 
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -237,6 +239,7 @@ def segments(text: str, tokens: Tokens, lo: int, hi: int) -> Iterator[tuple[int,
     named = assigned & context[:, 0]
     firsts = [text[a] for a in start[lo:right].tolist()]
     closes = np.array([c.isalnum() or c == "_" for c in firsts], bool)
+    zero = np.array([c in "0(" for c in firsts[:m]], bool)
     opens = closes[:m] | np.array([c == "(" for c in firsts[:m]], bool)
     issued = np.array([text.startswith(PREFIXES, a) for a in start[lo:hi].tolist()], bool)
     tied_left = np.array([glued_left(text, a) for a in start[lo:hi].tolist()], bool)
@@ -252,7 +255,8 @@ def segments(text: str, tokens: Tokens, lo: int, hi: int) -> Iterator[tuple[int,
     sums = [np.concatenate([[0], np.cumsum(np.where(even == x, digits, doubled))]) for x in (True, False)]
     before = np.concatenate([[0], np.cumsum(inside @ ascii_digit)])
     total = np.zeros((m, len(chars)), np.int64)
-    ok, seen = np.ones(m, bool), np.zeros(m, bool)
+    ok, seen, spaced = np.ones(m, bool), np.zeros(m, bool), np.zeros(m, bool)
+    blank = gaps @ mask(str.isspace) > 0
     for length in range(1, LONGEST + 1):
         last = np.arange(m) + length - 1
         there = last < k
@@ -260,6 +264,9 @@ def segments(text: str, tokens: Tokens, lo: int, hi: int) -> Iterator[tuple[int,
         if length > 1:
             ok &= ~broken[np.minimum(last - 1, k - 1)]
             total += gaps[np.maximum(last - 1, 0)]
+            spaced |= blank[np.maximum(last - 1, 0)]
+            if length > SPACED:
+                ok &= ~spaced
         ok &= there & free[last]
         if not ok.any():
             break
@@ -301,11 +308,16 @@ def segments(text: str, tokens: Tokens, lo: int, hi: int) -> Iterator[tuple[int,
         f[:, 29], f[:, 30] = (f[:, 28] > 0) & (f[:, 11] > 0), (f[:, 28] > 0) & (d > 0)
         f[:, 31] = issued[rows] & (n >= 12) & (of(" ") == 0)
         f[:, 32] = ~(tied_left[rows] | tied_right[j])
-        for r in np.flatnonzero((numbers >= 7) & (numbers <= 12) & (numbers == a) & (n <= 20) & (n > numbers)).tolist():
+        signs = of("-") + of(".") + of("/")
+        parted = signs >= 2  # a date and a number of three dashed parts have two of these
+        # Bare groups of digits say nothing without such a sign, a word of context, or a leading zero.
+        telling = (signs > 0) | (f[:, 23] > 0) | zero[rows]
+        for r in np.flatnonzero((numbers >= 7) & (numbers <= 12) & (numbers == a) & (n <= 20) & (n > numbers) & telling).tolist():
             said_ = part(r)
-            f[r, 41] = bool(_date(said_))
+            if parted[r]:
+                f[r, 41] = bool(_date(said_))
+                f[r, 36] = bool(_ssn(said_))
             f[r, 33] = bool(_grouped(said_)) and not f[r, 41]
-            f[r, 36] = bool(_ssn(said_))
         f[:, 34] = (f[:, 33] > 0) & (f[:, 23] > 0)
         for r in np.flatnonzero(f[:, 33] > 0).tolist():
             f[r, 35] = part(r).lstrip("(")[0] == "0"

@@ -196,8 +196,9 @@ def features(text, tokens, i, j):
     assigned = bool(left) and left[-1] in ("=", ":", '"', "'", "`")
     named = assigned and secret and " " not in part
     all_numbers = len(numbers) == len(alnum)
-    short = 7 <= len(numbers) <= 12 and all_numbers and n <= 20 and n > len(numbers)
-    date = bool(P._date(part)) and (short or (len(numbers) == 13 and all_numbers and n >= 16))
+    telling = any(c in part for c in "-./") or ctx[1] or part[0] in "0("
+    short = 7 <= len(numbers) <= 12 and all_numbers and n <= 20 and n > len(numbers) and telling
+    date = bool(P._date(part)) and ((short and sum(map(part.count, "-./")) >= 2) or (len(numbers) == 13 and all_numbers and n >= 16))
     grouped = short and bool(P._grouped(part)) and not date
     length_of_hash = hexes and n in (32, 40, 64) and j - i == 1
     return [
@@ -220,7 +221,8 @@ def entities(text, tokens):
         for j in range(i + 1, min(len(spans), i + P.LONGEST) + 1):
             gaps = [text[spans[k][1] : spans[k + 1][0]] for k in range(i, j - 1)]
             if all(tokens.kind[k] < 0 for k in range(i, j)) and not any("\n" in g for g in gaps) and (named or any(re.search("[0-9@]", text[a:b]) for a, b in spans[i:j])):
-                if word(j - 1) and (word(i) or text[spans[i][0]] == "("):
+                loose = j - i > P.SPACED and re.search(r"\s", text[spans[i][0] : spans[j - 1][1]])
+                if word(j - 1) and (word(i) or text[spans[i][0]] == "(") and not loose:
                     yield i, j
 
 
