@@ -344,7 +344,7 @@ def test_indexed_documents_equal_all_pairs(spark, block):
         own = {0, 1, *rng.choice(40, int(rng.integers(1, 9)), False).tolist()} if i % 3 else {0, 1, 7, 9 + i % 4}
         w = {t: float(rng.uniform(0.05, 0.2) if t < 2 else rng.uniform(0.5, 1)) for t in own}
         size = np.sqrt(sum(v * v for v in w.values()))
-        rows += [(i, f"t{t}", v / size) for t, v in w.items()]
+        rows += [(i, f"t{t}", float(v / size)) for t, v in w.items()]
     df = spark.createDataFrame(rows, "k long, term string, weight double")
     every = {(r["i"], r["j"]): round(r["sim"], 9) for r in M.sparse_pairs(df, "k").collect()}
     for least in (0.2, 0.5, 0.8, 0.95):
