@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,14 +16,23 @@ from pyspark.sql.types import DoubleType
 from ..sources.folders import keep
 
 
-#: Rows of a block of an all-pairs join: a task holds two blocks and makes their product.
+#: Rows of a block of documents or strings: a task holds two blocks and makes their product.
 BLOCK_ROWS = 512
+#: Vectors of a block at most, blocks that keep all machines busy, and vectors of a side of the tile
+#: of a block product that is made at once.
+WIDE_ROWS, LEAST_BLOCKS, TILE = 16_384, 12, 512
 
 
 def _blocks(rows: DataFrame) -> int:
     return -(-rows.count() // BLOCK_ROWS) or 1
 
 
+def _wide_blocks(rows: DataFrame) -> int:
+    """Each row is sent once for each block, so there are few: what is shuffled is the table times this number."""
+    n = rows.count()
+    return max(-(-n // WIDE_ROWS), min(-(-n // BLOCK_ROWS), LEAST_BLOCKS)) or 1
+
+
 def all_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None, carry: tuple[str, ...] = ("topic", "v")) -> DataFrame:
     """Every unordered pair once (left key < right key), columns suffixed _a and _b.
 
@@ -37,36 +47,95 @@ def all_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None, carr
     return left.join(right, ["ba", "bb"]).where("i < j").drop("ba", "bb")
 
 
-def pair_blocks(rows: DataFrame, make: Callable[..., pa.Table], ddl: str, key: str = "ord", blocks: int | None = None) -> DataFrame:
-    """What ``make(i, j, topic, same, sim)`` keeps of all pairs of unit vectors, each pair once (i < j);
-    ``topic`` is that of i.
+class Tile(NamedTuple):
+    """A part of a block product: ids and coded topics of its rows and columns, the dictionary of topics,
+    similarities, and which of them are pairs (none: all are)."""
 
-    Every row goes to the ``blocks`` block pairs that its block is in; a block pair is
-    one matrix product, and only what ``make`` returns of it leaves the task.  There are as many
-    blocks as keep each at about BLOCK_ROWS rows, so what a task holds does not grow with the table.
-    """
-    blocks = blocks or _blocks(rows)
+    i: np.ndarray
+    j: np.ndarray
+    ti: np.ndarray
+    tj: np.ndarray
+    topics: pa.Array
+    sim: np.ndarray
+    held: np.ndarray | None
+
+    def same(self) -> np.ndarray:
+        return self.ti[:, None] == self.tj
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        return wanted if self.held is None else wanted & self.held
+
+
+def pair_tiles(rows: DataFrame, reduce: Callable[[Iterator[Tile]], Iterator[pa.Table]], ddl: str, key: str = "ord", blocks: int | None = None) -> DataFrame:
+    """What ``reduce`` makes of all pairs of unit vectors, each pair once, a block pair at a time.
+
+    Every row goes to the ``blocks`` block pairs that its block is in.  A block pair is a task's group; its product
+    is made in tiles, and only what ``reduce`` returns of them leaves the task.  What a task holds is bounded by
+    WIDE_ROWS and TILE and does not grow with the table."""
+    blocks = blocks or _wide_blocks(rows)
     block = rows.select(F.col(key).cast("long").alias("i"), "topic", "v", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     dealt = block.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
     dealt = dealt.select("i", "topic", "v", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
 
-    def product(table: pa.Table) -> pa.Table:
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         b, ids = table.column("b").to_numpy(), table.column("i").to_numpy()
         coded = table.column("topic").combine_chunks().dictionary_encode()
         topics = coded.indices.to_numpy(zero_copy_only=False)
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
-        s = x[left] @ x[right].T
-        r, c = np.nonzero(ids[left][:, None] < ids[right][None]) if lo == hi else np.indices(s.shape).reshape(2, -1)
-        p, q = left[r], right[c]
-        turned = ids[p] > ids[q]
-        p, q = np.where(turned, q, p), np.where(turned, p, q)
-        return make(ids[p], ids[q], coded.dictionary.take(pa.array(topics[p])), topics[p] == topics[q], s[r, c])
+        del table
+        order = np.argsort(ids, kind="stable")
+        left, right = order[b[order] == lo], order[b[order] == hi]
+
+        def tiles() -> Iterator[Tile]:
+            for at in range(0, len(left), TILE):
+                p = left[at : at + TILE]
+                own = x[p]
+                for to in range(at if lo == hi else 0, len(right), TILE):
+                    q = right[to : to + TILE]
+                    yield Tile(ids[p], ids[q], topics[p], topics[q], coded.dictionary, own @ x[q].T, ids[p][:, None] < ids[q] if lo == hi else None)
+
+        for part in reduce(tiles()):
+            yield from part.to_batches()
 
     return dealt.groupBy("lo", "hi").applyInArrow(product, ddl)
 
 
+def pair_blocks(rows: DataFrame, make: Callable[..., pa.Table], ddl: str, key: str = "ord", blocks: int | None = None) -> DataFrame:
+    """What ``make(i, j, topic, same, sim)`` keeps of all pairs of unit vectors, each pair once (i < j);
+    ``topic`` is that of i.  The pairs of one tile are made at once."""
+
+    def flat(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+        for t in tiles:
+            r, c = np.indices(t.sim.shape).reshape(2, -1) if t.held is None else np.nonzero(t.held)
+            i, j, p, q = t.i[r], t.j[c], t.ti[r], t.tj[c]
+            turned = i > j
+            first = np.where(turned, q, p)
+            yield make(np.where(turned, j, i), np.where(turned, i, j), t.topics.take(pa.array(first)), p == q, t.sim[r, c])
+
+    return pair_tiles(rows, flat, ddl, key, blocks)
+
+
+def pair_counts(rows: DataFrame, bins: Callable[[np.ndarray], np.ndarray], key: str = "ord", blocks: int | None = None) -> DataFrame:
+    """``same, bin, n``: all pairs, counted by ``bins`` (whole numbers from 0) of their similarities to nine digits.
+    A row for each bin is all that leaves a block product."""
+
+    def count(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+        total = np.zeros(0, np.int64)
+        for t in tiles:
+            code = 2 * bins(np.round(t.sim, 9)).astype(np.int64) + t.same()
+            n = np.bincount(code.ravel() if t.held is None else code[t.held])
+            if len(n) > len(total):
+                n, total = total, n
+            total[: len(n)] += n
+        at = np.flatnonzero(total)
+        yield pa.table({"same": at % 2 == 1, "bin": at // 2, "n": total[at]})
+
+    found = pair_tiles(rows, count, "same boolean, bin long, n long", key, blocks)
+    return found.groupBy("same", "bin").agg(F.sum("n").alias("n"))
+
+
 def cosine_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None) -> DataFrame:
     """``i, j, same, sim`` over all pairs of unit vectors, each pair once (i < j)."""
     return pair_blocks(rows, lambda i, j, topic, same, sim: pa.table({"i": i, "j": j, "same": same, "sim": sim}), "i long, j long, same boolean, sim double", key, blocks)
@@ -123,29 +192,36 @@ def random_easy(rows: DataFrame, most: int, limit: float, blocks: int | None = N
 
 
 #: Bins of a pass over all pairs, and values that are gathered at once.
-BINS, GATHERED = 1024, 50_000
+BINS, GATHERED = 1 << 16, 50_000
 
 
 def pair_quantile(rows: DataFrame, q: float, blocks: int | None = None, gathered: int = GATHERED) -> float | None:
-    """The q-quantile, linearly interpolated, of the similarities (to nine digits) of pairs of different topics.
+    """The q-quantile, linearly interpolated, of the similarities (to nine digits) of pairs of different topics."""
+    return pair_quantile_of(rows, q, blocks, gathered)[0]
+
+
+def pair_quantile_of(rows: DataFrame, q: float, blocks: int | None = None, gathered: int = GATHERED) -> tuple[float | None, int]:
+    """``pair_quantile`` and the number of pairs of different topics.
 
     Similarities are counted as whole billionths.  Each pass counts pairs in at most BINS bins of the
     intervals that hold the two ranks in question (a row for each bin is all that leaves a task); the
     intervals shrink until one holds few enough values to be sorted, or a single one."""
+    blocks = blocks or _wide_blocks(rows)
 
     def counted(spans: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
         """Pairs by interval (low, width of a bin, number of bins) and bin."""
 
-        def count(i, j, topic, same, sim):
-            unit = np.rint(sim[~same] * 1e9).astype(np.int64)
-            parts = [np.zeros((0, 3), np.int64)]
-            for k, (lo, width, n) in enumerate(spans):
-                bins, times = np.unique((unit[(unit >= lo) & (unit < lo + width * n)] - lo) // width, return_counts=True)
-                parts.append(np.stack([np.full(len(bins), k), bins, times], 1))
-            k, bins, times = np.concatenate(parts).T
-            return pa.table({"k": k, "bin": bins, "n": times})
-
-        found = pair_blocks(rows, count, "k long, bin long, n long", blocks=blocks).groupBy("k", "bin").agg(F.sum("n").alias("n"))
+        def count(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+            total = [np.zeros(n, np.int64) for _, _, n in spans]
+            for t in tiles:
+                unit = np.rint(t.sim * 1e9).astype(np.int64)[t.of(~t.same())]
+                for (lo, width, n), own in zip(spans, total, strict=True):
+                    own += np.bincount((unit[(unit >= lo) & (unit < lo + width * n)] - lo) // width, minlength=n)
+            for k, own in enumerate(total):
+                at = np.flatnonzero(own)
+                yield pa.table({"k": np.full(len(at), k), "bin": at, "n": own[at]})
+
+        found = pair_tiles(rows, count, "k long, bin long, n long", blocks=blocks).groupBy("k", "bin").agg(F.sum("n").alias("n"))
         return {(r["k"], r["bin"]): r["n"] for r in found.collect()}
 
     # Unit vectors: from -1 to 1, and a little for rounding.
@@ -153,7 +229,7 @@ def pair_quantile(rows: DataFrame, q: float, blocks: int | None = None, gathered
     first = counted([whole])
     total = sum(first.values())
     if not total:
-        return None
+        return None, 0
     place = (total - 1) * q
     ranks = sorted({int(np.floor(place)), min(int(np.floor(place)) + 1, total - 1)})
     state = {r: (whole, 0, {b: n for (_, b), n in first.items()}) for r in ranks}  # interval, values below it, its bins
@@ -177,7 +253,7 @@ def pair_quantile(rows: DataFrame, q: float, blocks: int | None = None, gathered
             k = spans.index(state[r][0])
             state[r] = (*state[r][:2], {b: n for (s_, b), n in found.items() if s_ == k})
     low, high = out[ranks[0]], out[ranks[-1]]
-    return low + (high - low) * (place - np.floor(place))
+    return low + (high - low) * (place - np.floor(place)), total
 
 
 def nearest_earlier(queries: DataFrame, entries: DataFrame, key: str, most: int, rows_a_block: int = 2048) -> DataFrame:

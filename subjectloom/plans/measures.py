@@ -95,7 +95,8 @@ def agreement_stats(spark, d):
 @query("percentile_neg", f"WITH {PAIRS} SELECT round(quantile_cont(sim, 0.2), 6) AS p20, count(*) AS n FROM pr_ WHERE NOT is_repeat")
 def percentile_neg(spark, d):
     """The 20th percentile of cross-topic similarities, linearly interpolated."""
-    return E.quantile(keep(_pairs(spark, d).where("not is_repeat"), "pairs"), "sim", 0.2).select(F.round("value", 6).alias("p20"), "n")
+    value, n = M.pair_quantile_of(spans(spark, d), 0.2)
+    return spark.range(1).select(F.round(F.lit(value).cast("double"), 6).alias("p20"), F.lit(n).cast("long").alias("n"))
 
 
 @query("margin_histogram", f"WITH {PAIRS}, h AS (SELECT is_repeat, least(floor((sim + 1) / (2.0::DOUBLE / 30)), 29)::BIGINT AS bin, count(*) AS n FROM pr_ GROUP BY ALL) SELECT is_repeat, bin, n, round(n / (sum(n) OVER (PARTITION BY is_repeat) * (2.0::DOUBLE / 30)), 6) AS density FROM h")
