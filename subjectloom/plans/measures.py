@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -101,8 +102,12 @@ def percentile_neg(spark, d):
 
 @query("margin_histogram", f"WITH {PAIRS}, h AS (SELECT is_repeat, least(floor((sim + 1) / (2.0::DOUBLE / 30)), 29)::BIGINT AS bin, count(*) AS n FROM pr_ GROUP BY ALL) SELECT is_repeat, bin, n, round(n / (sum(n) OVER (PARTITION BY is_repeat) * (2.0::DOUBLE / 30)), 6) AS density FROM h")
 def margin_histogram(spark, d):
-    h = E.histogram(_pairs(spark, d), "sim", -1.0, 1.0, 30, ["is_repeat"])
-    return h.select("is_repeat", "bin", "n", F.round("density", 6).alias("density"))
+    from pyspark.sql import Window
+
+    width = 2.0 / 30
+    h = M.pair_counts(spans(spark, d), lambda s: np.clip(np.floor((s + 1) / width), 0, 29)).withColumnRenamed("same", "is_repeat")
+    total = F.sum("n").over(Window.partitionBy("is_repeat"))
+    return h.select("is_repeat", "bin", "n", F.round(F.col("n") / (total * width), 6).alias("density"))
 
 
 def _confusion_sql(convention: str) -> str:

@@ -17,7 +17,7 @@ def unit(n, topics=4, width=6):
     return [(i + 1, i % topics, x) for i, x in enumerate((v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())]
 
 
-@pytest.mark.parametrize("name", ["percentile_neg"])
+@pytest.mark.parametrize("name", ["percentile_neg", "margin_histogram"])
 def test_counted_without_forming_pairs(spark, sf, monkeypatch, name):
     monkeypatch.setattr(M, "cosine_pairs", None)
     same_rows(registry.queries()[name](spark, sf), connect(sf), registry.oracle_sql()[name])
