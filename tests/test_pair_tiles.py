@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subjectloom.operators import similarity as M
-from subjectloom.plans import registry
+from subjectloom.plans import measures, registry
 
 from .compare import connect, same_rows
 
@@ -17,7 +17,7 @@ def unit(n, topics=4, width=6):
     return [(i + 1, i % topics, x) for i, x in enumerate((v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())]
 
 
-@pytest.mark.parametrize("name", ["percentile_neg", "margin_histogram"])
+@pytest.mark.parametrize("name", ["percentile_neg", "margin_histogram", "pairwise_sweep", "pairwise_best_f1"])
 def test_counted_without_forming_pairs(spark, sf, monkeypatch, name):
     monkeypatch.setattr(M, "cosine_pairs", None)
     same_rows(registry.queries()[name](spark, sf), connect(sf), registry.oracle_sql()[name])
@@ -40,3 +40,13 @@ def test_tiles_have_every_pair_once(spark, monkeypatch, blocks, tile):
     cells = [(same, int((s + 1) * 8)) for same, s in want.values()]
     assert {(r["same"], r["bin"]): r["n"] for r in n} == {c: cells.count(c) for c in set(cells)}
     assert M.pair_quantile_of(df, 0.2, blocks)[1] == sum(not same for same, _ in want.values())
+
+
+def test_recurring_pairs_pass_the_grid(spark):
+    rows, grid = unit(30), [0.0, 0.5]
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in measures._passed(spark.createDataFrame(rows, UNIT), grid).collect()}
+    want = {k: [0, 0, 0] for k in range(3)}
+    for i, a, v in rows:
+        for _, b, w in rows[i:]:
+            want[sum(round(float(np.dot(v, w)), 9) >= g for g in grid)][0 if a == b else 2] += 1
+    assert got == {k: tuple(x) for k, x in want.items()}
