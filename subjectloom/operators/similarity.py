@@ -145,15 +145,23 @@ def hardest_pairs(rows: DataFrame, most: int, blocks: int | None = None) -> Data
     """``i, j, sim``: the ``most`` most similar pairs of different topics (to nine digits, then by i and j).
     A block product keeps its own best; those are merged."""
 
-    def best(i, j, topic, same, sim):
-        i, j, sim = i[~same], j[~same], np.round(sim[~same], 9)
-        if len(sim) > most:
-            near = np.flatnonzero(sim >= np.partition(sim, -most)[-most])
-            i, j, sim = i[near], j[near], sim[near]
-        order = np.lexsort((j, i, -sim))[:most]
-        return pa.table({"i": i[order], "j": j[order], "sim": sim[order]})
-
-    return pair_blocks(rows, best, "i long, j long, sim double", blocks=blocks).orderBy(F.desc("sim"), "i", "j").limit(most)
+    def best(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+        i, j, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for t in tiles:
+            # Similarities are compared to nine digits: what is less by more is worse than all kept.
+            least = sim[-1] - 1e-9 if len(sim) == most else -np.inf
+            r, c = np.nonzero(t.of((t.sim >= least) & ~t.same()))
+            if len(r):
+                i, j = np.append(i, np.minimum(t.i[r], t.j[c])), np.append(j, np.maximum(t.i[r], t.j[c]))
+                sim = np.append(sim, np.round(t.sim[r, c], 9))
+                if len(sim) > most:
+                    near = np.flatnonzero(sim >= np.partition(sim, -most)[-most])
+                    i, j, sim = i[near], j[near], sim[near]
+                order = np.lexsort((j, i, -sim))[:most]
+                i, j, sim = i[order], j[order], sim[order]
+        yield pa.table({"i": i, "j": j, "sim": sim})
+
+    return pair_tiles(rows, best, "i long, j long, sim double", blocks=blocks).orderBy(F.desc("sim"), "i", "j").limit(most)
 
 
 def shuffle_key(i: np.ndarray, j: np.ndarray) -> list[str]:
