@@ -169,6 +169,61 @@ def shuffle_key(i: np.ndarray, j: np.ndarray) -> list[str]:
     return [hashlib.md5(f"{a}:{b}".encode()).hexdigest() for a, b in zip(i.tolist(), j.tolist(), strict=True)]
 
 
+#: MD5: rotations and constants of its 64 steps.
+_TURNS = [x for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in four * 4]
+_SINES = [int(abs(np.sin(k + 1)) * 2**32) for k in range(64)]
+
+
+def _lead(block: np.ndarray, bits: int) -> np.ndarray:
+    """The first eight hex digits, as numbers, of the MD5 of messages of ``bits`` bits (a row of words each, the
+    rest of the one block being zero)."""
+    words = dict(enumerate(np.ascontiguousarray(block.T))) | {14: np.uint32(bits)}
+    a, b, c, d = (np.full(len(block), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for k in range(64):
+        if k < 16:
+            f, g = d ^ (b & (c ^ d)), k
+        elif k < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * k + 1) % 16
+        elif k < 48:
+            f, g = b ^ c ^ d, (3 * k + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * k % 16
+        f += a
+        if g in words:
+            f += words[g]
+        f += np.uint32(_SINES[k])
+        low = f >> np.uint32(32 - _TURNS[k])
+        f <<= np.uint32(_TURNS[k])
+        f |= low
+        f += b
+        a, d, c, b = d, c, b, f
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
+def shuffle_lead(i: np.ndarray, j: np.ndarray, at_once: int = 32_768) -> np.ndarray:
+    """The first eight hex digits of ``shuffle_key`` as numbers, for many pairs at once."""
+    out = np.zeros(len(i), np.uint32)
+    for at in range(0, len(i), at_once):
+        a, b = i[at : at + at_once].astype(np.int64), j[at : at + at_once].astype(np.int64)
+        if min(a.min(), b.min()) < 0:
+            out[at : at + at_once] = [int(h[:8], 16) for h in shuffle_key(a, b)]
+            continue
+        digits = lambda x: 1 + (x[:, None] >= 10 ** np.arange(1, 19)).sum(1) if len(x) else x
+        (ua, pa_), (ub, pb) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+        la, lb = digits(ua)[pa_], digits(ub)[pb]
+        for m in np.unique(la).tolist():
+            for n in np.unique(lb[la == m]).tolist():
+                own = np.flatnonzero((la == m) & (lb == n))
+                text = np.zeros((len(own), -(-(m + n + 2) // 4) * 4), np.uint8)
+                for u, p, size, start in ((ua, pa_, m, 0), (ub, pb, n, m + 1)):
+                    spelt = (u[:, None] // 10 ** np.arange(size)[::-1] % 10 + 48).astype(np.uint8)
+                    text[:, start : start + size] = spelt[p[own]]
+                text[:, m] = 58
+                text[:, m + 1 + n] = 0x80
+                out[at + own] = _lead(text.view("<u4"), 8 * (m + 1 + n))
+    return out
+
+
 def random_positives(rows: DataFrame, most: int, blocks: int | None = None) -> DataFrame:
     """``i, j, h``: at most ``most`` pairs of each topic, by the shuffle key ``h``."""
     kind = rows.schema["topic"].dataType.simpleString()
@@ -190,13 +245,20 @@ def random_easy(rows: DataFrame, most: int, limit: float, blocks: int | None = N
     """``i, j, h``: ``most`` pairs of different topics with a similarity (to nine digits) of ``limit`` or less, by
     the shuffle key."""
 
-    def first(i, j, topic, same, sim):
-        at = np.flatnonzero(~same & (np.round(sim, 9) <= limit))
-        h = np.array(shuffle_key(i[at], j[at]))
-        kept = np.argsort(h, kind="stable")[:most]
-        return pa.table({"i": i[at[kept]], "j": j[at[kept]], "h": pa.array(h[kept].tolist(), pa.string())})
-
-    return pair_blocks(rows, first, "i long, j long, h string", blocks=blocks).orderBy("h", "i", "j").limit(most)
+    def first(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+        best: list[tuple] = []
+        for t in tiles:
+            r, c = np.nonzero(t.of((np.round(t.sim, 9) <= limit) & ~t.same()))
+            i, j = np.minimum(t.i[r], t.j[c]), np.maximum(t.i[r], t.j[c])
+            lead = shuffle_lead(i, j)
+            # Pairs that share the eight digits of the last one kept are compared whole.
+            last = int(best[-1][0][:8], 16) if len(best) == most else int(np.partition(lead, most - 1)[most - 1]) if len(lead) > most else 2**32
+            near = np.flatnonzero(lead <= last)
+            best = sorted([*best, *zip(shuffle_key(i[near], j[near]), i[near].tolist(), j[near].tolist(), strict=True)])[:most]
+        h, i, j = zip(*best, strict=True) if best else ((), (), ())
+        yield pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "h": pa.array(h, pa.string())})
+
+    return pair_tiles(rows, first, "i long, j long, h string", blocks=blocks).orderBy("h", "i", "j").limit(most)
 
 
 #: Bins of a pass over all pairs, and values that are gathered at once.

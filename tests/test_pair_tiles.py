@@ -42,6 +42,16 @@ def test_tiles_have_every_pair_once(spark, monkeypatch, blocks, tile):
     assert M.pair_quantile_of(df, 0.2, blocks)[1] == sum(not same for same, _ in want.values())
 
 
+def test_leading_digits_of_shuffle_keys():
+    rng = np.random.default_rng(4)
+    i, j = (rng.integers(0, 10 ** rng.integers(1, 19, 500)) for _ in range(2))
+    i[:4], j[:4] = [0, 9, 10, 99], [2**63 - 1, 10**18, 100, 9]
+    want = [int(h[:8], 16) for h in M.shuffle_key(i, j)]
+    assert M.shuffle_lead(i, j).tolist() == want == M.shuffle_lead(i, j, 64).tolist()
+    assert M.shuffle_lead(-i[:9], j[:9]).tolist() == [int(h[:8], 16) for h in M.shuffle_key(-i[:9], j[:9])]
+    assert M.shuffle_lead(i[:0], j[:0]).tolist() == []
+
+
 def test_recurring_pairs_pass_the_grid(spark):
     rows, grid = unit(30), [0.0, 0.5]
     got = {r["k"]: (r["a"], r["b"], r["c"]) for r in measures._passed(spark.createDataFrame(rows, UNIT), grid).collect()}
