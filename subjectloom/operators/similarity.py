@@ -228,16 +228,28 @@ def random_positives(rows: DataFrame, most: int, blocks: int | None = None) -> D
     """``i, j, h``: at most ``most`` pairs of each topic, by the shuffle key ``h``."""
     kind = rows.schema["topic"].dataType.simpleString()
 
-    def first(i, j, topic, same, sim):
-        at = np.flatnonzero(same)
-        h, names = np.array(shuffle_key(i[at], j[at])), topic.take(pa.array(at)).dictionary_encode()
-        order = np.lexsort((h, names.indices.to_numpy()))
-        code = names.indices.to_numpy()[order]
-        place = np.arange(len(code)) - np.searchsorted(code, code, "left")
-        kept = order[place < most]
-        return pa.table({"topic": topic.take(pa.array(at[kept])), "i": i[at[kept]], "j": j[at[kept]], "h": pa.array(h[kept].tolist(), pa.string())})
-
-    found = pair_blocks(rows, first, f"topic {kind}, i long, j long, h string", blocks=blocks)
+    def first(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+        best: dict[int, list[tuple]] = {}
+        names = None
+        for t in tiles:
+            names = t.topics
+            r, c = np.nonzero(t.of(t.same()))
+            i, j, code = np.minimum(t.i[r], t.j[c]), np.maximum(t.i[r], t.j[c]), t.ti[r]
+            lead = shuffle_lead(i, j)
+            order = np.lexsort((lead, code)) if not best else np.arange(len(code))
+            for k in np.unique(code).tolist():
+                own, kept = order[code[order] == k], best.get(k, [])
+                # Pairs that share the eight digits of the last one kept are compared whole.
+                last = int(kept[-1][0][:8], 16) if len(kept) == most else int(np.partition(lead[own], most - 1)[most - 1]) if len(own) > most else 2**32
+                near = own[lead[own] <= last]
+                new = zip(shuffle_key(i[near], j[near]), i[near].tolist(), j[near].tolist(), strict=True)
+                best[k] = sorted([*kept, *new])[:most]
+        found = [(k, *x) for k, kept in best.items() for x in kept]
+        k, h, i, j = zip(*found, strict=True) if found else ((), (), (), ())
+        if names is not None:
+            yield pa.table({"topic": names.take(pa.array(k, pa.int64())), "i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "h": pa.array(h, pa.string())})
+
+    found = pair_tiles(rows, first, f"topic {kind}, i long, j long, h string", blocks=blocks)
     return found.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("h"))).where(F.col("r") <= most).select("i", "j", "h")
 
 
