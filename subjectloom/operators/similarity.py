@@ -21,16 +21,18 @@ BLOCK_ROWS = 512
 #: Vectors of a block at most, blocks that keep all machines busy, and vectors of a side of the tile
 #: of a block product that is made at once.
 WIDE_ROWS, LEAST_BLOCKS, TILE = 16_384, 12, 512
+#: Documents of a block at most.
+WIDE_DOCUMENTS = 4096
 
 
 def _blocks(rows: DataFrame) -> int:
     return -(-rows.count() // BLOCK_ROWS) or 1
 
 
-def _wide_blocks(rows: DataFrame) -> int:
+def _wide_blocks(rows: DataFrame, most: int = WIDE_ROWS) -> int:
     """Each row is sent once for each block, so there are few: what is shuffled is the table times this number."""
     n = rows.count()
-    return max(-(-n // WIDE_ROWS), min(-(-n // BLOCK_ROWS), LEAST_BLOCKS)) or 1
+    return max(-(-n // most), min(-(-n // BLOCK_ROWS), LEAST_BLOCKS)) or 1
 
 
 def all_pairs(rows: DataFrame, key: str = "ord", blocks: int | None = None, carry: tuple[str, ...] = ("topic", "v")) -> DataFrame:
@@ -411,44 +413,52 @@ TERMS_AT_ONCE = 4096
 def sparse_pairs(weights: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
     """``i, j, sim`` of documents that share a term (weights are positive).
 
-    Documents are dealt into blocks, one row a document; a block pair is one product, made
-    over a bounded number of terms at a time.  A term that nearly every document has is a
-    column among others, not a key with a square of rows.  Terms are told apart by 64-bit
-    hashes."""
+    Documents are dealt into few wide blocks, one row a document; a block pair is made in tiles.  The columns of a
+    tile are laid out densely over a bounded number of terms at a time, and a row adds up those of its own terms.  A
+    term that nearly every document has is a term among others, not a key with a square of rows.  Terms are told
+    apart by 64-bit hashes."""
     docs = keep(weights.groupBy(F.col(key).cast("long").alias("i")).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("w")), "documents")
-    blocks = blocks or _blocks(docs)
+    blocks = blocks or _wide_blocks(docs, WIDE_DOCUMENTS)
     block = docs.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
     dealt = block.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
     dealt = dealt.select("i", "terms", "w", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
 
-    def product(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         b, ids = table.column("b").to_numpy(), table.column("i").to_numpy()
         flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
         sizes = table.column("terms").combine_chunks().value_lengths().to_numpy()
         row, w = np.repeat(np.arange(len(ids)), sizes), flat("w")
-        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
-        place = np.zeros((2, len(ids)), int)
-        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
         names, term = np.unique(flat("terms"), return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        row, w, term = row[order], w[order], term[order]
-        s = np.zeros((len(left), len(right)))
-        for at in range(0, len(names), TERMS_AT_ONCE):
-            part = slice(*np.searchsorted(term, [at, at + TERMS_AT_ONCE]))
-            sides = []
-            for side, own in ((lo, left), (hi, right)):
-                mine = b[row[part]] == side
-                x = np.zeros((len(own), TERMS_AT_ONCE))
-                x[place[0 if side == lo and own is left else 1, row[part][mine]], term[part][mine] - at] = w[part][mine]
-                sides.append(x)
-            s += sides[0] @ sides[1].T
-        r, c = np.nonzero(s > 0)
-        if lo == hi:
-            r, c = r[ids[left[r]] < ids[right[c]]], c[ids[left[r]] < ids[right[c]]]
-        p, q = ids[left[r]], ids[right[c]]
-        return pa.table({"i": np.minimum(p, q), "j": np.maximum(p, q), "sim": s[r, c]})
+        # By document and then by term, so that a document's terms of a chunk are a slice.
+        order = np.lexsort((term, row))
+        w, term = w[order], term[order]
+        start = np.append(0, np.cumsum(sizes))
+        edges = np.arange(0, len(names) + TERMS_AT_ONCE, TERMS_AT_ONCE)
+        cuts = np.array([start[k] + np.searchsorted(term[start[k] : start[k + 1]], edges) for k in range(len(ids))], np.int64)
+        by_id = np.argsort(ids, kind="stable")
+        left, right = by_id[b[by_id] == lo], by_id[b[by_id] == hi]
+        x = np.zeros((TERMS_AT_ONCE, TILE))
+        for to in range(0, len(right), TILE):
+            q = right[to : to + TILE]
+            p = left[: to + TILE] if lo == hi else left
+            s = np.zeros((len(p), len(q)))
+            for chunk in range(len(edges) - 1):
+                own = [slice(cuts[k, chunk], cuts[k, chunk + 1]) for k in q.tolist()]
+                at = np.concatenate([term[o] for o in own]) - edges[chunk]
+                column = np.repeat(np.arange(len(q)), [o.stop - o.start for o in own])
+                x[at, column] = np.concatenate([w[o] for o in own])
+                for r, k in enumerate(p.tolist()):
+                    o = slice(cuts[k, chunk], cuts[k, chunk + 1])
+                    if o.start < o.stop:
+                        s[r] += w[o] @ x[term[o] - edges[chunk], : len(q)]
+                x[at, column] = 0
+            for first in range(0, len(p), TILE):
+                part, own_p = s[first : first + TILE], p[first : first + TILE]
+                r, c = np.nonzero(part > 0 if lo != hi else (part > 0) & (ids[own_p][:, None] < ids[q]))
+                i, j = ids[own_p[r]], ids[q[c]]
+                yield from pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "sim": part[r, c]}).to_batches()
 
     return dealt.groupBy("lo", "hi").applyInArrow(product, "i long, j long, sim double")
 

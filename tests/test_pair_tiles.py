@@ -60,3 +60,17 @@ def test_recurring_pairs_pass_the_grid(spark):
         for _, b, w in rows[i:]:
             want[sum(round(float(np.dot(v, w)), 9) >= g for g in grid)][0 if a == b else 2] += 1
     assert got == {k: tuple(x) for k, x in want.items()}
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_documents_in_tiles(spark, monkeypatch, blocks):
+    """Tiles and chunks of terms that cut documents anywhere, documents without a common term, few wide blocks."""
+    monkeypatch.setattr(M, "TERMS_AT_ONCE", 5)
+    monkeypatch.setattr(M, "TILE", 4)
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((23, 30)) < 0.15, rng.random((23, 30)) + 0.01, 0.0)
+    df = spark.createDataFrame([(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "k long, term string, weight double")
+    got = {(r["i"], r["j"]): r["sim"] for r in M.sparse_pairs(df, "k", blocks).collect()}
+    s = x @ x.T
+    assert got == {(i, j): pytest.approx(s[i, j]) for i in range(23) for j in range(i + 1, 23) if s[i, j] > 0}
+    assert M._wide_blocks(spark.range(100_000), M.WIDE_DOCUMENTS) == 25
