@@ -53,17 +53,16 @@ def moments(rows: DataFrame, v: str = "v") -> tuple[int, np.ndarray, np.ndarray]
 RANK = 1e-7
 
 
-def fitted(gram: np.ndarray, n: int, kind: str) -> np.ndarray | None:
-    """The matrix by which a transform multiplies centred rows, from their Gram matrix; none where
-    centring is all (``center``, or no direction has variance)."""
+def principal(gram: np.ndarray, n: int, kind: str) -> np.ndarray | None:
+    """The directions (columns) that a transform removes (``abtt``) or projects on, scaled (``whiten``), from the Gram
+    matrix of the centred rows; none where centring is all (``center``, or no direction has variance)."""
     if kind == "center":
         return None
     values, directions = np.linalg.eigh(gram)
     order = np.argsort(values)[::-1]
     values, directions = np.maximum(values[order], 0), directions[:, order]
     if kind.startswith("abtt"):
-        top = directions[:, : int(kind[4:])]
-        return np.eye(len(gram)) - top @ top.T
+        return directions[:, : int(kind[4:])]
     keep = min(int(kind[6:] or 50), n - 1, int((np.sqrt(values) > RANK * np.sqrt(values[0])).sum()))
     if keep < 1:
         return None
@@ -71,6 +70,12 @@ def fitted(gram: np.ndarray, n: int, kind: str) -> np.ndarray | None:
     return directions[:, :keep] / np.sqrt(np.maximum(0.9 * variance + 0.1 * variance.mean(), 1e-12))
 
 
+def fitted(gram: np.ndarray, n: int, kind: str) -> np.ndarray | None:
+    """The matrix by which a transform multiplies centred rows; none where centring is all."""
+    found = principal(gram, n, kind)
+    return np.eye(len(gram)) - found @ found.T if found is not None and kind.startswith("abtt") else found
+
+
 def moved(centred: np.ndarray, matrix: np.ndarray | None, kind: str) -> np.ndarray:
     """Centred rows transformed, of unit length; zero rows stay zero, whitened ones become the all-ones
     direction."""
@@ -224,7 +229,7 @@ def feedback(rows: DataFrame, thetas: list[float], rule: str = "threshold", entr
 
 
 def _honest_fits(rows: DataFrame, kind: str, size: int, last: int) -> DataFrame:
-    """``t, topic, rb, v, mean, matrix``: each row with the transform fitted on the rows up to it.
+    """``t, topic, rb, v, mean, found``: each row with the mean and the directions (``principal``, a row each) of the rows up to it.
 
     The moments before a block of rows are prefix sums in two levels; inside a block they grow by
     one row at a time, so a fit costs the same wherever it stands."""
@@ -247,91 +252,167 @@ def _honest_fits(rows: DataFrame, kind: str, size: int, last: int) -> DataFrame:
         d = x.shape[1]
         flat = vectors(v.slice(0, 1))[0] if state else np.zeros(d + d * d)
         n, total, gram = -int(order[0]) if state else 0, flat[:d].copy(), flat[d:].reshape(d, d).copy()
-        means, matrices = [], []
+        means, directions = [], []
         for row in x:
             n, total, gram = n + 1, total + row, gram + np.outer(row, row)
             mean = total / n
-            matrix = fitted(gram - n * np.outer(mean, mean), n, kind)
+            found = principal(gram - n * np.outer(mean, mean), n, kind)
             means.append(mean)
-            matrices.append(np.zeros(0) if matrix is None else matrix.ravel())
+            directions.append(np.zeros(0) if found is None else found.T.ravel())
         own = table.slice(1) if state else table
-        return pa.table({"t": own.column("ord"), "topic": own.column("topic"), "rb": own.column("rb"), "v": own.column("v"), "mean": pa.array(means, pa.list_(pa.float64())), "matrix": pa.array(matrices, pa.list_(pa.float64()))})
+        return pa.table({"t": own.column("ord"), "topic": own.column("topic"), "rb": own.column("rb"), "v": own.column("v"), "mean": pa.array(means, pa.list_(pa.float64())), "found": pa.array(directions, pa.list_(pa.float64()))})
+
+    return cut.union(states.select(*cut.columns)).groupBy("rb").applyInArrow(fits, f"t long, topic {topic}, rb int, v array<double>, mean array<double>, found array<double>")
+
+
+#: Decisions of a task at most, those and members that a product takes at once.
+DECISIONS, ASKED, MEMBERS = 16_384, 1024, 512
+#: Squared lengths below this share of their parts are not taken from dot products.
+CANCELLED = 1e-6
 
-    return cut.union(states.select(*cut.columns)).groupBy("rb").applyInArrow(fits, f"t long, topic {topic}, rb int, v array<double>, mean array<double>, matrix array<double>")
 
+def _moved(centred: np.ndarray, found: np.ndarray, kind: str) -> np.ndarray:
+    """Centred rows transformed by ``found`` (a direction a row, or a block of such for each row), of unit length."""
+    if kind.startswith("whiten"):
+        return moved(centred, found.T, kind) if found.size else moved(centred, None, kind)
+    along = lambda k: found[..., k, :]
+    # Sums along a row are the same whatever rows stand beside it: opposite rows stay opposite.
+    parts = [((centred * along(k)).sum(-1, keepdims=True), along(k)) for k in range(found.shape[-2])]
+    return moved(centred - sum(p * u for p, u in parts) if parts else centred, None, "center")
 
-#: Members of a block that meets the decisions of another, and topics of a group of sums.
-MEMBERS, TOPICS = 4096, 512
 
+class _Decisions:
+    """A block of decisions, to which the rows before them come topic by topic."""
 
-def honest_decisions(rows: DataFrame, kind: str, entry: str = "centroid", decisions_a_task: int = 128) -> DataFrame:
+    def __init__(self, table: pa.Table, kind: str, entry: str):
+        table = table.sort_by("ord")
+        self.kind, self.entry, self.gold = kind, entry, table.column("topic").combine_chunks()
+        self.t, x, self.mean = table.column("ord").to_numpy(), vectors(table.column("v")), vectors(table.column("mean"))
+        n, d = self.mean.shape
+        self.found = [f.values.to_numpy().reshape(-1, d) for f in table.column("found")]
+        # One number of directions for all decisions: those that center only have none.
+        self.even = not kind.startswith("whiten") and len({len(f) for f in self.found}) == 1
+        if self.even:
+            self.u = np.array(self.found).transpose(1, 0, 2)  # direction, decision, dimension
+            self.along = (self.u * self.mean).sum(-1)
+        self.own = [_moved(x[i : i + 1] - self.mean[i], self.found[i], kind)[0] for i in range(n)]
+        self.start()
+
+    def start(self) -> None:
+        n, d = self.mean.shape
+        self.size, self.sums, self.weight = np.zeros(n, np.int64), np.zeros((n, d)), np.zeros(n)
+        self.rest = [np.zeros(len(z)) for z in self.own] if self.entry == "centroid" else []
+        self.kept: list[tuple] = []
+
+    def meet(self, order: np.ndarray, x: np.ndarray) -> None:
+        """Members of the present topic, in order."""
+        if self.entry == "median":
+            self.kept.append((order, x))
+            return
+        for at in range(0, len(x), MEMBERS):
+            o, y = order[at : at + MEMBERS], x[at : at + MEMBERS]
+            for lo in range(int(np.searchsorted(self.t, o[0], "right")), len(self.t), ASKED):
+                part = slice(lo, min(lo + ASKED, len(self.t)))
+                if self.even:
+                    self._weighed(part, o, y)
+                else:
+                    for i in range(part.start, part.stop):
+                        m = int(np.searchsorted(o, self.t[i], "left"))
+                        self.rest[i] += _moved(y[:m] - self.mean[i], self.found[i], self.kind).sum(0)
+                        self.size[i] += m
+
+    def _weighed(self, part: slice, o: np.ndarray, y: np.ndarray) -> None:
+        """A transformed row is its centred one less its share along the directions, by its length.  All lengths
+        come from dot products, and the sum is made of the rows weighted by them before it is transformed."""
+        mean = self.mean[part]
+        scale = (mean * mean).sum(1)[:, None] + (y * y).sum(1)
+        squared = scale - 2 * (mean @ y.T)
+        for u, along in zip(self.u, self.along, strict=True):
+            squared -= (u[part] @ y.T - along[part][:, None]) ** 2
+        far = squared > CANCELLED * scale
+        weight = np.divide(1, np.sqrt(squared, where=far, out=np.ones_like(squared)), where=far, out=np.zeros_like(squared))
+        if o[-1] >= self.t[part.start]:
+            held = o < self.t[part][:, None]
+            weight *= held
+            near, n = held & ~far, held.sum(1)
+        else:
+            near, n = ~far, len(o)
+        self.size[part] += n
+        self.sums[part] += weight @ y
+        self.weight[part] += weight.sum(1)
+        r, c = np.nonzero(near)
+        for at in range(0, len(r), 65_536):
+            i, j = part.start + r[at : at + 65_536], c[at : at + 65_536]
+            z = _moved(y[j] - self.mean[i], self.u[:, i].transpose(1, 0, 2), self.kind)
+            for k in np.unique(i):
+                self.rest[k] += z[i == k].sum(0)
+
+    def decided(self, topic: pa.Scalar) -> pa.Table:
+        """The decisions on the entry of the topic whose members have come."""
+        if self.entry == "median":
+            order, x = (np.concatenate(c) for c in zip(*self.kept, strict=True))
+            self.size = np.searchsorted(order, self.t, "left")
+        some = np.flatnonzero(self.size)
+        cos = np.zeros(len(some))
+        for at, i in enumerate(some.tolist()):
+            if self.entry == "median":
+                z, u = x[: self.size[i]] - self.mean[i], self.found[i]
+                c = geometric_median(moved(z, u.T if len(u) else None, self.kind) if self.kind.startswith("whiten") else moved(z - (z @ u.T) @ u, None, "center"))
+            else:
+                c = self.rest[i]
+                if self.even:
+                    whole, u = self.sums[i] - self.weight[i] * self.mean[i], self.found[i]
+                    c = c + whole - (u @ whole) @ u
+            cos[at] = c @ self.own[i] / max(np.linalg.norm(c), 1e-12)
+        out = pa.table({"t": self.t[some], "gold": self.gold.take(pa.array(some)), "entry": pa.array([topic] * len(some), self.gold.type), "size": self.size[some], "cos": cos})
+        self.start()
+        return out
+
+
+def honest_decisions(rows: DataFrame, kind: str, entry: str = "centroid", decisions_a_task: int | None = None) -> DataFrame:
     """``t, gold, entry, size, cos, is_repeat`` with the transform (center | abttK | whitenD)
     refitted on the rows up to each decision; entries are centroids or medians.
 
     Fits come from running moments.  Each decision transforms the earlier rows anew, as it must: their
-    lengths after it are not sums of anything.  Blocks of decisions meet blocks of members, so no
-    task holds all rows; the parts of a centroid are added up.  A median needs an entry's rows in one
-    place: there the blocks of a decision are put together before it, for samples."""
+    lengths after it are not sums of anything.  A block of decisions stands first in its task, and the earlier
+    rows pass by it topic by topic, so a task holds decisions and a batch of rows, and only its scores leave it.  With
+    centring and removed directions the lengths come from products of blocks.  A median needs an entry's
+    rows in one place: there a task holds those of one topic."""
     if not (kind == "center" or kind.startswith(("abtt", "whiten"))) or entry not in ("centroid", "median"):
         raise ValueError(f"unknown transform or entry: {kind}, {entry}")
     topic = rows.schema["topic"].dataType.simpleString()
     last = rows.agg(F.max("ord")).first()[0] or 0
-    asked = kept(_honest_fits(rows.select("ord", "topic", "v"), kind, decisions_a_task, last), "fits")
-    block = F.floor(F.col("ord") / MEMBERS).cast("int")
+    # Each row is sent once for each block of later decisions.
+    size = decisions_a_task or max(64, min(DECISIONS, last // 24))
+    asked = kept(_honest_fits(rows.select("ord", "topic", "v"), kind, size, last), "fits")
     none = F.lit(None).cast("array<double>")
-    from_, to = F.floor(F.col("ord") / decisions_a_task).cast("int"), F.lit(last // decisions_a_task)
-    held = rows.select(F.explode(F.sequence(from_, to)).alias("rb"), block.alias("mb"), "ord", "topic", "v", none.alias("mean"), none.alias("matrix"))
-    # A decision meets the blocks of members up to its own.
-    asks = asked.select("rb", F.explode(F.sequence(F.lit(0), F.floor(F.col("t") / MEMBERS).cast("int"))).alias("mb"), (-F.col("t")).alias("ord"), "topic", "v", "mean", "matrix")
+    later = F.explode(F.sequence(F.floor(F.col("ord") / size).cast("int"), F.lit(last // size).cast("int"))).alias("rb")
+    held = rows.select(later, F.lit(1).alias("role"), "topic", F.col("ord").cast("long").alias("ord"), "v", none.alias("mean"), none.alias("found"))
+    asks = asked.select("rb", F.lit(0).alias("role"), "topic", F.col("t").alias("ord"), "v", "mean", "found")
 
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ord")
-        order = table.column("ord").to_numpy()
-        asks, x = order < 0, vectors(table.column("v"))
-        coded = table.column("topic").combine_chunks().dictionary_encode()
-        code = coded.indices.to_numpy()
-        order_m, x_m, code_m = order[~asks], x[~asks], code[~asks]
-        means, matrices = table.column("mean").to_pylist(), table.column("matrix")
-        out: list[list] = [[], [], [], [], [], []]
-        for i in np.flatnonzero(asks)[::-1]:
-            t = -order[i]
-            m = int(np.searchsorted(order_m, t, "left"))
-            if not m:
-                continue
-            mean, flat = np.array(means[i]), matrices[int(i)].values.to_numpy()
-            matrix = flat.reshape(len(mean), -1) if len(flat) else None
-            z = moved(x_m[:m] - mean, matrix, kind)
-            own = moved(x[i : i + 1] - mean, matrix, kind)[0]
-            names, at, n = np.unique(code_m[:m], return_inverse=True, return_counts=True)
-            if entry == "median":
-                parts = [z[at == k].ravel() for k in range(len(names))]
-            else:
-                sums = np.zeros((len(names), z.shape[1]))
-                np.add.at(sums, at, z)
-                parts = list(sums)
-            for column, values in zip(out, (np.full(len(names), t), np.full(len(names), code[i]), names, n, parts, [own] * len(names)), strict=True):
-                column.extend(values)
-        t, gold, names, n, parts, own = out
-        number = lambda c: pa.array(np.array(c, np.int64))
-        return pa.table({"t": number(t), "gold": coded.dictionary.take(number(gold)), "entry": coded.dictionary.take(number(names)), "n": number(n), "part": pa.array(parts, pa.list_(pa.float64())), "own": pa.array(own, pa.list_(pa.float64()))})
-
-    met = held.unionByName(asks).groupBy("rb", "mb").applyInArrow(meet, f"t long, gold {topic}, entry {topic}, n long, part array<double>, own array<double>")
-
-    def put_together(table: pa.Table) -> pa.Table:
-        coded = table.column("entry").combine_chunks().dictionary_encode()
-        code, own = coded.indices.to_numpy(), table.column("own")[0].values.to_numpy()
-        flat, width = table.column("part").to_pylist(), len(own)
-        size, cos = [], []
-        for e in range(len(coded.dictionary)):
-            rows_ = np.flatnonzero(code == e)
-            part = np.concatenate([np.reshape(flat[r], (-1, width)) for r in rows_])
-            c = geometric_median(part) if entry == "median" else part.sum(0)
-            size.append(int(table.column("n").take(pa.array(rows_)).to_numpy().sum()))
-            cos.append(float(c @ own) / max(np.linalg.norm(c), 1e-12))
-        first = np.unique(code, return_index=True)[1]
-        return pa.table({"t": table.column("t").take(pa.array(first)), "gold": table.column("gold").take(pa.array(first)), "entry": coded.dictionary, "size": size, "cos": cos})
-
-    groups = met.withColumn("g", F.pmod(F.xxhash64("entry"), F.lit(1 + rows.select("topic").distinct().count() // TOPICS)))
-    scored = groups.groupBy("t", "g").applyInArrow(lambda t: put_together(t.drop(["g"])), f"t long, gold {topic}, entry {topic}, size long, cos double")
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asks, block, topic = None, [], None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rb, role, order = (table.column(c).to_numpy() for c in ("rb", "role", "ord"))
+            code = table.column("topic").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            starts = np.flatnonzero(np.append(True, (np.diff(rb) != 0) | (np.diff(role) != 0) | (np.diff(code) != 0))) if len(rb) else []
+            for lo, hi in zip(starts, [*starts[1:], len(rb)], strict=True):
+                own, name = table.slice(lo, hi - lo), table.column("topic")[int(lo)]
+                if block is not None and (rb[lo] != now or name != topic):
+                    yield from block.decided(topic).to_batches()
+                if rb[lo] != now:
+                    now, asks, block = rb[lo], [], None
+                if not role[lo]:
+                    asks.append(own)
+                elif asks:
+                    block = block or _Decisions(pa.concat_tables(asks), kind, entry)
+                    topic = name
+                    block.meet(order[lo:hi], vectors(own.column("v")))
+        if block is not None:
+            yield from block.decided(topic).to_batches()
+
+    met = held.unionByName(asks).repartitionByRange(last // size + 1, "rb").sortWithinPartitions("rb", "role", "topic", "ord")
+    scored = met.mapInArrow(decide, f"t long, gold {topic}, entry {topic}, size long, cos double")
     first = rows.groupBy(F.col("topic").alias("gold")).agg(F.min("ord").alias("first"))
     return scored.join(first, "gold").select("t", "gold", "entry", "size", "cos", (F.col("t") > F.col("first")).alias("is_repeat"))

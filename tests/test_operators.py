@@ -156,6 +156,31 @@ def test_honest_decisions_equal_a_refit(spark, kind, entry):
     assert len(got) == len(replay(rows, "first"))
 
 
+@pytest.mark.parametrize("kind", ["abtt2"])
+@pytest.mark.parametrize("share", [1e-6, 10.0])
+def test_honest_rows_pass_by_in_parts(spark, kind, share, monkeypatch):
+    """Batches and products that cut topics anywhere, lengths from products and row by row."""
+    for name, value in (("ASKED", 3), ("MEMBERS", 4), ("CANCELLED", share)):
+        monkeypatch.setattr(K, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = unit_rows(60, 3, 5, 8)
+    x, topics = np.array([v for _, _, v in rows]), np.array([t for _, t, _ in rows])
+    try:
+        got = {(r["t"], r["entry"]): (r["gold"], r["size"], r["cos"]) for r in K.honest_decisions(spark.createDataFrame(rows, UNIT), kind, decisions_a_task=25).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for t in range(2, 61):
+        centred = x[:t] - x[:t].mean(0)
+        z = K.moved(centred, K.fitted(centred.T @ centred, t, kind), kind)
+        for e in np.unique(topics[: t - 1]).tolist():
+            c = z[: t - 1][topics[: t - 1] == e].sum(0)
+            want[t, e] = (topics[t - 1], (topics[: t - 1] == e).sum(), float(c @ z[-1]) / max(np.linalg.norm(c), 1e-12))
+    assert got.keys() == want.keys()
+    # Two rows span no plane and three no more than one: what is left there has no direction but that of rounding.
+    assert all(got[k][:2] == w[:2] and (k[0] < 4 or got[k][2] == pytest.approx(w[2], abs=1e-6)) for k, w in want.items())
+
+
 def test_decisions_are_prefix_stable(spark):
     rows = unit_rows()
     whole = {(r["t"], r["entry"]): r["cos"] for r in G.decisions(spark.createDataFrame(rows, UNIT)).collect()}
