@@ -156,7 +156,7 @@ def test_honest_decisions_equal_a_refit(spark, kind, entry):
     assert len(got) == len(replay(rows, "first"))
 
 
-@pytest.mark.parametrize("kind", ["abtt2"])
+@pytest.mark.parametrize("kind", ["center", "abtt2"])
 @pytest.mark.parametrize("share", [1e-6, 10.0])
 def test_honest_rows_pass_by_in_parts(spark, kind, share, monkeypatch):
     """Batches and products that cut topics anywhere, lengths from products and row by row."""
