@@ -157,8 +157,8 @@ def test_honest_decisions_equal_a_refit(spark, kind, entry):
 
 
 @pytest.mark.parametrize("kind", ["center", "abtt2"])
-@pytest.mark.parametrize("share", [1e-6, 10.0])
-def test_honest_rows_pass_by_in_parts(spark, kind, share, monkeypatch):
+@pytest.mark.parametrize(("entry", "share"), [("centroid", 1e-6), ("centroid", 10.0), ("median", 1e-6)])
+def test_honest_rows_pass_by_in_parts(spark, kind, entry, share, monkeypatch):
     """Batches and products that cut topics anywhere, lengths from products and row by row."""
     for name, value in (("ASKED", 3), ("MEMBERS", 4), ("CANCELLED", share)):
         monkeypatch.setattr(K, name, value)
@@ -166,7 +166,7 @@ def test_honest_rows_pass_by_in_parts(spark, kind, share, monkeypatch):
     rows = unit_rows(60, 3, 5, 8)
     x, topics = np.array([v for _, _, v in rows]), np.array([t for _, t, _ in rows])
     try:
-        got = {(r["t"], r["entry"]): (r["gold"], r["size"], r["cos"]) for r in K.honest_decisions(spark.createDataFrame(rows, UNIT), kind, decisions_a_task=25).collect()}
+        got = {(r["t"], r["entry"]): (r["gold"], r["size"], r["cos"]) for r in K.honest_decisions(spark.createDataFrame(rows, UNIT), kind, entry, 25).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {}
@@ -174,7 +174,8 @@ def test_honest_rows_pass_by_in_parts(spark, kind, share, monkeypatch):
         centred = x[:t] - x[:t].mean(0)
         z = K.moved(centred, K.fitted(centred.T @ centred, t, kind), kind)
         for e in np.unique(topics[: t - 1]).tolist():
-            c = z[: t - 1][topics[: t - 1] == e].sum(0)
+            own = z[: t - 1][topics[: t - 1] == e]
+            c = K.geometric_median(own) if entry == "median" else own.sum(0)
             want[t, e] = (topics[t - 1], (topics[: t - 1] == e).sum(), float(c @ z[-1]) / max(np.linalg.norm(c), 1e-12))
     assert got.keys() == want.keys()
     # Two rows span no plane and three no more than one: what is left there has no direction but that of rounding.
