@@ -503,6 +503,19 @@ def test_mutual_mergers_equal_the_sequential_ones(spark, settle, monkeypatch):
                 assert partition([t for t, _ in own], [mine[t] for t, _ in own]) == partition([t for t, _ in own], want)
 
 
+def test_clusters_meet_in_few_wide_blocks(spark, monkeypatch):
+    """A row is sent to twelve blocks while rows are few; tiles that cut blocks anywhere give the same dendrogram."""
+    many = spark.range(9000).select(F.lit("a").alias("by"), F.col("id").alias("ord"))
+    assert C._dealt(many, "ord", ["by", "ord"]).count() == 12 * 9000
+    rows = spark.createDataFrame([("a", t, v) for t, _, v in unit_rows(70, 6, 8, 5)], "by string, ord long, v array<double>")
+    want = {(r["b"], r["a"]): r["sim"] for r in C.mergers(rows).collect()}
+    for name, value in (("BLOCK", 30), ("TILE", 7)):
+        monkeypatch.setattr(C, name, value)
+    got = {(r["b"], r["a"]): r["sim"] for r in C.mergers(rows, 40).collect()}
+    assert got.keys() == want.keys() and len(got) == 69
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_spectral_and_kmeans_near_the_dense_ones(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 32)
     rng = np.random.default_rng(8)
