@@ -564,6 +564,47 @@ def test_best_feedback_equals_replays(spark, rule, entry):
     assert tuple(best_feedback(spark.createDataFrame(rows, UNIT), thetas, rule, entry).first()) == pytest.approx(best)
 
 
+@pytest.mark.parametrize(("rule", "entry"), [("margin", "first"), ("threshold", "centroid"), ("margin", "median"), ("margin", "centroid")])
+def test_thetas_share_a_journal_until_they_part(spark, rule, entry, monkeypatch):
+    """Entries and scores of every theta row by row; thetas that decide alike are passed through once."""
+    monkeypatch.setattr(K, "STRETCH", 7)
+    monkeypatch.setattr(K, "PRODUCT", 0)
+    rows, thetas = unit_rows(90, 4, 6), [-3.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 3.0, 4.0]
+    want = {}
+    for theta in thetas:
+        members = []
+        for t, _, v in rows:
+            reps = [np.array(m[0]) if entry == "first" else K.geometric_median(np.array(m), 12, None) if entry == "median" and len(m) > 1 else np.mean(m, 0) / np.linalg.norm(np.mean(m, 0)) for m in members]
+            s = sorted(((float(r @ np.array(v)), -k) for k, r in enumerate(reps)), reverse=True)
+            value = None if not s else s[0][0] if rule == "threshold" else s[0][0] - (s[1][0] if len(s) > 1 else -1.0)
+            at = -s[0][1] if s and value >= theta else len(members)
+            members[at:] = members[at:] or [[]]
+            members[at].append(v)
+            want[theta, t] = (at, value)
+    got = K.feedback(spark.createDataFrame(rows, UNIT), thetas, rule, entry).collect()
+    assert len(got) == len(want)
+    for r in got:
+        at, value = want[r["theta"], r["ord"]]
+        assert r["entry"] == at and r["score"] == (None if value is None else pytest.approx(value, abs=1e-9))
+    x = np.array([v for *_, v in rows])
+    own, late = K._replayed(x, np.zeros(90, int), np.full(90, np.nan), 0, thetas, list(range(len(thetas))), rule, entry)
+    # Thetas that no row tells apart stay together, and no part has more than half.
+    assert sorted(own + sum((ks for ks, _ in late), [])) == list(range(len(thetas)))
+    assert any({8, 9} <= set(ks) for ks in [own, *[ks for ks, _ in late]]) and all(len(ks) <= 5 for ks, _ in late)
+
+
+def test_medians_of_copies_and_opposites():
+    """Distances come from dot products; where those cancel they are made anew."""
+    rng = np.random.default_rng(4)
+    for x in (np.repeat(rng.standard_normal((1, 5)), 9, 0), np.vstack([np.repeat(rng.standard_normal((1, 5)), 9, 0), rng.standard_normal((3, 5))]), np.array([[1.0, 0.0], [-1.0, 0.0]]), rng.standard_normal((40, 6))):
+        m = x.mean(0)
+        for _ in range(12):
+            w = 1 / np.maximum(np.linalg.norm(x - m, axis=1), 1e-9)
+            m = w @ x / w.sum()
+        size = np.linalg.norm(m)
+        assert np.abs(K.geometric_median(x, 12, None) - (m / size if size > 0 else m)).max() < 1e-7
+
+
 def test_medians_of_large_topics_in_rounds(spark):
     """A topic with most rows, dealt into parts, against one pass; others stay whole."""
     rows = [(t, 1 if t % 5 else 2 + t % 3, v) for t, _, v in unit_rows(200, 6)]
