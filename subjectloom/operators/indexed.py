@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import keep
-from .similarity import lcs_length
+from .similarity import fuzzy_pairs, lcs_length
 
 #: Rows of one token that a task holds of either block.
 BLOCK = 512
@@ -181,7 +181,10 @@ def fuzzy_above(strings: DataFrame, threshold: float, column: str = "s", key: st
     """``i, j, ratio`` of pairs of strings whose indel ratio (to four digits) is the threshold or more; null strings
     resemble nothing.  ``counter``: an accumulator that gets the number of pairs that are compared.
 
-    Of each kind of tokens, a string with m of them that must share k shares one of its m - k + 1 rarest."""
+    Of each kind of tokens, a string with m of them that must share k shares one of its m - k + 1 rarest.  Where no
+    pair of neighbours need be shared, single characters part next to no strings: there whole blocks are compared."""
+    if 1.5 * threshold <= 100:
+        return fuzzy_pairs(strings, column, key, threshold)
     rows = keep(strings.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("i"), F.col(column).alias("s")), "strings")
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

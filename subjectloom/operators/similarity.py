@@ -487,31 +487,47 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
+#: Strings of either side whose pairs are compared at once.
+STRINGS_ACROSS, STRINGS_DOWN = 512, 128
+
+
 def lcs_matrix(left: list[str], right: list[str]) -> np.ndarray:
-    """``lcs_length`` of every string of ``left`` with every one of ``right``, those of 63
-    characters or fewer, a column of all pairs at a time; longer ones one by one."""
-    out = np.zeros((len(left), len(right)), np.int64)
-    rows = np.flatnonzero([len(x) < 64 for x in left])
+    """``lcs_length`` of every string of ``left`` with every one of ``right``, those of ``left`` of 64 characters or
+    fewer a character of many pairs at a time, in the shortest words that hold them; longer ones one by one."""
+    out = np.zeros((len(right), len(left)), np.int32)
+    sizes, widths = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
     letters = {c: i for i, c in enumerate(sorted(set("".join(right))))}
-    masks = np.zeros((len(rows), len(letters) + 1), np.uint64)
-    for r, at in enumerate(rows.tolist()):
-        for i, c in enumerate(left[at]):
-            if c in letters:
-                masks[r, letters[c]] |= np.uint64(1 << i)
-    widest = max(map(len, right), default=0)
-    codes = np.full((len(right), widest), len(letters))
+    codes = np.full((len(right), int(widths.max(initial=0))), len(letters))
     for q, x in enumerate(right):
         codes[q, : len(x)] = [letters[c] for c in x]
-    full = np.array([(1 << len(left[at])) - 1 for at in rows.tolist()], np.uint64)[:, None]
-    s = np.repeat(full, len(right), axis=1)
-    for k in range(widest):
-        # Columns past a string's end have no letters and change nothing.
-        u = s & masks[:, codes[:, k]]
-        s = ((s + u) | (s - u)) & full
-    out[rows] = np.array([len(left[at]) for at in rows.tolist()], np.int64)[:, None] - np.bitwise_count(s)
-    for at in sorted(set(range(len(left))) - set(rows.tolist())):
-        out[at] = [lcs_length(left[at], x) for x in right]
-    return out
+    # Strings of one length stand together, so that none waits for a longer one.
+    order = np.argsort(widths, kind="stable")
+    for least, bits in ((0, 16), (17, 32), (33, 64)):
+        word, rows = np.dtype(f"uint{bits}"), np.flatnonzero((sizes >= least) & (sizes <= bits))
+        for lo in range(0, len(rows), STRINGS_ACROSS):
+            own = rows[lo : lo + STRINGS_ACROSS]
+            masks = np.zeros((len(letters) + 1, len(own)), np.uint64)
+            for r, k in enumerate(own.tolist()):
+                for i, c in enumerate(left[k]):
+                    if c in letters:
+                        masks[letters[c], r] |= np.uint64(1 << i)
+            masks, full = masks.astype(word), np.array([(1 << n) - 1 for n in sizes[own].tolist()], np.uint64).astype(word)
+            for at in range(0, len(order), STRINGS_DOWN):
+                columns = order[at : at + STRINGS_DOWN]
+                s = np.full((len(columns), len(own)), np.iinfo(word).max, word)
+                u, v = np.empty_like(s), np.empty_like(s)
+                for k in range(int(widths[columns[-1]])):
+                    # Past a string's end there are no letters, and nothing changes.
+                    np.take(masks, codes[columns, k], axis=0, out=u, mode="clip")
+                    u &= s
+                    np.add(s, u, out=v)
+                    s ^= u
+                    s |= v
+                s &= full
+                out[at : at + len(columns), own] = sizes[own].astype(np.int32) - np.bitwise_count(s)
+    for k in np.flatnonzero(sizes > 64).tolist():
+        out[:, k] = [lcs_length(left[k], right[q]) for q in order.tolist()]
+    return out.T if (order[:-1] < order[1:]).all() else out[np.argsort(order)].T
 
 
 @F.pandas_udf(DoubleType())
@@ -520,27 +536,46 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([100.0 if not x and not y else 200.0 * lcs_length(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Strings of a block at most, and of a side of a tile.
+WIDE_STRINGS, STRINGS = 16_384, 1024
+
+
 def fuzzy_pairs(strings: DataFrame, column: str = "s", key: str = "pos", threshold: float = 88.0, blocks: int | None = None) -> DataFrame:
     """``i, j, ratio`` of pairs whose indel ratio is the threshold or more; null strings
-    resemble nothing.  Blocks of strings meet as those of ``cosine_pairs`` do, and their
-    pairs are compared a character at a time, all at once."""
+    resemble nothing.  Few wide blocks of strings meet as those of ``cosine_pairs`` do, in tiles of strings of like
+    lengths: a tile whose lengths alone forbid the threshold is passed over."""
     strings = strings.where(F.col(column).isNotNull())
-    blocks = blocks or _blocks(strings)
+    blocks = blocks or _wide_blocks(strings, WIDE_STRINGS)
     block = strings.select(F.col(key).cast("long").alias("i"), F.col(column).alias("s"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     dealt = block.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
     dealt = dealt.select("i", "s", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         b, ids, texts = table.column("b").to_numpy(), table.column("i").to_numpy(), table.column("s").to_pylist()
-        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
         size = np.array([len(x) for x in texts])
-        total = size[left][:, None] + size[right]
-        same = lcs_matrix([texts[k] for k in left], [texts[k] for k in right])
-        ratio = np.where(total > 0, np.round(200.0 * same / np.maximum(total, 1), 4), 100.0)
-        r, c = np.nonzero((ratio >= threshold) & ((lo != hi) | (ids[left][:, None] < ids[right])))
-        p, q = ids[left[r]], ids[right[c]]
-        return pa.table({"i": np.minimum(p, q), "j": np.maximum(p, q), "ratio": ratio[r, c]})
+        order = np.argsort(size, kind="stable")
+        left, right = order[b[order] == lo], order[b[order] == hi]
+        for at in range(0, len(left), STRINGS):
+            p = left[at : at + STRINGS]
+            for to in range(at if lo == hi else 0, len(right), STRINGS):
+                q = right[to : to + STRINGS]
+                # What is common is no longer than the shorter string; lengths come in order.
+                short, long_ = sorted([(size[p[0]], size[p[-1]]), (size[q[0]], size[q[-1]])])
+                if 200 * short[1] < (threshold - 1e-4) * (short[1] + long_[0]) and short[1] < long_[0]:
+                    continue
+                same = lcs_matrix([texts[k] for k in p], [texts[k] for k in q])
+                least = np.ceil((threshold - 1e-3) * np.arange(size[p[-1]] + size[q[-1]] + 1) / 200).astype(np.int32)
+                r, c = np.nonzero(same >= least[size[p][:, None] + size[q]])
+                if lo == hi:
+                    once = r < c if at == to else np.ones(len(r), bool)
+                    r, c = r[once], c[once]
+                total = size[p[r]] + size[q[c]]
+                ratio = np.where(total > 0, np.round(200.0 * same[r, c] / np.maximum(total, 1), 4), 100.0)
+                near = ratio >= threshold
+                i, j = ids[p[r[near]]], ids[q[c[near]]]
+                yield from pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "ratio": ratio[near]}).to_batches()
 
     return dealt.groupBy("lo", "hi").applyInArrow(compare, "i long, j long, ratio double")
 

@@ -343,6 +343,28 @@ def test_fuzzy_pairs_equal_all_ratios(spark):
         assert got == pytest.approx(want) and len(want) > 10
 
 
+@pytest.mark.parametrize("threshold", [0.0, 60.0, 88.0])
+def test_strings_meet_in_tiles(spark, threshold, monkeypatch):
+    """Several tiles of a block pair, lengths that forbid the threshold, words of every width; no row of a square twice."""
+    monkeypatch.setattr(M, "STRINGS", 5)
+    monkeypatch.setattr(M, "STRINGS_ACROSS", 3)
+    monkeypatch.setattr(M, "STRINGS_DOWN", 2)
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abc"), n)) for n in (0, 1, 2, 5, 15, 16, 17, 31, 32, 33, 63, 64, 65, 90) for _ in range(3)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(words)), "pos long, s string")
+    ratio = lambda a, b: round(200 * M.lcs_length(a, b) / (len(a) + len(b)), 4) if a or b else 100.0
+    want = sorted((i, j, ratio(a, b)) for j, b in enumerate(words) for i, a in enumerate(words[:j]) if a is not None and b is not None and ratio(a, b) >= threshold)
+    for blocks in (1, 2):
+        assert sorted(tuple(r) for r in M.fuzzy_pairs(df, threshold=threshold, blocks=blocks).collect()) == want
+
+
+def test_low_thresholds_meet_in_whole_blocks(spark):
+    """Characters as tokens part no strings: every pair met under each of many tokens."""
+    df = spark.createDataFrame([(0, "abcde"), (1, "abcxy")], "pos long, s string")
+    plan = lambda at: I.fuzzy_above(df, at)._jdf.queryExecution().toString()
+    assert "array" not in plan(60.0) and "array" in plan(88.0)
+
+
 @pytest.mark.parametrize("block", [512, 4])
 @pytest.mark.parametrize("threshold", [55.0, 80.0, 90.0])
 def test_indexed_strings_equal_all_ratios(spark, threshold, block):
