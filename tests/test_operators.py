@@ -553,6 +553,34 @@ def test_spectral_and_kmeans_near_the_dense_ones(spark, monkeypatch):
         C.cluster(df, "other", 3)
 
 
+def test_mixtures_share_their_products(spark, monkeypatch):
+    """Eigenvectors of every mixture against NumPy's, in several blocks and tiles; a row is sent once for all mixtures."""
+    for name, value in (("BLOCK", 30), ("TILE", 7), ("TERMS", 3), ("INCIDENCES", 5)):
+        monkeypatch.setattr(C, name, value)
+    rng = np.random.default_rng(8)
+    x, z = (np.array([v for *_, v in unit_rows(70, 6, 8, seed)]) for seed in (1, 2))
+    m = np.zeros((70, 12))
+    for i in range(1, 70):
+        m[i, rng.choice(12, 4, False)] = rng.uniform(0.1, 0.6, 4)
+        m[i, 0] = 0.2  # a term that nearly all rows have
+    terms = [{int(t): float(row[t]) for t in np.flatnonzero(row)} for row in m]
+    rows = spark.createDataFrame([(i, x[i].tolist(), z[i].tolist(), terms[i]) for i in range(70)], "ord long, x array<double>, z array<double>, m map<bigint,double>")
+    settings = [(f"{c}{a}", c, a) for c in ("x", "z") for a in (0.0, 0.3, 1.0)]
+    got = {}
+    for r in C.mixed_embedding(rows, ["x", "z"], settings, 4, rounds=60, stop=1e-12).collect():
+        got.setdefault(r["by"], np.zeros((70, 4)))[r["ord"]] = r["e"]
+    assert len(got) == 6
+    for name, c, alpha in settings:
+        own = x if c == "x" else z
+        a = np.maximum(alpha * (m @ m.T) + (1 - alpha) * (own @ own.T), 0)
+        root = np.sqrt(np.maximum(a.sum(1), 1e-12))
+        values, vectors = np.linalg.eigh(a / root[:, None] / root)
+        want = vectors[:, ::-1][:, :4]
+        if values[-4] - values[-5] > 1e-3:
+            mine = got[name] * root[:, None]
+            assert np.abs(mine @ mine.T - want @ want.T).max() < 1e-4
+
+
 def test_geometric_median_resists_an_outlier():
     x = np.array([[1.0, 0.0]] * 9 + [[0.0, 1.0]])
     assert K.geometric_median(x)[0] > 0.99
