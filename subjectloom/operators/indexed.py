@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import keep
+from .mixtures import lexical_above as lexical_above
 from .similarity import fuzzy_pairs, lcs_length
 
 #: Rows of one token that a task holds of either block.
@@ -60,58 +61,6 @@ def met(rows: DataFrame, make: Callable[[pa.Table, np.ndarray, np.ndarray], pa.T
     return dealt.groupBy("t", "lo", "hi").applyInArrow(pairs, ddl)
 
 
-# ---------------------------------------------------------------- weighted terms
-
-
-def lexical_above(weights: DataFrame, key: str, least: float, block: int = BLOCK) -> DataFrame:
-    """``i, j, sim`` of documents of ``weights(key, term, weight)`` whose dot product (to nine digits) is ``least``
-    or more; weights are positive.
-
-    A document leaves out its most frequent terms as long as they can bring no partner to ``least``, given
-    the highest weight that each term has anywhere; the rarest term that a pair shares is left out by neither."""
-    kept = keep(weights.select(F.col(key).cast("long").alias("i"), "term", "weight"), "weights")
-    terms = kept.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("top"))
-    terms = terms.select("term", "top", _ranks(F.col("df"), F.col("term")).alias("r"))
-    docs = kept.join(terms, "term").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("r", "weight", "top"))).alias("x"))
-
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for i, x in zip(batch.column("i").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                r, w, top = (np.array([y[c] for y in x]) for c in ("r", "weight", "top"))
-                # From the most frequent on: what the terms so far can bring at most.
-                most = np.cumsum((w * top)[::-1])[::-1]
-                first = r[most >= least - 1e-9]
-                for column, value in zip(out, (i, r.tolist(), w.tolist(), first.tolist()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())), strict=True)], ["i", "r", "w", "first"])
-
-    def compare(table: pa.Table, p: np.ndarray, q: np.ndarray) -> pa.Table:
-        r, w = (table.column(c).combine_chunks() for c in ("r", "w"))
-        names, code = np.unique(r.flatten().to_numpy(), return_inverse=True)
-        row = np.repeat(np.arange(len(r)), r.value_lengths().to_numpy())
-        some, at = np.unique(np.concatenate([p, q]), return_inverse=True)
-        place = np.full(len(r), -1)
-        place[some] = np.arange(len(some))
-        inside = place[row] >= 0
-        row, code, weight = place[row[inside]], code[inside], w.flatten().to_numpy()[inside]
-        order = np.argsort(code, kind="stable")
-        row, code, weight = row[order], code[order], weight[order]
-        s = np.zeros((len(some), len(some)))
-        for lo in range(0, len(names) if len(p) else 0, 4096):
-            part = slice(*np.searchsorted(code, [lo, lo + 4096]))
-            x = np.zeros((len(some), 4096))
-            x[row[part], code[part] - lo] = weight[part]
-            s += x @ x.T
-        sim = np.round(s[at[: len(p)], at[len(p) :]], 9)
-        near = sim >= least
-        i = table.column("i").to_numpy()
-        return pa.table({"i": i[p[near]], "j": i[q[near]], "sim": sim[near]})
-
-    indexed = docs.mapInArrow(index, "i long, r array<long>, w array<double>, first array<long>")
-    return met(indexed, compare, "i long, j long, sim double", block)
-
-
 # ----------------------------------------------------------------------- strings
 
 
