@@ -10,6 +10,7 @@ from ..operators import clusters as C
 from ..operators import journal as J
 from ..operators import kernels as K
 from ..operators import metrics as E
+from ..operators import mixtures as X
 from ..operators import similarity as M
 from ..sources.folders import keep
 from .journals import _RANKS, shortlist_events
@@ -185,12 +186,9 @@ def alpha_sweep(spark, d):
     seven digits, as in ``auc_same_topic`` to nine: sums of products differ in the last ones."""
     from pyspark.sql import Window
 
-    from .lexical import _weights
+    from .lexical import mixed_spans
 
-    dense = M.cosine_pairs(spans(spark, d)).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "same", "sim")
-    lex = M.sparse_pairs(_weights(spark, d), "conv_id").withColumnRenamed("sim", "lex")
-    pairs = dense.join(lex, ["i", "j"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
-    auc = E.fused_auc(pairs, _ALPHAS).select("alpha", F.round("auc", 6).alias("auc"))
+    auc = X.fused_auc(mixed_spans(spark, d), _ALPHAS).select("alpha", F.round("auc", 6).alias("auc"))
     return auc.withColumn("best", F.row_number().over(Window.orderBy(F.desc(F.round("auc", 4)), "alpha")) == 1)
 
 
