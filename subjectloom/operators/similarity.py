@@ -340,29 +340,60 @@ def pair_quantile_of(rows: DataFrame, q: float, blocks: int | None = None, gathe
     return low + (high - low) * (place - np.floor(place)), total
 
 
-def nearest_earlier(queries: DataFrame, entries: DataFrame, key: str, most: int, rows_a_block: int = 2048) -> DataFrame:
+#: Entries that meet a tile of queries at once, and at first.
+ENTRIES, FIRST_ENTRIES = 4096, 512
+
+
+def _nearest(x: np.ndarray, q: np.ndarray, e: np.ndarray, keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and similarity of the ``most`` best entries (``keys`` in order, those up to q) of each query.
+
+    What is below the least of the best so far is passed over; only what may be kept is rounded and sorted."""
+    row, place, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least, at = np.full(len(q), -np.inf), 0
+    end = int(np.searchsorted(keys, q.max(initial=keys[0] - 1), "right"))
+    while at < end:
+        to = min(end, at + (ENTRIES if at else FIRST_ENTRIES))
+        s = x @ e[at:to].T
+        if keys[to - 1] > q.min():
+            s[keys[at:to] > q[:, None]] = -np.inf
+        if to - at > most and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(s, to - at - most, axis=1)[:, to - at - most] - 1e-9)
+        r, c = np.nonzero((s > least[:, None] - 1e-9) & (s > -np.inf))
+        row, place, sim = np.append(row, r), np.append(place, c + at), np.append(sim, np.round(s[r, c], 9))
+        order = np.lexsort((place, -sim, row))
+        row, place, sim = row[order], place[order], sim[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        least[row[rank == most - 1]] = sim[rank == most - 1]
+        row, place, sim = row[rank < most], place[rank < most], sim[rank < most]
+        at = to
+    return row, place, sim
+
+
+def nearest_earlier(queries: DataFrame, entries: DataFrame, key: str, most: int, rows_a_block: int = WIDE_ROWS) -> DataFrame:
     """``q, key, sim, rank``: for each query (``q, v``) the ``most`` entries (``key, c``) with
     ``key <= q`` and the highest dot products, rounded to 9 digits, ties by key.
 
-    A block of queries meets each block of entries in one matrix product, which keeps its
-    own best; those are merged.  No entry is left out.
+    Blocks are ranges of the key, so a block of queries meets the blocks of entries up to its own, in tiles that keep
+    their own best; those are merged.  No entry is left out.
     """
-    count = lambda rows: -(-rows.count() // rows_a_block) or 1
-    nq, ne = count(queries), count(entries)
-    a = queries.select(F.lit(True).alias("asks"), F.col("q").cast("long").alias("id"), F.col("v").alias("x"), F.pmod(F.xxhash64("q"), F.lit(nq)).alias("bq"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ne - 1).cast("long"))).alias("be"))
-    b = entries.select(F.lit(False).alias("asks"), F.col(key).cast("long").alias("id"), F.col("c").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("bq"), F.pmod(F.xxhash64(key), F.lit(ne)).alias("be"))
-
-    def product(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        asks, ids = np.array(table.column("asks").to_pylist(), bool), table.column("id").to_numpy()
+    n, cores = entries.count(), entries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n // rows_a_block), min(-(-n // BLOCK_ROWS), int(np.ceil(np.sqrt(4 * cores + 0.25) - 0.5)))) or 1
+    cuts = sorted({int(c) for c in entries.approxQuantile(key, [k / blocks for k in range(1, blocks)], 0.1 / blocks)}) if blocks > 1 else []
+    of = lambda c: F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]), lambda x: x <= F.col(c))) if cuts else F.lit(0)
+    a = queries.select(F.lit(True).alias("asks"), F.col("q").cast("long").alias("id"), F.col("v").alias("x"), of("q").alias("bq")).withColumn("be", F.explode(F.sequence(F.lit(0), F.col("bq"))))
+    b = entries.select(F.lit(False).alias("asks"), F.col(key).cast("long").alias("id"), F.col("c").alias("x"), of(key).alias("be")).withColumn("bq", F.explode(F.sequence(F.col("be"), F.lit(len(cuts)))))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        asks, ids = table.column("asks").to_numpy(zero_copy_only=False).astype(bool), table.column("id").to_numpy()
         x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        q, e = ids[asks], ids[~asks]
-        s = np.where(e[None] <= q[:, None], np.round(x[asks] @ x[~asks].T, 9), -np.inf)
-        # Entries stand in the order of their keys, which a stable sort keeps on ties.
-        top = np.argsort(-s, axis=1, kind="stable")[:, :most]
-        sim = np.take_along_axis(s, top, axis=1)
-        r, k = np.nonzero(sim > -np.inf)
-        return pa.table({"q": q[r], key: e[top[r, k]], "sim": sim[r, k]})
+        order = np.argsort(ids, kind="stable")
+        own, other = order[asks[order]], order[~asks[order]]
+        keys, e = ids[other], x[other]
+        for at in range(0, len(own) if len(other) else 0, TILE):
+            p = own[at : at + TILE]
+            row, place, sim = _nearest(x[p], ids[p], e, keys, most)
+            yield from pa.table({"q": ids[p][row], key: keys[place], "sim": sim}).to_batches()
 
     best = a.union(b.select(*a.columns)).groupBy("bq", "be").applyInArrow(product, f"q long, {key} long, sim double")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), key)
