@@ -1,4 +1,4 @@
-"""Similarity joins above a threshold by an index on rare tokens instead of all pairs.
+"""Similarity joins of strings above a threshold by an index on rare tokens instead of all pairs.
 
 Prefix filtering (Chaudhuri et al., "A primitive operator for similarity joins", 2006; Bayardo et
 al., "Scaling up all pairs similarity search", 2007): tokens have one order, the rare ones first.
