@@ -74,3 +74,23 @@ def test_documents_in_tiles(spark, monkeypatch, blocks):
     s = x @ x.T
     assert got == {(i, j): pytest.approx(s[i, j]) for i in range(23) for j in range(i + 1, 23) if s[i, j] > 0}
     assert M._wide_blocks(spark.range(100_000), M.WIDE_DOCUMENTS) == 25
+
+
+@pytest.mark.parametrize(("blocks", "width", "counted", "digits"), [(1, 1 << 18, 1 << 23, 9), (3, 1 << 12, 1 << 18, 2)])
+def test_auc_of_counts_equals_ranks(spark, monkeypatch, blocks, width, counted, digits):
+    """Ties, passes over some cells at a time and bins that have to be narrowed; no pair is formed."""
+    rows = unit(16) + [(17 + k, k % 3, [1.0, 0, 0, 0, 0, 0] if k % 2 else [0.6, 0.8, 0, 0, 0, 0]) for k in range(6)]
+    pairs = [(a == b, round(float(np.dot(v, w)), 9)) for k, (_, a, v) in enumerate(rows) for _, b, w in rows[k + 1 :]]
+    p, n = (np.array([s for same, s in pairs if same is kind]) for kind in (True, False))
+    want = ((p[:, None] > n).sum() + (p[:, None] == n).sum() / 2) / (len(p) * len(n))
+    monkeypatch.setattr(M, "cosine_pairs", None)
+    df = spark.createDataFrame([(i, t, [float(x) for x in v]) for i, t, v in rows], UNIT)
+    assert M.pair_auc(df, digits, blocks, width, counted, formed=0) == round(float(want), digits)
+    assert M.pair_auc(df.withColumn("topic", F.col("ord")), digits, blocks, width, counted, formed=0) is None
+
+
+def test_auc_same_topic_forms_no_pairs(spark, sf, monkeypatch):
+    monkeypatch.setattr(M, "cosine_pairs", None)
+    whole = M.pair_auc
+    monkeypatch.setattr(M, "pair_auc", lambda rows, digits: whole(rows, digits, formed=0))
+    same_rows(registry.queries()["auc_same_topic"](spark, sf), connect(sf), registry.oracle_sql()["auc_same_topic"])
